@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, chat_windows, near_dup, substring_dedup, url_filter
+from . import backoff_lm, chat_windows, mixing, near_dup, substring_dedup, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": near_dup.query,
     "op2_backoff_lm": backoff_lm.query,
     "op3_chat_windows": chat_windows.query,
     "op5_url_filter": url_filter.query,
+    "op6_mixing": mixing.query,
+    "op7_vector_topk": vector_topk.query,
     "op8_substring_dedup": substring_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_windows": chat_windows.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op7_vector_topk": vector_topk.SQL,
 }
