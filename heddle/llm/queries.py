@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, chat_windows, mixing, near_dup, substring_dedup, url_filter, vector_topk
+from . import backoff_lm, chat_windows, language_id, mixing, near_dup, substring_dedup, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": near_dup.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": mixing.query,
     "op7_vector_topk": vector_topk.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_language_id": language_id.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
