@@ -27,6 +27,9 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII letters and digits, and all bytes of other characters: the words that letters_only asks for.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _POINT = U64(0x9E3779B97F4A7C15)
 _WORD_POINT = U64(0xD1342543DE82EF95)
 
@@ -87,9 +90,9 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 class Words:
     """The words of some texts: byte ranges, hashes, and word offsets by text."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool, hashed: bool = True) -> None:
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool, letters_only: bool = False) -> None:
         self.data, self.offs = data, offs
-        inside = ~_SPACE[data]
+        inside = _LETTER[data] if letters_only else ~_SPACE[data]
         before = np.empty(len(data), bool)
         after = np.empty(len(data), bool)
         if len(data):
@@ -102,7 +105,7 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         #: n + 1 offsets into the words
         self.of = np.searchsorted(self.start, offs)
-        self.hash = self._hashes(_LOWER if lower else _BYTE) if hashed else None
+        self.hash = self._hashes(_LOWER if lower else _BYTE)
 
     def _hashes(self, table: np.ndarray) -> np.ndarray:
         up, down = _powers.upto(len(self.data) + 1)

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, chat_windows, language_id, mixing, near_dup, substring_dedup, url_filter, vector_topk
+from . import backoff_lm, chat_windows, language_id, mixing, near_dup, quality_cnn, substring_dedup, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": near_dup.query,
     "op2_backoff_lm": backoff_lm.query,
     "op3_chat_windows": chat_windows.query,
+    "op4_quality_cnn": quality_cnn.query,
     "op5_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
     "op7_vector_topk": vector_topk.query,
