@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, chat_windows, language_id, mixing, near_dup, quality_cnn, substring_dedup, url_filter, vector_topk
+from . import backoff_lm, chat_windows, decontamination, language_id, mixing, near_dup, quality_cnn, substring_dedup, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": near_dup.query,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_vector_topk": vector_topk.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_language_id": language_id.query,
+    "op10_decontamination": decontamination.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
