@@ -1 +1 @@
-
+"""Queries and their SQL."""

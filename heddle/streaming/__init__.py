@@ -1 +1 @@
-
+"""Keyed state, in batch and as streams."""
