@@ -140,6 +140,7 @@ def plain_text(html: str | None) -> str | None:
     """HTML without tags, entities decoded, paragraphs as line breaks, anchors as their links."""
     if html is None:
         return None
+    html = re.sub(r"(?is)<(script|style|noscript|template|svg|head)\b.*?</\1>", " ", html)
     t = re.sub(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', lambda m: m[1] if m[2].rstrip(".…") in m[1] else f"{m[2]} ({m[1]})", html)
     t = re.sub(r"(?is)<pre><code>(.*?)</code></pre>", lambda m: f"\n```\n{m[1]}\n```\n", t)
     t = re.sub(r"(?i)<(p|br|/p|/div|/li)\b[^>]*>", "\n", t)

@@ -35,7 +35,7 @@ def clean_body(text: Column) -> Column:
     """Blanks to one, line breaks to one or two, trimmed."""
     t = F.regexp_replace(text, r"[ \t\f\r]+", " ")
     t = F.regexp_replace(t, r" *\n(?: *\n)+ *", "\n\n")
-    t = F.regexp_replace(t, r" *\n(?!\n)(?<!\n\n) *", "\n")
+    t = F.regexp_replace(t, r" *\n *", "\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
@@ -69,8 +69,8 @@ def flat_verdict(text: Column, most: int) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """812 B, 4.2 KB, 1.3 MB."""
-    one = lambda x: F.format_string("%.1f", x)
+    """812 B, 4.2 KB, 1.3 MB, halves to even."""
+    one = lambda x: F.format_string("%.1f", F.bround(x, 1))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(one(n / 1024), F.lit(" KB"))).otherwise(F.concat(one(n / 1048576), F.lit(" MB")))
 
 
