@@ -12,8 +12,8 @@ def with_depth(rows: DataFrame, rounds: int = 40) -> DataFrame:
     Pointer doubling: each round every row points twice as far up, so 2**rounds levels are
     covered; it ends when no pointer moves. Rows in a cycle end with the depth they have then.
     """
-    ids = rows.select("thread", F.col("id").alias("up"))
-    known = rows.join(ids.distinct(), (rows.thread == ids.thread) & (rows.parent == ids.up), "left").select(rows.thread, rows.id, "up")
+    ids = rows.select("thread", F.col("id").alias("parent"), F.col("id").alias("up")).distinct()
+    known = rows.select("thread", "id", "parent").join(ids, ["thread", "parent"], "left")
     now = known.select("thread", "id", F.coalesce("up", "id").alias("root"), F.col("up").isNotNull().cast("int").alias("depth"))
     for _ in range(rounds):
         far = now.select("thread", F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))

@@ -151,7 +151,7 @@ def dates(spark, sf_dir):
 def event_times(spark, sf_dir):
     """Epoch seconds as text, seconds to midnight, seconds rounded up."""
     s = F.unix_timestamp("ts")
-    return table(spark, sf_dir, "events").select("event_id", text.epoch_text(s).alias("at"), text.until_midnight(F.col("ts")).alias("to_midnight"), F.ceil("value").cast("long").alias("seconds_up"))
+    return table(spark, sf_dir, "events").select("event_id", text.epoch_text(s).alias("at"), text.until_midnight(F.timestamp_seconds(s)).alias("to_midnight"), F.ceil("value").cast("long").alias("seconds_up"))
 
 
 _LINKS = [("Home", "https://a.b/c"), ("https://a.b/c", "https://a.b/c"), ("a.b/lon…", "https://a.b/long"), ("", "https://a.b"), ("x", ""), ("other", "https://www.a.b/c")]

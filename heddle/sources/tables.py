@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,10 @@ def error_documents(rows: DataFrame) -> DataFrame:
 def write_lines(df: DataFrame, path: str) -> None:
     """JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() work: the cluster's folder from spark.checkpoint.dir, a temporary one only where that is unset."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-"))

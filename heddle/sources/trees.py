@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NODE = T.StructType().add("id", "string").add("parent", "string").add("author", "string").add("text", "string").add("depth", "int").add("pos", "int").add("hidden", "long")
+NODE = T.StructType().add("id", "string").add("parent", "string").add("author", "string").add("text", "string").add("depth", "integer").add("pos", "integer").add("hidden", "long")
 REMOVED = ("[deleted]", "[removed]", "", "[ removed by reddit ]")
 
 

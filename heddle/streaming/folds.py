@@ -192,7 +192,7 @@ class SingleFlight:
 def fold(rows: DataFrame, key: str | None, order: list[str], make: Callable[[], Any], args: list[str]) -> DataFrame:
     """The rows with what a machine says of each, a machine for each key (None: one for all), events in the order given."""
     machine = make()
-    schema = T.StructType(rows.schema.fields)
+    schema = T.StructType(list(rows.schema.fields))
     for name, kind in machine.fields:
         schema = schema.add(name, kind)
     names = rows.columns
@@ -223,7 +223,7 @@ def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any],
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     machine = make()
-    schema = T.StructType(rows.schema.fields)
+    schema = T.StructType(list(rows.schema.fields))
     for name, kind in machine.fields:
         schema = schema.add(name, kind)
 
