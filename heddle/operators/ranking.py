@@ -62,17 +62,17 @@ def silent_engines(asked: DataFrame, rows: DataFrame, failures: DataFrame) -> Da
     return answered.join(failures.select(*keys), keys, "left_anti").join(rows.select(*keys), keys, "left_anti").groupBy("engine").agg(F.count("*").alias("n_silent"))
 
 
-def degradation(critical: DataFrame, rows: DataFrame, failures: DataFrame, searches: DataFrame) -> DataFrame:
+def degradation(critical: list[str], rows: DataFrame, failures: DataFrame, searches: DataFrame) -> DataFrame:
     """The first critical engine that is missing from each search, and why.
 
-    critical: engine, pos (a handful); rows: query_id, engine; failures: query_id, engine, message; searches: query_id.
+    critical: engines in their order; rows: query_id, engine; failures: query_id, engine, message; searches: query_id.
     """
     keys = ["query_id", "engine"]
     n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     # of several reports of one engine the last counts
     why = failures.groupBy(*keys).agg(F.max("message").alias("message"), F.lit(True).alias("failed"))
-    want = critical
-    grid = searches.join(want, F.lit(True)).join(n, keys, "left").join(why, keys, "left")
+    want = F.posexplode(F.array(*[F.lit(e) for e in critical])).alias("pos", "engine")
+    grid = searches.select("query_id", want).join(n, keys, "left").join(why, keys, "left")
     reason = F.when(F.col("failed"), F.concat("engine", F.lit(": "), engine_error(F.col("message")))).when(F.coalesce("n", F.lit(0)) == 0, F.concat("engine", F.lit(": no results")))
     missing = grid.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("query_id").agg(F.min_by("reason", "pos").alias("reason"))
     return searches.join(missing, "query_id", "left").select("query_id", F.coalesce("reason", F.lit("")).alias("reason"))

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from ..operators import ranking
 from ..sources.tables import table
 from .page_queries import _host, _key
-from .registry import query, table_of, values
+from .registry import query, values
 
 _A = "SELECT page_id % 100 AS query_id, row_number() OVER (PARTITION BY page_id % 100 ORDER BY page_id) AS rank, url FROM pages"
-_B = "SELECT page_id % 100 AS query_id, row_number() OVER (PARTITION BY page_id % 100 ORDER BY length(html) DESC, page_id) AS rank, replace(url, 'http://', 'https://www.') AS url FROM pages WHERE page_id % 3 <> 1"
+_B = "SELECT page_id % 100 AS query_id, row_number() OVER (PARTITION BY page_id % 100 ORDER BY length(html) DESC, page_id) AS rank, replace(url, 'http://', 'https://www.') AS url FROM pages"
 
 
 def _rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf_dir, "pages").withColumn("query_id", F.col("page_id") % 100)
     w = Window.partitionBy("query_id")
     a = pages.select("query_id", F.row_number().over(w.orderBy("page_id")).alias("rank"), "url")
-    b = pages.where("page_id % 3 <> 1").withColumn("size", F.length("html")).select("query_id", F.row_number().over(w.orderBy(F.desc("size"), "page_id")).alias("rank"), F.replace("url", F.lit("http://"), F.lit("https://www.")).alias("url"))
+    b = pages.withColumn("size", F.length("html")).select("query_id", F.row_number().over(w.orderBy(F.desc("size"), "page_id")).alias("rank"), F.replace("url", F.lit("http://"), F.lit("https://www.")).alias("url"))
     return a, b
 
 
@@ -102,8 +102,7 @@ def degradations(spark, sf_dir):
     """The first critical engine missing from each search."""
     events = table(spark, sf_dir, "events")
     rows = events.where("value < 8").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("engine"))
-    critical = table_of(spark, _CRIT, "engine string, pos int")
-    return ranking.degradation(critical, rows, _failures(spark, sf_dir), events.select(F.col("user_id").alias("query_id")).distinct())
+    return ranking.degradation([e for e, _ in _CRIT], rows, _failures(spark, sf_dir), events.select(F.col("user_id").alias("query_id")).distinct())
 
 
 @query("host_lists", f"""WITH h AS (SELECT {_host('url')} AS host, page_id, url, row_number() OVER (PARTITION BY {_host('url')} ORDER BY page_id) AS rank, count(*) OVER (PARTITION BY {_host('url')}) AS n FROM pages)
@@ -116,10 +115,10 @@ def host_lists(spark, sf_dir):
     return ranking.with_rest(pages, "host", ["page_id"], "url", 3)
 
 
-@query("ranked_items", """SELECT doc_id, coalesce(item_id, 1 + (SELECT count(*) FROM benchmark)) AS rank, row_number() OVER (ORDER BY coalesce(item_id, 1 + (SELECT count(*) FROM benchmark)), doc_id) AS pos FROM documents LEFT JOIN benchmark ON doc_id = item_id * 3 WHERE doc_id < 1000""")
+@query("ranked_items", """SELECT doc_id, coalesce(item_id, 1 + (SELECT count(*) FROM benchmark)) AS rank, row_number() OVER (PARTITION BY source ORDER BY coalesce(item_id, 1 + (SELECT count(*) FROM benchmark)), doc_id) AS pos FROM documents LEFT JOIN benchmark ON doc_id = item_id * 3""")
 def ranked_items(spark, sf_dir):
-    """Rows put in an outside ranking's order, those without a rank last, in their own order (a list of 1000 at most)."""
+    """Rows put in an outside ranking's order, those without a rank last, in their own order, in each source."""
     ranks = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("doc_id"), "item_id")
     last = ranks.count() + 1
-    rows = table(spark, sf_dir, "documents").where("doc_id < 1000").select("doc_id").join(ranks, "doc_id", "left").select("doc_id", F.coalesce("item_id", F.lit(last)).alias("rank"), F.lit(1).alias("list"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("list").orderBy("rank", "doc_id"))).drop("list")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(ranks, "doc_id", "left").select("doc_id", F.coalesce("item_id", F.lit(last)).alias("rank"), "source")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id"))).drop("source")

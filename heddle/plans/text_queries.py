@@ -100,23 +100,29 @@ def thin_posts(spark, sf_dir):
 _LETTERS = "regexp_replace(lower(regexp_replace({0}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')), '[^a-z0-9]', '', 'g')"
 
 
-@query("benchmark_coverage", f"""WITH b AS (SELECT item_id, {_LETTERS.format('text')} AS l FROM benchmark), d AS (SELECT doc_id, lang, {_LETTERS.format('text')} AS l FROM documents WHERE n_chars <= 4000)
-SELECT lang, count(*) AS n_found FROM d JOIN b ON length(b.l) > 0 AND contains(d.l, b.l) GROUP BY lang""")
+@query("benchmark_coverage", f"""WITH b AS (SELECT item_id, {_LETTERS.format('text')} AS l FROM benchmark), d AS (SELECT doc_id, lang, {_LETTERS.format('text')} AS l FROM documents)
+SELECT lang, count(*) AS n_found, count(DISTINCT doc_id) AS n_docs FROM d JOIN b ON length(b.l) > 0 AND contains(d.l, b.l) GROUP BY lang""")
 def benchmark_coverage(spark, sf_dir):
-    """F16: documents of up to 4000 characters whose letters hold a benchmark item's letters.
-
-    An equi-join on hashes of 24-letter blocks: an item's first block is looked up at every offset of a document, and hits are confirmed.
-    """
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.letters(F.col("text")).alias("item")).where("length(item) > 0")
-    docs = table(spark, sf_dir, "documents").where("n_chars <= 4000").select("doc_id", "lang", text.letters(F.col("text")).alias("l"))
-    least = 8
-    seeds = items.where(F.length("item") >= least).select("item_id", "item", F.substring("item", 1, least).alias("seed"))
-    starts = docs.where(F.length("l") >= least).select("doc_id", "lang", "l", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("l") - least + 1), lambda i: F.substr(F.col("l"), i, F.lit(least))))).alias("seed"))
-    hits = starts.join(seeds, "seed").where(F.contains("l", F.col("item")))
-    short = items.where(F.length("item") < least)
-    if not short.isEmpty():
-        hits = hits.select("doc_id", "lang", "item_id").unionByName(docs.join(short, F.contains("l", F.col("item"))).select("doc_id", "lang", "item_id"))
-    return hits.select("doc_id", "lang", "item_id").groupBy("lang").agg(F.count("*").alias("n_found"))
+    """F16: documents whose letters hold a benchmark item's letters."""
+    from ..functions.phrases import phrases_found
+
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), text.letters(F.col("text")).alias("phrase"))
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("key"), text.letters(F.col("text")).alias("text"))
+    found = phrases_found(docs, items)
+    return found.groupBy(F.col("key.lang").alias("lang")).agg(F.count("*").alias("n_found"), F.countDistinct("key.doc_id").alias("n_docs"))
+
+
+@query("sentence_coverage", f"""WITH l AS (SELECT doc_id, text, {_LETTERS.format('text')} AS have FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, have, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: len(string_split_regex(trim(x), '\\s+')) >= 8 AND NOT contains(x, '://')) AS good FROM l),
+p AS (SELECT doc_id, have, CASE WHEN len(good) > 10 THEN list_transform(range(10), lambda i: good[(i * len(good)) // 10 + 1]) ELSE good END AS asked FROM s),
+a AS (SELECT doc_id, have, list_filter(list_transform(asked, lambda x: {_LETTERS.format('x')}), lambda x: x <> '') AS asked FROM p)
+SELECT doc_id, CASE WHEN len(asked) > 0 THEN round(len(list_filter(asked, lambda x: contains(have, x))) / len(asked), 2) END AS coverage FROM a""")
+def sentence_coverage(spark, sf_dir):
+    """F16: share of each text's own lines of eight words and more that its letters hold (a text covers itself)."""
+    t = F.col("text")
+    lines = F.regexp_replace(t, r"[.!?]", "")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", text.coverage(lines, t).alias("coverage"))
 
 
 _GRADE = "CASE WHEN failed THEN 'error' WHEN length(text) < 3000 AND regexp_matches(lower(text), 'access denied|verify you are human|just a moment') THEN 'blocked' WHEN length(trim(text)) < 200 THEN 'empty' WHEN hits = 3 THEN 'ok' WHEN hits > 0 THEN 'partial' ELSE 'miss' END"
@@ -165,17 +171,30 @@ def links(spark, sf_dir):
     return table_of(spark, _LINKS, "label string, href string").select("label", "href", text.link(F.col("label"), F.col("href")).alias("link"))
 
 
-@query("silent_failures", """SELECT kind, count(*) AS n FROM (SELECT CASE WHEN doc_id % 11 = 0 AND n_chars < 200 THEN 'bot_block' WHEN doc_id % 11 = 1 THEN 'not_found' WHEN doc_id % 11 = 2 THEN 'thin_content' END AS kind FROM documents WHERE doc_id % 11 < 3 AND n_chars BETWEEN 120 AND 3000 AND NOT contains(text, chr(10))) GROUP BY kind""")
+_BODY = "CASE doc_id % 11 WHEN 0 THEN text || chr(10) || 'Powered and protected by Akamai' WHEN 1 THEN '# Page not found' || chr(10) || text WHEN 2 THEN repeat('Loading…' || chr(10), 10) || text WHEN 3 THEN '## Choose a country' || chr(10) || text ELSE text END"
+_SOFT = "(?i)\\bpage not found\\b|\\bpage (you|you''re|you are) (were |are )?looking for\\b|\\bthis page (doesn''t|does not|no longer) exists?\\b|\\bthis page is not available\\b|\\bpage introuvable\\b|\\bseite nicht gefunden\\b"
+
+
+@query("silent_failures", f"""WITH b AS (SELECT doc_id, {_BODY} AS body FROM documents),
+l AS (SELECT doc_id, body, length({prose_sql('body')}) AS prose, list_filter(list_transform(string_split(body, chr(10)), lambda x: {prose_sql('x')}), lambda x: x <> '') AS lines,
+  array_to_string(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')[1:10], chr(10)) AS head,
+  list_filter(list_transform(string_split(lower(body), chr(10)), lambda x: regexp_replace(trim(x), '^[.…#* ]+|[.…#* ]+$', '', 'g')), lambda x: x <> '') AS marks FROM b),
+o AS (SELECT *, lines[1:least(coalesce(list_min(list_filter(list_transform(lines, lambda x, i: CASE WHEN length(x) >= 120 THEN i ELSE 13 END), lambda i: i < 13)), 13) - 1, 12)] AS opening, len(list_filter(marks, lambda x: x = 'loading')) AS loading FROM l)
+SELECT CASE WHEN contains(lower(body), 'powered and protected by') AND contains(lower(body), 'akamai') AND prose < 300 THEN 'bot_block'
+  WHEN len(list_filter(opening, lambda x: length(x) <= 60 AND regexp_matches(x, '{_SOFT}'))) > 0 THEN 'not_found'
+  WHEN prose < 1500 AND regexp_matches(head, '(?im)^#+ *(choose|select) (a|your) (country|region)') THEN 'bot_block'
+  WHEN loading >= 10 AND loading * 10 > len(marks) * 3 THEN 'thin_content' END AS kind, count(*) AS n FROM o GROUP BY 1""")
 def silent_failures(spark, sf_dir):
-    """C4: served pages that aren't the page; three kinds are declared by doc_id around one-line texts."""
+    """C4: served pages that aren't the page; four kinds are declared by doc_id around the texts."""
     k, t = F.col("doc_id") % 11, F.col("text")
     body = (
         F.when(k == 0, F.concat(t, F.lit("\nPowered and protected by Akamai")))
         .when(k == 1, F.concat(F.lit("# Page not found\n"), t))
-        .otherwise(F.concat(F.lit("Loading…\n" * 10), t))
+        .when(k == 2, F.concat(F.lit("Loading…\n" * 10), t))
+        .when(k == 3, F.concat(F.lit("## Choose a country\n"), t))
+        .otherwise(t)
     )
-    docs = table(spark, sf_dir, "documents").where("doc_id % 11 < 3 AND n_chars BETWEEN 120 AND 3000 AND NOT contains(text, chr(10))")
-    return docs.groupBy(F.when((k == 0) & (F.col("n_chars") >= 200) & (text.prose_chars(body) >= 300), F.lit(None)).otherwise(classify.silent_failure(body)).alias("kind")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").groupBy(classify.silent_failure(body).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("thread_toon")

@@ -8,9 +8,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
 from ..operators import threads
 from ..sources import trees
 from ..sources.tables import in_request_order, table
+from .page_queries import _host
 from .registry import query, table_of
 
 _ROWS = "SELECT conv_id AS thread, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn = 5 THEN 99 ELSE (turn - 1) // 2 END AS parent, turn AS pos FROM conversations"
@@ -108,14 +110,14 @@ def id_batches(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id").distinct().groupBy(F.floor(F.col("conv_id") / 40).alias("batch")).agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
 
 
-@query("stream_order", "SELECT conv_id AS thread, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS pos FROM conversations WHERE turn % 2 = 0")
+@query("stream_order", "SELECT conv_id AS thread, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS pos FROM conversations WHERE role = 'user'")
 def stream_order(spark, sf_dir):
-    """Posts put in a stream's order (declared: turns backwards, those loaded are the even ones), places without gaps."""
+    """Posts put in a stream's order (declared: turns backwards, those loaded are the user's), places without gaps."""
     from pyspark.sql import Window
 
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("id"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("id"), "role")
     stream = turns.groupBy("thread").agg(F.sort_array(F.collect_list("id"), asc=False).alias("stream")).select("thread", F.posexplode("stream").alias("at", "id"))
-    return stream.join(turns.where("id % 2 = 0"), ["thread", "id"]).withColumn("pos", F.row_number().over(Window.partitionBy("thread").orderBy("at")) - 1).select("thread", "id", "pos")
+    return stream.join(turns.where("role = 'user'"), ["thread", "id"]).withColumn("pos", F.row_number().over(Window.partitionBy("thread").orderBy("at")) - 1).select("thread", "id", "pos")
 
 
 @query("accepted_first", "SELECT conv_id AS thread, turn AS id, turn = 3 AS accepted, row_number() OVER (PARTITION BY conv_id ORDER BY turn <> 3, turn) AS place FROM conversations")
@@ -128,12 +130,12 @@ def accepted_first(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), t.alias("id"), (t == 3).alias("accepted"), place.alias("place"))
 
 
-@query("listed_entries", "SELECT page_id, row_number() OVER (ORDER BY page_id % 3 <> 0, lower(url), page_id) AS place FROM pages WHERE page_id < 500")
+@query("listed_entries", f"SELECT page_id, row_number() OVER (PARTITION BY {_host('url')} ORDER BY page_id % 3 <> 0, lower(url), page_id) AS place FROM pages")
 def listed_entries(spark, sf_dir):
-    """O2: directories (declared: every third page) first, then names without case; a listing of 500 at most."""
+    """O2: directories (declared: every third page) first, then names without case, for each host."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "pages").where("page_id < 500").withColumn("list", F.lit(1))
+    rows = table(spark, sf_dir, "pages").withColumn("list", urls.hostname(F.col("url")))
     order = Window.partitionBy("list").orderBy(F.when(F.col("page_id") % 3 == 0, 0).otherwise(1), F.lower("url"), "page_id")
     return rows.select("page_id", F.row_number().over(order).alias("place"))
 
