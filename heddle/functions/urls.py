@@ -208,8 +208,12 @@ def listing_limit(url: Column) -> Column:
     return F.coalesce(F.least(F.greatest(given, F.lit(1)), F.lit(100)), F.lit(25))
 
 
-#: Extensions of plain text that needs no browser (fixed values, a part of the list).
-RAW_EXTENSIONS = ("txt", "md", "rst", "csv", "tsv", "json", "jsonl", "xml", "yaml", "yml", "toml", "ini", "log", "sql", "py", "go", "rs", "c", "h", "cpp", "java", "js", "ts", "sh", "css")
+#: Extensions of plain text that needs no browser (fixed values).
+RAW_EXTENSIONS = (
+    "md", "markdown", "txt", "text", "rst", "adoc", "json", "ndjson", "jsonl", "xml", "yaml", "yml", "toml", "ini", "cfg", "conf", "csv", "tsv", "log", "patch",
+    "diff", "proto", "graphql", "sql", "go", "py", "rb", "rs", "c", "h", "cpp", "hpp", "cc", "java", "kt", "swift", "ts", "tsx", "js", "jsx",
+    "mjs", "sh", "bash", "zsh", "ps1", "lua", "pl", "ex", "exs", "zig", "tf", "hcl", "dockerfile", "mod", "sum", "lock", "env", "service", "css",
+)
 
 
 def has_raw_extension(url: Column) -> Column:
