@@ -12,6 +12,8 @@ the same construction over its words' hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,13 @@ _POINT = U64(0x9E3779B97F4A7C15)
 _WORD_POINT = U64(0xD1342543DE82EF95)
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that an idle worker holds little."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))

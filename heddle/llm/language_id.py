@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import _BYTE, U64, chunks, mix64, text_bytes
+from .kernels import _BYTE, U64, chunks, mix64, release, text_bytes
 from .kernels import _powers as powers
+from .session import small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text of each language that the fit may take, and rounds of it.
@@ -215,7 +216,7 @@ def _predictor(pieces: Pieces, names: list[str], p: np.ndarray):
             data, offs = text_bytes(batch.column("__low"))
             letters = np.asarray(batch.column("__letters").fill_null(False).to_numpy(zero_copy_only=False), bool)
             like = [np.zeros((0, len(names)))]
-            for _, _, d, o in chunks(data, offs, 4 << 20):
+            for _, _, d, o in chunks(data, offs, 2 << 20):
                 word, bounds, inverse, of, _ = words_of(d, o)
                 each = np.zeros((len(bounds) - 1, len(names)))
                 for net in lattices(pieces, word, bounds) if len(bounds) > 1 else ():
@@ -232,6 +233,7 @@ def _predictor(pieces: Pieces, names: list[str], p: np.ndarray):
             score = np.where(letters, odds[np.arange(len(best)), best], 0.0) if x.size else np.zeros(0)
             out = batch.drop_columns(["__low", "__letters"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*out.schema.names, "lang_pred", "score"])
+            release()
 
     return run
 
@@ -245,6 +247,7 @@ def identify(docs: DataFrame, train: Column | None = None, vocabulary_path: str
     A text without letters, or null, is `und` with score 0; so is every text if nothing could be
     learnt. Ties go to the smaller name. Repeated rows stay. Columns named lang_pred or score are replaced.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
     pieces = Pieces(vocabulary(vocabulary_path))
     names, p = fit(sample_texts(docs, F.lit(True) if train is None else train, sample_bytes), pieces)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, Words, chunks, mix64, sequence_hash, text_bytes, windows
-from .session import stored
+from .kernels import U64, Words, chunks, mix64, release, sequence_hash, text_bytes, windows
+from .session import small_batches, stored
 
 #: Registers, registers in a band, and mantissa bits of a register (besides 6 bits of leading zeros).
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
@@ -227,6 +227,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             key1 = np.array([int(mix64(s).sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64)
             key2 = np.array([int(mix64(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(key1), pa.array(key2), pa.array(sketch, pa.binary())], names=["doc_id", "n", "key1", "key2", "sketch"])
+        release()
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +243,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
         for i, j, d, o in chunks(data, offs, 1 << 22):
             prints = pa.array([s.tobytes() for s in shingle_sets(d, o, k)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), prints], names=["id", "prints"])
+        release()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     A pair at the threshold is missed if it shares no band or its estimate
     strays by more than 4.6 deviations: together about 5 in a million.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stored(texts.mapInArrow(lambda b: _sketched(b, shingle), "doc_id long, n long, key1 long, key2 long, sketch binary"))
     classes = sketches.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("id")).where("id is not null")

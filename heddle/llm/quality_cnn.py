@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, text_bytes
+from .kernels import chunks, release, text_bytes
+from .session import small_batches
 
 WIDTH, FILTERS, HIDDEN = 6, 24, 12
 #: Bytes of a block; blocks of a chunk, and blocks from one chunk's start to the next.
@@ -178,6 +179,7 @@ def _scorer(net: Net):
             parts = [scores(net, tables, d, o) for _, _, d, o in chunks(data, offs)]
             out = batch.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate([np.zeros(0), *parts]).astype(np.float64))], names=[*out.schema.names, "score"])
+            release()
 
     return run
 
@@ -190,6 +192,7 @@ def judge(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
     a score like any other. Without usable labels every score is 0.5. Repeated rows stay; columns named score or
     predicted are replaced.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("score", "predicted", "text")]
     net = fit(docs, labels, train, sample_rows)
     if net is None:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block: what one task holds at a time.
-BLOCK_BYTES = 16 << 20
+#: A block of text, what one task holds at a time, takes this part of a core's share of an executor's memory (its arrays take some 15 times as much).
+BLOCK_PART = 128
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +34,31 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that this session hands to Python, for columns of whole texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def default_block(spark: SparkSession) -> int:
+    """Bytes of a block by the executors' memory and cores: 4 to 64 MB."""
+    conf = spark.sparkContext.getConf()
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", conf.get("spark.executor.memory", "1g").lower()).groups()
+    memory = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    master = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*\]", conf.get("spark.master", ""))
+    cores = int(conf.get("spark.executor.cores", master[1] if master else "1"))
+    return max(4 << 20, min(64 << 20, memory // cores // BLOCK_PART))
+
+
+def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:
     """Blocks for these texts: by bytes over all rows, and enough for the cluster's cores."""
+    block_bytes = block_bytes or default_block(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     return max(int(-(-total // block_bytes)), min(3 * cores, int(total // (1 << 18)) + 1), 1)
 
 
 def blocked(docs: DataFrame, n: int, *cols: str) -> DataFrame:
-    """doc_id, text and the named columns, dealt into n blocks by a hash of the id and the text's length."""
+    """doc_id, text and the named columns, dealt into n blocks (column __block) by a hash of the id and the text's length."""
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", *cols, block.alias("block")).repartition(n, "block")
+    return docs.select("doc_id", "text", *cols, block.alias("__block")).repartition(n, "__block")

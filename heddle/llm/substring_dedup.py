@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, text_bytes, windows
-from .session import blocked, n_blocks
+from .kernels import U64, Words, chunks, release, text_bytes, windows
+from .session import blocked, n_blocks, small_batches
 
 _REQUEST = "level int, bucket int, __block int, prints binary, ids binary"
 _ANSWER = "level int, bucket int, __block int, bits binary"
@@ -190,6 +190,8 @@ def _requests(levels: list[int], n: int, level: int):
         block = _replay(table, answers, levels, n, level)
         rows = block.requests(level) if table.num_rows else []
         me = table["__block"][0].as_py() if table.num_rows else None
+        del block
+        release()
         return pa.table(
             [pa.array([level] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([me] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
             names=["level", "bucket", "__block", "prints", "ids"],
@@ -214,11 +216,12 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_byt
     A null or empty text has no words and becomes the empty text. Rows with one
     doc_id never remove words from each other; a null doc_id counts as larger
     than all others. Texts of fewer words than the window stay whole. A column
-    named n_words or n_removed is replaced.
+    named n_words or n_removed is replaced, one named __block left out.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
-    n = n_blocks(docs, **({"block_bytes": block_bytes} if block_bytes else {}))
-    d = blocked(docs, n, *others).withColumnRenamed("block", "__block")
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "__block")]
+    small_batches(docs.sparkSession)
+    n = n_blocks(docs, block_bytes=block_bytes)
+    d = blocked(docs, n, *others)
     levels = _levels(start, window)
     answers = None
     for level in range(len(levels)):
@@ -235,6 +238,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_byt
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
         block = _replay(table, found, levels, n, len(levels))
         texts, words, removed = block.kept()
+        del block
+        release()
         out = table.select(["doc_id", "text", *others])
         out = out.set_column(1, "text", pa.array(texts, pa.binary()).cast(pa.string()))
         return out.append_column("n_words", pa.array(words, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
