@@ -85,7 +85,7 @@ class Tree:
 def _whole(col: pa.ChunkedArray, dim: int) -> np.ndarray:
     """floor(256 x) of each component, as doubles (whole numbers, exact up to sums of 2**53)."""
     flat = col.combine_chunks().flatten() if col.num_chunks != 1 else col.chunk(0).flatten()
-    return np.floor(256.0 * np.asarray(flat).astype(np.float64)).reshape(-1, dim)
+    return np.floor(256.0 * np.asarray(flat).astype(np.float64)).reshape(len(col), dim)
 
 
 def _table(hits: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
