@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, mix64, text_bytes
-from .session import blocked, n_blocks
+from .kernels import U64, Words, chunks, mix64, release, text_bytes
+from .session import blocked, n_blocks, small_batches
 
 _REQUEST = "bucket int, __block int, words binary, word_counts binary, pairs binary, pair_counts binary"
 _ANSWER = "bucket int, __block int, words binary, pairs binary, stats array<long>"
@@ -126,6 +126,7 @@ def _class(total: np.ndarray) -> np.ndarray:
 
 def _asks(n: int):
     def ask(table: pa.Table) -> pa.Table:
+        release()
         rows = _Block(table, n).requests() if table.num_rows else []
         me = table["__block"][0].as_py() if table.num_rows else 0
         cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([me] * len(rows), pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]
@@ -165,6 +166,7 @@ def _tallies(n: int):
     """A block's part of the statistics: kind 0, sums over words (from the answers); kind 1, cells of left-out odds."""
 
     def tally(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         rows = answers.to_pylist()
         out = [(0, i, x) for r in rows if r["stats"] for i, x in enumerate(r["stats"])]
         if table.num_rows:
@@ -200,7 +202,7 @@ def _weights(table: pa.Table) -> pa.Table:
         # one imagined token on either side keeps the weight inside (0, 1)
         for _ in range(100):
             weight[c] = ((grid[c] * weight[c] * ratio / (weight[c] * ratio + 1 - weight[c])).sum() + 0.1) / (grid[c].sum() + 1)
-    return pa.table([pa.array([[*stats, *weight.tolist()]], pa.list_(pa.float64()))], names=["model"])
+    return pa.table([pa.array([True]), pa.array([[*stats, *weight.tolist()]], pa.list_(pa.float64()))], names=["all", "model"])
 
 
 def log_probabilities(total: np.ndarray, state: np.ndarray, together: np.ndarray, model: np.ndarray) -> np.ndarray:
@@ -216,12 +218,13 @@ def log_probabilities(total: np.ndarray, state: np.ndarray, together: np.ndarray
 
 def _scores(n: int):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         rows = answers.to_pylist()
-        model = next((np.array(r["model"]) for r in rows if r["model"]), None)
-        if not table.num_rows or model is None:
+        if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         block = _Block(table, n)
-        block.learn([r for r in rows if not r["model"]])
+        block.learn(rows)
+        model = np.array(rows[0]["model"])
         total = block.word_total[block.token]
         known = np.add.reduceat((total > 0).astype(np.int64), block.begin)
         base = np.add.reduceat(np.log10((total + 1) / (model[0] + model[1] + 1)), block.begin)
@@ -236,7 +239,7 @@ def _scores(n: int):
     return score
 
 
-def score_texts(docs: DataFrame, train: F.Column | None = None, block_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, train: F.Column | None = None, block_bytes: int | None = None) -> DataFrame:
     """Every text's log10 probability under a bigram automaton learnt from the rows where `train` holds (all by default).
 
     docs: doc_id (integer), text. Tokens: the text's words with A-Z lower-cased,
@@ -247,17 +250,18 @@ def score_texts(docs: DataFrame, train: F.Column | None = None, block_bytes: int
     the unknown word and has probability one. A null `train` trains. Repeated rows each count.
     Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     n = n_blocks(docs, block_bytes=block_bytes)
     flag = F.coalesce(train, F.lit(True)) if train is not None else F.lit(True)
-    d = blocked(docs.withColumn("train", flag), n, "train").withColumnRenamed("block", "__block")
+    d = blocked(docs.select("doc_id", "text", flag.alias("train")), n, "train")
     asked = d.groupBy("__block").applyInArrow(_asks(n), _REQUEST)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER)
+    answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER).repartition(n, "__block")
     tallies = d.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_tallies(n), _TALLY)
     sums = tallies.groupBy("kind", "cell").agg(F.sum("amount").alias("amount"))
-    model = sums.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_weights, "model array<double>")
-    everywhere = model.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__block"), "model")
-    parts = answers.select("bucket", "__block", "words", "pairs").unionByName(everywhere, allowMissingColumns=True)
-    return d.groupBy("__block").cogroup(parts.groupBy("__block")).applyInArrow(_scores(n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = sums.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_weights, "all boolean, model array<double>")
+    # one row of a fixed size joins the answers where they are
+    told = answers.withColumn("all", F.lit(True)).join(F.broadcast(model), "all")
+    return d.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(_scores(n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
