@@ -130,3 +130,15 @@ def unified_posts(spark, sf_dir):
     """three wire schemas as one."""
     make = lambda rows, at: table_of(spark, rows, ", ".join(f"{f[at]} {'int' if f[0] == 'likes' else 'string'}" for f in documents.POST_FIELDS))
     return documents.unify_posts(make(_FX, 1), make(_SYND, 2), make(_VX, 3))
+
+
+@query("article_pages")
+def article_pages(spark, sf_dir):
+    """conversations as articles (declared: the first turn a heading, then list items, quotes and paragraphs with a link)."""
+    from ..functions.articles import article_markdown
+
+    kinds = F.array(F.lit("header-one"), F.lit("unordered-list-item"), F.lit("unordered-list-item"), F.lit("blockquote"), F.lit("paragraph"))
+    block = F.struct("turn", F.get(kinds, (F.col("turn") % 5).cast("int")).alias("type"), "text", F.array(F.struct(F.lit(0).alias("offset"), F.lit(3).alias("length"), F.lit(1).alias("key"))).alias("ranges"))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    entities = F.create_map(F.lit("1"), F.struct(F.lit("LINK").alias("type"), F.struct(F.lit("https://example.com/").alias("url")).alias("data")))
+    return docs.select("conv_id", article_markdown(F.to_json(F.struct("blocks", entities.alias("entities")))).alias("markdown"))

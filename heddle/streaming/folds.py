@@ -51,6 +51,10 @@ class RollingQuota:
         self.sent.append(when)
         return when, "sent"
 
+    def idle(self, now: int, last_used: int, floor: int = 300_000_000) -> bool:
+        """Whether the state may be dropped (T7): unused for longer than the period and the floor, and no hold left; a new one would act alike."""
+        return now - last_used > max(floor, self.period) and now > self.hold
+
     def dump(self) -> str:
         return json.dumps([self.sent, self.hold])
 

@@ -77,6 +77,15 @@ def test_facets_are_bytes():
     assert markup.expand_links("x", [{"start": 0, "end": 9, "uri": "u"}]) == "x"
 
 
+def test_articles():
+    from heddle.functions.articles import article_text
+
+    link = {"1": {"type": "LINK", "data": {"url": "http://a"}}, "2": {"type": "MEDIA", "data": {"items": ["m"]}}}
+    blocks = [{"type": "header-one", "text": "T"}, {"type": "unordered-list-item", "text": "a"}, {"type": "unordered-list-item", "text": "b"}, {"type": "x", "text": "👍 here", "ranges": [{"offset": 3, "length": 4, "key": 1}, {"offset": 4, "length": 2, "key": 1}, {"offset": 3, "length": 99, "key": 1}]}, {"type": "atomic", "text": " ", "ranges": [{"offset": 0, "length": 1, "key": 2}]}, {"type": "x", "text": "  "}]
+    assert article_text({"blocks": blocks, "entities": link, "media": {"m": {"kind": "ApiVideo", "alt": "a  b"}}}) == "## T\n\n- a\n- b\n\n👍 [here](http://a)\n\n[video: a b]"
+    assert article_text({}) == ""
+
+
 def test_toon():
     assert markup.toon({"a": 1, "rows": [{"x": 1, "y": "a,b"}, {"x": 2, "y": "c"}], "none": [], "flat": [1, "true", None]}) == 'a: 1\nrows[2]{x,y}:\n  1,"a,b"\n  2,c\nnone: []\nflat[3]: 1,"true",null'
 
@@ -117,6 +126,7 @@ def test_quota_cancel_and_hold():
     m.step(5, "hold", 1)
     assert m.step(6) == (1004, "sent")
     assert folds.RollingQuota(1, 100, 50).step(0) == (0, "sent")
+    assert not m.idle(1100, 1004, 50) and m.idle(1105, 1004, 50)
 
 
 def test_lru_and_flights():
