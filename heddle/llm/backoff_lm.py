@@ -1,25 +1,30 @@
-"""A weighted backoff automaton over word bigrams, trained and applied over all documents.
-
-The automaton: a state for each training word (and one for the start of a
-text) with an arc for each word seen after it, and a root state with an arc
-for each training word and one for any unknown word. A state without an arc for
-the next word takes its failure arc to the root, which costs the weight that the
-state's smoothing leaves to words not seen there. Reading a text carries the
-state from left to right and adds the arcs' log10 probabilities.
-
-Smoothing: the root's arcs by absolute discounting against a uniform share for
-the V + 1 symbols (training words, the text's end among them, and the unknown
-word). A state's arcs mix its relative frequencies with the root's arcs; the
-mixing weight of a class of states (by the power of two of their counts) is
-estimated by deleted interpolation over all training tokens.
-
-The whole automaton is never in one place. Documents are dealt into blocks; a
-block asks the buckets of the hash range for the totals of the words and bigrams
-that occur in it, sending its own counts with the question, and so gets the
-part of the automaton that its texts can reach. Requests and answers are packed
-arrays with one entry for a distinct item of a block, so frequent items don't
-gather anywhere. Words have 64-bit hashes; bigrams 32-bit fingerprints within
-their bucket.
+"""A weighted backoff automaton over word n-grams, trained and applied over all documents.
+
+The automaton: a state for each history of up to three words that the training
+texts have at least twice, besides the root. A state has an arc for each word
+seen after its history; the arc leads to the longest state that the read words
+end in. Where a state has no arc for the next word, its failure arc is taken,
+to the state without the history's first word, until an arc fits; the root has
+an arc for every word, unknown ones included. A text is read from left to right
+in one pass that carries the state and adds the log10 weights of all arcs taken.
+
+Smoothing: a state of history h passes the weight e on to its failure arc, and
+an arc has p(w | h) = (1 - e) c(hw) / c(h) + e p(w | shorter h). e is the
+leave-one-out chance of a word not seen after h: the share, among the training
+tokens after histories of that length and that class of counts, of those whose
+n-gram the training texts have once only. Histories seen once say nothing when
+left out, so they are no states. The root's arcs are discounted against a uniform
+share for the V + 1 symbols (training words, the end among them, and the unknown
+word). Every state's arcs and what its failure arc leads to sum to one.
+
+The whole automaton is never in one place. Documents are cut into blocks; a
+block asks buckets of the hash range for the totals of the n-grams that occur in
+it, sending its own counts with the question, and builds the part of the
+automaton that its texts can reach. It asks level by level: n-grams of three
+words only behind a history of two that is a state, and so on. Messages are
+packed arrays with one entry for a distinct n-gram of a block, so a frequent
+one never gathers anywhere. Words have 64-bit hashes; longer n-grams 32-bit
+fingerprints within their bucket. All totals are 64-bit.
 """
 
 from __future__ import annotations
@@ -29,239 +34,318 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, mix64, release, text_bytes
-from .session import blocked, n_blocks, small_batches
+from .blocks import Coded, all_of, bucket_of, coded_blocks, counts_of, cut_binary, distinct, short_keys, small_counts
+from .kernels import U64, mix64, release
 
-_REQUEST = "bucket int, __block int, words binary, word_counts binary, pairs binary, pair_counts binary"
-_ANSWER = "bucket int, __block int, words binary, pairs binary, stats array<long>"
+#: Words of the longest n-gram, and occurrences that a history needs to be a state.
+ORDER, LEAST = 4, 2
+#: Words of a text that are read in one go; the next part starts from the state that the words before it lead to.
+PART = 512
+_MESSAGE = "bucket long, __block long, prints binary, small binary, big binary"
+_ANSWER = "bucket long, __block long, small binary, big binary, stats array<long>"
 _TALLY = "kind int, cell int, amount long"
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END, _START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
-#: Cells of the tally: classes of states by the power of two of their counts, and quarter powers of two of the odds.
-_CLASSES, _ODDS, _SHIFT = 48, 400, 200
+#: Classes of histories by their count: each small count, then by powers of two.
+_CLASSES, _SINGLE = 80, 16
 
 
-class _Block:
-    """Tokens of a block as indices into its distinct words and distinct bigrams."""
-
-    def __init__(self, table: pa.Table, n: int) -> None:
-        self.n = n
-        data, offs = text_bytes(table["text"])
-        parts, counts = [np.empty(0, U64)], [np.empty(0, np.int64)]
-        for _, _, d, o in chunks(data, offs):
-            w = Words(d, o, lower=True)
-            parts.append(w.hash)
-            counts.append(np.diff(w.of))
-        words, per_text = np.concatenate(parts), np.concatenate(counts)
-        texts = len(offs) - 1
-        self.size = per_text + 1
-        stop = np.cumsum(self.size)
-        token = np.full(int(stop[-1]) if texts else 0, _END, U64)
-        inner = np.ones(len(token), bool)
-        inner[stop - 1] = False
-        token[inner] = words
-        self.begin = stop - self.size
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[self.begin] = _START
-        train = np.asarray(table["train"].combine_chunks()) if texts else np.empty(0, bool)
-        self.weight = np.repeat(train.astype(np.int64), self.size)
-        key = np.concatenate([token, [_START]])
-        order = self._dealt(key)
-        self.words, inverse = _distinct(key, order)
-        self.token, self.start = inverse[:-1], int(inverse[-1])
-        self.word_counts = np.bincount(self.token, self.weight, len(self.words)).astype(np.int64)
-        self.word_counts[self.start] += int(train.sum())
-        self.before = np.empty_like(self.token)
-        self.before[1:] = self.token[:-1]
-        self.before[self.begin] = self.start
-        pair = mix64(mix64(before + U64(0x2545F4914F6CDD1D)) + token)
-        key = (self._bucket(pair) << U64(32)) | (pair >> U64(32))
-        self.pairs, self.pair = np.unique(key, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair, self.weight, len(self.pairs)).astype(np.uint32)
-
-    def _bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((h & U64(0xFFFFFFFF)) * U64(self.n)) >> U64(32)
-
-    def _dealt(self, key: np.ndarray) -> np.ndarray:
-        # The bucket grows with the low half, so the order of the rotated key is that of bucket first.
-        return np.argsort((key << U64(32)) | (key >> U64(32)), kind="stable")
-
-    def cuts(self) -> tuple[np.ndarray, np.ndarray]:
-        edge = np.arange(self.n + 1, dtype=U64)
-        return np.searchsorted(self._bucket(self.words), edge), np.searchsorted(self.pairs, edge << U64(32))
-
-    def requests(self) -> list[tuple]:
-        w, p = self.cuts()
-        small = (self.pairs & U64(0xFFFFFFFF)).astype(np.uint32)
-        out = []
-        for b in range(self.n):
-            a, z, c, y = w[b], w[b + 1], p[b], p[b + 1]
-            if a < z or c < y:
-                out.append((b, self.words[a:z].tobytes(), self.word_counts[a:z].tobytes(), small[c:y].tobytes(), self.pair_counts[c:y].tobytes()))
-        return out
-
-    def learn(self, answers: list[dict]) -> None:
-        """Totals over all training texts for the block's words and bigrams."""
-        w, p = self.cuts()
-        self.word_total = np.zeros(len(self.words), np.int64)
-        self.pair_total = np.zeros(len(self.pairs), np.uint32)
-        for r in answers:
-            b = r["bucket"]
-            self.word_total[w[b] : w[b + 1]] = np.frombuffer(r["words"], np.int64)
-            self.pair_total[p[b] : p[b + 1]] = np.frombuffer(r["pairs"], np.uint32)
-
-
-def _distinct(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = key[order]
-    first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    inverse = np.empty(len(key), np.int64)
-    inverse[order] = np.cumsum(first) - 1
-    return ordered[first], inverse
+def _class(total: np.ndarray) -> np.ndarray:
+    power = np.frexp(np.maximum(total, 1).astype(float))[1]
+    return np.where(total < _SINGLE, total, np.minimum(power + _SINGLE - 5, _CLASSES - 1)).astype(np.int64)
 
 
-def _class(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(np.maximum(total, 1).astype(float))[1], _CLASSES - 1)
+class _Block:
+    """A block's texts as one stream, a start before and an end behind each, and its distinct n-grams.
 
+    At every place of the stream, number[k] names the n-gram of k words that ends there, or -1 where it isn't asked for.
+    """
+
+    def __init__(self, row: pa.Table, n: int) -> None:
+        self.n, self.coded = n, Coded(row)
+        c = self.coded
+        words = len(c.vocab)
+        self.size = c.size + 2
+        self.begin = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        total = int(self.begin[-1])
+        self.code = np.full(total, words + 1, np.int64)
+        self.code[self.begin[:-1]] = words
+        inner = np.ones(total, bool)
+        inner[self.begin[:-1]] = inner[self.begin[1:] - 1] = False
+        self.code[inner] = c.codes
+        self.vocab = np.concatenate([c.vocab, [_START, _END]]).astype(U64)
+        self.place = np.arange(total) - np.repeat(self.begin[:-1], self.size)
+        self.train = np.asarray(c.rest["train"].combine_chunks())
+        self.weight = np.repeat(self.train, self.size)
+        self.keys: dict[int, np.ndarray] = {}
+        self.first: dict[int, np.ndarray] = {}
+        self.number: dict[int, np.ndarray] = {1: self.code}
+        self.total: dict[int, np.ndarray] = {}
+        order = np.argsort(bucket_of(self.vocab, n), kind="stable")
+        self.order, self.keys[1] = order, self.vocab[order]
+        hashes = self.vocab[self.code]
+        self.hashes = {1: hashes}
+
+    def open(self, k: int) -> None:
+        """Finds the distinct n-grams of k words whose history of k - 1 may be a state (for k = 2: all)."""
+        while k not in self.hashes:
+            m = len(self.hashes) + 1
+            before = np.empty_like(self.hashes[m - 1])
+            before[1:], before[:1] = self.hashes[m - 1][:-1], 0
+            self.hashes[m] = mix64(before * U64(0x2545F4914F6CDD1D) + self.hashes[1])
+        fits = self.place >= k - 1
+        if k > 2:
+            fits[1:] &= self.repeated(k - 1)[:-1]
+        at = np.flatnonzero(fits)
+        self.keys[k], first, number = distinct(short_keys(self.hashes[k][at], self.n))
+        self.first[k] = at[first]
+        self.number[k] = np.full(len(self.code), -1, np.int64)
+        self.number[k][at] = number
+
+    def repeated(self, k: int) -> np.ndarray:
+        """Where a history of k words ends that is a state."""
+        number = self.number[k]
+        return (number >= 0) & np.append(self.total[k] >= LEAST, False)[number]
+
+    def cuts(self, k: int) -> np.ndarray:
+        """Where each bucket's part of the keys begins."""
+        if k == 1:
+            return np.searchsorted(bucket_of(self.keys[1], self.n), np.arange(self.n + 1, dtype=U64))
+        return np.searchsorted(self.keys[k], np.arange(self.n + 1, dtype=U64) << U64(32))
+
+    def ask(self, k: int) -> pa.Table:
+        counts = np.bincount(self.number[k][self.number[k] >= 0], self.weight[self.number[k] >= 0], len(self.keys[k])).astype(np.int64)
+        cuts = self.cuts(k)
+        full = np.flatnonzero(np.diff(cuts))
+        cuts = np.append(cuts[full], cuts[-1])
+        counts = counts[self.order] if k == 1 else counts
+        prints = self.keys[1] if k == 1 else (self.keys[k] & U64(0xFFFFFFFF)).astype(np.uint32)
+        small, big = small_counts(counts, cuts)
+        return pa.table([pa.array(full + (k - 1) * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), cut_binary(prints, cuts), small, big], names=["bucket", "__block", "prints", "small", "big"])
+
+    def learn(self, k: int, answers: pa.Table) -> None:
+        """Totals over all training texts, from the answers for k words in the order of their buckets."""
+        bucket = np.asarray(answers["bucket"].combine_chunks())
+        own = answers.filter(pa.array(bucket // self.n == k - 1)).sort_by("bucket")
+        self.total[k] = counts_of(own["small"], own["big"])
+        if k == 1:
+            total = np.empty_like(self.total[1])
+            total[self.order] = self.total[1]
+            self.total[1] = total
+
+    def replay(self, answers: pa.Table, upto: int) -> None:
+        for k in range(1, upto + 1):
+            if k > 1:
+                self.open(k)
+            self.learn(k, answers)
+
+    def histories(self, k: int) -> np.ndarray:
+        """For each n-gram of k words the number of its history, the k - 1 words before its last."""
+        return self.number[k - 1][self.first[k] - 1]
+
+
+class Automaton:
+    """States 1, 2, ... for histories and 0 for the root; arcs by (state, word), failure arcs and their log10 weights.
+
+    model: N, V, n1, n2 of the training words, then the failure weight of each class for each order.
+    """
 
-def _asks(n: int):
-    def ask(table: pa.Table) -> pa.Table:
+    def __init__(self, block: _Block, model: np.ndarray) -> None:
+        n, v, n1, n2 = model[:4]
+        passed = model[4:].reshape(ORDER + 1, _CLASSES)
+        known = block.total[1]
+        if n:
+            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+            p = np.maximum(known - d, 0) / n + d * v / n / (v + 1)
+        else:
+            p = np.ones(len(known))
+        self.width = len(known)
+        self.root = np.log10(p)
+        end = self.width - 1  # nothing follows it, so no history ends in it
+        again = (known >= LEAST) & (np.arange(self.width) != end)
+        states = int(again.sum())
+        self.root_to = to = state = np.where(again, np.cumsum(again), 0)
+        self.fail = [np.zeros(1 + states, np.int64)]
+        self.back = [np.zeros(1), np.log10(passed[2][_class(known[again])])]
+        keys, weights, targets = [], [], []
+        for k in range(2, ORDER + 1):
+            last, total = block.first[k], block.total[k]
+            history = block.histories(k)
+            above = block.total[k - 1][history]
+            live = (total > 0) & (above >= LEAST)
+            shorter = block.number[k - 1][last]
+            e = passed[k][_class(above)]
+            p = (1 - e) * total / np.maximum(above, 1) + e * p[shorter]
+            again = live & (total >= LEAST) & (block.code[last] != end) & (k < ORDER)
+            own = np.where(again, states + np.cumsum(again), 0)
+            to = np.where(again, own, to[shorter])
+            keys.append(state[history[live]] * self.width + block.code[last[live]])
+            weights.append(np.log10(p[live]))
+            targets.append(to[live])
+            if k < ORDER:
+                self.fail.append(state[shorter[again]])
+                self.back.append(np.log10(passed[k + 1][_class(total[again])]))
+                states += int(again.sum())
+                state = own
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self.arcs, self.weight, self.to = key[order], np.concatenate(weights)[order], np.concatenate(targets)[order]
+        self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From each state over its word: log10 weight of the arcs taken, and the new state."""
+        gain, new = np.zeros(len(state)), np.empty_like(state)
+        left, at = np.arange(len(state)), state
+        while len(left):
+            key = at * self.width + word[left]
+            arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1) if len(self.arcs) else None
+            found = self.arcs[arc] == key if arc is not None else np.zeros(len(left), bool)
+            if arc is not None:
+                gain[left[found]] += self.weight[arc[found]]
+                new[left[found]] = self.to[arc[found]]
+            root = ~found & (at == 0)
+            gain[left[root]] += self.root[word[left[root]]]
+            new[left[root]] = self.root_to[word[left[root]]]
+            missed = ~found & (at > 0)
+            gain[left[missed]] += self.back[at[missed]]
+            left, at = left[missed], self.fail[at[missed]]
+        return gain, new
+
+    def read(self, block: _Block) -> np.ndarray:
+        """Each text's log10 probability, all texts read side by side.
+
+        A text of many words is read in parts: the state behind a word depends on
+        the ORDER - 1 words up to it alone, so reading these from the root leads to it.
+        """
+        tokens = block.size - 1
+        parts = -(-tokens // PART)
+        text = np.repeat(np.arange(len(tokens)), parts)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = block.begin[text] + 1 + nth * PART
+        ends = np.minimum(first + PART, block.begin[text + 1])
+        warm = np.where(nth == 0, 1, ORDER - 1)
+        order = np.argsort(-(ends - first + warm), kind="stable")
+        text, begin, warm, steps = text[order], (first - warm)[order], warm[order], (ends - first + warm)[order]
+        state, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+        for t in range(int(steps[0]) if len(steps) else 0):
+            active = int(np.searchsorted(-steps, -t, "left"))
+            gain, state[:active] = self.step(state[:active], block.code[begin[:active] + t])
+            score[:active] += np.where(t >= warm[:active], gain, 0)
+        return np.bincount(text, score, len(tokens))
+
+
+def _asks(n: int, level: int):
+    """Questions of a level: words and pairs first, then one word more each time."""
+
+    def ask(row: pa.Table, answers: pa.Table | None) -> pa.Table:
         release()
-        rows = _Block(table, n).requests() if table.num_rows else []
-        me = table["__block"][0].as_py() if table.num_rows else 0
-        cols = [pa.array([r[0] for r in rows], pa.int32()), pa.array([me] * len(rows), pa.int32())] + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]
-        return pa.table(cols, names=["bucket", "__block", "words", "word_counts", "pairs", "pair_counts"])
-
-    return ask
-
-
-def _sums(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(prints, kind="stable")
-    u, inverse = _distinct(prints, order)
-    return np.bincount(inverse, counts, len(u)).astype(np.int64)[inverse], np.bincount(inverse, counts, len(u)).astype(np.int64)[u != _START] if prints.dtype == U64 else np.empty(0, np.int64)
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    words = [np.frombuffer(r["words"], U64) for r in rows]
-    pairs = [np.frombuffer(r["pairs"], np.uint32) for r in rows]
-    total, each = _sums(np.concatenate(words), np.concatenate([np.frombuffer(r["word_counts"], np.int64) for r in rows]))
-    pair_total, _ = _sums(np.concatenate(pairs), np.concatenate([np.frombuffer(r["pair_counts"], np.uint32) for r in rows]))
-    pair_total = np.minimum(pair_total, np.iinfo(np.uint32).max).astype(np.uint32)
-    stats = [int(each.sum()), int((each > 0).sum()), int((each == 1).sum()), int((each == 2).sum())]
-    w, p = np.cumsum([0, *map(len, words)]), np.cumsum([0, *map(len, pairs)])
-    return pa.table(
-        [
-            pa.array([r["bucket"] for r in rows], pa.int32()),
-            pa.array([r["__block"] for r in rows], pa.int32()),
-            pa.array([total[w[i] : w[i + 1]].tobytes() for i in range(len(rows))], pa.binary()),
-            pa.array([pair_total[p[i] : p[i + 1]].tobytes() for i in range(len(rows))], pa.binary()),
-            pa.array([stats if i == 0 else None for i in range(len(rows))], pa.list_(pa.int64())),
-        ],
-        names=["bucket", "__block", "words", "pairs", "stats"],
-    )
+        if not row.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["bucket", "__block", "prints", "small", "big"])
+        block = _Block(row, n)
+        if level:
+            block.replay(answers, level + 1)
+        block.open(level + 2)
+        return pa.concat_tables([block.ask(k) for k in ((1, 2) if level == 0 else (level + 2,))])
+
+    return (lambda row, answers: ask(row, answers)) if level else (lambda row: ask(row, None))
+
+
+def _answers(n: int):
+    def answer(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        counts = counts_of(table["small"], table["big"])
+        prints, cuts = all_of(table["prints"], U64 if bucket < n else np.uint32)
+        u, _, number = distinct(prints)
+        # bincount adds doubles: whole numbers below 2**53, the high halves apart
+        each = np.bincount(number, counts & 0xFFFFFFFF, len(u)).astype(np.int64) + (np.bincount(number, counts >> 32, len(u)).astype(np.int64) << 32)
+        stats: list = [None] * table.num_rows
+        if bucket < n:
+            words = each[u != _START]
+            stats[0] = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
+        small, big = small_counts(each[number], cuts)
+        return pa.table([table["bucket"], table["__block"], small, big, pa.array(stats, pa.list_(pa.int64()))], names=["bucket", "__block", "small", "big", "stats"])
+
+    return answer
 
 
 def _tallies(n: int):
-    """A block's part of the statistics: kind 0, sums over words (from the answers); kind 1, cells of left-out odds."""
+    """A block's part of the statistics. Kind 0: the buckets' sums over words; 1 and 2: training tokens by order and class, all and those seen once."""
 
-    def tally(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def tally(row: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        rows = answers.to_pylist()
-        out = [(0, i, x) for r in rows if r["stats"] for i, x in enumerate(r["stats"])]
-        if table.num_rows:
-            block = _Block(table, n)
-            block.learn(rows)
-            at = np.flatnonzero(block.weight > 0)
-            state = block.word_total[block.before[at]]
-            at, state = at[state > 1], state[state > 1]
-            together = block.pair_total[block.pair[at]].astype(float) - 1
-            alone = np.maximum(block.word_total[block.token[at]], 1)
-            with np.errstate(divide="ignore"):
-                odds = np.log2(np.maximum(together, 0) / (state - 1) / alone)
-            cell = np.where(together > 0, np.clip(np.floor(odds * 4) + _SHIFT, 1, _ODDS - 1), 0).astype(np.int64)
-            amounts = np.bincount(_class(state) * _ODDS + cell, minlength=_CLASSES * _ODDS)
-            out += [(1, int(c), int(amounts[c])) for c in np.flatnonzero(amounts)]
-        return pa.table([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64())], names=["kind", "cell", "amount"])
+        rows = [(0, i, x) for s in answers["stats"].to_pylist() if s for i, x in enumerate(s)]
+        if row.num_rows:
+            block = _Block(row, n)
+            block.replay(answers, ORDER)
+            for k in range(2, ORDER + 1):
+                at = np.flatnonzero(block.weight & (block.number[k] >= 0))
+                above = block.total[k - 1][block.number[k - 1][at - 1]]
+                at, above = at[above >= LEAST], above[above >= LEAST]
+                cell = k * _CLASSES + _class(above)
+                once = block.total[k][block.number[k][at]] == 1
+                for kind, sums in ((1, np.bincount(cell)), (2, np.bincount(cell[once]))):
+                    rows += [(kind, int(c), int(sums[c])) for c in np.flatnonzero(sums)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "cell", "amount"])
 
     return tally
 
 
-def _weights(table: pa.Table) -> pa.Table:
-    """From the summed tallies (a few thousand rows at most): N, V, n1, n2, then the mixing weight of each class."""
+def _model(table: pa.Table) -> pa.Table:
+    """From the summed tallies (a few hundred rows at most) the automaton's parameters."""
     kind, cell, amount = (np.asarray(table[c].combine_chunks()) for c in ("kind", "cell", "amount"))
-    stats = np.zeros(4)
-    stats[cell[kind == 0]] = amount[kind == 0]
-    grid = np.zeros(_CLASSES * _ODDS)
-    grid[cell[kind == 1]] = amount[kind == 1]
-    grid = grid.reshape(_CLASSES, _ODDS)
-    ratio = 2.0 ** ((np.arange(_ODDS) - _SHIFT + 0.5) / 4) * max(stats[0], 1)
-    ratio[0] = 0
-    weight = np.full(_CLASSES, 0.1)
-    for c in range(_CLASSES):
-        # one imagined token on either side keeps the weight inside (0, 1)
-        for _ in range(100):
-            weight[c] = ((grid[c] * weight[c] * ratio / (weight[c] * ratio + 1 - weight[c])).sum() + 0.1) / (grid[c].sum() + 1)
-    return pa.table([pa.array([True]), pa.array([[*stats, *weight.tolist()]], pa.list_(pa.float64()))], names=["all", "model"])
-
-
-def log_probabilities(total: np.ndarray, state: np.ndarray, together: np.ndarray, model: np.ndarray) -> np.ndarray:
-    """log10 probability of each arc taken: word totals, state totals, bigram totals, and (N, V, n1, n2, weights...)."""
-    n, v, n1, n2 = model[:4]
-    root = np.ones(len(total)) if n == 0 else None
-    if root is None:
-        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        root = np.maximum(total - d, 0) / n + d * v / n / (v + 1)
-    weight = np.where(state > 0, model[4:][_class(state)], 0.0)
-    return np.log10(weight * together / np.maximum(state, 1) + (1 - weight) * root)
+    sums = np.zeros((3, (ORDER + 1) * _CLASSES))
+    sums[kind, cell] = amount
+    # half a token imagined on either side keeps the weight inside (0, 1)
+    passed = (sums[2] + 0.5) / (sums[1] + 1)
+    return pa.table([pa.array([True]), pa.array([[*sums[0, :4], *passed.tolist()]], pa.list_(pa.float64()))], names=["all", "model"])
 
 
 def _scores(n: int):
-    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+    def score(row: pa.Table, answers: pa.Table) -> pa.Table:
         release()
-        rows = answers.to_pylist()
-        if not table.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        block = _Block(table, n)
-        block.learn(rows)
-        model = np.array(rows[0]["model"])
-        total = block.word_total[block.token]
-        known = np.add.reduceat((total > 0).astype(np.int64), block.begin)
-        base = np.add.reduceat(np.log10((total + 1) / (model[0] + model[1] + 1)), block.begin)
-        arcs = log_probabilities(total, block.word_total[block.before], block.pair_total[block.pair].astype(float), model)
-        count = table.num_rows
-        held = pa.array(~np.asarray(table["train"].combine_chunks()))
-        return pa.table(
-            [table["doc_id"].cast(pa.int64()), held, pa.array(block.size.astype(np.int64)), pa.array(known), pa.array(np.full(count, int(model[0]))), pa.array(base), pa.array(np.add.reduceat(arcs, block.begin))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-        )
+        names = [c.split()[0] for c in _OUT.split(", ")]
+        if not row.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+        block = _Block(row, n)
+        block.replay(answers, ORDER)
+        model = np.array(answers["model"][0].as_py())
+        total = block.total[1][block.code]
+        # sums over the tokens of a text, its start left out
+        per = lambda x: np.add.reduceat(np.where(block.place > 0, x, 0), block.begin[:-1])
+        known, base = per((total > 0).astype(np.int64)), per(np.log10((total + 1) / (model[0] + model[1] + 1)))
+        score = Automaton(block, model).read(block)
+        ids = block.coded.rest["doc_id"].cast(pa.int64())
+        return pa.table([ids, pa.array(~block.train), pa.array(block.size - 1), pa.array(known), pa.array(np.full(len(known), int(model[0]))), pa.array(base), pa.array(score)], names=names)
 
     return score
 
 
 def score_texts(docs: DataFrame, train: F.Column | None = None, block_bytes: int | None = None) -> DataFrame:
-    """Every text's log10 probability under a bigram automaton learnt from the rows where `train` holds (all by default).
+    """Every text's log10 probability under an automaton learnt from the rows where `train` holds (all by default).
 
     docs: doc_id (integer), text. Tokens: the text's words with A-Z lower-cased,
     then one end. Returned per row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (add-one unigrams), score.
 
-    A null or empty text is the end alone. If no row trains, every token is
-    the unknown word and has probability one. A null `train` trains. Repeated rows each count.
+    A null or empty text is the end alone. If no row trains there is one symbol,
+    the unknown word, so every text has probability one and score 0; train_tokens
+    is 0 then, and such scores say nothing. A null `train` trains. Repeated rows each count.
     Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    n = n_blocks(docs, block_bytes=block_bytes)
     flag = F.coalesce(train, F.lit(True)) if train is not None else F.lit(True)
-    d = blocked(docs.select("doc_id", "text", flag.alias("train")), n, "train")
-    asked = d.groupBy("__block").applyInArrow(_asks(n), _REQUEST)
-    answers = asked.groupBy("bucket").applyInArrow(_answer, _ANSWER).repartition(n, "__block")
-    tallies = d.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(_tallies(n), _TALLY)
-    sums = tallies.groupBy("kind", "cell").agg(F.sum("amount").alias("amount"))
-    model = sums.withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_weights, "all boolean, model array<double>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("train"))
+    blocks, n = coded_blocks(rows, lower=True, block_bytes=block_bytes)
+    own = blocks.groupBy("__block")
+    answers = None
+    for level in range(ORDER - 1):
+        asked = own.cogroup(answers.groupBy("__block")).applyInArrow(_asks(n, level), _MESSAGE) if level else own.applyInArrow(_asks(n, 0), _MESSAGE)
+        told = asked.groupBy("bucket").applyInArrow(_answers(n), _ANSWER)
+        answers = told if answers is None else answers.unionByName(told)
+    tallies = own.cogroup(answers.groupBy("__block")).applyInArrow(_tallies(n), _TALLY)
+    model = tallies.groupBy("kind", "cell").agg(F.sum("amount").alias("amount")).withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_model, "all boolean, model array<double>")
     # one row of a fixed size joins the answers where they are
     told = answers.withColumn("all", F.lit(True)).join(F.broadcast(model), "all")
-    return d.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(_scores(n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return own.cogroup(told.groupBy("__block")).applyInArrow(_scores(n), _OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

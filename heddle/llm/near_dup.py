@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, Words, chunks, mix64, release, sequence_hash, text_bytes, windows
-from .session import small_batches, stored
+from .session import bounded, stored
 
 #: Registers, registers in a band, and mantissa bits of a register (besides 6 bits of leading zeros).
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
@@ -261,8 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     A pair at the threshold is missed if it shares no band or its estimate
     strays by more than 4.6 deviations: together about 5 in a million.
     """
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sketches = stored(texts.mapInArrow(lambda b: _sketched(b, shingle), "doc_id long, n long, key1 long, key2 long, sketch binary"))
     classes = sketches.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
     nodes = stored(sketches.join(classes.select(F.col("id").alias("doc_id"), "key1", "key2", "n"), ["doc_id", "key1", "key2", "n"]).select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"]))

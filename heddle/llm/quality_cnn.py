@@ -6,8 +6,8 @@ each chunk's maxima into a logit, and the mean of a text's logits gives one
 probability. A filter is a table of weights by place and byte value; for scoring two
 neighbouring places are joined into one table of 65,536 rows.
 
-The fit takes a bounded sample of labelled rows (SAMPLE_ROWS, of each up to
-SAMPLE_CHUNKS chunks spread over the text); the scores cover every chunk of every text.
+The fit takes a bounded sample of labelled rows (SAMPLE_ROWS and SAMPLE_BYTES)
+with all their chunks; the scores cover every chunk of every text.
 """
 
 from __future__ import annotations
@@ -16,16 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import chunks, release, text_bytes
-from .session import small_batches
+from .session import bounded
 
 WIDTH, FILTERS, HIDDEN = 6, 24, 12
 #: Bytes of a block; blocks of a chunk, and blocks from one chunk's start to the next.
 BLOCK, SPAN, STRIDE = 64, 6, 5
-SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS = 6000, 6, 10
+#: Rows and bytes of text that the fit may take, and its rounds.
+SAMPLE_ROWS, SAMPLE_BYTES, EPOCHS = 4000, 10_000_000, 8
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +112,16 @@ def scores(net: Net, tables: list[np.ndarray], data: np.ndarray, offs: np.ndarra
     n = int(at[-1])
     most = np.empty((n + 1, FILTERS), np.float32)
     step = 256
+    # a text's last places would read on into the next one; the same run of zeros stands before them
+    crossing = ((at[1:] * BLOCK)[:, None] - np.arange(1, WIDTH)).reshape(-1)
+    crossing.sort()
     for a in range(0, n, step):
         z = min(n, a + step)
         conv = tables[0][two[a * BLOCK : z * BLOCK]]
         for j in range(1, len(tables)):
             conv += tables[j][two[a * BLOCK + 2 * j : z * BLOCK + 2 * j]]
+        lo, hi = np.searchsorted(crossing, (a * BLOCK, z * BLOCK))
+        conv[crossing[lo:hi] - a * BLOCK] = -np.inf
         most[a:z] = conv.reshape(z - a, BLOCK, FILTERS).max(1)
     most[n] = -np.inf
     of, first, end = chunk_starts(at)
@@ -132,10 +138,9 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, at = padded(data, offs)
         of, first, _ = chunk_starts(at)
         bounds = np.searchsorted(of, np.arange(len(offs)))
-        rows, out = [], []
+        rows, out = [], []  # every chunk of every row
         for i in range(len(offs) - 1):
-            n = bounds[i + 1] - bounds[i]
-            for k in np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).round().astype(int)):
+            for k in range(bounds[i + 1] - bounds[i]):
                 a = first[bounds[i] + k] * BLOCK
                 end = at[i + 1] * BLOCK
                 rows.append(i)
@@ -143,17 +148,24 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), batch.column("label").take(pa.array(rows, pa.int64())), pa.array(out, pa.binary())], names=["doc_id", "label", "chunk"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS) -> Net | None:
-    """A net fitted on a bounded sample of labels (doc_id, label 0/1) of docs for which `train` holds."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Net | None:
+    """A net fitted on a bounded sample of labels (doc_id, label 0/1) of docs for which `train` holds.
+
+    The sample has whole texts, none of more than an eighth of sample_bytes.
+    """
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & F.coalesce(train, F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not n:
         return None
-    luck = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
+    luck = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 30))
     part = F.when(F.col("label") == 1, min(1.0, sample_rows / 2 / n.get(1, 1))).otherwise(min(1.0, sample_rows / 2 / n.get(0, 1)))
-    drawn = F.broadcast(known.where(luck < part))  # about sample_rows rows
-    found = docs.select("doc_id", "text").join(drawn, "doc_id").mapInArrow(_examples, "doc_id long, label int, chunk binary").orderBy("doc_id", "chunk").toArrow()
+    drawn = F.broadcast(known.where(luck < part * (1 << 30)))  # about sample_rows rows
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    # whole texts of each label up to half of the bytes, by luck
+    before = F.sum(size).over(Window.partitionBy("label").orderBy(luck, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
+    taken = docs.select("doc_id", "text").join(drawn, "doc_id").where(size <= sample_bytes // 8).withColumn("upto", before).where(F.col("upto") <= sample_bytes // 2)
+    found = bounded(taken.select("doc_id", "text", "label")).mapInArrow(_examples, "doc_id long, label int, chunk binary").orderBy("doc_id", "chunk").toArrow()
     if not found.num_rows:
         return None
     y = np.asarray(found["label"]).astype(np.float32)
@@ -192,13 +204,12 @@ def judge(docs: DataFrame, labels: DataFrame, train: Column, sample_rows: int =
     a score like any other. Without usable labels every score is 0.5. Repeated rows stay; columns named score or
     predicted are replaced.
     """
-    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("score", "predicted", "text")]
     net = fit(docs, labels, train, sample_rows)
     if net is None:
         out = docs.select(*own).withColumn("score", F.lit(0.5))
     else:
-        out = docs.select(*own, "text").mapInArrow(_scorer(net), docs.select(*own).schema.add("score", "double"))
+        out = bounded(docs.select(*own, "text")).mapInArrow(_scorer(net), docs.select(*own).schema.add("score", "double"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

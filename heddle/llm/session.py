@@ -11,54 +11,71 @@ from pyspark.sql import functions as F
 
 #: A block of text, what one task holds at a time, takes this part of a core's share of an executor's memory (its arrays take some 15 times as much).
 BLOCK_PART = 128
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where it is unset (local tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where it is unset and the master is local (tests)."""
     sc = spark.sparkContext
     jsc = sc._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get()
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="heddle-"))
+    if not jsc.getCheckpointDir().isDefined():
+        told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not told and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="heddle-"))
     return jsc.getCheckpointDir().get()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session or the folder is gone
+        return
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The folder lives as long as the context's checkpoint folder; drop() deletes a table that nothing reads any more.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._heddle_path = path
+    return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that this session hands to Python, for columns of whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def drop(df: DataFrame | None) -> None:
+    """Deletes the files of a stored table; nothing may read it afterwards."""
+    path = getattr(df, "_heddle_path", None)
+    if path:
+        _delete(df.sparkSession, path)
 
 
-def default_block(spark: SparkSession) -> int:
-    """Bytes of a block by the executors' memory and cores: 4 to 64 MB."""
+def memory_of_core(spark: SparkSession) -> int:
+    """Bytes of an executor's heap for each of its cores."""
     conf = spark.sparkContext.getConf()
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", conf.get("spark.executor.memory", "1g").lower()).groups()
+    local = re.fullmatch(r"local(\[.*\])?", conf.get("spark.master", ""))
+    told = conf.get("spark.driver.memory" if local else "spark.executor.memory", "1g").lower()
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", told).groups()
     memory = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
     master = re.fullmatch(r"local-cluster\[\s*\d+\s*,\s*(\d+)\s*,.*\]", conf.get("spark.master", ""))
-    cores = int(conf.get("spark.executor.cores", master[1] if master else "1"))
-    return max(4 << 20, min(64 << 20, memory // cores // BLOCK_PART))
+    cores = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", master[1] if master else "1"))
+    return memory // max(cores, 1)
 
 
-def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int | None = None) -> int:
-    """Blocks for these texts: by bytes over all rows, and enough for the cluster's cores."""
-    block_bytes = block_bytes or default_block(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return max(int(-(-total // block_bytes)), min(3 * cores, int(total // (1 << 18)) + 1), 1)
+def default_block(spark: SparkSession) -> int:
+    """Bytes of a block by the executors' memory and cores: 4 to 256 MB."""
+    return max(4 << 20, min(256 << 20, memory_of_core(spark) // BLOCK_PART))
 
 
-def blocked(docs: DataFrame, n: int, *cols: str) -> DataFrame:
-    """doc_id, text and the named columns, dealt into n blocks (column __block) by a hash of the id and the text's length."""
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
-    return docs.select("doc_id", "text", *cols, block.alias("__block")).repartition(n, "__block")
+def bounded(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
+    """The same rows in a session of their own whose Arrow batches hold at most a block's bytes; the caller's session stays as it is."""
+    spark = df.sparkSession
+    most = block_bytes or default_block(spark)
+    session = spark._jsparkSession.cloneSession()
+    now = int(re.match(r"\d+", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))[0])
+    session.conf().set("spark.sql.execution.arrow.maxBytesPerBatch", str(min(most, now)))
+    frame = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, df._jdf.queryExecution().analyzed())
+    return DataFrame(frame, SparkSession(spark.sparkContext, session))

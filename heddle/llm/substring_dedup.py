@@ -6,14 +6,15 @@ documents), and so on up to `window` words, where the last doubling is cut to
 the window and its two halves overlap. At the last level a window's words are
 removed if the same words start in a document with a smaller doc_id.
 
-Documents are dealt into blocks. A block sends its distinct window hashes to
-the buckets of a hash range, packed as sorted arrays, and each bucket answers
-one bit a hash: seen in another block (lower levels), or seen with a smaller
-doc_id (last level). So no key, however frequent, has more than one entry per
-block in any task, and the shuffle holds 4 bytes for a distinct lowest-level
-window of a block. Lower levels only choose candidates, so their 32-bit
-fingerprints (unique in a bucket up to chance) can only let too many through;
-the last level compares 64-bit hashes.
+Documents are cut into stored blocks of coded words, so texts are read and split
+once. At each level a block sends its distinct window hashes to the buckets
+of a hash range, packed as sorted arrays, and each bucket answers one bit a
+hash: seen in another block (lower levels), or seen with a smaller doc_id (last
+level). So no key, however frequent, has more than one entry per block in any
+task, and the shuffle holds 4 bytes for a distinct lowest-level window of a
+block. Lower levels only choose candidates, so their 32-bit fingerprints (unique
+in a bucket up to chance) can only let too many through; the last level
+compares 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U64, Words, chunks, release, text_bytes, windows
-from .session import blocked, n_blocks, small_batches
+from .blocks import Coded, all_of, bucket_of, coded_blocks, cut_binary, distinct, short_keys
+from .kernels import U64, release, windows
 
-_REQUEST = "level int, bucket int, __block int, prints binary, ids binary"
-_ANSWER = "level int, bucket int, __block int, bits binary"
+_MESSAGE = "bucket long, __block long, prints binary, ids binary"
+_ANSWER = "bucket long, __block long, bits binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -38,28 +39,26 @@ def _levels(start: int, window: int) -> list[int]:
     return out
 
 
+class _Words:
+    """What windows() needs of a block: its words' hashes and where texts begin."""
+
+    def __init__(self, coded: Coded) -> None:
+        self.hash, self.of = coded.vocab[coded.codes], coded.of
+
+
 class _Block:
     """A block's words and the windows that are still candidates."""
 
-    def __init__(self, table: pa.Table, levels: list[int], n: int) -> None:
-        self.levels, self.n = levels, n
-        data, offs = text_bytes(table["text"])
-        parts, counts = [], []
-        for _, _, d, o in chunks(data, offs):
-            w = Words(d, o, lower=False)
-            parts.append(w.hash)
-            counts.append(np.diff(w.of))
-        self.words = Words.__new__(Words)
-        self.words.hash = np.concatenate([np.empty(0, U64), *parts])
-        self.words.of = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]))]).astype(np.int64)
-        self.text_of = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(self.words.of))
-        ids = table["doc_id"].combine_chunks() if table.num_rows else pa.array([], pa.int64())
-        self.ids = np.asarray(ids.cast(pa.int64()).fill_null(_NO_ID)).astype(np.int64)
-        self.data, self.offs = data, offs
+    def __init__(self, row: pa.Table, levels: list[int], n: int) -> None:
+        self.levels, self.n, self.coded = levels, n, Coded(row)
+        self.words = _Words(self.coded)
+        self.text_of = np.repeat(np.arange(len(self.coded.size), dtype=np.int32), self.coded.size)
+        ids = self.coded.rest["doc_id"].combine_chunks().cast(pa.int64())
+        self.ids = np.asarray(ids.fill_null(_NO_ID)).astype(np.int64)
         self.repeats = np.ones(len(self.words.hash), bool)
 
-    def keys(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bucketed keys of the candidates at this level, and their first words."""
+    def candidates(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of this level's candidates and their first words."""
         k = self.levels[level]
         h, at = windows(self.words, k)
         if level:
@@ -68,50 +67,55 @@ class _Block:
             h, at = h[keep], at[keep]
         return h, at
 
-    def bucket(self, h: np.ndarray) -> np.ndarray:
-        return ((h & U64(0xFFFFFFFF)) * U64(self.n)) >> U64(32)
-
-    def requests(self, level: int) -> list[tuple[int, bytes, bytes]]:
-        h, at = self.keys(level)
+    def dealt(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys by bucket, the buckets' cuts, each candidate's key, the smallest id of each key, and the candidates' first words."""
+        h, at = self.candidates(level)
+        edge = np.arange(self.n + 1, dtype=U64)
         if level < len(self.levels) - 1:
-            key = np.unique((self.bucket(h) << U64(32)) | (h >> U64(32)))
-            cuts = np.searchsorted(key, np.arange(self.n + 1, dtype=U64) << U64(32))
-            small = (key & U64(0xFFFFFFFF)).astype(np.uint32)
-            return [(b, small[cuts[b] : cuts[b + 1]].tobytes(), b"") for b in range(self.n) if cuts[b] < cuts[b + 1]]
-        u, least = _least(h, self.ids[self.text_of[at]])
-        order = np.argsort(self.bucket(u), kind="stable")
-        u, least, bucket = u[order], least[order], self.bucket(u)[order]
-        cuts = np.searchsorted(bucket, np.arange(self.n + 1, dtype=U64))
-        return [(b, u[cuts[b] : cuts[b + 1]].tobytes(), least[cuts[b] : cuts[b + 1]].tobytes()) for b in range(self.n) if cuts[b] < cuts[b + 1]]
-
-    def learn(self, level: int, bits: dict[int, bytes]) -> None:
+            u, _, number = distinct(short_keys(h, self.n))
+            cuts = np.searchsorted(u, edge << U64(32))
+        else:
+            # The low half rotated to the front sorts by bucket.
+            u, _, number = distinct((h << U64(32)) | (h >> U64(32)))
+            u = (u << U64(32)) | (u >> U64(32))
+            cuts = np.searchsorted(bucket_of(u, self.n), edge)
+        least = np.full(len(u), _NO_ID)
+        np.minimum.at(least, number, self.ids[self.text_of[at]])
+        return u, cuts, number, least, at
+
+    def ask(self, level: int) -> pa.Table:
+        u, cuts, _, least, _ = self.dealt(level)
+        full = np.flatnonzero(np.diff(cuts))
+        cuts = np.append(cuts[full], cuts[-1])
+        last = level == len(self.levels) - 1
+        prints = u if last else (u & U64(0xFFFFFFFF)).astype(np.uint32)
+        ids = cut_binary(least, cuts) if last else pa.array([b""] * len(full), pa.binary())
+        return pa.table([pa.array(full + level * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), cut_binary(prints, cuts), ids], names=["bucket", "__block", "prints", "ids"])
+
+    def learn(self, level: int, answers: pa.Table) -> None:
         """Keeps as repeated what the buckets' answers, or this block's own documents, show to be so."""
-        h, at = self.keys(level)
-        repeats = np.zeros(len(self.words.hash), bool)
+        u, cuts, number, least, at = self.dealt(level)
+        bucket = np.asarray(answers["bucket"].combine_chunks())
+        own = answers.filter(pa.array(bucket // self.n == level)).sort_by("bucket")
+        raw, offs = all_of(own["bits"], np.uint8)
+        sizes = np.diff(cuts)[np.diff(cuts) > 0]
+        # each row's bits begin at a byte of their own
+        bits = np.unpackbits(raw)
+        take = np.arange(int(sizes.sum())) + np.repeat(offs[:-1] * 8 - (np.cumsum(sizes) - sizes), sizes)
+        told = bits[take].astype(bool)
+        texts = self.text_of[at]
         if level < len(self.levels) - 1:
-            key = (self.bucket(h) << U64(32)) | (h >> U64(32))
-            order = np.argsort(key, kind="stable")
-            first = _firsts(key[order])
-            group = np.cumsum(first) - 1
-            begin = np.flatnonzero(first)
-            texts = self.text_of[at[order]]
-            last = np.append(begin[1:], len(order)) - 1
-            own = texts[begin] != texts[last] if len(begin) else np.empty(0, bool)
-            cuts = np.searchsorted(key[order][begin], np.arange(self.n + 1, dtype=U64) << U64(32))
-            seen = own | _joined(bits, cuts, self.n)
-            repeats[at[order[seen[group]]]] = True
+            most, first = np.zeros(len(u), np.int32), np.full(len(u), np.iinfo(np.int32).max, np.int32)
+            np.maximum.at(most, number, texts)
+            np.minimum.at(first, number, texts)
+            good = (told | (most > first))[number]
         else:
-            u, least = _least(h, self.ids[self.text_of[at]])
-            order = np.argsort(self.bucket(u), kind="stable")
-            cuts = np.searchsorted(self.bucket(u)[order], np.arange(self.n + 1, dtype=U64))
-            smaller = np.empty(len(u), bool)
-            smaller[order] = _joined(bits, cuts, self.n)
-            where = np.searchsorted(u, h)
-            repeats[at[smaller[where] | (self.ids[self.text_of[at]] > least[where])]] = True
-        self.repeats = repeats
-
-    def kept(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Each text's kept words, its words, and how many of them are removed."""
+            good = told[number] | (self.ids[texts] > least[number])
+        self.repeats = np.zeros(len(self.words.hash), bool)
+        self.repeats[at[good]] = True
+
+    def kept(self) -> tuple[list[bytes], np.ndarray]:
+        """Each text's kept words, and how many of its words are removed."""
         n, k = len(self.words.hash), self.levels[-1]
         edge = np.zeros(n + k + 1, np.int32)
         at = np.flatnonzero(self.repeats)
@@ -120,90 +124,51 @@ class _Block:
         gone = np.cumsum(edge)[:n] > 0
         total = np.concatenate([[0], np.cumsum(gone)])
         of = self.words.of
-        removed = total[of[1:]] - total[of[:-1]]
-        raw = self.data.tobytes()
-        texts = []
-        for i in range(len(of) - 1):
-            words = raw[self.offs[i] : self.offs[i + 1]].split()
-            if removed[i]:
-                words = [w for w, g in zip(words, gone[of[i] : of[i + 1]].tolist(), strict=True) if not g]
-            texts.append(b" ".join(words))
-        return texts, np.diff(of), removed
-
-
-def _firsts(ordered: np.ndarray) -> np.ndarray:
-    first = np.ones(len(ordered), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
-    return first
-
-
-def _least(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, with the smallest id of each."""
-    order = np.lexsort((ids, h))
-    first = _firsts(h[order])
-    return h[order][first], ids[order][first]
-
-
-def _joined(bits: dict[int, bytes], cuts: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(int(cuts[-1]) if len(cuts) else 0, bool)
-    for b in range(n):
-        size = int(cuts[b + 1] - cuts[b])
-        if size:
-            out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=size).astype(bool)
-    return out
+        spelled = self.coded.spelled
+        stays = self.coded.codes[~gone].tolist()
+        cuts = (of - total[of]).tolist()
+        texts = [b" ".join([spelled[c] for c in stays[a:z]]) for a, z in zip(cuts, cuts[1:], strict=False)]
+        return texts, total[of[1:]] - total[of[:-1]]
 
 
-def _answer(last: int):
+def _answers(n: int, last: int):
     def answer(table: pa.Table) -> pa.Table:
-        out = []
-        rows = table.to_pylist()
-        for level in sorted({r["level"] for r in rows}):
-            own = [r for r in rows if r["level"] == level]
-            prints = [np.frombuffer(r["prints"], U64 if level == last else np.uint32) for r in own]
-            every = np.concatenate(prints)
-            if level == last:
-                ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in own])
-                u, least = _least(every, ids)
-                yes = least[np.searchsorted(u, every)] < ids
-            else:
-                _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-                yes = (count > 1)[inverse]
-            cuts = np.cumsum([0, *map(len, prints)])
-            out += [(level, r["bucket"], r["__block"], np.packbits(yes[a:b]).tobytes()) for r, a, b in zip(own, cuts, cuts[1:], strict=False)]
-        names = ("level", "bucket", "__block", "bits")
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=list(names))
+        level = table["bucket"][0].as_py() // n
+        prints, cuts = all_of(table["prints"], U64 if level == last else np.uint32)
+        u, _, number = distinct(prints)
+        if level == last:
+            ids = all_of(table["ids"], np.int64)[0]
+            least = np.full(len(u), _NO_ID)
+            np.minimum.at(least, number, ids)
+            yes = least[number] < ids
+        else:
+            yes = (np.bincount(number, minlength=len(u)) > 1)[number]
+        # all rows' bits in one go, each row's begun at a byte of its own
+        size = np.diff(cuts)
+        bytes_of = -(-size // 8)
+        begin = np.concatenate([[0], np.cumsum(bytes_of)])
+        spread = np.zeros(int(begin[-1]) * 8, bool)
+        spread[np.arange(len(yes)) + np.repeat(begin[:-1] * 8 - cuts[:-1], size)] = yes
+        return pa.table([table["bucket"], table["__block"], cut_binary(np.packbits(spread), begin)], names=["bucket", "__block", "bits"])
 
     return answer
 
 
-def _replay(table: pa.Table, answers: pa.Table | None, levels: list[int], n: int, upto: int) -> _Block:
-    block = _Block(table, levels, n)
-    rows = answers.to_pylist() if answers is not None else []
+def _replayed(row: pa.Table, answers: pa.Table | None, levels: list[int], n: int, upto: int) -> _Block:
+    block = _Block(row, levels, n)
     for level in range(upto):
-        block.learn(level, {r["bucket"]: r["bits"] for r in rows if r["level"] == level})
+        block.learn(level, answers)
     return block
 
 
-def _requests(levels: list[int], n: int, level: int):
-    def send(table: pa.Table, answers: pa.Table | None) -> pa.Table:
-        block = _replay(table, answers, levels, n, level)
-        rows = block.requests(level) if table.num_rows else []
-        me = table["__block"][0].as_py() if table.num_rows else None
-        del block
+def _asks(levels: list[int], n: int, level: int):
+    def ask(row: pa.Table, answers: pa.Table | None) -> pa.Table:
         release()
-        return pa.table(
-            [pa.array([level] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([me] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-            names=["level", "bucket", "__block", "prints", "ids"],
-        )
-
-    def later(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return send(table, answers)
+        if not row.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names=["bucket", "__block", "prints", "ids"])
+        return _replayed(row, answers, levels, n, level).ask(level)
 
-    def first(table: pa.Table) -> pa.Table:
-        return send(table, None)
-
-    return later if level else first
+    return (lambda row, answers: ask(row, answers)) if level else (lambda row: ask(row, None))
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_bytes: int | None = None) -> DataFrame:
@@ -219,32 +184,28 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_byt
     named n_words or n_removed is replaced, one named __block left out.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "__block")]
-    small_batches(docs.sparkSession)
-    n = n_blocks(docs, block_bytes=block_bytes)
-    d = blocked(docs, n, *others)
+    rows = docs.select("doc_id", "text", *others)
+    blocks, n = coded_blocks(rows, lower=False, spell=True, block_bytes=block_bytes)
     levels = _levels(start, window)
-    answers = None
+    own, answers = blocks.groupBy("__block"), None
     for level in range(len(levels)):
-        send = _requests(levels, n, level)
-        if answers is None:
-            asked = d.groupBy("__block").applyInArrow(send, _REQUEST)
-        else:
-            asked = d.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(send, _REQUEST)
-        answered = asked.groupBy("bucket").applyInArrow(_answer(len(levels) - 1), _ANSWER)
-        answers = answered if answers is None else answers.unionByName(answered)
+        ask = _asks(levels, n, level)
+        asked = own.cogroup(answers.groupBy("__block")).applyInArrow(ask, _MESSAGE) if level else own.applyInArrow(ask, _MESSAGE)
+        told = asked.groupBy("bucket").applyInArrow(_answers(n, len(levels) - 1), _ANSWER)
+        answers = told if answers is None else answers.unionByName(told)
 
-    out_schema = d.select("doc_id", "text", *others).schema.add("n_words", "long").add("n_removed", "long")
+    schema = rows.schema.add("n_words", "long").add("n_removed", "long")
+    names = schema.names
 
-    def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        block = _replay(table, found, levels, n, len(levels))
-        texts, words, removed = block.kept()
-        del block
+    def finish(row: pa.Table, found: pa.Table) -> pa.Table:
         release()
-        out = table.select(["doc_id", "text", *others])
-        out = out.set_column(1, "text", pa.array(texts, pa.binary()).cast(pa.string()))
-        return out.append_column("n_words", pa.array(words, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
+        block = _replayed(row, found, levels, n, len(levels))
+        texts, removed = block.kept()
+        cols = {c: v for c, v in zip(block.coded.rest.column_names, block.coded.rest.columns, strict=True)}
+        cols |= {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(block.coded.size), "n_removed": pa.array(removed, pa.int64())}
+        return pa.table([cols[c] for c in names], names=names)
 
-    out = d.groupBy("__block").cogroup(answers.groupBy("__block")).applyInArrow(finish, out_schema)
+    out = own.cogroup(answers.groupBy("__block")).applyInArrow(finish, schema)
     return out.select(*[c for c in docs.columns if c in out.columns and c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
 
@@ -253,3 +214,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = substring_dedup(docs)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+#: DuckDB SQL of the query: a window's first document by its words, then the words that such windows cover.
+SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+g AS (SELECT r, doc_id, i, hash(list_slice(ws, i, i + 12)) AS k, list_slice(ws, i, i + 12) AS v FROM w, unnest(range(1, len(ws) - 11)) AS t(i) WHERE len(ws) >= 13),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p
+         FROM (SELECT r, i, coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY k, v) AS later FROM g) WHERE later),
+cut AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(ws, (x, i) -> NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
+FROM w LEFT JOIN cut USING (r)
+"""
