@@ -26,7 +26,7 @@ from .session import stored
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a slice, of those ranked together.
-SLICE = 2000
+SLICE = 500
 
 
 def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
@@ -35,7 +35,8 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     lengths: distinct, above 0; counts: how many there are of each. The first
     pass takes the same share of every length. What that leaves is brought under the
     largest length by whole documents, longest first, and a table of reachable sums over the
-    documents left (each length with multiplicity, in powers of two) gives the rest.
+    documents left (each length with multiplicity, in powers of two) gives the rest. The table
+    has one entry for a sum, the step that reached it first; sums go to three of the largest lengths.
     """
     order = np.argsort(-np.asarray(lengths, np.int64), kind="stable")
     size, most = np.asarray(lengths, np.int64)[order], np.asarray(counts, np.int64)[order]
@@ -54,22 +55,27 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
         spare = most - take
         steps, sums = [], 1
         full = (1 << (gap + 1)) - 1
+        reached = np.full(gap + 1, -1, np.int32)
         for i in range(len(size)):
             n = min(int(spare[i]), gap // int(size[i]))
             part = 1
             while n > 0:
                 part = min(part, n)
-                steps.append((i, part, sums))
-                sums = (sums | sums << part * int(size[i])) & full
+                new = (sums << part * int(size[i])) & full & ~sums
+                if new:
+                    reached[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(gap // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(steps)
+                    steps.append((i, part))
+                    sums |= new
                 n -= part
                 part *= 2
             if sums >> gap & 1:
                 break
         at = sums.bit_length() - 1
-        for i, part, before in reversed(steps):
-            if not before >> at & 1:
-                take[i] += part
-                at -= part * int(size[i])
+        while at:
+            # what is left was reached by an earlier step
+            i, part = steps[reached[at]]
+            take[i] += part
+            at -= part * int(size[i])
     back = np.empty_like(take)
     back[order] = take
     return back.tolist()
@@ -124,7 +130,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), share: fl
     """
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("key")
     words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("size")
-    luck = F.xxhash64(F.lit(seed), F.col("doc_id")).bitwiseAND(F.lit((1 << 62) - 1)).alias("luck")
+    # the text too, so that rows without doc_id are spread
+    luck = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).bitwiseAND(F.lit((1 << 62) - 1)).alias("luck")
     sized = stored(docs.select("doc_id", "source", key, words, luck))
     counts = stored(sized.groupBy("key", "size").agg(F.count("*").alias("count"), F.first("source").alias("source")))
     goals = stored(targets(counts.groupBy("key").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("count")).alias("source_size")), weights, share, most))

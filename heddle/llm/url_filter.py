@@ -5,8 +5,9 @@ A rule is a canonical URL prefix: a host and a path, written together, such as
 starts with its path. Every URL is turned into its candidate keys, one for each
 host suffix and each path length that some rule has. The keys are first looked
 up in a blocked Bloom filter (a table of 64-bit words; a key sets and tests
-its bits within one word), whose size is a parameter and so bounded; possible
-hits go on to a hash join with the exact rules, which removes false positives.
+its bits within one word). It has RULE_BITS bits for each rule, up to MOST_WORDS
+words, so it may be sent to every task. Possible hits go on to a hash join with
+the exact rules, which removes false positives.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of the filter: 8 bytes each, and the bits that a key sets in its word.
-FILTER_WORDS, KEY_BITS = 1 << 14, 4
+#: Bits of the filter for a rule, its least and most words of 8 bytes, and the bits that a key sets in its word.
+RULE_BITS, LEAST_WORDS, MOST_WORDS, KEY_BITS = 16, 1 << 6, 1 << 21, 4
 #: Rules that a broadcast may hold; beyond it the same join is shuffled.
 MOST_BROADCAST = 200_000
 
@@ -37,8 +38,13 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _word(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_WORDS)).cast("int")
+def filter_words(rules: int) -> int:
+    """Words of the filter for so many rules, a power of two."""
+    return max(LEAST_WORDS, min(MOST_WORDS, 1 << (rules * RULE_BITS // 64).bit_length()))
+
+
+def _word(key: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(words)).cast("int")
 
 
 def _mask(key: Column) -> Column:
@@ -51,12 +57,11 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_words(rules: DataFrame) -> DataFrame:
-    """One row: the filter's words as an array of FILTER_WORDS longs."""
-    words = rules.groupBy(_word(F.col("rule")).alias("w")).agg(F.bit_or(_mask(F.col("rule"))).alias("m"))
-    return words.agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("words")
-    )
+def bloom_words(rules: DataFrame, words: int) -> DataFrame:
+    """One row: the filter's words as an array of longs."""
+    masks = rules.groupBy(_word(F.col("rule"), words).cast("long").alias("id")).agg(F.bit_or(_mask(F.col("rule"))).alias("m"))
+    every = rules.sparkSession.range(words).join(masks, "id", "left").select(F.struct("id", F.coalesce("m", F.lit(0).cast("long")).alias("m")).alias("w"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["m"]).alias("words"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -83,15 +88,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(lengths, lambda c: F.struct(F.concat(s, F.expr("path").substr(F.lit(1), c)).alias("rule"), c.alias("cut")))))
-    words = bloom_words(listed).scalar()
+    rules_there = listed.count()
+    size = filter_words(rules_there)
+    words = bloom_words(listed, size).scalar()
     tried = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.rule", "k.cut")
     mask = _mask(F.col("rule"))
-    hits = tried.where(F.get(words, _word(F.col("rule"))).bitwiseAND(mask) == mask)
-    few = listed.count() <= MOST_BROADCAST
-    fits = hits.join(F.broadcast(listed) if few else listed, ["rule", "cut"])
+    hits = tried.where(F.get(words, _word(F.col("rule"), size)).bitwiseAND(mask) == mask)
+    fits = hits.join(F.broadcast(listed) if rules_there <= MOST_BROADCAST else listed, ["rule", "cut"])
     best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("short"), "rule", "verdict")).alias("best"))
-    out = judged.join(best, ["host", "path"], "left")
-    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    # URLs without a host fit no rule and would all meet under one key
+    blank = judged.where("host = ''").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    out = judged.where("host <> ''").join(best, ["host", "path"], "left")
+    return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).unionByName(blank)
 
 
 def fixed_rules(spark: SparkSession) -> DataFrame:

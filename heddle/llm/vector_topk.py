@@ -1,16 +1,21 @@
 """Exact top-k inner products with a KD-tree in each shard.
 
-Vectors are dealt into shards by a hash of their id. A shard's tree splits at
-the median of the widest dimension down to small leaves, each with its tight
-bounding box. The largest inner product that a query can have with a box is
-the sum over dimensions of the better of its two sides. Leaves are visited best
-bound first, and the search ends where the bound falls below the kth best score
-so far. A query first searches the shard it lies in; its kth best score there
-goes with it to the other shards, where the search starts from that.
+Vectors are dealt into shards by the top splits of one KD-tree, fitted on a
+bounded sample; a cell with more vectors than a shard may hold (one vector very often,
+say) is dealt into several. A shard's tree splits at the median of the widest dimension down
+to small leaves; every node has the tight bounding box of its vectors. The largest
+inner product that a query can have with a box is the sum over dimensions
+of the better of its two sides. Nodes are taken from a heap, best bound first; a node's children
+get their bounds when it is opened, and the search ends where the best bound
+left can't beat the kth best hit.
+
+A query first searches the shard it lies in. Its kth best hit there goes with
+it, and only to shards whose boxes can beat it, where the search starts from that.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,111 +23,191 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import bounded, stored
 
 #: Vectors of a leaf, vectors of a shard, queries in a packed block.
 LEAF, SHARD, BLOCK = 48, 16384, 256
-_HIT = "query_id long, vec_id long, score long"
-_NONE = np.iinfo(np.int64).min
+#: Vectors that the top splits are fitted on, and shards' boxes (bytes) that are sent to all tasks at a time.
+SAMPLE, BOX_BYTES = 20_000, 32 << 20
+_HIT = "query long, query_id long, vec_id long, score long"
+_BLOCK = "dim int, cell int, piece int, low binary, high binary, least_id long, query binary, ids binary, vectors binary, known binary, known_id binary, hit_query binary, hit_query_id binary, hit_id binary, hit_score binary"
+_SENT = "dim int, cell int, piece int, query binary, ids binary, vectors binary, known binary, known_id binary"
+_NO_ID = np.iinfo(np.int64).max
+#: Components are cut off here, so that no sum overflows a double; scores at the ends of long.
+_MOST, _ENDS = 1e150, float(2**63 - 1024)
 
 
 class Tree:
-    """Vectors in the order of the leaves, with the leaves' bounds and boxes."""
+    """Nodes with boxes, two children side by side or a leaf's rows; vectors in the order of the leaves."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        order: list[np.ndarray] = []
-        todo = [np.arange(len(x))]
+        order = np.arange(len(x))
+        first, last, child, low, high = [0], [len(x)], [-1], [x.min(0)], [x.max(0)]
+        at = 0
+        while at < len(first):
+            a, z = first[at], last[at]
+            spread = high[at] - low[at]
+            if z - a > LEAF and spread.size and spread.max() > 0:
+                widest, half = int(spread.argmax()), (z - a) // 2
+                own = order[a:z]
+                own[:] = own[np.argpartition(x[own, widest], half)]
+                child[at] = len(first)
+                for b, e in ((a, a + half), (a + half, z)):
+                    first.append(b)
+                    last.append(e)
+                    child.append(-1)
+                    low.append(x[order[b:e]].min(0))
+                    high.append(x[order[b:e]].max(0))
+            at += 1
+        self.rows, self.ids, self.x = order, ids[order], x[order]
+        self.first, self.last, self.child = first, last, child
+        self.low, self.high = np.array(low), np.array(high)
+        self.least_id = [int(self.ids[a:z].min()) for a, z in zip(first, last, strict=True)]
+        self.leaves = 0
+
+    def search(self, q: np.ndarray, k: int, known: float = -np.inf, known_id: int = _NO_ID, own: int = -1) -> list[tuple[int, int]]:
+        """The up to k best (score, id) that beat what is known; own: the query's row here, or -1."""
+        best: list[tuple[float, int]] = []  # a heap whose top is the worst: smallest score, largest id
+        kth, kth_id = known, known_id
+        todo = [(-np.inf, self.least_id[0], 0)]
+        positive = q > 0
         while todo:
-            rows = todo.pop()
-            if len(rows) <= LEAF:
-                order.append(rows)
+            bound, least, node = heapq.heappop(todo)
+            if -bound < kth or -bound == kth and least >= kth_id:
+                break
+            c = self.child[node]
+            if c >= 0:
+                bounds = np.where(positive, self.high[c : c + 2], self.low[c : c + 2]) @ q
+                for i in (0, 1):
+                    heapq.heappush(todo, (-float(bounds[i]), self.least_id[c + i], c + i))
                 continue
-            own = x[rows]
-            widest = int(np.argmax(own.max(0) - own.min(0))) if x.shape[1] else 0
-            half = len(rows) // 2
-            split = np.argpartition(own[:, widest], half) if x.shape[1] else np.arange(len(rows))
-            todo += [rows[split[:half]], rows[split[half:]]]
-        at = np.concatenate(order)
-        self.rows, self.ids, self.x = at, ids[at], x[at]
-        self.cuts = np.cumsum([0, *map(len, order)])
-        self.low = np.minimum.reduceat(self.x, self.cuts[:-1], axis=0)
-        self.high = np.maximum.reduceat(self.x, self.cuts[:-1], axis=0)
-        self.least_id = np.minimum.reduceat(self.ids, self.cuts[:-1])
-
-    def search(self, q: np.ndarray, known: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the up to k best (ids, scores) whose score reaches what is known; own: the query's row, or -1."""
-        bound = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
-        found = []
-        for i in range(len(q)):
-            first = np.lexsort((self.least_id, -bound[i]))
-            best_id, best = np.empty(0, np.int64), np.empty(0)
-            kth, kth_id, at, step = float(known[i]), np.iinfo(np.int64).max, 0, 4
-            while at < len(first):
-                leaves = first[at : at + step]
-                b = bound[i, leaves]
-                leaves = leaves[(b > kth) | ((b == kth) & (self.least_id[leaves] <= kth_id))]
-                if not len(leaves):
-                    if b[-1] < kth or at + step >= len(first):
-                        break
-                    at, step = at + step, step * 2
+            self.leaves += 1
+            a, z = self.first[node], self.last[node]
+            score = self.x[a:z] @ q
+            for i in np.flatnonzero(score >= kth).tolist():
+                s, n = float(score[i]), int(self.ids[a + i])
+                if self.rows[a + i] == own or s < kth or s == kth and n >= kth_id:
                     continue
-                rows = np.concatenate([np.arange(self.cuts[j], self.cuts[j + 1]) for j in leaves])
-                rows = rows[self.rows[rows] != own[i]]
-                score = self.x[rows] @ q[i]
-                good = score >= kth
-                best_id, best = np.concatenate([best_id, self.ids[rows[good]]]), np.concatenate([best, score[good]])
-                if len(best) > k:
-                    keep = np.lexsort((best_id, -best))[:k]
-                    best_id, best = best_id[keep], best[keep]
+                (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -n))
                 if len(best) == k:
-                    worst = np.lexsort((best_id, -best))[-1]
-                    kth, kth_id = max(kth, float(best[worst])), int(best_id[worst]) if best[worst] >= kth else kth_id
-                at, step = at + step, step * 2
-            found.append((best_id, best))
-        return found
+                    kth, kth_id = best[0][0], -best[0][1]
+        return [(int(np.clip(s, -_ENDS, _ENDS)), -n) for s, n in best]
+
+
+def top_splits(x: np.ndarray, cells: int) -> list[tuple[int, float, int]]:
+    """Splits of a KD-tree with up to `cells` leaves: (dimension, value, first child) a node, or (-1, 0, cell)."""
+    out: list[tuple[int, float, int]] = [(-1, 0.0, 0)]
+    todo, made = [(0, np.arange(len(x)), cells)], 0
+    while todo:
+        node, rows, n = todo.pop(0)
+        spread = np.ptp(x[rows], axis=0) if len(rows) and x.shape[1] else np.zeros(1)
+        if n > 1 and spread.max() > 0:
+            d = int(spread.argmax())
+            value = float(np.quantile(x[rows, d], (n // 2) / n))
+            left = x[rows, d] < value
+            if left.any():
+                out[node] = (d, value, len(out))
+                todo += [(len(out), rows[left], n // 2), (len(out) + 1, rows[~left], n - n // 2)]
+                out += [(-1, 0.0, 0), (-1, 0.0, 0)]
+                continue
+        out[node] = (-1, 0.0, made)
+        made += 1
+    return out
+
+
+def cells_of(x: np.ndarray, splits: list[tuple[int, float, int]]) -> np.ndarray:
+    """The cell that each vector falls into."""
+    out = np.zeros(len(x), np.int32)
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        node, rows = todo.pop()
+        d, value, then = splits[node]
+        if d < 0:
+            out[rows] = then
+        elif len(rows):
+            right = x[rows, d] >= value
+            todo += [(then, rows[~right]), (then + 1, rows[right])]
+    return out
+
+
+def _whole(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """floor(256 x) of each component, as doubles (whole numbers, exact up to sums of 2**53)."""
+    flat = col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten()
+    return np.clip(np.floor(256.0 * np.asarray(flat).astype(np.float64).clip(-_MOST, _MOST)), -_MOST, _MOST).reshape(len(col), dim)
 
 
-def _whole(col: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """floor(256 x) of each component, as doubles (whole numbers, exact up to sums of 2**53)."""
-    flat = col.combine_chunks().flatten() if col.num_chunks != 1 else col.chunk(0).flatten()
-    return np.floor(256.0 * np.asarray(flat).astype(np.float64)).reshape(len(col), dim)
+def _routed(splits: dict[int, list[tuple[int, float, int]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = np.asarray(b.column("dim"))
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                x = _whole(own.column("embedding"), dim)
+                cells = cells_of(x, splits[dim]) if dim in splits else np.zeros(len(x), np.int32)
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("vec_id"), own.column("is_query"), own.column("dim"), pa.array(cells), raw], names=["row", "vec_id", "is_query", "dim", "cell", "vector"])
+
+    return run
 
 
-def _table(hits: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    q = np.concatenate([np.empty(0, np.int64), *(np.full(len(i), k) for k, i, _ in hits)]).astype(np.int64)
-    ids = np.concatenate([np.empty(0, np.int64), *(i for _, i, _ in hits)]).astype(np.int64)
-    score = np.concatenate([np.empty(0), *(s for _, _, s in hits)]).astype(np.int64)
-    return pa.table([q, ids, score], names=["query_id", "vec_id", "score"])
+def _vectors(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_buffer() for v in col.combine_chunks()), np.float64).reshape(len(col), dim)
 
 
-def _tree(table: pa.Table) -> tuple[Tree, np.ndarray, np.ndarray]:
-    dim = table["dim"][0].as_py()
-    ids = np.asarray(table["vec_id"].combine_chunks())
-    x = _whole(table["embedding"], dim)
-    return Tree(ids, x), ids, x
+def _packed(x) -> bytes:
+    return np.asarray(x, np.int64).tobytes()
 
 
 def _home(k: int):
-    """The shard's own queries, searched in it, packed in blocks with their hits and kth scores."""
+    """The shard's box, and its own queries, searched in it, in blocks with their hits and kth hits."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("dim", "home", "ids", "known", "vectors", "hit_query", "hit_id", "hit_score")}
-        query = np.flatnonzero(np.asarray(table["is_query"].combine_chunks())) if table.num_rows else []
-        if len(query):
-            tree, ids, x = _tree(table)
-            query = query[np.unique(ids[query], return_index=True)[1]]
-            for a in range(0, len(query), BLOCK):
-                rows = query[a : a + BLOCK]
-                found = tree.search(x[rows], np.full(len(rows), -np.inf), k, rows)
-                known = [int(s.min()) if len(s) == k else _NONE for _, s in found]
-                hits = _table([(ids[r], i, s) for r, (i, s) in zip(rows, found, strict=True)])
-                for c, v in (
-                    ("dim", table["dim"][0].as_py()), ("home", table["shard"][0].as_py()), ("ids", ids[rows].tobytes()), ("known", np.array(known, np.int64).tobytes()),
-                    ("vectors", x[rows].tobytes()), ("hit_query", np.asarray(hits["query_id"]).tobytes()), ("hit_id", np.asarray(hits["vec_id"]).tobytes()), ("hit_score", np.asarray(hits["score"]).tobytes()),
-                ):
-                    out[c].append(v)
-        kinds = {"dim": pa.int32(), "home": pa.int32()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
+        dim, cell, piece = (table[c][0].as_py() for c in ("dim", "cell", "piece"))
+        ids, rows = np.asarray(table["vec_id"].combine_chunks()), np.asarray(table["row"].combine_chunks())
+        x = _vectors(table["vector"], dim)
+        query = np.flatnonzero(np.asarray(table["is_query"].combine_chunks()))
+        tree = Tree(ids, x) if len(query) else None
+        out = [[dim, cell, piece, x.min(0).tobytes(), x.max(0).tobytes(), int(ids.min())] + [None] * 9]
+        for a in range(0, len(query), BLOCK):
+            own = query[a : a + BLOCK]
+            found = [sorted(tree.search(x[r], k, own=r)) for r in own]
+            known = [f[0][0] if len(f) == k else None for f in found]
+            # of hits with the kth score the largest id is the last
+            last = [max(n for s, n in f if s == w) if w is not None else _NO_ID for f, w in zip(found, known, strict=True)]
+            hits = [(rows[r], ids[r], n, s) for r, f in zip(own, found, strict=True) for s, n in f]
+            floor = np.array([-np.inf if w is None else w for w in known])
+            out.append([dim, cell, piece, None, None, None, rows[own].tobytes(), ids[own].tobytes(), x[own].tobytes(), floor.tobytes(), _packed(last), *(_packed([h[i] for h in hits]) for i in range(4))])
+        fields = [c.split() for c in _BLOCK.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+        return pa.table([pa.array([r[i] for r in out], kinds[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+
+    return run
+
+
+def _sent(boxes: list[dict]):
+    """Each block's queries that may find a better hit in a shard, one row a shard."""
+    by_dim: dict[int, tuple] = {}
+    for dim in {b["dim"] for b in boxes}:
+        own = [b for b in boxes if b["dim"] == dim]
+        by_dim[dim] = own, *(np.array([np.frombuffer(b[c], np.float64) for b in own]).reshape(len(own), dim) for c in ("low", "high")), np.array([b["least_id"] for b in own])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["dim"] not in by_dim:
+                    continue
+                own, low, high, least = by_dim[r["dim"]]
+                query, ids, last = (np.frombuffer(r[c], np.int64) for c in ("query", "ids", "known_id"))
+                known, q = np.frombuffer(r["known"], np.float64), np.frombuffer(r["vectors"], np.float64).reshape(len(ids), r["dim"])
+                bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                reach = (bound > known[:, None]) | ((bound == known[:, None]) & (least < last[:, None]))
+                for j in np.flatnonzero(reach.any(0)):
+                    b, i = own[j], reach[:, j]
+                    if (b["cell"], b["piece"]) != (r["cell"], r["piece"]):
+                        out.append((r["dim"], b["cell"], b["piece"], query[i].tobytes(), ids[i].tobytes(), q[i].tobytes(), known[i].tobytes(), last[i].tobytes()))
+            kinds = [pa.int32()] * 3 + [pa.binary()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _SENT.split(", ")])
 
     return run
 
@@ -131,24 +216,40 @@ def _away(k: int):
     """Queries of other shards, searched in this one from what they know."""
 
     def run(vectors: pa.Table, blocks: pa.Table) -> pa.Table:
-        hits: list[tuple[int, np.ndarray, np.ndarray]] = []
+        hits: list[tuple[int, int, int, int]] = []
         if vectors.num_rows and blocks.num_rows:
-            tree, _, x = _tree(vectors)
+            dim = vectors["dim"][0].as_py()
+            tree = Tree(np.asarray(vectors["vec_id"].combine_chunks()), _vectors(vectors["vector"], dim))
             for r in blocks.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                known = np.frombuffer(r["known"], np.int64).astype(float)
-                known[np.frombuffer(r["known"], np.int64) == _NONE] = -np.inf
-                q = np.frombuffer(r["vectors"], np.float64).reshape(len(ids), x.shape[1])
-                hits += [(i, *f) for i, f in zip(ids, tree.search(q, known, k, np.full(len(ids), -1)), strict=True)]
-        return _table(hits)
+                query, ids, last = (np.frombuffer(r[c], np.int64) for c in ("query", "ids", "known_id"))
+                q, known = np.frombuffer(r["vectors"], np.float64).reshape(len(ids), dim), np.frombuffer(r["known"], np.float64)
+                for i in range(len(ids)):
+                    hits += [(query[i], ids[i], n, s) for s, n in tree.search(q[i], k, float(known[i]), int(last[i]))]
+        return pa.table([pa.array([h[i] for h in hits], pa.int64()) for i in range(4)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(v, np.int64) for v in b.column(c).to_pylist())]) for c in ("hit_query", "hit_id", "hit_score")]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+        cols = [np.concatenate([np.empty(0, np.int64), *(np.frombuffer(v, np.int64) for v in b.column(c).to_pylist())]) for c in ("hit_query", "hit_query_id", "hit_id", "hit_score")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "query_id", "vec_id", "score"])
+
+
+def _splits(valid: DataFrame, shard_size: int) -> tuple[dict[int, list[tuple[int, float, int]]], int]:
+    """The top splits for each length of vectors that needs any, from a bounded sample; and the number of vectors."""
+    cores = valid.sparkSession.sparkContext.defaultParallelism
+    counts = {r["dim"]: r["count"] for r in valid.groupBy("dim").count().collect()}
+    cells = {d: max(-(-n // shard_size), min(2 * cores, n // 2048)) for d, n in counts.items()}
+    some = {d: c for d, c in cells.items() if c > 1}
+    out = {}
+    for dim, n in some.items():
+        part = min(1.0, SAMPLE / counts[dim])
+        luck = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30))
+        drawn = valid.where((F.col("dim") == dim) & (luck < int(part * (1 << 30)))).select("embedding").limit(2 * SAMPLE).toArrow()
+        if drawn.num_rows:
+            out[dim] = top_splits(_whole(drawn["embedding"], dim), n)
+    return out, sum(counts.values())
 
 
 def top_products(vectors: DataFrame, queries: Column, k: int = 5, shard_size: int = SHARD) -> DataFrame:
@@ -156,20 +257,35 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, shard_size: in
 
     score: the inner product of floor(256 x) over the components; ties go to the
     smaller vec_id. Only vectors of equal length are compared. Rows whose vec_id or vector is null, or
-    that hold a null or non-finite component, take no part. Repeated rows are candidates each,
-    also for each other, but a vec_id is asked for once. Fewer rows than k: all of them. Other columns are ignored.
+    that hold a null or non-finite component, take no part. Repeated rows are candidates each, also for each other,
+    and queries each. Fewer rows than k: all of them. Other columns are ignored.
+
+    Scores are exact up to 2**53; larger ones are sums of doubles, and those beyond a long are its nearest end
+    (components beyond 1e150 count as that).
     """
     bad = F.exists("embedding", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True)))
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    n = valid.count()
-    shards = max(1, -(-n // shard_size), min(2 * cores, n // 2048))
-    dealt = valid.select("vec_id", "embedding", "is_query", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    blocks = stored(dealt.groupBy("dim", "shard").applyInArrow(_home(k), "dim int, home int, ids binary, known binary, vectors binary, hit_query binary, hit_id binary, hit_score binary"))
-    here = blocks.select("hit_query", "hit_id", "hit_score").mapInArrow(_unpacked, _HIT)
-    sent = blocks.select("dim", "home", "ids", "known", "vectors", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home")
-    away = dealt.groupBy("dim", "shard").cogroup(sent.groupBy("dim", "shard")).applyInArrow(_away(k), _HIT)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(queries, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(~bad)
+    valid = valid.withColumn("dim", F.size("embedding"))
+    splits, _ = _splits(valid, shard_size)
+    numbered = bounded(valid.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "is_query", "dim", "embedding"))
+    routed = stored(numbered.mapInArrow(_routed(splits), "row long, vec_id long, is_query boolean, dim int, cell int, vector binary"))
+    # one row a cell; a cell of too many vectors is dealt by a hash of the row's number
+    full = routed.groupBy("dim", "cell").count().where(F.col("count") > 2 * shard_size).select("dim", "cell", F.ceil(F.col("count") / shard_size).cast("int").alias("pieces"))
+    dealt = routed.join(full, ["dim", "cell"], "left").withColumn("piece", F.pmod(F.xxhash64("row"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+    blocks = stored(dealt.groupBy("dim", "cell", "piece").applyInArrow(_home(k), _BLOCK))
+    asked = blocks.where("query IS NOT NULL")
+    here = asked.select("hit_query", "hit_query_id", "hit_id", "hit_score").mapInArrow(_unpacked, _HIT)
+    # the shards' boxes, some at a time: each part is of a bounded size
+    boxes = blocks.where("query IS NULL").select("dim", "cell", "piece", "low", "high", "least_id")
+    size = boxes.agg(F.sum(F.octet_length("low") * 2 + 64).alias("b")).first()["b"] or 0
+    parts = max(1, -(-size // BOX_BYTES))
+    sent = None
+    for p in range(parts):
+        own = [r.asDict() for r in boxes.where(F.pmod(F.xxhash64("dim", "cell", "piece"), F.lit(parts)) == p).collect()]
+        part = asked.select("dim", "cell", "piece", "query", "ids", "vectors", "known", "known_id").mapInArrow(_sent(own), _SENT)
+        sent = part if sent is None else sent.unionByName(part)
+    away = dealt.groupBy("dim", "cell", "piece").cogroup(sent.groupBy("dim", "cell", "piece")).applyInArrow(_away(k), _HIT)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return here.unionByName(away).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
