@@ -1,22 +1,45 @@
-"""Connected components of an undirected graph, by alternating large and small stars."""
+"""Connected components of an undirected graph, by alternating large and small stars; joins that split hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import stored
+from .session import drop, stored
 
+#: Rows of a key that one task may get in a join, unless there are more than MOST_HOT such keys.
+HOT, MOST_HOT = 2000, 200_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def hot_rows(total: int) -> int:
+    """Rows from which on a key counts as hot: of `total` rows never more than MOST_HOT keys are."""
+    return max(HOT, total // MOST_HOT)
+
+
+def join_by_size(rows: DataFrame, table: DataFrame, on: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row a key and in column `rows` the number of rows it meets.
+
+    Keys with very many rows are joined in broadcast (their number is bounded by total / hot_rows), so
+    the rows of one key are never brought together. how: inner or left.
+    """
+    most = hot_rows(total)
+    others = [c for c in table.columns if c not in (*on, "rows")]
+    hot = F.broadcast(table.where(F.col("rows") > most).select(*on, *others, F.lit(True).alias("__hot")))
+    marked = rows.join(hot, on, "left")
+    first = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot IS NULL").drop("__hot", *others)
+    return first.unionByName(rest.join(table.where(F.col("rows") <= most).select(*on, *others), on, how))
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Each node's larger (large) or smaller neighbours are tied to the smallest of its neighbourhood.
 
-    The minimum is an aggregate with map-side combine and the neighbours come
-    back by a join, so a node with very many neighbours is never in one task alone.
+    The minimum is an aggregate with map-side combine; it comes back to the neighbours by a join that doesn't
+    gather the neighbours of a node with very many of them.
     """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    near = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("rows"))
+    near = join_by_size(both, least, ["a"], 2 * total)
     if large:
         tied = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -28,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
     edges: a, b (long); direction, repeats and loops don't matter. Each round is
-    written to the shared folder, so a lost executor costs that round at most.
+    written to the shared folder, so a lost executor costs that round at most; a round's table goes when the next is there.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -36,5 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen or not mark["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        seen = mark
-        now = stored(_star(_star(now, True), False))
+        seen, before = mark, now
+        large = stored(_star(now, True, mark["n"]))
+        now = stored(_star(large, False, mark["n"]))
+        drop(before)
+        drop(large)

@@ -12,9 +12,14 @@
    pairs that confirmed links join already. The links' connected components are
    the result.
 
-Buckets and families of more than PART members are dealt into parts, and each
-pair of parts is a group of its own, so no task holds an unbounded group; tasks
-return forests (at most one link a member), never all pairs.
+Groups (of a band, or families) are compared in two steps, and tasks return
+forests (at most one link a member), never all pairs. First each member goes to
+one part of its group, of a bounded size, where also a few representatives of
+the group are: members are compared with one another and with these. In a group
+of copies this joins nearly all to one component, its core. Only if members
+outside of the core are left in other parts do these visit the other parts. So a row is
+sent once or twice, and more often only by the number of members that nothing
+has joined to the core, divided by the size of a part.
 """
 
 from __future__ import annotations
@@ -26,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, join_by_size
 from .kernels import U64, Words, chunks, mix64, release, sequence_hash, text_bytes, windows
 from .session import bounded, stored
 
 #: Registers, registers in a band, and mantissa bits of a register (besides 6 bits of leading zeros).
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
-#: Members of a part.
-PART = 256
+#: Members of a part, bytes of its shingle sets, and representatives of a group in each part.
+PART, PART_BYTES, REPRESENTATIVES = 1024, 16 << 20, 8
 #: Ids that a broadcast may hold; beyond it the same join is shuffled.
 MOST_BROADCAST = 500_000
 _SALT = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -113,12 +118,11 @@ class _Forest:
         self.links.append((i, j))
 
 
-def _join_similar(left: np.ndarray, right: np.ndarray, regs: np.ndarray, n: np.ndarray, least: float, confirm: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
-    """Links of a forest over left x right (equal: all pairs of it) whose estimate reaches `least` and that confirm."""
+def _join_similar(left: np.ndarray, right: np.ndarray | None, regs: np.ndarray, n: np.ndarray, ids: np.ndarray, core: np.ndarray, least: float, confirm: Callable[[int, int], bool] | None) -> list[tuple[int, int]]:
+    """Links of a forest over all pairs of left, or of left x right, whose estimate reaches `least` and that confirm."""
     forest = _Forest(len(regs))
-    same = left is right
     for k, i in enumerate(left):
-        others = right[:k] if same else right
+        others = left[:k] if right is None else right[core[right] | (ids[right] < ids[i])]
         if not len(others):
             continue
         # the row that most of the others already hang on comes first: often nothing else is left to compare
@@ -160,14 +164,19 @@ def _fixed(col: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return data.view(dtype).reshape(-1, width)
 
 
-def _links_in_groups(least: float, over: tuple[int, int] | None):
-    """mapInArrow function: forests of the (group, lo, hi) groups; with `over`, confirmed on the sets in column prints."""
+def _links_in_groups(least: float, over: tuple[int, int] | None, visiting: bool):
+    """mapInArrow function: forests of the (g, part, chunk) groups; with `over`, confirmed on the sets in column prints.
+
+    All rows are compared with one another; if `visiting`, visitors with the rows that stay: with members
+    of the core and with smaller ids of the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, bounds in _whole_groups(batches, ["g", "lo", "hi"]):
+        for t, bounds in _whole_groups(batches, ["g", "part", "chunk"]):
             ids = np.asarray(t["id"].combine_chunks())
             n = np.asarray(t["n"].combine_chunks()).astype(float)
-            part = np.asarray(t["part"].combine_chunks())
+            visits = np.asarray(t["visits"].combine_chunks())
+            core = np.asarray(t["core"].combine_chunks())
             regs = _fixed(t["sketch"], np.uint16, REGISTERS)
             pairs = np.flatnonzero(np.diff(bounds) == 2)
             out: list[tuple[int, int]] = []
@@ -178,10 +187,11 @@ def _links_in_groups(least: float, over: tuple[int, int] | None):
             else:
                 a = bounds[pairs]
                 close = similarity((regs[a] == regs[a + 1]).mean(1), n[a], n[a + 1])
-                out += [(i, i + 1) for i in a[close >= least].tolist()]
+                out += [(i, i + 1) for i in a[close >= least].tolist()] if not visiting else []
             for k in range(len(bounds) - 1):
                 a, b = int(bounds[k]), int(bounds[k + 1])
-                if b - a < 2 or b - a == 2 and not over:
+                away = np.flatnonzero(visits[a:b])
+                if b - a < 2 or visiting and not len(away) or b - a == 2 and not over and not visiting:
                     continue
                 own = {}
 
@@ -192,25 +202,63 @@ def _links_in_groups(least: float, over: tuple[int, int] | None):
                     both = len(np.intersect1d(own[i], own[j], assume_unique=True))
                     return over[1] * both >= over[0] * (len(own[i]) + len(own[j]) - both)
 
-                lo, hi = t["lo"][a].as_py(), t["hi"][a].as_py()
                 rows = np.arange(b - a)
-                left = rows if lo == hi else rows[part[a:b] == lo]
-                right = left if lo == hi else rows[part[a:b] == hi]
-                out += [(a + i, a + j) for i, j in _join_similar(left, right, regs[a:b], n[a:b], least, confirm if over else None)]
+                links = _join_similar(away if visiting else rows, rows[~visits[a:b]] if visiting else None, regs[a:b], n[a:b], ids[a:b], core[a:b], least, confirm if over else None)
+                out += [(a + i, a + j) for i, j in links]
             yield pa.RecordBatch.from_arrays([pa.array(ids[[i for i, _ in out]] if out else [], pa.int64()), pa.array(ids[[j for _, j in out]] if out else [], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _in_parts(rows: DataFrame) -> DataFrame:
-    """Rows (g, id, size of the group, ...) dealt to the pairs (lo, hi) of their group's parts, in order."""
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("other", "parts", "size")
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+def _sorted_groups(rows: DataFrame, work) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "g", "part", "chunk").sortWithinPartitions("g", "part", "chunk").mapInArrow(work, "a long, b long")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """First step: rows (g, id, parts, ...) in the part of their group by a hash of the id, and its representatives, those with the least hashes, in all parts."""
+    luck = F.xxhash64("id", F.lit(7))
+    part = F.pmod(luck, F.col("parts")).cast("int")
+    # within a part the least hashes of a few equal ranges: known without ranking the group
+    picked = F.pmod(F.xxhash64("id", F.lit(8)), F.ceil(F.col("size") / REPRESENTATIVES).cast("long")) == 0
+    where = F.when(picked & (F.col("parts") > 1), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    return rows.withColumn("part", F.explode(where)).withColumn("chunk", F.lit(0)).withColumn("visits", F.lit(False)).withColumn("core", F.lit(False)).drop("parts", "size")
+
+
+def _visits(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Second step: rows of groups of several parts that `found` (node, component) leaves in several components.
+
+    Members outside of the largest component visit the other parts, in chunks of a part's size.
+    """
+    several = rows.where("parts > 1").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    counts = several.groupBy("g", "c").agg(F.count("*").alias("members"))
+    groups = counts.groupBy("g").agg(F.max(F.struct("members", "c")).alias("core"), F.sum("members").alias("rows"))
+    groups = stored(groups.where("core.members < rows").select("g", "rows", F.col("core.c").alias("core_c"), (F.col("rows") - F.col("core.members")).alias("rest")))
+    own = join_by_size(several, groups, ["g"], total).withColumn("core", F.col("c") == F.col("core_c")).withColumn("chunks", F.ceil(F.col("rest") / PART).cast("int"))
+    at = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
+    stay = own.withColumn("part", at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("visits", F.lit(False))
+    away = own.where("NOT core").withColumn("part", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), at)))
+    away = away.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int")).withColumn("visits", F.lit(True))
+    return stay.unionByName(away).drop("parts", "size", "component", "c", "core_c", "rest", "chunks")
+
+
+def _linked(rows: DataFrame, several: bool, total: int, least: float, over: tuple[int, int] | None) -> DataFrame:
+    """Links (a, b) of forests that join all similar members of each group (g, id, n, sketch, size, parts, with `over` prints).
+
+    several: some group has more than one part; total: rows of all groups.
+    """
+    first = stored(_sorted_groups(_dealt(rows), _links_in_groups(least, over, False)))
+    if not several:
+        return first
+    return first.unionByName(_sorted_groups(_visits(rows, components(first), total), _links_in_groups(least, over, True)))
+
+
+def _keys(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """A hash of each set."""
+    return np.array([int(mix64(s ^ U64(salt)).sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64)
+
+
+_SALTS = 0, 0xA5A5A5A5A5A5A5A5
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -224,9 +272,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             sketch: list[bytes | None] = [None] * len(sets)
             for r, x in enumerate(full):
                 sketch[x] = regs[r].tobytes()
-            key1 = np.array([int(mix64(s).sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64)
-            key2 = np.array([int(mix64(s ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)) if len(s) else 0 for s in sets], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(size), pa.array(key1), pa.array(key2), pa.array(sketch, pa.binary())], names=["doc_id", "n", "key1", "key2", "sketch"])
+            keys = [pa.array(_keys(sets, s)) for s in _SALTS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(size), *keys, pa.array(sketch, pa.binary())], names=["doc_id", "n", "key1", "key2", "sketch"])
         release()
 
 
@@ -241,8 +288,9 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         for i, j, d, o in chunks(data, offs, 1 << 22):
-            prints = pa.array([s.tobytes() for s in shingle_sets(d, o, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), prints], names=["id", "prints"])
+            sets = list(shingle_sets(d, o, k))
+            cols = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(_keys(sets, s)) for s in _SALTS), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), *cols], names=["id", "n", "key1", "key2", "prints"])
         release()
 
 
@@ -254,8 +302,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     is the smallest doc_id reachable over links; kept says that it is the row's own.
 
     A null or blank text has no shingles and is linked with nothing; a text of
-    fewer words than a shingle is one shingle. Repeated rows, and rows that share
-    a doc_id, count as one document. A row without doc_id has no component and is kept.
+    fewer words than a shingle is one shingle. Rows that share a doc_id are one document: if their
+    texts' sets differ, the one with the most shingles (then the larger hash) is compared, and all of the rows
+    have its component; each has its own n_shingles. A row without doc_id has no component and is kept.
     Other columns are ignored.
 
     A pair at the threshold is missed if it shares no band or its estimate
@@ -263,28 +312,47 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     """
     texts = bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     sketches = stored(texts.mapInArrow(lambda b: _sketched(b, shingle), "doc_id long, n long, key1 long, key2 long, sketch binary"))
-    classes = sketches.where("n > 0").groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("id")).where("id is not null")
-    nodes = stored(sketches.join(classes.select(F.col("id").alias("doc_id"), "key1", "key2", "n"), ["doc_id", "key1", "key2", "n"]).select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"]))
+    total = sketches.count()
+    own = F.struct("n", "key1", "key2")
+    several = stored(sketches.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("counts"), F.count("*").alias("rows")).where("low <> counts").drop("low"))
+    # a row's set is that of its document
+    rows = sketches.withColumn("own", own)
+    if not several.isEmpty():
+        rows = join_by_size(rows, several, ["doc_id"], total, "left")
+        rows = rows.withColumn("set", F.coalesce("counts", "own")).drop("counts")
+    else:
+        rows = rows.withColumn("set", F.col("own"))
+    shown = rows.select("doc_id", "n", F.col("set.n").alias("m"), F.col("set.key1").alias("key1"), F.col("set.key2").alias("key2"), F.col("own") == F.col("set"), "sketch")
+    shown = shown.toDF("doc_id", "n", "m", "key1", "key2", "its", "sketch")
+    classes = stored(shown.where("m > 0 AND its").groupBy("key1", "key2", "m").agg(F.min("doc_id").alias("id"), F.min_by(F.col("sketch"), F.col("doc_id")).alias("sketch"), F.count("*").alias("rows")))
+    nodes = classes.where("id IS NOT NULL").select("id", F.col("m").alias("n"), "sketch")
 
     share = threshold[0] / threshold[1]
     least = share - 4.6 * np.sqrt(share * (1 - share) / REGISTERS)
     bands = nodes.select("id", "sketch").mapInArrow(_banded, "g long, id long")
-    sizes = bands.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
-    likely = _in_parts(bands.join(sizes, "g").join(nodes, "id")).mapInArrow(_links_in_groups(least, None), "a long, b long")
+    sizes = stored(bands.groupBy("g").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("size", F.col("rows")))
+    n_bands = total * (REGISTERS // ROWS)
+    met = join_by_size(bands, sizes, ["g"], n_bands).withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    likely = _linked(met.join(nodes, "id"), not sizes.where(F.col("size") > PART).isEmpty(), n_bands, least, None)
     families = stored(components(likely))
 
     ids = families.select(F.col("node").alias("id"))
     if ids.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
-    sets = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(lambda b: _with_sets(b, shingle), "id long, prints binary")
-    sets = sets.groupBy("id").agg(F.max("prints").alias("prints"))
+    # the sets of the documents that nodes are named by; of several texts the one that counts
+    sets = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(lambda b: _with_sets(b, shingle), "id long, n long, key1 long, key2 long, prints binary")
+    sets = sets.groupBy("id").agg(F.max_by("prints", F.struct("n", "key1", "key2")).alias("prints"))
     family = families.select(F.col("node").alias("id"), F.col("component").alias("g"))
-    members = family.join(family.groupBy("g").agg(F.count("*").alias("size")), "g").join(nodes, "id").join(sets, "id")
-    links = _in_parts(members).mapInArrow(_links_in_groups(least, threshold), "a long, b long")
+    members = stored(family.join(nodes, "id").join(sets, "id"))
+    size = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum(F.octet_length("prints")).alias("bytes"))
+    size = stored(size.select("g", "rows", F.col("rows").alias("size"), F.ceil(F.greatest(F.col("rows") / PART, F.col("bytes") / PART_BYTES)).cast("int").alias("parts")))
+    links = _linked(join_by_size(members, size, ["g"], total), not size.where("parts > 1").isEmpty(), total, least, threshold)
     found = components(links)
 
-    named = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key1", "key2", "n", F.coalesce("component", "id").alias("component"))
-    out = sketches.select("doc_id", "n", "key1", "key2").join(named, ["key1", "key2", "n"], "left")
+    named = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key1", "key2", "m", "rows", F.coalesce("component", "id").alias("component"))
+    shown = shown.drop("sketch", "its")
+    empty = shown.where("m = 0").withColumn("component", F.lit(None).cast("long"))
+    out = join_by_size(shown.where("m > 0"), named, ["key1", "key2", "m"], total, "left").unionByName(empty)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

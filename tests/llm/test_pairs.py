@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from heddle.llm import components as components_module
 from heddle.llm import near_dup, substring_dedup
 from heddle.llm.components import components
 from heddle.llm.kernels import Words, sequence_hash, text_bytes, windows
@@ -61,15 +62,61 @@ def brute_components(rows, k):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("part", [256, 3])
-def test_near_dup(spark, monkeypatch, part):
-    """All links of the fixture are found, also when groups are dealt into parts of three."""
+@pytest.mark.parametrize(("part", "hot"), [(1024, 2000), (3, 2)])
+def test_near_dup(spark, monkeypatch, part, hot):
+    """All links of the fixture are found, also when groups are dealt into parts of three and most keys count as hot."""
     monkeypatch.setattr(near_dup, "PART", part)
+    monkeypatch.setattr(components_module, "HOT", hot)
     rows = corpus(3)
     got = {r[0]: tuple(r)[1:] for r in near_dup.near_duplicates(frame(spark, rows), shingle=4).collect()}
     assert got == brute_components(rows, 4)
 
 
+def test_family_grows_linearly(spark, monkeypatch):
+    """In a family of 10,000 near copies no row is sent more than twice, besides the representatives; chains and strangers are found."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(10_000):
+        w = list(base)
+        for _ in range(2):
+            w[rng.randrange(120)] = f"x{rng.randrange(10_000_000)}"
+        rows.append((i, " ".join(w)))
+    chain = list(base)
+    for i in range(40):
+        chain[2 * i] = f"y{i}"  # ever farther from the base, each near the one before
+        rows.append((20_000 + i, " ".join(chain)))
+    rows += [(30_000 + i, " ".join(f"s{i}_{j}" for j in range(50))) for i in range(20)]
+    dealt = []
+    kept = near_dup._sorted_groups
+
+    def counted(df, work):
+        dealt.append(df.count())
+        return kept(df, work)
+
+    monkeypatch.setattr(near_dup, "_sorted_groups", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows, 4), shingle=4).collect()}
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows if i >= 20_000}
+    for i in range(39):
+        a, b = sets[20_000 + i], sets[20_001 + i]
+        assert (100 * len(a & b) >= 80 * len(a | b)) and got[20_001 + i] == got[20_000 + i]
+    assert {got[i] for i in range(10_000)} == {0} and got[20_000] == 0
+    assert all(got[i] == i for i in sets if i >= 30_000)
+    bands = near_dup.REGISTERS // near_dup.ROWS
+    families = dealt[-2:] if len(dealt) == 4 else dealt[-1:]
+    assert families[0] < 1.2 * 10_060 and sum(families) < 3 * 10_060
+    assert sum(dealt[: len(dealt) - len(families)]) < 3 * bands * 10_060
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Of several texts of one doc_id the one with the most shingles counts, whatever the order of the rows."""
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t u v"
+    rows = [(5, a), (5, b), (7, a), (9, b), (3, a), (5, None)]
+    want = sorted([(5, 6, 5, True), (5, 8, 5, True), (5, 0, 5, True), (7, 6, 3, False), (9, 8, 5, False), (3, 6, 3, True)])
+    for order in (rows, rows[::-1]):
+        assert sorted(tuple(r) for r in near_dup.near_duplicates(frame(spark, order)).collect()) == want
+
+
 def test_near_dup_edges(spark):
     assert near_dup.near_duplicates(frame(spark, [(1, "a")]).limit(0)).collect() == []
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (2, "A B C D E F"), (None, "a b c d e f"), (None, None), (9, None), (8, "")]
