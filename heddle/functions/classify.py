@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_lines, prose, prose_chars
+from . import urls
+from .text import first_lines, plain, prose, prose_chars
 
 #: Phrases of bot walls, in the order they are looked for (fixed values).
 WALL_MARKERS = (
@@ -49,6 +50,28 @@ CODES = (
 )
 
 
+#: Phrases of the error shells that a post page can be (fixed values).
+THIN_POST_MARKERS = ("this page doesn’t exist", "this page doesn't exist", "something went wrong. try reloading", "this post is unavailable", "this post was deleted")
+#: Where scripts hang their pages, and how pages ask for scripts (fixed values).
+MOUNT_POINTS = (
+    'id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"', 'id="svelte"', 'id="___gatsby"', "data-reactroot", "ng-app", "ng-view", "ng-version", "<app-root", 'id="q-app"', 'id="elm"',
+)
+ASKS_FOR_SCRIPTS = ("enable javascript", "requires javascript", "javascript is disabled", "javascript is required", "need to enable javascript")
+#: Phrases by which a graded text counts as blocked (fixed values).
+GRADE_WALLS = ("just a moment", "verify you are human", "captcha", "access denied", "enable javascript", "attention required", "are you a robot")
+#: Paths of a bot check and of a sign-in page that a site redirects to (fixed values).
+VERIFICATION_PATH = r"(?i)captcha|_verification\b|/(verify|challenge)(/|$|\.)|/sorry/"
+LOGIN_PATH = r"(?i)/(login|signin|sign-in|sign_in|authwall)(/|$|\.|\?)"
+#: Messages of a browser service, in the order they are looked for (fixed values).
+VERDICT_PATTERNS = (
+    ("timeout", r"exceeded the time limit|\btime(?:d)?[ -]?out\b|net::err_timed_out|net::err_connection_timed_out"),
+    ("captcha", r"captcha|just a moment|turnstile|verify(?:ing)? (?:you are|you're) (?:a )?human"),
+    ("http_429", r"\b(?:http|status(?: code)?)\s*:?\s*429\b|\btoo many requests\b|\brate[- ]limit"),
+    ("http_403", r"\b(?:http|status(?: code)?)\s*:?\s*403\b|\b403 forbidden\b"),
+    ("bot_block", r"anti-?bot|\bblocked\b|cloudflare|akamai|perimeterx|datadome|incapsula|imperva|access denied"),
+)
+
+
 def head_bytes(text: Column, n: int = SCAN_BYTES) -> Column:
     """The first n bytes as text; a character cut in two is left out."""
     return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8"), "�+$", ""))
@@ -98,23 +121,20 @@ def verdict_kind(message: Column, status: Column) -> Column:
     """Failure kind of a browser service's message, URLs left out of account."""
     m = F.regexp_replace(message, r"(?i)\bhttps?://\S+", " ")
     has = lambda p: F.rlike(m, F.lit("(?i)" + p))
-    return (
-        F.when(is_structural(m), "thin_content")
-        .when(has(r"exceeded the time limit|\btime(?:d)?[ -]?out\b|net::err_timed_out|net::err_connection_timed_out"), "timeout")
-        .when(has(r"captcha|just a moment|turnstile|verify(?:ing)? (?:you are|you're) (?:a )?human"), "captcha")
-        .when(has(r"\b(?:http|status(?: code)?)\s*:?\s*429\b|\btoo many requests\b|\brate[- ]limit"), "http_429")
-        .when(has(r"\b(?:http|status(?: code)?)\s*:?\s*403\b|\b403 forbidden\b"), "http_403")
-        .when(has(r"anti-?bot|\bblocked\b|cloudflare|akamai|perimeterx|datadome|incapsula|imperva|access denied"), "bot_block")
-        .when(wall_marker(m).isNotNull(), "captcha")
-        .when(status == 403, "http_403")
-        .when(status == 429, "http_429")
-        .otherwise("upstream_error")
-    )
+    out = F.when(is_structural(m), "thin_content")
+    for kind, pattern in VERDICT_PATTERNS:
+        out = out.when(has(pattern), kind)
+    return out.when(wall_marker(m).isNotNull(), "captcha").when(status == 403, "http_403").when(status == 429, "http_429").otherwise("upstream_error")
 
 
+#: Headings of a page that isn't there, of a country picker, and of a CDN challenge (fixed values).
 _SOFT_404 = r"(?i)\bpage not found\b|\bpage (you|you're|you are) (were |are )?looking for\b|\bthis page (doesn't|does not|no longer) exists?\b|\bthis page is not available\b|\bpage introuvable\b|\bseite nicht gefunden\b"
 
 
+_PICKER = r"(?im)^#+ *(choose|select) (a|your) (country|region)"
+_CHALLENGE = r"<title>\s*just a moment|/cdn-cgi/challenge-platform/|cf-turnstile"
+
+
 def silent_failure(content: Column) -> Column:
     """Kind of a page that was served but isn't the page (C4): CDN interstitial, soft 404, country picker, loading skeleton."""
     low = F.lower(content)
@@ -123,7 +143,7 @@ def silent_failure(content: Column) -> Column:
     ends = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) >= 120, i).otherwise(F.lit(12))), lambda i: i < 12)
     opening = F.slice(lines, 1, F.least(F.coalesce(F.array_min(ends), F.lit(12)), F.lit(12)))
     missing = F.exists(opening, lambda x: (F.length(x) <= 60) & F.rlike(x, F.lit(_SOFT_404)))
-    picker = F.rlike(first_lines(content, 10), F.lit(r"(?im)^#+ *(choose|select) (a|your) (country|region)"))
+    picker = F.rlike(first_lines(content, 10), F.lit(_PICKER))
     marks = F.filter(F.transform(F.split(low, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[.…#* ]+|[.…#* ]+$", "")), lambda x: x != "")
     loading = F.size(F.filter(marks, lambda x: x == "loading"))
     return (
@@ -136,19 +156,39 @@ def silent_failure(content: Column) -> Column:
 
 def challenge_page(html: Column) -> Column:
     """A CDN challenge in the page's head."""
-    return F.rlike(F.lower(head_bytes(html)), F.lit(r"<title>\s*just a moment|/cdn-cgi/challenge-platform/|cf-turnstile"))
-
-
-def page_verdict(html: Column, text: Column, status: Column, floor: int = 200) -> Column:
-    """One verdict for a fetched page, checks in their fixed order."""
+    return F.rlike(F.lower(head_bytes(html)), F.lit(_CHALLENGE))
+
+
+def page_verdict(
+    html: Column, text: Column, status: Column, silent: Column, prose_length: Column, floor: int = 200, asked: Column | None = None, final: Column | None = None, success: Column | None = None, message: Column | None = None
+) -> Column:
+    """One verdict for a fetched page, checks in their fixed order.
+
+    silent and prose_length: silent_failure() and prose_chars() of the text, columns of their own so that each is
+    worked out once. asked and final: the URL asked for and the one the browser ended on; success and
+    message: the browser service's own verdict. Where these are not given, their checks are left out.
+    """
+    no = F.lit(False)
+    moved = F.coalesce(final, F.lit("")) != "" if final is not None else no
+    there = urls.hostname(final) if final is not None else F.lit("")
+    guarded = moved & (there != urls.hostname(asked)) & urls.guard_reason(final).isNotNull() if final is not None else no
+    failed = ~F.coalesce(success, F.lit(True)) if success is not None else no
+    said = verdict_kind(F.coalesce(message, F.lit("")), status) if message is not None else F.lit("upstream_error")
+    elsewhere = moved & urls.redirected_elsewhere(asked, final) if final is not None else no
+    verify = F.rlike(urls.path(final), F.lit(VERIFICATION_PATH)) if final is not None else no
+    login = F.rlike(urls.path(final), F.lit(LOGIN_PATH)) & ~F.rlike(urls.path(asked), F.lit(LOGIN_PATH)) if final is not None else no
     return (
-        F.when(challenge_page(html), "captcha")
+        F.when(guarded, "refused")
+        .when(challenge_page(html), "captcha")
+        .when(failed, said)
         .when(wall_marker(text).isNotNull(), "captcha")
-        .when(status.isin(403, 429), page_status_kind(status))
+        .when(F.startswith(there, F.lit("consent.")), "captcha")
         .when(status >= 400, page_status_kind(status))
-        .when(silent_failure(text).isNotNull(), silent_failure(text))
+        .when(silent.isNotNull(), silent)
         .when(F.trim(text) == "", "thin_content")
-        .when(prose_chars(text) < floor, "thin_content")
+        .when(prose_length < floor, "thin_content")
+        .when(elsewhere & verify, "captcha")
+        .when(elsewhere & login, "bot_block")
         .otherwise("ok")
     )
 
@@ -181,9 +221,9 @@ def failover(results: Column, limit: Column, failed: Column, refused: Column, de
     )
 
 
-def stack_error(error_id: Column) -> Column:
-    """An API error id."""
-    return F.when(error_id.isin(502), "http_429").when(error_id.isin(404), "not_found").when(error_id.isin(401, 402, 403, 406), "http_403").when(error_id >= 500, "upstream_error").otherwise("error")
+def stack_error(error_id: Column, status: Column) -> Column:
+    """A question site's API error id; without one the status decides."""
+    return F.when(error_id == 502, "http_429").when(error_id.isin(500, 503), "upstream_error").when(error_id == 0, status_kind(status)).otherwise("error")
 
 
 def envelope_verdict(status: Column, body: Column, missing: Column) -> Column:
@@ -195,14 +235,19 @@ def envelope_verdict(status: Column, body: Column, missing: Column) -> Column:
     )
 
 
-def back_off(retry_after: Column, reset: Column, limited: Column) -> Column:
-    """Seconds to hold (C20): what was asked for, else the reset header, else a minute if limited, else none."""
-    return F.coalesce(retry_after, reset, F.when(limited, F.lit(60)), F.lit(0))
+def back_off(too_many: Column, remaining: Column, retry_after: Column, reset: Column) -> Column:
+    """Seconds to hold (C20): none unless a 429 or a spent budget asks; then what is asked for, else the reset, else a minute for a 429.
+
+    too_many: the answer was a 429. remaining, retry_after, reset: headers as text; only non-negative numbers count.
+    """
+    number = lambda h: F.when(F.rlike(F.trim(h), F.lit(r"^\+?\d+(\.\d+)?$")), F.trim(h).try_cast("double"))
+    limited = too_many | F.coalesce(number(remaining) < 1, F.lit(False))
+    return F.when(limited, F.coalesce(F.when(number(retry_after) > 0, number(retry_after)), F.when(number(reset) > 0, number(reset)), F.when(too_many, F.lit(60.0)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def thin_post(text: Column, markers: tuple[str, ...] = ("javascript is not available", "something went wrong", "log in", "sign up", "try reloading")) -> Column:
-    """One of a login wall's phrases, or fewer than 80 characters."""
-    return first_marker(F.lower(text), markers).isNotNull() | (F.length(F.trim(text)) < 80)
+def thin_post(text: Column) -> Column:
+    """One of the error shells' phrases, or fewer than 80 characters."""
+    return first_marker(F.lower(text), THIN_POST_MARKERS).isNotNull() | (F.length(F.trim(text)) < 80)
 
 
 def needs_browser(html: Column, text: Column) -> Column:
@@ -210,24 +255,24 @@ def needs_browser(html: Column, text: Column) -> Column:
     visible = F.length(F.regexp_replace(text, r"\s", ""))
     head = F.lower(F.substring(html, 1, 200000))
     ratio = visible / F.greatest(F.length(html), F.lit(1))
-    asks = F.rlike(head, F.lit(r"enable javascript|requires javascript|javascript is disabled|javascript is required|id=.(root|app|__next|___gatsby).>\s*</div>"))
     return (
         F.when(visible >= 1500, False)
         .when(~F.contains(head, F.lit("<script")), False)
-        .when(asks, True)
+        .when(first_marker(head, (*ASKS_FOR_SCRIPTS, *MOUNT_POINTS)).isNotNull(), True)
         .when((ratio < 0.01) & (F.length(html) > 20000), True)
         .when(visible >= 300, False)
         .otherwise((visible < 60) | (ratio < 0.03))
     )
 
 
-def grade(text: Column, failed: Column, hits: Column, asked: Column, walls: tuple[str, ...] = ("access denied", "verify you are human", "just a moment")) -> Column:
-    """ok, partial, miss, empty, blocked or error."""
-    low = F.lower(text)
+def grade(text: Column, failed: Column, phrases: tuple[str, ...]) -> Column:
+    """ok, partial, miss, empty, blocked or error (F17): by the phrases that the text must hold, both made plain."""
+    low = plain(text)
+    hits = sum((F.contains(low, F.trim(plain(F.lit(p)))).cast("int") for p in phrases), F.lit(0))
     return (
         F.when(failed, "error")
-        .when((F.length(text) < 3000) & first_marker(low, walls).isNotNull(), "blocked")
+        .when((F.length(text) < 3000) & first_marker(low, GRADE_WALLS).isNotNull(), "blocked")
         .when(F.length(F.trim(text)) < 200, "empty")
-        .when(hits == asked, "ok")
+        .when(hits == len(phrases), "ok")
         .otherwise(F.when(hits > 0, "partial").otherwise("miss"))
     )

@@ -123,16 +123,22 @@ def excerpt(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
 
 
-def letters(text: Column) -> Column:
-    """Letters and digits alone, of the text without link targets and marks (F16)."""
+def plain(text: Column) -> Column:
+    """Lower-case words alone: links without their targets, no marks, one blank for white space (F16)."""
     t = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(F.lower(t), r"[^a-z0-9]", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(t, r"[*_`#>|]", ""), r"\s+", " "))
+
+
+def letters(text: Column) -> Column:
+    """Letters and digits alone, of the plain text (F16)."""
+    return F.regexp_replace(plain(text), r"[^a-z0-9]", "")
 
 
 def sentences(text: Column, n: int = 10) -> Column:
-    """Up to n sentences of eight words and more, spread over the text (F16)."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))
-    good = F.filter(parts, lambda s: (F.size(F.split(F.trim(s), r"\s+")) >= 8) & ~F.contains(s, F.lit("://")))
+    """Up to n sentences of eight words and more of the plain lines, spread over the text (F16)."""
+    lines = F.array_join(F.transform(F.split(text, r"\r\n|\n|\r"), plain), "\n")
+    parts = F.transform(F.split(lines, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))
+    good = F.filter(parts, lambda s: (F.size(F.split(s, r"\s+")) >= 8) & ~F.contains(s, F.lit("://")))
     spread = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(good, F.floor(i * F.size(good) / n).cast("int")))
     return F.when(F.size(good) > n, spread).otherwise(good)
 

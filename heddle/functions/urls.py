@@ -67,25 +67,69 @@ def host_is(host: Column, domain: str) -> Column:
     return F.rlike(host, F.lit(r"(?i)(^|\.)" + domain.replace(".", r"\.") + "$"))
 
 
-#: Engines in their order of registration, with the hosts each one claims (fixed values).
-ROUTES = (
-    ("reddit", ("reddit.com", "redd.it")),
-    ("hackernews", ("news.ycombinator.com",)),
-    ("github", ("github.com", "gist.github.com")),
-    ("bluesky", ("bsky.app",)),
-    ("stackexchange", ("stackoverflow.com", "stackexchange.com", "superuser.com", "serverfault.com", "askubuntu.com")),
-    ("twitter", ("x.com", "twitter.com")),
-)
+#: Forums that run the same software on hosts of their own (fixed values).
+FORUM_HOSTS = ("meta.discourse.org", "discuss.python.org", "users.rust-lang.org", "internals.rust-lang.org", "discuss.pytorch.org")
+#: Question sites on domains of their own, and hosts of the network that are none (fixed values).
+QUESTION_HOSTS = ("stackoverflow.com", "superuser.com", "serverfault.com", "askubuntu.com", "mathoverflow.net")
+NOT_QUESTION_NAMES = ("api", "chat", "data", "openid")
+#: Hosts of posts and of mirrors of posts, and of their short links (fixed values).
+POST_HOSTS = ("x.com", "twitter.com", "fxtwitter.com", "fixupx.com", "vxtwitter.com", "fixvx.com")
+SHORT_LINK_HOST = "t.co"
+#: Paths that each engine takes on its hosts (fixed values).
+SHARE_PATH = r"(?i)^/r/[^/]+/s/[A-Za-z0-9_-]+/?$"
+LISTING_PATH = r"(?i)^/r/([^/?#]+)(?:/(hot|new|top|rising|controversial))?$"
+PERMALINK_PATH = r"/r/[^/]+/comments/[a-z0-9]+(?:/[^/?#]+)?/?"
+FEED_PATHS = ("", "/news", "/front", "/newest", "/ask", "/show")
+TOPIC_PATH = r"^/t/(?:([^/]*[^0-9/][^/]*)/([0-9]+)(?:/[0-9]+)?|([0-9]+)(?:/[0-9]+)?)$"
+QUESTION_PATH = r"^/(?:questions/([0-9]+)(?:/[^/]*(?:/[0-9]+)?)?|(q|a)/([0-9]+)(?:/[0-9]+)?)/?$"
+STATUS_PATH = r"^/(?:[A-Za-z0-9_]{1,50}|i|i/web)/status(?:es)?/([0-9]{1,20})(?:/(?:photo|video)/[0-9]{1,2})?/?$"
+SHORT_LINK_PATH = r"^/[A-Za-z0-9]{1,32}/?$"
+
+
+def _trimmed(url: Column) -> Column:
+    """The path without one trailing slash."""
+    return F.regexp_replace(path(url), "/$", "")
+
+
+def is_question_host(host: Column) -> Column:
+    """A question site: one on its own domain, its meta site, or a name of the network."""
+    name = F.regexp_extract(host, r"^(?:meta\.)?([^.]+)(?:\.meta)?\.stackexchange\.com$", 1)
+    # either form of a meta site, not both at once
+    twice = F.rlike(host, F.lit(r"^meta\.[^.]+\.meta\."))
+    return host.isin(*QUESTION_HOSTS, *(f"meta.{h}" for h in QUESTION_HOSTS)) | ((name != "") & ~name.isin(*NOT_QUESTION_NAMES) & ~twice)
+
+
+def post_host(host: Column) -> Column:
+    """The host of a post's URL without www. and then mobile. in front."""
+    return F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r"^mobile\.", "")
+
+
+def _claims(url: Column) -> list[tuple[str, Column]]:
+    """Engines in their order of registration, with the URLs each one takes."""
+    h, p = hostname(url), path(url)
+    has = lambda pattern, where=p: F.rlike(where, F.lit(pattern))
+    item = (_trimmed(url) == "/item") & F.rlike(query_string(url), F.lit(r"(^|&)id=\d+(&|$)"))
+    actor = F.split(F.regexp_replace(p, r"^/+|/+$", ""), "/")
+    profile = (F.get(actor, F.lit(0)) == "profile") & (F.coalesce(F.get(actor, F.lit(1)), F.lit("")) != "")
+    profile = profile & ((F.size(actor) == 2) | ((F.size(actor) == 4) & (F.get(actor, F.lit(2)) == "post") & (F.get(actor, F.lit(3)) != "")))
+    web = scheme(url).isin("http", "https")
+    return [
+        ("reddit", host_is(h, "reddit.com") & (has(SHARE_PATH) | has(PERMALINK_PATH) | has(LISTING_PATH, F.regexp_replace(_trimmed(url), r"\.json$", "")))),
+        ("hackernews", host_is(h, "news.ycombinator.com") & (item | _trimmed(url).isin(*FEED_PATHS))),
+        ("github", github_kind(url).isNotNull()),
+        ("discourse", h.isin(*FORUM_HOSTS) & has(TOPIC_PATH, _trimmed(url))),
+        ("bluesky", host_is(h, "bsky.app") & profile),
+        ("stackexchange", is_question_host(h) & has(QUESTION_PATH)),
+        ("twitter", web & (post_host(h).isin(*POST_HOSTS) & has(STATUS_PATH) | (h == SHORT_LINK_HOST) & has(SHORT_LINK_PATH))),
+    ]
 
 
 def route(url: Column) -> Column:
-    """First engine that claims the URL's host, else the browser."""
+    """First engine that takes the URL, else the browser."""
     out: Column | None = None
-    for engine, hosts in ROUTES:
-        claims = F.lit(False)
-        for h in hosts:
-            claims = claims | host_is(hostname(url), h)
-        out = F.when(claims, engine) if out is None else out.when(claims, engine)
+    for engine, claims in _claims(url):
+        taken = F.coalesce(claims, F.lit(False))
+        out = F.when(taken, engine) if out is None else out.when(taken, engine)
     return out.otherwise("browser")
 
 
@@ -148,11 +192,24 @@ def redirected_elsewhere(asked: Column, got: Column) -> Column:
     return (host(asked) != host(got)) | (where(asked) != where(got))
 
 
+#: Hosts that are read on another one, and hosts that ask for consent (fixed values).
+OLD_POST_HOSTS = ("twitter.com", "www.twitter.com", "mobile.twitter.com")
+CONSENT_HOSTS = ("youtube.com", "google.com", "news.google.com")
+
+
 def consent_bypass(url: Column) -> Column:
-    """x.com for twitter.com, and the no-consent parameter for YouTube (U8)."""
-    post = F.regexp_replace(url, r"^https?://(www\.|mobile\.)?twitter\.com/", "https://x.com/")
-    tube = host_is(hostname(url), "youtube.com") & ~F.contains(query_string(url), F.lit("ucbcb="))
-    return F.when(tube, F.concat(url, F.when(query_string(url) == "", "?").otherwise("&"), F.lit("ucbcb=1"))).otherwise(post)
+    """x.com for the old post hosts, and the no-consent parameter for hosts that ask (U8).
+
+    Parameters come out by name, as the added one makes the query be written anew.
+    """
+    moved = F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?)[^/?#]*", "$1x.com")
+    asks = F.regexp_replace(F.regexp_replace(hostname(url), r"^www\.", ""), r"^m\.", "").isin(*CONSENT_HOSTS)
+    has = F.rlike(query_string(url), F.lit(r"(^|&)ucbcb(=|&|$)"))
+    pairs = F.filter(F.split(F.concat_ws("&", F.lit("ucbcb=1"), F.nullif(query_string(url), F.lit(""))), "&"), lambda p: p != "")
+    named = F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
+    query = F.array_join(F.transform(F.array_sort(named), lambda x: x["p"]), "&")
+    added = F.concat(F.regexp_extract(url, r"^[^?#]*", 0), F.lit("?"), query, F.regexp_extract(url, r"#.*$", 0))
+    return F.when(hostname(url).isin(*OLD_POST_HOSTS), moved).when(asks & ~has, added).otherwise(url)
 
 
 def site_scoped(query: Column, site: Column) -> Column:
@@ -170,22 +227,28 @@ def ref_splits(rest: Column) -> Column:
 
 
 #: Owners that are pages of the site itself (fixed values).
-RESERVED_OWNERS = ("about", "apps", "collections", "explore", "features", "login", "marketplace", "notifications", "orgs", "search", "settings", "sponsors", "topics", "trending")
+RESERVED_OWNERS = (
+    "about", "account", "advisories", "apps", "codespaces", "collections", "contact", "copilot", "customer-stories", "dashboard", "enterprise", "enterprises", "events", "explore",
+    "features", "github-copilot", "issues", "login", "marketplace", "models", "new", "notifications", "organizations", "orgs", "pricing", "pulls", "readme", "resources", "search",
+    "security", "settings", "site", "solutions", "sponsors", "stars", "team", "topics", "trending", "users",
+)
+#: What names a gist, and what names each kind of page behind owner and repository (fixed values).
+GIST_PATH = r"^/(?:[A-Za-z0-9-]+/([0-9a-fA-F]+)|([0-9a-fA-F]{20,}))$"
+OWNER_AND_REPOSITORY = r"^/[A-Za-z0-9-]+/[A-Za-z0-9._-]+"
+REPOSITORY_PATHS = (
+    ("issue", r"/issues/[0-9]+$"), ("pull", r"/pull/[0-9]+$"), ("repo", r"$"), ("blob", r"/blob/[^/]*/.*$"), ("tree", r"/tree/.+$"), ("releases", r"/releases$"),
+    ("release", r"/releases/(latest|tag/.+)$"), ("discussion", r"/discussions/[0-9]+$"), ("commit", r"/(?:commit|pull/[0-9]+/commits)/[0-9a-fA-F]{7,40}$"),
+)
 
 
 def github_kind(url: Column) -> Column:
     """What a repository-host URL names (U5); null where it names none."""
-    p = F.regexp_replace(path(url), r"/+$", "")
-    owner = F.lower(F.regexp_extract(p, r"^/([^/]+)", 1))
-    r = r"^/[^/]+/[^/]+"
-    kinds = (
-        ("issue", r"/issues/\d+$"), ("pull", r"/pull/\d+(/[^/]+)?$"), ("discussion", r"/discussions/\d+$"), ("commit", r"/commit/[0-9a-fA-F]{7,40}$"),
-        ("release", r"/releases/(tag/.+|latest)$"), ("releases", r"/releases$"), ("file", r"/(blob|raw)/.+$"), ("tree", r"/tree/.+$"), ("repo", r"$"),
-    )
-    out = F.when(host_is(hostname(url), "gist.github.com"), F.when(F.rlike(p, F.lit(r"^/[^/]+/[0-9a-f]+$")), "gist"))
-    out = out.when((hostname(url) != "github.com") & (hostname(url) != "www.github.com"), F.lit(None)).when(owner.isin(*RESERVED_OWNERS) | F.rlike(p, F.lit(r"/\.\.?(/|$)")), F.lit(None))
-    for name, pattern in kinds:
-        out = out.when(F.rlike(p, F.lit(r + pattern)), name)
+    p, h = _trimmed(url), hostname(url)
+    owner = F.lower(F.regexp_extract(p, r"^/([^/]*)", 1))
+    out = F.when(h == "gist.github.com", F.when(F.rlike(p, F.lit(GIST_PATH)), "gist"))
+    out = out.when((h != "github.com") & (h != "www.github.com"), F.lit(None)).when(owner.isin(*RESERVED_OWNERS) | F.rlike(p, F.lit(r"/\.\.?(/|$)")), F.lit(None))
+    for name, pattern in REPOSITORY_PATHS:
+        out = out.when(F.rlike(p, F.lit(OWNER_AND_REPOSITORY + pattern)), name)
     return out
 
 
@@ -195,9 +258,10 @@ def thread_id(url: Column) -> Column:
     return (
         F.when(host_is(h, "reddit.com"), F.regexp_extract(p, r"/comments/([0-9a-z]+)", 1))
         .when(h == "news.ycombinator.com", F.regexp_extract(query_string(url), r"(?:^|&)id=(\d+)", 1))
-        .when(host_is(h, "stackoverflow.com") | host_is(h, "stackexchange.com"), F.regexp_extract(p, r"^/q(?:uestions)?/(\d+)", 1))
+        .when(is_question_host(h), F.concat(F.regexp_extract(p, QUESTION_PATH, 1), F.when(F.regexp_extract(p, QUESTION_PATH, 2) == "a", F.lit("a/")).otherwise(F.lit("")), F.regexp_extract(p, QUESTION_PATH, 3)))
+        .when(h.isin(*FORUM_HOSTS), F.concat(F.regexp_extract(_trimmed(url), TOPIC_PATH, 2), F.regexp_extract(_trimmed(url), TOPIC_PATH, 3)))
         .when(h == "bsky.app", F.regexp_extract(p, r"^/profile/[^/]+/post/([0-9a-z]+)", 1))
-        .when(host_is(h, "x.com") | host_is(h, "twitter.com"), F.regexp_extract(p, r"/status(?:es)?/(\d+)", 1))
+        .when(post_host(h).isin(*POST_HOSTS), F.regexp_extract(p, STATUS_PATH, 1))
         .otherwise("")
     )
 

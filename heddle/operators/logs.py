@@ -30,13 +30,36 @@ def last_values(rows: DataFrame, by: list[str], value: str, order: list[str]) ->
     return rows.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("last"))
 
 
+def _counted(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Each distinct value of a group once, with `upto`, the rows up to and with it, and `n`, the rows of the group.
+
+    Values are counted before they are put in order, so equal values of a large group never meet in one task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).join(totals, by)
+
+
 def indexed_percentile(rows: DataFrame, by: list[str], value: str, q: float, rule: str) -> DataFrame:
     """A percentile that is one of the values: rule `near` takes round-half-even(q (n-1)) (A16), `floor` int(n q), n-1 at most."""
-    w = Window.partitionBy(*by)
-    rows = rows.where(F.col(value).isNotNull()).select(*by, value)
-    rows = rows.withColumn("n", F.count("*").over(w)).withColumn("i", F.row_number().over(w.orderBy(value)) - 1)
-    at = F.bround(F.lit(q) * (F.col("n") - 1)) if rule == "near" else F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q)))
-    return rows.where(F.col("i") == at.cast("long")).select(*by, F.col(value).alias("percentile"))
+    n = F.col("n")
+    at = (F.bround(F.lit(q) * (n - 1)) if rule == "near" else F.least(n - 1, F.floor(n * F.lit(q)))).cast("long")
+    return _counted(rows, by, value).where(F.col("upto") > at).groupBy(*by).agg(F.min(value).alias("percentile"))
+
+
+def linear_percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Percentiles by linear interpolation between the two nearest values (A15), a column for each name of qs."""
+    n, v = F.col("n"), F.col(value).cast("double")
+    ends = []
+    for name, q in qs.items():
+        place = F.lit(q) * (n - 1)
+        for side, at in (("a", F.floor(place)), ("z", F.ceil(place))):
+            ends.append(F.min(F.when(F.col("upto") > at, v)).alias(f"{name}_{side}"))
+        ends.append(F.max(place - F.floor(place)).alias(f"{name}_w"))
+    found = _counted(rows, by, value).groupBy(*by).agg(*ends)
+    c = F.col
+    return found.select(*by, *(F.round(c(f"{x}_a") + (c(f"{x}_z") - c(f"{x}_a")) * c(f"{x}_w"), 6).alias(x) for x in qs))
 
 
 def trailing_count(rows: DataFrame, by: str, seconds: str, width: int, include_now: bool) -> DataFrame:

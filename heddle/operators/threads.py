@@ -60,13 +60,18 @@ def thread_totals(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def ancestors(rows: DataFrame) -> DataFrame:
-    """Each row's chain of parents, oldest first, by a recursive query."""
-    spark = rows.sparkSession
-    rows.select("thread", "id", "parent").createOrReplaceTempView("heddle_thread_rows")
-    return spark.sql("""
-        WITH RECURSIVE up(thread, leaf, id, parent, hops) AS (
-          SELECT thread, id, id, parent, 0 FROM heddle_thread_rows
-          UNION ALL
-          SELECT r.thread, up.leaf, r.id, r.parent, up.hops + 1 FROM up JOIN heddle_thread_rows r ON r.thread = up.thread AND r.id = up.parent WHERE up.hops < 90)
-        SELECT thread, leaf AS id, array_join(transform(array_sort(collect_list(struct(-hops AS o, id AS i))), x -> cast(x.i AS string)), '>') AS chain
-        FROM up GROUP BY thread, leaf""")
+    """Each row's chain of parents, oldest first, joined by >.
+
+    Pointer doubling: each round a row's chain takes in the chain of the row it ends at, so a chain of any
+    length takes as many rounds as its length has binary digits. A row that leads into a cycle never ends; its chain is
+    cut after as many rounds as the largest thread's rows have digits.
+    """
+    ids = rows.select("thread", F.col("id").alias("parent"), F.col("id").alias("up")).distinct()
+    now = rows.select("thread", "id", "parent").join(ids, ["thread", "parent"], "left").select("thread", "id", "up", F.array("id").alias("chain"))
+    most = rows.groupBy("thread").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    for _ in range(most.bit_length()):
+        far = now.select("thread", F.col("id").alias("up"), F.col("up").alias("next"), F.col("chain").alias("above"))
+        now = now.join(far, ["thread", "up"], "left").select("thread", "id", F.col("next").alias("up"), F.when(F.col("above").isNull(), F.col("chain")).otherwise(F.concat("above", "chain")).alias("chain")).checkpoint()
+        if now.where("up IS NOT NULL").isEmpty():
+            break
+    return now.select("thread", "id", F.array_join(F.transform("chain", lambda i: i.cast("string")), ">").alias("chain"))

@@ -64,6 +64,9 @@ _SITES = (
     "https://www.reddit.com/r/spark/comments/%s/title/", "https://news.ycombinator.com/item?id=%s", "https://github.com/apache/spark/pull/%s", "https://github.com/apache/spark/blob/main/%s.md",
     "https://bsky.app/profile/a.b/post/%s", "https://stackoverflow.com/questions/%s/how", "https://x.com/someone/status/%s", "http://user@WWW.Example.COM:80/a/%s?b=2&a=1#f", "https://arxiv.org/pdf/%s", "https://127.0.0.1/%s", "ftp://example.com/%s", "https://0x7f.1/%s",
     "https://10.1.2.3:8080/%s.json", "not a url %s", "https://gist.github.com/someone/%s", "https://old.reddit.com/r/spark/top?limit=%s",
+    "https://discuss.python.org/t/some-topic/%s/4", "https://discuss.python.org/u/%s", "https://meta.mathoverflow.net/a/%s", "https://physics.meta.stackexchange.com/questions/%s/x/7", "https://chat.stackexchange.com/questions/%s",
+    "https://www.fixupx.com/someone/status/%s/photo/1", "https://t.co/abc%s", "https://x.com/someone/likes/%s", "https://github.com/pricing/x%s", "https://github.com/a/b/raw/main/%s", "https://github.com/a/b/pull/%s/files", "https://github.com/a/b/pull/1/commits/abcdef%s",
+    "https://gist.github.com/0123456789abcdef0123%s", "https://github.com/users/%s", "https://www.reddit.com/user/u%s", "https://www.reddit.com/r/spark/s/Ab%s", "https://news.ycombinator.com/newest?x=%s", "https://news.ycombinator.com/user?id=%s", "https://bsky.app/search/%s", "https://stackoverflow.com/questions/tagged/%s",
 )
 
 
@@ -80,7 +83,37 @@ _U = f"(SELECT page_id, {_SITE_SQL} AS url FROM pages) u"
 
 
 def _route_sql(u: str) -> str:
-    return _case([(" OR ".join(f"regexp_matches({_host(u)}, '(?i)(^|\\.){h.replace('.', chr(92) + '.')}$')" for h in hosts), f"'{e}'") for e, hosts in urls.ROUTES], "'browser'")
+    h, p = _host(u), _p(u, 3)
+    cut = f"regexp_replace({p}, '/$', '')"
+    within = lambda d: f"regexp_matches({h}, '(?i)(^|\\.){d}$')"
+    post = f"regexp_replace(regexp_replace({h}, '^www\\.', ''), '^mobile\\.', '')"
+    listed = lambda hosts: "(" + ", ".join(f"'{x}'" for x in hosts) + ")"
+    question = f"""({h} IN {listed([*urls.QUESTION_HOSTS, *("meta." + x for x in urls.QUESTION_HOSTS)])} OR (regexp_matches({h}, '^(meta\\.[^.]+|[^.]+\\.meta|[^.]+)\\.stackexchange\\.com$')
+      AND NOT regexp_matches({h}, '^(meta\\.)?(api|chat|data|openid)(\\.meta)?\\.stackexchange\\.com$')))"""
+    return _case(
+        [
+            (f"{within('reddit[.]com')} AND (regexp_matches({p}, '{urls.SHARE_PATH}') OR regexp_matches({p}, '{urls.PERMALINK_PATH}') OR regexp_matches(regexp_replace({cut}, '\\.json$', ''), '{urls.LISTING_PATH}'))", "'reddit'"),
+            (f"{within('news[.]ycombinator[.]com')} AND (({cut} = '/item' AND regexp_matches({_qs(u)}, '(^|&)id=[0-9]+(&|$)')) OR {cut} IN ('', '/news', '/front', '/newest', '/ask', '/show'))", "'hackernews'"),
+            (f"({_GH.replace('url', u) if u != 'url' else _GH}) IS NOT NULL", "'github'"),
+            (f"{h} IN {listed(urls.FORUM_HOSTS)} AND regexp_matches({cut}, '{urls.TOPIC_PATH}')", "'discourse'"),
+            (f"{within('bsky[.]app')} AND regexp_matches({p}, '^/*profile/[^/]+(/post/[^/]+)?/*$')", "'bluesky'"),
+            (f"{question} AND regexp_matches({p}, '{urls.QUESTION_PATH}')", "'stackexchange'"),
+            (f"lower({_p(u, 1)}) IN ('http', 'https') AND (({post} IN {listed(urls.POST_HOSTS)} AND regexp_matches({p}, '{urls.STATUS_PATH}')) OR ({h} = 't.co' AND regexp_matches({p}, '{urls.SHORT_LINK_PATH}')))", "'twitter'"),
+        ],
+        "'browser'",
+    )
+
+
+_PT = f"regexp_replace({_p('url', 3)}, '/$', '')"
+_GH = _case(
+    [
+        (f"{_host('url')} = 'gist.github.com'", f"CASE WHEN regexp_matches({_PT}, '^/([A-Za-z0-9-]+/[0-9a-fA-F]+|[0-9a-fA-F]{{20,}})$') THEN 'gist' END"),
+        (f"{_host('url')} NOT IN ('github.com', 'www.github.com')", "NULL"),
+        (f"lower(split_part({_PT}, '/', 2)) IN (" + ", ".join(f"'{o}'" for o in urls.RESERVED_OWNERS) + f") OR list_has_any(string_split({_PT}, '/'), ['.', '..'])", "NULL"),
+        *[(f"regexp_matches({_PT}, '^/[A-Za-z0-9-]+/[A-Za-z0-9._-]+{r}$')", f"'{k}'") for k, r in (("issue", "/issues/[0-9]+"), ("pull", "/pull/[0-9]+"), ("repo", ""), ("blob", "/blob/.*/.*"), ("tree", "/tree/.+"), ("releases", "/releases"), ("release", "/releases/latest"), ("release", "/releases/tag/.+"), ("discussion", "/discussions/[0-9]+"), ("commit", "/commit/[0-9a-fA-F]{7,40}"), ("commit", "/pull/[0-9]+/commits/[0-9a-fA-F]{7,40}"))],
+    ],
+    "NULL",
+)
 
 
 @query("page_routes", f"SELECT {_route_sql('url')} AS engine, count(*) AS n_pages, min(page_id) AS first_page FROM {_U} GROUP BY 1")
@@ -149,23 +182,15 @@ def reserved_ranges(spark, sf_dir):
     return ips.join(ranges, F.col("ip").between(F.col("first"), F.col("last"))).groupBy("cidr").agg(F.count("*").alias("n"), F.min("ip").alias("least_ip"))
 
 
-_GH_R = r"^/[^/]+/[^/]+"
-_GH = _case(
-    [
-        (f"regexp_matches({_host('url')}, '(?i)(^|\\.)gist\\.github\\.com$')", "CASE WHEN regexp_matches(p, '^/[^/]+/[0-9a-f]+$') THEN 'gist' END"),
-        (f"{_host('url')} NOT IN ('github.com', 'www.github.com')", "NULL"),
-        ("lower(regexp_extract(p, '^/([^/]+)', 1)) IN (" + ", ".join(f"'{o}'" for o in urls.RESERVED_OWNERS) + r") OR regexp_matches(p, '/\.\.?(/|$)')", "NULL"),
-        *[(f"regexp_matches(p, '{_GH_R}{r}')", f"'{k}'") for k, r in (("issue", r"/issues/\d+$"), ("pull", r"/pull/\d+(/[^/]+)?$"), ("discussion", r"/discussions/\d+$"), ("commit", r"/commit/[0-9a-fA-F]{7,40}$"), ("release", r"/releases/(tag/.+|latest)$"), ("releases", r"/releases$"), ("file", r"/(blob|raw)/.+$"), ("tree", r"/tree/.+$"), ("repo", r"$"))],
-    ],
-    "NULL",
-)
 _TID = _case(
     [
         (f"regexp_matches({_host('url')}, '(?i)(^|\\.)reddit\\.com$')", f"regexp_extract({_p('url', 3)}, '/comments/([0-9a-z]+)', 1)"),
         (f"{_host('url')} = 'news.ycombinator.com'", rf"regexp_extract({_qs('url')}, '(?:^|&)id=(\d+)', 1)"),
-        (f"regexp_matches({_host('url')}, '(?i)(^|\\.)(stackoverflow|stackexchange)\\.com$')", rf"regexp_extract({_p('url', 3)}, '^/q(?:uestions)?/(\d+)', 1)"),
+        (f"regexp_matches({_host('url')}, '^(meta[.])?(stackoverflow[.]com|superuser[.]com|serverfault[.]com|askubuntu[.]com|mathoverflow[.]net)$') OR (regexp_matches({_host('url')}, '^(meta[.][^.]+|[^.]+[.]meta|[^.]+)[.]stackexchange[.]com$') AND NOT regexp_matches({_host('url')}, '^(meta[.])?(api|chat|data|openid)([.]meta)?[.]stackexchange'))",
+         f"CASE WHEN regexp_matches({_p('url', 3)}, '{urls.QUESTION_PATH}') THEN regexp_extract({_p('url', 3)}, '{urls.QUESTION_PATH}', 1) || CASE WHEN starts_with({_p('url', 3)}, '/a/') THEN 'a/' ELSE '' END || regexp_extract({_p('url', 3)}, '{urls.QUESTION_PATH}', 3) ELSE '' END"),
+        (f"{_host('url')} IN (" + ", ".join(f"'{x}'" for x in urls.FORUM_HOSTS) + ")", f"regexp_extract({_PT}, '{urls.TOPIC_PATH}', 2) || regexp_extract({_PT}, '{urls.TOPIC_PATH}', 3)"),
         (f"{_host('url')} = 'bsky.app'", f"regexp_extract({_p('url', 3)}, '^/profile/[^/]+/post/([0-9a-z]+)', 1)"),
-        (f"regexp_matches({_host('url')}, '(?i)(^|\\.)(x|twitter)\\.com$')", rf"regexp_extract({_p('url', 3)}, '/status(?:es)?/(\d+)', 1)"),
+        (f"regexp_matches({_host('url')}, '^(www[.])?(mobile[.])?(x|twitter|fxtwitter|fixupx|vxtwitter|fixvx)[.]com$')", f"regexp_extract({_p('url', 3)}, '{urls.STATUS_PATH}', 1)"),
     ],
     "''",
 )
@@ -173,7 +198,7 @@ _TID = _case(
 
 @query("url_targets", f"""SELECT page_id, {_GH} AS repo_kind, {_TID} AS thread_id,
   coalesce(least(greatest(try_cast(regexp_extract({_qs('url')}, '(?:^|&)limit=(\\d{{1,6}})(?:&|$)', 1) AS INTEGER), 1), 100), 25) AS listing_limit
-  FROM (SELECT *, regexp_replace({_p('url', 3)}, '/+$', '') AS p FROM {_U})""")
+  FROM {_U}""")
 def url_targets(spark, sf_dir):
     """What a URL names on its site."""
     u = F.col("url")
@@ -197,9 +222,14 @@ def redirects(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.redirected_elsewhere(u, got).alias("elsewhere"))
 
 
-_REWRITE = rf"""CASE WHEN regexp_matches({_host('url')}, '(?i)(^|\.)youtube\.com$') AND NOT contains({_qs('url')}, 'ucbcb=') THEN url || CASE WHEN {_qs('url')} = '' THEN '?' ELSE '&' END || 'ucbcb=1'
-  ELSE regexp_replace(url, '^https?://(www\.|mobile\.)?twitter\.com/', 'https://x.com/') END"""
-_REWRITES = [(1, "https://twitter.com/a/status/1"), (2, "http://mobile.twitter.com/b"), (3, "https://www.youtube.com/watch?v=1"), (4, "https://youtube.com/"), (5, "https://www.youtube.com/watch?v=1&ucbcb=1"), (6, "https://example.com/twitter.com/")]
+_PAIRS = f"""list_transform(list_filter(string_split(concat_ws('&', 'ucbcb=1', nullif({_qs('url')}, '')), '&'), lambda p: p <> ''), lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}})"""
+_REWRITE = rf"""CASE WHEN {_host('url')} IN ('twitter.com', 'www.twitter.com', 'mobile.twitter.com') THEN regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?)[^/?#]*', '\1x.com')
+  WHEN regexp_matches({_host('url')}, '^(www\.)?(m\.)?(youtube\.com|google\.com|news\.google\.com)$') AND NOT regexp_matches({_qs('url')}, '(^|&)ucbcb(=|&|$)')
+  THEN regexp_extract(url, '^[^?#]*') || '?' || array_to_string(list_transform(list_sort({_PAIRS}), lambda x: x.p), '&') || regexp_extract(url, '#.*$') ELSE url END"""
+_REWRITES = [
+    (1, "https://twitter.com/a/status/1"), (2, "http://mobile.twitter.com/b"), (3, "https://www.youtube.com/watch?v=1"), (4, "https://youtube.com/"), (5, "https://www.youtube.com/watch?v=1&ucbcb=1"), (6, "https://example.com/twitter.com/"),
+    (7, "https://www.google.com/search?q=a&hl=en"), (8, "https://news.google.com/home#top"), (9, "https://m.youtube.com/watch?a=1"), (10, "https://studio.youtube.com/x"), (11, "https://music.twitter.com/x"), (12, "https://TWITTER.com:443/a?b#c"), (13, "https://maps.google.com/x"),
+]
 
 
 @query("url_rewrites", f"SELECT id, {_REWRITE} AS rewritten FROM {values(_REWRITES, 'id, url')}")
@@ -255,7 +285,9 @@ def page_verdicts(spark, sf_dir):
     n = F.col("page_id") % 50
     status = F.when(n == 7, 403).when(n == 11, 429).when(n == 13, 404).when(n == 17, 503).when(n == 19, 405).otherwise(200)
     pages = table(spark, sf_dir, "pages").select(urls.hostname(F.col("url")).alias("host"), "html", text.strip_tags(F.col("html")).alias("txt"), status.alias("status"))
-    judged = pages.select("host", classify.page_verdict(F.col("html"), F.col("txt"), F.col("status")).alias("verdict"), text.prose_chars(F.col("txt")).alias("prose"))
+    # what several checks look at is a column of its own
+    staged = pages.withColumn("silent", classify.silent_failure(F.col("txt"))).withColumn("prose", text.prose_chars(F.col("txt")))
+    judged = staged.select("host", classify.page_verdict(F.col("html"), F.col("txt"), F.col("status"), F.col("silent"), F.col("prose")).alias("verdict"), "prose")
     buckets = [F.count_if(F.col("prose") <= 100 * 4**i).alias(f"le_{100 * 4**i}") for i in range(6)]
     return judged.groupBy("host", "verdict").agg(F.count("*").alias("n_pages"), F.sum("prose").alias("prose_chars"), *buckets)
 
@@ -271,9 +303,51 @@ def wall_markers(spark, sf_dir):
 _VIS = r"length(regexp_replace(txt, '\s', '', 'g'))"
 
 
-@query("needs_browser", f"""SELECT page_id, CASE WHEN {_VIS} >= 1500 THEN false WHEN NOT contains(lower(left(html, 200000)), '<script') THEN false
-  WHEN regexp_matches(lower(left(html, 200000)), 'enable javascript|requires javascript|javascript is disabled|javascript is required|id=.(root|app|__next|___gatsby).>\\s*</div>') THEN true
-  WHEN {_VIS} / greatest(length(html), 1) < 0.01 AND length(html) > 20000 THEN true WHEN {_VIS} >= 300 THEN false ELSE {_VIS} < 60 OR {_VIS} / greatest(length(html), 1) < 0.03 END AS needs FROM (SELECT *, {_strip('html')} AS txt FROM pages)""")
+_SCRIPTED = " OR ".join(f"contains(lower(left(html, 200000)), '{m}')" for m in (
+    "enable javascript", "requires javascript", "javascript is disabled", "javascript is required", "need to enable javascript", 'id="root"', 'id="app"', 'id="__next"', 'id="__nuxt"', 'id="svelte"', 'id="___gatsby"',
+    "data-reactroot", "ng-app", "ng-view", "ng-version", "<app-root", 'id="q-app"', 'id="elm"'))
+_NEEDS = f"""CASE WHEN {_VIS} >= 1500 THEN false WHEN NOT contains(lower(left(html, 200000)), '<script') THEN false WHEN {_SCRIPTED} THEN true
+  WHEN {_VIS} / greatest(length(html), 1) < 0.01 AND length(html) > 20000 THEN true WHEN {_VIS} >= 300 THEN false ELSE {_VIS} < 60 OR {_VIS} / greatest(length(html), 1) < 0.03 END"""
+_MOUNTED = [(i, h, t) for i, (h, t) in enumerate([
+    ('<script></script><div id="q-app">loaded</div>', "a" * 400), ('<script></script><div id="root">text inside</div>', "b" * 400), ("<script></script><app-root></app-root>", "c" * 700), ('<div id="root"></div>', "d"),
+    ("<script></script><p>You need to enable JavaScript to run this app</p>", "e" * 500), ("<script></script>" + "<p></p>" * 20, "f" * 100), ("<script></script><html ng-version=9>", "g" * 1600), ("<script></script>x", "short"),
+])]
+
+
+@query("scripted_pages", f"SELECT id, {_NEEDS} AS needs FROM {values(_MOUNTED, 'id, html, txt')}")
+def scripted_pages(spark, sf_dir):
+    """Fixed pages with mount points of several frameworks."""
+    return table_of(spark, _MOUNTED, "id int, html string, txt string").select("id", classify.needs_browser(F.col("html"), F.col("txt")).alias("needs"))
+
+
+_LONG = "words of a page that says something " * 12
+_FETCHED = [(i, *r) for i, r in enumerate([
+    ("https://a.com/x", "https://a.com/x", True, "", 200, "<p>", _LONG), ("https://a.com/x", "http://127.0.0.1/x", True, "", 200, "<title>Just a moment</title>", _LONG), ("https://a.com/x", "", True, "", 200, "<title>Just a moment</title>", _LONG),
+    ("https://a.com/x", "", False, "Too Many Requests", 200, "<p>", _LONG), ("https://a.com/x", "", False, "", 403, "<p>", _LONG), ("https://a.com/x", "https://consent.a.com/m", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/login", True, "", 200, "<p>", _LONG),
+    ("https://a.com/login", "https://a.com/signin?x", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/sorry/index", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/y", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/captcha", True, "", 404, "<p>", _LONG),
+    ("https://a.com/x", "", True, "", 200, "<p>", "   "), ("https://a.com/x", "", True, "", 451, "<p>", _LONG), ("https://a.com/x", None, None, None, 200, "<p>", "Page not found\nsorry"), ("https://a.com/x", "https://localhost/login", True, "", 200, "<p>", _LONG),
+])]
+_FH, _AH = _host("final"), _host("asked")
+_ELSE = f"(regexp_replace({_FH}, '^www\\.', '') <> regexp_replace({_AH}, '^www\\.', '') OR regexp_replace({_p('final', 3)}, '/$', '') <> regexp_replace({_p('asked', 3)}, '/$', ''))"
+_LOGIN = "(?i)/(login|signin|sign-in|sign_in|authwall)(/|$|[.]|[?])"
+
+
+@query("page_pipeline", f"""SELECT id, CASE WHEN coalesce(final, '') <> '' AND {_FH} <> {_AH} AND {_FH} IN ('localhost', '127.0.0.1') THEN 'refused' WHEN contains(lower(html), '<title>just a moment') THEN 'captcha'
+  WHEN NOT coalesce(success, true) THEN CASE WHEN contains(lower(message), 'too many requests') THEN 'http_429' WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' ELSE 'upstream_error' END
+  WHEN starts_with(coalesce({_FH}, ''), 'consent.') THEN 'captcha' WHEN status IN (404, 410) THEN 'not_found' WHEN status >= 500 THEN 'site_error' WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status = 400 THEN 'error' WHEN status >= 400 THEN 'bot_block'
+  WHEN starts_with(lower(txt), 'page not found') THEN 'not_found' WHEN trim(txt) = '' OR length({prose_sql('txt')}) < 200 THEN 'thin_content'
+  WHEN coalesce(final, '') <> '' AND {_ELSE} AND regexp_matches({_p('final', 3)}, '(?i)captcha|_verification\\b|/(verify|challenge)(/|$|[.])|/sorry/') THEN 'captcha'
+  WHEN coalesce(final, '') <> '' AND {_ELSE} AND regexp_matches({_p('final', 3)}, '{_LOGIN}') AND NOT regexp_matches({_p('asked', 3)}, '{_LOGIN}') THEN 'bot_block' ELSE 'ok' END AS verdict FROM {values(_FETCHED, 'id, asked, final, success, message, status, html, txt')}""")
+def page_pipeline(spark, sf_dir):
+    """All checks of a fetched page in their order, over fixed answers."""
+    c = F.col
+    rows = table_of(spark, _FETCHED, "id int, asked string, final string, success boolean, message string, status int, html string, txt string")
+    rows = rows.withColumn("silent", classify.silent_failure(c("txt"))).withColumn("prose", text.prose_chars(c("txt")))
+    verdict = classify.page_verdict(c("html"), c("txt"), c("status"), c("silent"), c("prose"), asked=c("asked"), final=c("final"), success=c("success"), message=c("message"))
+    return rows.select("id", verdict.alias("verdict"))
+
+
+@query("needs_browser", f"SELECT page_id, {_NEEDS} AS needs FROM (SELECT *, {_strip('html')} AS txt FROM pages)")
 def needs_browser(spark, sf_dir):
     """Pages whose text their scripts make."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html", text.strip_tags(F.col("html")).alias("txt"))

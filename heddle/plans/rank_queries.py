@@ -85,8 +85,8 @@ SELECT engine, count(*) AS n_silent FROM q, e WHERE query_id IN (SELECT query_id
 def silent_engines(spark, sf_dir):
     """Engines that were asked and gave nothing (users stand for searches, values under 2 for rows)."""
     events = table(spark, sf_dir, "events")
-    engines = [F.lit(r[0]) for r in events.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]  # a pool of engines, bounded
-    asked = events.select(F.col("user_id").alias("query_id")).distinct().withColumn("engine", F.explode(F.array(*engines)))
+    pool = events.agg(F.sort_array(F.collect_set("event_type")).alias("pool")).scalar()  # every engine seen
+    asked = events.select(F.col("user_id").alias("query_id")).distinct().withColumn("pool", pool).select("query_id", F.explode("pool").alias("engine"))
     rows = events.where("value < 2").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("engine"))
     return ranking.silent_engines(asked, rows, _failures(spark, sf_dir))
 

@@ -88,7 +88,7 @@ def clocks(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.clock(F.col("value") * 40).alias("clock"))
 
 
-@query("thin_posts", """SELECT lang, count(CASE WHEN length(trim(text)) < 80 OR regexp_matches(lower(text), 'javascript is not available|something went wrong|log in|sign up|try reloading') THEN 1 END) AS n_thin,
+@query("thin_posts", """SELECT lang, count(CASE WHEN length(trim(text)) < 80 OR regexp_matches(lower(text), 'this page doesn[’'']t exist|something went wrong. try reloading|this post is unavailable|this post was deleted') THEN 1 END) AS n_thin,
   count(CASE WHEN length(text) > n_chars / 2 THEN 1 END) AS n_longer FROM documents GROUP BY lang""")
 def thin_posts(spark, sf_dir):
     """Texts too thin to be a post; texts longer than another version (declared: half of them)."""
@@ -97,7 +97,21 @@ def thin_posts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count_if(classify.thin_post(t)).alias("n_thin"), F.count_if(text.longer(half, t) != half).alias("n_longer"))
 
 
-_LETTERS = "regexp_replace(lower(regexp_replace({0}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g')), '[^a-z0-9]', '', 'g')"
+_SHELLS = [(i, t) for i, t in enumerate([
+    "To read on, log in or sign up. " + "A real post with much to say about its subject. " * 3, "Something went wrong. Try reloading. " + "x " * 60, "Something went wrong with my build, and I am trying hard to find out what it could have been today.",
+    "This page doesn’t exist. " + "y " * 60, "this post was deleted" + " z" * 60, "short", " " * 100 + "spaces don't count", "w" * 80,
+])]
+
+
+@query("post_shells", f"""SELECT id, contains(low, 'this page doesn’t exist') OR contains(low, 'this page doesn''t exist') OR contains(low, 'something went wrong. try reloading') OR contains(low, 'this post is unavailable') OR contains(low, 'this post was deleted')
+  OR length(trim(t)) < 80 AS thin FROM (SELECT *, lower(t) AS low FROM {values(_SHELLS, 'id, t')})""")
+def post_shells(spark, sf_dir):
+    """Error shells and posts."""
+    return table_of(spark, _SHELLS, "id int, t string").select("id", classify.thin_post(F.col("t")).alias("thin"))
+
+
+_PLAIN = "lower(regexp_replace(regexp_replace(regexp_replace({0}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`#>|]', '', 'g'), '\\s+', ' ', 'g'))"
+_LETTERS = "regexp_replace(" + _PLAIN + ", '[^a-z0-9]', '', 'g')"
 
 
 @query("benchmark_coverage", f"""WITH b AS (SELECT item_id, {_LETTERS.format('text')} AS l FROM benchmark), d AS (SELECT doc_id, lang, {_LETTERS.format('text')} AS l FROM documents)
@@ -112,29 +126,41 @@ def benchmark_coverage(spark, sf_dir):
     return found.groupBy(F.col("key.lang").alias("lang")).agg(F.count("*").alias("n_found"), F.countDistinct("key.doc_id").alias("n_docs"))
 
 
-@query("sentence_coverage", f"""WITH l AS (SELECT doc_id, text, {_LETTERS.format('text')} AS have FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, have, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(x)), lambda x: len(string_split_regex(trim(x), '\\s+')) >= 8 AND NOT contains(x, '://')) AS good FROM l),
+@query("sentence_coverage", f"""WITH l AS (SELECT doc_id, text, {_LETTERS.format('left(text, (2 * length(text)) // 3)')} AS have FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, have, array_to_string(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: {_PLAIN.format('x')}), chr(10)) AS lines FROM l),
+s AS (SELECT doc_id, have, list_filter(list_transform(regexp_split_to_array(regexp_replace(lines, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x)), lambda x: len(string_split_regex(x, '\\s+')) >= 8 AND NOT contains(x, '://')) AS good FROM n),
 p AS (SELECT doc_id, have, CASE WHEN len(good) > 10 THEN list_transform(range(10), lambda i: good[(i * len(good)) // 10 + 1]) ELSE good END AS asked FROM s),
 a AS (SELECT doc_id, have, list_filter(list_transform(asked, lambda x: {_LETTERS.format('x')}), lambda x: x <> '') AS asked FROM p)
 SELECT doc_id, CASE WHEN len(asked) > 0 THEN round(len(list_filter(asked, lambda x: contains(have, x))) / len(asked), 2) END AS coverage FROM a""")
 def sentence_coverage(spark, sf_dir):
-    """F16: share of each text's own lines of eight words and more that its letters hold (a text covers itself)."""
+    """F16: share of each text's sentences of eight words and more that its first two thirds hold."""
     t = F.col("text")
-    lines = F.regexp_replace(t, r"[.!?]", "")
+    part = F.substr(t, F.lit(1), F.floor(F.length(t) * 2 / 3).cast("int"))
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", text.coverage(lines, t).alias("coverage"))
+    return docs.select("doc_id", text.coverage(t, part).alias("coverage"))
+
+
+_PHRASES = ("the *edge*", "of", " And ")
+_WALLED = "regexp_matches(low, 'just a moment|verify you are human|captcha|access denied|enable javascript|attention required|are you a robot')"
+_GRADE = f"CASE WHEN failed THEN 'error' WHEN length(text) < 3000 AND {_WALLED} THEN 'blocked' WHEN length(trim(text)) < 200 THEN 'empty' WHEN hits = 3 THEN 'ok' WHEN hits > 0 THEN 'partial' ELSE 'miss' END"
+_HITS = "contains(low, 'the edge')::INT + contains(low, 'of')::INT + contains(low, 'and')::INT"
+_GRADED = [(i, t, f) for i, (t, f) in enumerate([
+    ("At the [edge](https://e.com/x) of sand " * 8, False), ("at THE _edge_\n of  And " * 12, False), ("The edge " * 30, False), ("nothing here " * 30, False), ("Please enable JavaScript. " * 10, False), ("Are **you** a robot? " * 12, False),
+    ("captcha " * 500, False), ("Attention  Required! " * 12, False), ("the edge of and", False), ("the edge of and " * 20, True), ("", False),
+])]
 
 
-_GRADE = "CASE WHEN failed THEN 'error' WHEN length(text) < 3000 AND regexp_matches(lower(text), 'access denied|verify you are human|just a moment') THEN 'blocked' WHEN length(trim(text)) < 200 THEN 'empty' WHEN hits = 3 THEN 'ok' WHEN hits > 0 THEN 'partial' ELSE 'miss' END"
+@query("graded_texts", f"SELECT id, {_GRADE} AS grade FROM (SELECT *, {_HITS} AS hits FROM (SELECT *, {_PLAIN.format('text')} AS low FROM {values(_GRADED, 'id, text, failed')}))")
+def graded_texts(spark, sf_dir):
+    """fixed texts by three phrases."""
+    return table_of(spark, _GRADED, "id int, text string, failed boolean").select("id", classify.grade(F.col("text"), F.col("failed"), _PHRASES).alias("grade"))
 
 
-@query("grades", f"""SELECT grade, sum((quality = 1)::INT)::BIGINT AS n_good, sum((quality = 0)::INT)::BIGINT AS n_bad FROM (SELECT doc_id, {_GRADE} AS grade FROM
-  (SELECT doc_id, text, doc_id % 40 = 3 AS failed, contains(lower(text), ' the ')::INT + contains(lower(text), ' of ')::INT + contains(lower(text), ' and ')::INT AS hits FROM documents)) g JOIN labels USING (doc_id) GROUP BY grade""")
+@query("grades", f"""SELECT grade, sum((quality = 1)::INT)::BIGINT AS n_good, sum((quality = 0)::INT)::BIGINT AS n_bad FROM (SELECT doc_id, {_GRADE} AS grade FROM (SELECT *, {_HITS} AS hits FROM
+  (SELECT doc_id, text, doc_id % 40 = 3 AS failed, {_PLAIN.format('text')} AS low FROM documents))) g JOIN labels USING (doc_id) GROUP BY grade""")
 def grades(spark, sf_dir):
     """Grades of texts for three phrases, counted by label (failures declared by doc_id)."""
-    low = F.lower("text")
-    hits = sum((F.contains(low, F.lit(p)).cast("int") for p in (" the ", " of ", " and ")), F.lit(0))
-    graded = table(spark, sf_dir, "documents").select("doc_id", classify.grade(F.col("text"), F.col("doc_id") % 40 == 3, hits, F.lit(3)).alias("grade"))
+    graded = table(spark, sf_dir, "documents").select("doc_id", classify.grade(F.col("text"), F.col("doc_id") % 40 == 3, _PHRASES).alias("grade"))
     q = F.col("quality")
     return graded.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("grade").agg(F.count_if(q == 1).alias("n_good"), F.count_if(q == 0).alias("n_bad"))
 

@@ -45,11 +45,11 @@ def block_bodies(spark, sf_dir):
 
 @query("status_kinds", """SELECT s AS status, CASE WHEN s = 403 THEN 'http_403' WHEN s = 429 THEN 'http_429' WHEN s = 504 THEN 'timeout' WHEN s >= 500 THEN 'upstream_error' ELSE 'error' END AS upstream_kind,
   CASE WHEN s IN (404, 410) THEN 'not_found' WHEN s >= 500 THEN 'site_error' WHEN s = 403 THEN 'http_403' WHEN s = 429 THEN 'http_429' WHEN s = 400 THEN 'error' ELSE 'bot_block' END AS page_kind,
-  CASE WHEN s = 502 THEN 'http_429' WHEN s = 404 THEN 'not_found' WHEN s IN (401, 402, 403, 406) THEN 'http_403' WHEN s >= 500 THEN 'upstream_error' ELSE 'error' END AS api_kind FROM range(400, 600) t(s)""")
+  CASE WHEN s = 502 THEN 'http_429' WHEN s IN (500, 503) THEN 'upstream_error' ELSE 'error' END AS api_kind FROM range(400, 600) t(s)""")
 def status_kinds(spark, sf_dir):
     """An HTTP status read as an upstream's, a page's, and an API's error id."""
     s = F.col("status")
-    return spark.range(400, 600).withColumnRenamed("id", "status").select("status", classify.status_kind(s).alias("upstream_kind"), classify.page_status_kind(s).alias("page_kind"), classify.stack_error(s).alias("api_kind"))
+    return spark.range(400, 600).withColumnRenamed("id", "status").select("status", classify.status_kind(s).alias("upstream_kind"), classify.page_status_kind(s).alias("page_kind"), classify.stack_error(s, F.lit(400)).alias("api_kind"))
 
 
 @query("failure_codes", f"""SELECT event_type, coalesce(code, 'upstream_error') AS code, coalesce(retryable, false) AS retryable, kind IN ('http_429', 'http_403', 'captcha', 'bot_block', 'quota_exhausted') AS block, count(*) AS n FROM
@@ -117,13 +117,29 @@ def envelope_verdicts(spark, sf_dir):
     return table_of(spark, _ENVELOPES, "id int, status int, body string, missing boolean").select("id", kind.alias("kind"))
 
 
-_LIMITS = [(1, 12, 30, True), (2, None, 30, True), (3, None, None, True), (4, None, None, False)]
+_API_ERRORS = [(i, e, st) for i, (e, st) in enumerate([(502, 400), (500, 400), (503, 400), (404, 400), (401, 400), (406, 400), (501, 400), (504, 400), (0, 403), (0, 429), (0, 503), (0, 504), (0, 404), (400, 429)])]
 
 
-@query("back_offs", f"SELECT id, coalesce(after, reset, CASE WHEN limited THEN 60 END, 0) AS hold FROM {values(_LIMITS, 'id, after, reset, limited')}")
+@query("api_errors", f"""SELECT id, CASE error_id WHEN 502 THEN 'http_429' WHEN 500 THEN 'upstream_error' WHEN 503 THEN 'upstream_error'
+  WHEN 0 THEN CASE WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status = 504 THEN 'timeout' WHEN status >= 500 THEN 'upstream_error' ELSE 'error' END ELSE 'error' END AS kind FROM {values(_API_ERRORS, 'id, error_id, status')}""")
+def api_errors(spark, sf_dir):
+    """A question site's error ids, and its statuses where there is none."""
+    return table_of(spark, _API_ERRORS, "id int, error_id int, status int").select("id", classify.stack_error(F.col("error_id"), F.col("status")).alias("kind"))
+
+
+_LIMITS = [(i, *r) for i, r in enumerate([
+    (True, None, "12", "30"), (True, None, "0", "30"), (True, None, None, None), (True, None, "Wed, 21 Oct 2026 07:28:00 GMT", None), (True, "99.0", "", "7.5"), (False, "0.0", None, "30"), (False, "0", None, None),
+    (False, "5", "12", "30"), (False, None, "12", "30"), (False, "-1", "12", None), (False, "0.5", "3", "30"), (False, "soon", "3", "30"),
+])]
+_NUM = "CASE WHEN regexp_matches(trim({0}), '^[+]?[0-9]+([.][0-9]+)?$') THEN trim({0})::DOUBLE END"
+
+
+@query("back_offs", f"""SELECT id, CASE WHEN NOT too_many AND NOT coalesce(rm < 1, false) THEN 0.0 WHEN ra > 0 THEN ra WHEN rs > 0 THEN rs WHEN too_many THEN 60.0 ELSE 0.0 END::DOUBLE AS hold
+  FROM (SELECT *, {_NUM.format('remaining')} AS rm, {_NUM.format('after')} AS ra, {_NUM.format('reset')} AS rs FROM {values(_LIMITS, 'id, too_many, remaining, after, reset')})""")
 def back_offs(spark, sf_dir):
-    """C20: how long to hold."""
-    return table_of(spark, _LIMITS, "id int, after int, reset int, limited boolean").select("id", classify.back_off(F.col("after"), F.col("reset"), F.col("limited")).alias("hold"))
+    """C20: how long to hold; only a 429 or a spent budget asks for it."""
+    rows = table_of(spark, _LIMITS, "id int, too_many boolean, remaining string, after string, reset string")
+    return rows.select("id", classify.back_off(F.col("too_many"), F.col("remaining"), F.col("after"), F.col("reset")).alias("hold"))
 
 
 _TRIES = [(1, 1, 503, None, None), (1, 2, 503, None, None), (1, 3, 503, None, None), (2, 1, 429, 9000, None), (3, 1, 500, None, True), (4, 1, 404, None, None)]

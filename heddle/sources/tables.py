@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,10 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Lets checkpoint() work: the cluster's folder from spark.checkpoint.dir, a temporary one only where that is unset."""
+    """Lets checkpoint() work: the cluster's folder from spark.checkpoint.dir, a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heddle-"))
+        told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not told and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="heddle-"))
