@@ -22,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_dup": near_dup.SQL,
     "op3_chat_windows": chat_windows.SQL,
     "op5_url_filter": url_filter.SQL,
     "op7_vector_topk": vector_topk.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }

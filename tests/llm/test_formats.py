@@ -53,6 +53,16 @@ def test_chat_round_trip(spark):
     assert chat_windows.chat_windows(df.limit(0)).collect() == []
 
 
+def test_chat_clashing_columns(spark):
+    """Other columns, whatever their names, change nothing."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"say {t} " * 40) for c in range(4) for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    names = ["tokens", "pos", "window", "through", "system", "kept", "cell", "large", "last", "end", "half", "at", "turns", "loss", "n_tokens", "repeated"]
+    more = df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    plain = lambda d: sorted(map(repr, chat_windows.chat_windows(d).collect()))
+    assert plain(more) == plain(df) and len(plain(df)) > 4
+
+
 def test_url_edges(spark):
     rules = spark.createDataFrame([("com", "/a", "block"), ("COM", "/a", "allow"), ("x.com", "/a", "block"), ("", "/", "block"), (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
     urls = [None, "", "no scheme", "http://x.com/abc", "http://y.x.com/a?q#f", "http://xx.com/a", "HTTP://A.NET", "http://net.example/", "http://com/b", "http://x.com/abc", "a://b://c/d"]
@@ -75,6 +85,29 @@ def test_bloom_filter_passes_all_listed(spark):
     assert {(r["verdict"], r["n"]) for r in got} == {("block", 30000), ("allow", 30000)}
 
 
+def test_filter_grows_with_the_rules(spark):
+    """A million rules: the filter has their size, passes each of them and hardly anything else."""
+    n = 1_000_000
+    words = url_filter.filter_words(n)
+    assert url_filter.filter_words(5) < 100 and n * url_filter.RULE_BITS / 64 <= words <= 2 * n * url_filter.RULE_BITS / 64 and url_filter.filter_words(10**9) == url_filter.MOST_WORDS
+    rules = spark.range(n).select(F.concat(F.lit("h.org/"), F.col("id")).alias("rule"))
+    table = url_filter.bloom_words(rules, words).collect()[0]["words"]
+    assert len(table) == words
+    tried = spark.range(n - 50_000, n + 50_000).select("id", F.concat(F.lit("h.org/"), F.col("id")).alias("rule"))
+    keys = tried.select("id", url_filter._word(F.col("rule"), words).alias("w"), url_filter._mask(F.col("rule")).alias("m")).collect()
+    hits = [r["id"] for r in keys if table[r["w"]] & r["m"] == r["m"]]
+    assert sum(i < n for i in hits) == 50_000 and sum(i >= n for i in hits) < 0.02 * 50_000
+
+
+def test_long_urls_and_hosts(spark):
+    """URLs of a megabyte and hosts of hundreds of labels get their verdicts."""
+    rules = spark.createDataFrame([("org", "/a", "block"), ("deep.org", "", "block")], "host string, path string, verdict string")
+    urls = ["http://x.org/a" + "b" * 1_000_000, "http://" + "l." * 300 + "deep.org/", "http://" + "m" * 100_000 + "/a", "http://x.org/" + "/" * 50_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {0: ("org/a", "block"), 1: ("deep.org", "block"), 2: (None, "allow"), 3: (None, "allow")}
+
+
 def test_knapsack_is_best():
     rng = random.Random(3)
     for _ in range(300):
@@ -197,6 +230,47 @@ def test_search_is_best_first():
         assert tree.leaves <= sum(b >= got[-1][0] for b in bounds) < len(leaves) / 3
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """run()'s rows against a plain version: brute-force groups, passages and leaks, and the mix of what they leave."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from test_models import semi_global
+    from test_pairs import brute_components, brute_substrings
+
+    from heddle.llm import language_id
+
+    rng = random.Random(21)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    rows = [r for r in rows if len((r["text"] or "").split()) < 400][:90]
+    items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()][:12]
+    passage = " ".join(rng.choices((rows[0]["text"] + " " + rows[1]["text"]).split(), k=60))
+    doc = lambda i, text, source="src0": {**rows[0], "doc_id": 10_000 + i, "text": text, "source": source}
+    extra = [doc(0, None), doc(1, "123 456"), doc(2, rows[5]["text"]), doc(3, rows[6]["text"] + " " + passage), doc(4, passage + " " + rows[7]["text"]), doc(5, " ".join(reversed(rows[8]["text"].split())) + " " + items[3], None)]
+    words = items[5].split()
+    words[4:6] = ["changed"]
+    extra.append(doc(6, " ".join(reversed(rows[9]["text"].split())) + " " + " ".join(words)))
+    rows += extra
+    os.makedirs(tmp_path / "sf")
+    spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    got = sorted((tuple(r) for r in pipeline.run(spark, str(tmp_path / "sf")).collect()), key=repr)
+
+    seen = language_id.identify(spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))).where("lang_pred <> 'und' AND score >= 0.5")
+    left = {r["doc_id"]: (r["text"], r["source"]) for r in seen.collect()}
+    assert 10_000 not in left and 10_001 not in left
+    groups = brute_components([(i, t) for i, (t, _) in left.items()], 5)
+    left = {i: x for i, x in left.items() if groups[i][2]}
+    assert 10_002 not in left
+    cut = {i: t for i, _, _, t in brute_substrings([(i, t) for i, (t, _) in left.items()], 50)}
+    assert len(cut[10_004].split()) < len(left[10_004][0].split())
+    plain = lambda t: "".join(c if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    leaks = {i for i, t in cut.items() for x in items if semi_global(plain(x), plain(t)) <= int(len(plain(x)) * 0.2 + 1e-9)}
+    assert {10_005, 10_006} <= leaks
+    rest = [(i, cut[i], left[i][1]) for i in sorted(cut) if i not in leaks]
+    mixed = mixing.mix_sources(spark.createDataFrame(rest, "doc_id long, text string, source string")).where("taken > 0")
+    assert got == sorted((tuple(r) for r in mixed.collect()), key=repr) and len(got) > 20
+
+
 def test_pipeline(spark):
     """Each stage keeps what it should of its own input, and the stages fit together."""
     pipeline = pytest.importorskip("corpus_pipeline")
