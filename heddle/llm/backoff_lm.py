@@ -34,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Coded, all_of, bucket_of, coded_blocks, counts_of, cut_binary, distinct, short_keys, small_counts
-from .kernels import U64, mix64, release
+from .blocks import Coded, all_of, answered, bucket_of, coded_blocks, counts_of, cut_binary, cut_prints, distinct, each_row, parts_of, prints_of, short_keys, small_counts, with_answers
+from .kernels import U64, mix64
 
 #: Words of the longest n-gram, and occurrences that a history needs to be a state.
 ORDER, LEAST = 4, 2
 #: Words of a text that are read in one go; the next part starts from the state that the words before it lead to.
 PART = 512
 _MESSAGE = "bucket long, __block long, prints binary, small binary, big binary"
-_ANSWER = "bucket long, __block long, small binary, big binary, stats array<long>"
+_ANSWER = "__block long, bucket long, small binary, big binary, stats array<long>"
 _TALLY = "kind int, cell int, amount long"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END, _START = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
@@ -119,25 +119,23 @@ class _Block:
         full = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[full], cuts[-1])
         counts = counts[self.order] if k == 1 else counts
-        prints = self.keys[1] if k == 1 else (self.keys[k] & U64(0xFFFFFFFF)).astype(np.uint32)
+        prints = cut_binary(self.keys[1], cuts) if k == 1 else cut_prints((self.keys[k] & U64(0xFFFFFFFF)).astype(np.uint32), cuts)
         small, big = small_counts(counts, cuts)
-        return pa.table([pa.array(full + (k - 1) * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), cut_binary(prints, cuts), small, big], names=["bucket", "__block", "prints", "small", "big"])
+        return pa.table([pa.array(full + (k - 1) * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), prints, small, big], names=["bucket", "__block", "prints", "small", "big"])
 
-    def learn(self, k: int, answers: pa.Table) -> None:
-        """Totals over all training texts, from the answers for k words in the order of their buckets."""
-        bucket = np.asarray(answers["bucket"].combine_chunks())
-        own = answers.filter(pa.array(bucket // self.n == k - 1)).sort_by("bucket")
-        self.total[k] = counts_of(own["small"], own["big"])
-        if k == 1:
-            total = np.empty_like(self.total[1])
-            total[self.order] = self.total[1]
-            self.total[1] = total
-
-    def replay(self, answers: pa.Table, upto: int) -> None:
+    def replay(self, row: pa.Table, upto: int) -> None:
+        """Totals over all training texts for n-grams of up to `upto` words, from the answers of their levels."""
         for k in range(1, upto + 1):
             if k > 1:
                 self.open(k)
-            self.learn(k, answers)
+            if k != 2:
+                level = max(k - 2, 0)
+                told = counts_of(row[f"small{level}"], row[f"big{level}"])
+            words = len(self.keys[1])
+            self.total[k] = told[:words] if k == 1 else told[words:] if k == 2 else told
+            if k == 1:
+                self.total[1] = np.empty_like(told[:words])
+                self.total[1][self.order] = told[:words]
 
     def histories(self, k: int) -> np.ndarray:
         """For each n-gram of k words the number of its history, the k - 1 words before its last."""
@@ -237,24 +235,21 @@ class Automaton:
 def _asks(n: int, level: int):
     """Questions of a level: words and pairs first, then one word more each time."""
 
-    def ask(row: pa.Table, answers: pa.Table | None) -> pa.Table:
-        release()
-        if not row.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["bucket", "__block", "prints", "small", "big"])
+    def ask(row: pa.Table) -> pa.Table:
         block = _Block(row, n)
         if level:
-            block.replay(answers, level + 1)
+            block.replay(row, level + 1)
         block.open(level + 2)
         return pa.concat_tables([block.ask(k) for k in ((1, 2) if level == 0 else (level + 2,))])
 
-    return (lambda row, answers: ask(row, answers)) if level else (lambda row: ask(row, None))
+    return ask
 
 
 def _answers(n: int):
     def answer(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         counts = counts_of(table["small"], table["big"])
-        prints, cuts = all_of(table["prints"], U64 if bucket < n else np.uint32)
+        prints, cuts = all_of(table["prints"], U64) if bucket < n else prints_of(table["prints"])
         u, _, number = distinct(prints)
         # bincount adds doubles: whole numbers below 2**53, the high halves apart
         each = np.bincount(number, counts & 0xFFFFFFFF, len(u)).astype(np.int64) + (np.bincount(number, counts >> 32, len(u)).astype(np.int64) << 32)
@@ -263,7 +258,7 @@ def _answers(n: int):
             words = each[u != _START]
             stats[0] = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
         small, big = small_counts(each[number], cuts)
-        return pa.table([table["bucket"], table["__block"], small, big, pa.array(stats, pa.list_(pa.int64()))], names=["bucket", "__block", "small", "big", "stats"])
+        return pa.table([table["__block"], table["bucket"], small, big, pa.array(stats, pa.list_(pa.int64()))], names=["__block", "bucket", "small", "big", "stats"])
 
     return answer
 
@@ -271,51 +266,43 @@ def _answers(n: int):
 def _tallies(n: int):
     """A block's part of the statistics. Kind 0: the buckets' sums over words; 1 and 2: training tokens by order and class, all and those seen once."""
 
-    def tally(row: pa.Table, answers: pa.Table) -> pa.Table:
-        release()
-        rows = [(0, i, x) for s in answers["stats"].to_pylist() if s for i, x in enumerate(s)]
-        if row.num_rows:
-            block = _Block(row, n)
-            block.replay(answers, ORDER)
-            for k in range(2, ORDER + 1):
-                at = np.flatnonzero(block.weight & (block.number[k] >= 0))
-                above = block.total[k - 1][block.number[k - 1][at - 1]]
-                at, above = at[above >= LEAST], above[above >= LEAST]
-                cell = k * _CLASSES + _class(above)
-                once = block.total[k][block.number[k][at]] == 1
-                for kind, sums in ((1, np.bincount(cell)), (2, np.bincount(cell[once]))):
-                    rows += [(kind, int(c), int(sums[c])) for c in np.flatnonzero(sums)]
+    def tally(row: pa.Table) -> pa.Table:
+        rows = [(0, i, x) for i, x in enumerate(row["stats0"][0].as_py() or ())]
+        block = _Block(row, n)
+        block.replay(row, ORDER)
+        for k in range(2, ORDER + 1):
+            at = np.flatnonzero(block.weight & (block.number[k] >= 0))
+            above = block.total[k - 1][block.number[k - 1][at - 1]]
+            at, above = at[above >= LEAST], above[above >= LEAST]
+            cell = k * _CLASSES + _class(above)
+            once = block.total[k][block.number[k][at]] == 1
+            for kind, sums in ((1, np.bincount(cell)), (2, np.bincount(cell[once]))):
+                rows += [(kind, int(c), int(sums[c])) for c in np.flatnonzero(sums)]
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "cell", "amount"])
 
     return tally
 
 
-def _model(table: pa.Table) -> pa.Table:
+def _model(table: pa.Table) -> np.ndarray:
     """From the summed tallies (a few hundred rows at most) the automaton's parameters."""
     kind, cell, amount = (np.asarray(table[c].combine_chunks()) for c in ("kind", "cell", "amount"))
     sums = np.zeros((3, (ORDER + 1) * _CLASSES))
     sums[kind, cell] = amount
     # half a token imagined on either side keeps the weight inside (0, 1)
-    passed = (sums[2] + 0.5) / (sums[1] + 1)
-    return pa.table([pa.array([True]), pa.array([[*sums[0, :4], *passed.tolist()]], pa.list_(pa.float64()))], names=["all", "model"])
+    return np.concatenate([sums[0, :4], (sums[2] + 0.5) / (sums[1] + 1)])
 
 
-def _scores(n: int):
-    def score(row: pa.Table, answers: pa.Table) -> pa.Table:
-        release()
-        names = [c.split()[0] for c in _OUT.split(", ")]
-        if not row.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
+def _scores(n: int, model: np.ndarray):
+    def score(row: pa.Table) -> pa.Table:
         block = _Block(row, n)
-        block.replay(answers, ORDER)
-        model = np.array(answers["model"][0].as_py())
+        block.replay(row, ORDER)
         total = block.total[1][block.code]
         # sums over the tokens of a text, its start left out
         per = lambda x: np.add.reduceat(np.where(block.place > 0, x, 0), block.begin[:-1])
         known, base = per((total > 0).astype(np.int64)), per(np.log10((total + 1) / (model[0] + model[1] + 1)))
         score = Automaton(block, model).read(block)
         ids = block.coded.rest["doc_id"].cast(pa.int64())
-        return pa.table([ids, pa.array(~block.train), pa.array(block.size - 1), pa.array(known), pa.array(np.full(len(known), int(model[0]))), pa.array(base), pa.array(score)], names=names)
+        return pa.table([ids, pa.array(~block.train), pa.array(block.size - 1), pa.array(known), pa.array(np.full(len(known), int(model[0]))), pa.array(base), pa.array(score)], names=[c.split()[0] for c in _OUT.split(", ")])
 
     return score
 
@@ -335,17 +322,13 @@ def score_texts(docs: DataFrame, train: F.Column | None = None, block_bytes: int
     flag = F.coalesce(train, F.lit(True)) if train is not None else F.lit(True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", flag.alias("train"))
     blocks, n = coded_blocks(rows, lower=True, block_bytes=block_bytes)
-    own = blocks.groupBy("__block")
-    answers = None
+    answers: list[DataFrame] = []
     for level in range(ORDER - 1):
-        asked = own.cogroup(answers.groupBy("__block")).applyInArrow(_asks(n, level), _MESSAGE) if level else own.applyInArrow(_asks(n, 0), _MESSAGE)
-        told = asked.groupBy("bucket").applyInArrow(_answers(n), _ANSWER)
-        answers = told if answers is None else answers.unionByName(told)
-    tallies = own.cogroup(answers.groupBy("__block")).applyInArrow(_tallies(n), _TALLY)
-    model = tallies.groupBy("kind", "cell").agg(F.sum("amount").alias("amount")).withColumn("all", F.lit(True)).groupBy("all").applyInArrow(_model, "all boolean, model array<double>")
-    # one row of a fixed size joins the answers where they are
-    told = answers.withColumn("all", F.lit(True)).join(F.broadcast(model), "all")
-    return own.cogroup(told.groupBy("__block")).applyInArrow(_scores(n), _OUT)
+        answers.append(answered(blocks, answers, _asks(n, level), _MESSAGE, _answers(n), _ANSWER, parts_of(n)))
+    told = with_answers(blocks, answers)
+    tallies = told.mapInArrow(each_row(_tallies(n)), _TALLY).groupBy("kind", "cell").agg(F.sum("amount").alias("amount"))
+    model = _model(tallies.toArrow())
+    return told.mapInArrow(each_row(_scores(n, model)), _OUT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A block is one row: the hashes of its distinct words and, for every word of its
 texts, a code into them, most frequent word first. Blocks are cut within
-the partitions of the input and written once, so that every later pass reads
-the same blocks without reading or splitting a text again.
+the partitions of the input and written once, bucketed by their numbers, so that
+every later pass reads the same blocks where their answers are sent, without
+reading, splitting or shuffling a text again.
 
 Blocks and buckets talk in packed arrays: a message holds all that one block
 has for one bucket, in the bucket's order. Messages are cut out of one sorted
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, Words, chunks, release, text_bytes
-from .session import bounded, default_block, stored
+from .session import bounded, default_block, stored_by
 
 _SCHEMA = "__block long, n_bytes long, sizes binary, vocab binary, codes binary, spelled binary, spelled_at binary, rest binary"
+#: Parts of a table of blocks.
+_MOST_PARTS = 20_000
 #: A count of this and more stands in an array of its own, in 64 bits.
 _BIG = 255
 
@@ -102,10 +105,14 @@ def coded_blocks(docs: DataFrame, lower: bool, spell: bool = False, block_bytes:
     """
     spark = docs.sparkSession
     most = block_bytes or default_block(spark)
-    blocks = stored(bounded(docs, most).mapInArrow(lambda b: _pack(b, lower, spell, most), _SCHEMA))
-    total = blocks.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
-    cores = spark.sparkContext.defaultParallelism
-    return blocks, max(int(-(-total // most)), min(3 * cores, int(total // (1 << 18)) + 1), 1)
+    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    n = max(int(-(-total // most)), min(3 * spark.sparkContext.defaultParallelism, int(total // (1 << 18)) + 1), 1)
+    return stored_by(bounded(docs, most).mapInArrow(lambda b: _pack(b, lower, spell, most), _SCHEMA), "__block", parts_of(n)), n
+
+
+def parts_of(n: int) -> int:
+    """Parts of the tables of blocks and answers."""
+    return min(n, _MOST_PARTS)
 
 
 class Coded:
@@ -151,6 +158,34 @@ def cut_binary(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, _offsets(cuts, x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
 
 
+def _by_byte(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first byte of each 32-bit value stands if each message has its values' bytes one kind after another, and the step to the next kind."""
+    size = np.diff(cuts)
+    step = np.repeat(size, size)
+    return np.arange(int(cuts[-1])) + 3 * np.repeat(cuts[:-1], size), step
+
+
+def cut_prints(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Sorted 32-bit values cut into messages, each with its highest bytes first: these run on and compress to nothing."""
+    raw = x.astype(">u4").view(np.uint8).reshape(-1, 4)
+    at, step = _by_byte(cuts)
+    out = np.empty(4 * len(x), np.uint8)
+    for b in range(4):
+        out[at + b * step] = raw[:, b]
+    return cut_binary(out, 4 * cuts)
+
+
+def prints_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of cut_prints(), of all rows behind one another, and the offsets of each row's."""
+    raw, offs = all_of(column, np.uint8)
+    cuts = offs // 4
+    at, step = _by_byte(cuts)
+    out = np.empty((int(cuts[-1]), 4), np.uint8)
+    for b in range(4):
+        out[:, b] = raw[at + b * step]
+    return out.reshape(-1).view(">u4").astype(np.uint32), cuts
+
+
 def small_counts(x: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Counts of any size as a byte each, the large ones besides in 64 bits, cut like the items they belong to."""
     big = x >= _BIG
@@ -166,7 +201,7 @@ def all_of(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 def counts_of(small: pa.ChunkedArray, big: pa.ChunkedArray) -> np.ndarray:
     """The counts of small_counts(), of all rows behind one another."""
-    x = all_of(small, np.uint8)[0].astype(np.int64)
+    x = all_of(small, np.uint8)[0].astype(np.int64)  # a null has none
     x[x == _BIG] = all_of(big, np.int64)[0]
     return x
 
@@ -180,3 +215,45 @@ def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.empty(len(key), np.int64)
     number[order] = np.cumsum(new) - 1
     return ordered[new], order[new], number
+
+
+def each_row(work):
+    """mapInArrow function: work(one-row table) for each block, giving a table or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                out = work(pa.Table.from_batches([batch.slice(i, 1)]))
+                release()
+                if out is not None and out.num_rows:
+                    yield from out.combine_chunks().to_batches()
+
+    return run
+
+
+def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """The blocks with the columns of their answers, numbered by level; all lie bucketed alike, so nothing is shuffled."""
+    for level, told in enumerate(answers):
+        blocks = blocks.join(told.select("__block", *(F.col(c).alias(f"{c}{level}") for c in told.columns if c != "__block")), "__block", "left")
+    return bounded(blocks)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """A block's answers as one row, each column's bytes in the order of the buckets; numbers in `stats` are summed."""
+    table = table.sort_by("bucket")
+    cols = {"__block": table["__block"].slice(0, 1)}
+    for c in table.column_names:
+        if c == "stats":
+            found = [s for s in table[c].to_pylist() if s]
+            cols[c] = pa.array([[sum(x) for x in zip(*found, strict=True)] or None], pa.list_(pa.int64()))
+        elif c not in ("bucket", "__block"):
+            cols[c] = pa.array([all_of(table[c], np.uint8)[0].tobytes()], pa.binary())
+    return pa.table(cols)
+
+
+def answered(blocks: DataFrame, answers: list[DataFrame], ask, messages: str, answer, told: str, parts: int) -> DataFrame:
+    """One exchange, stored: ask(block row) -> messages (bucket, __block, ...), answer(a bucket's messages) -> rows of `told`, merged by block."""
+    asked = with_answers(blocks, answers).mapInArrow(each_row(ask), messages)
+    back = asked.groupBy("bucket").applyInArrow(answer, told)
+    merged = ", ".join(c for c in told.split(", ") if c.split()[0] != "bucket")
+    return stored_by(back.groupBy("__block").applyInArrow(_merged, merged), "__block", parts)

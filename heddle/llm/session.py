@@ -33,7 +33,7 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
     The folder lives as long as the context's checkpoint folder; drop() deletes a table that nothing reads any more.
@@ -53,6 +53,19 @@ def drop(df: DataFrame | None) -> None:
         _delete(df.sparkSession, path)
 
 
+def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """As stored(), bucketed by `key`: grouping or joining the rows by it needs no further shuffle of them."""
+    spark = df.sparkSession
+    name = f"heddle_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    # the table's name is only needed to find it once; its files stay
+    spark.sql(f"DROP TABLE {name}")
+    out._heddle_path = path
+    return out
+
+
 def memory_of_core(spark: SparkSession) -> int:
     """Bytes of an executor's heap for each of its cores."""
     conf = spark.sparkContext.getConf()

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Coded, all_of, bucket_of, coded_blocks, cut_binary, distinct, short_keys
-from .kernels import U64, release, windows
+from .blocks import Coded, all_of, answered, bucket_of, coded_blocks, cut_binary, cut_prints, distinct, each_row, parts_of, prints_of, short_keys, with_answers
+from .kernels import U64, windows
 
 _MESSAGE = "bucket long, __block long, prints binary, ids binary"
-_ANSWER = "bucket long, __block long, bits binary"
+_ANSWER = "__block long, bucket long, bits binary"
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -88,20 +88,18 @@ class _Block:
         full = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[full], cuts[-1])
         last = level == len(self.levels) - 1
-        prints = u if last else (u & U64(0xFFFFFFFF)).astype(np.uint32)
+        prints = cut_binary(u, cuts) if last else cut_prints((u & U64(0xFFFFFFFF)).astype(np.uint32), cuts)
         ids = cut_binary(least, cuts) if last else pa.array([b""] * len(full), pa.binary())
-        return pa.table([pa.array(full + level * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), cut_binary(prints, cuts), ids], names=["bucket", "__block", "prints", "ids"])
+        return pa.table([pa.array(full + level * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), prints, ids], names=["bucket", "__block", "prints", "ids"])
 
-    def learn(self, level: int, answers: pa.Table) -> None:
+    def learn(self, level: int, row: pa.Table) -> None:
         """Keeps as repeated what the buckets' answers, or this block's own documents, show to be so."""
         u, cuts, number, least, at = self.dealt(level)
-        bucket = np.asarray(answers["bucket"].combine_chunks())
-        own = answers.filter(pa.array(bucket // self.n == level)).sort_by("bucket")
-        raw, offs = all_of(own["bits"], np.uint8)
-        sizes = np.diff(cuts)[np.diff(cuts) > 0]
-        # each row's bits begin at a byte of their own
-        bits = np.unpackbits(raw)
-        take = np.arange(int(sizes.sum())) + np.repeat(offs[:-1] * 8 - (np.cumsum(sizes) - sizes), sizes)
+        sizes = np.diff(cuts)
+        # each bucket's bits begin at a byte of their own
+        bits = np.unpackbits(all_of(row[f"bits{level}"], np.uint8)[0])
+        begin = np.cumsum(-(-sizes // 8)) - -(-sizes // 8)
+        take = np.arange(int(sizes.sum())) + np.repeat(begin * 8 - cuts[:-1], sizes)
         told = bits[take].astype(bool)
         texts = self.text_of[at]
         if level < len(self.levels) - 1:
@@ -134,7 +132,7 @@ class _Block:
 def _answers(n: int, last: int):
     def answer(table: pa.Table) -> pa.Table:
         level = table["bucket"][0].as_py() // n
-        prints, cuts = all_of(table["prints"], U64 if level == last else np.uint32)
+        prints, cuts = all_of(table["prints"], U64) if level == last else prints_of(table["prints"])
         u, _, number = distinct(prints)
         if level == last:
             ids = all_of(table["ids"], np.int64)[0]
@@ -149,28 +147,18 @@ def _answers(n: int, last: int):
         begin = np.concatenate([[0], np.cumsum(bytes_of)])
         spread = np.zeros(int(begin[-1]) * 8, bool)
         spread[np.arange(len(yes)) + np.repeat(begin[:-1] * 8 - cuts[:-1], size)] = yes
-        return pa.table([table["bucket"], table["__block"], cut_binary(np.packbits(spread), begin)], names=["bucket", "__block", "bits"])
+        return pa.table([table["__block"], table["bucket"], cut_binary(np.packbits(spread), begin)], names=["__block", "bucket", "bits"])
 
     return answer
 
 
-def _replayed(row: pa.Table, answers: pa.Table | None, levels: list[int], n: int, upto: int) -> _Block:
+def _replayed(row: pa.Table, levels: list[int], n: int, upto: int) -> _Block:
     block = _Block(row, levels, n)
     for level in range(upto):
-        block.learn(level, answers)
+        block.learn(level, row)
     return block
 
 
-def _asks(levels: list[int], n: int, level: int):
-    def ask(row: pa.Table, answers: pa.Table | None) -> pa.Table:
-        release()
-        if not row.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())], names=["bucket", "__block", "prints", "ids"])
-        return _replayed(row, answers, levels, n, level).ask(level)
-
-    return (lambda row, answers: ask(row, answers)) if level else (lambda row: ask(row, None))
-
-
 def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_bytes: int | None = None) -> DataFrame:
     """The documents with every word removed that such a repeated window covers.
 
@@ -187,25 +175,22 @@ def substring_dedup(docs: DataFrame, window: int = 13, start: int = 4, block_byt
     rows = docs.select("doc_id", "text", *others)
     blocks, n = coded_blocks(rows, lower=False, spell=True, block_bytes=block_bytes)
     levels = _levels(start, window)
-    own, answers = blocks.groupBy("__block"), None
+    answers: list[DataFrame] = []
     for level in range(len(levels)):
-        ask = _asks(levels, n, level)
-        asked = own.cogroup(answers.groupBy("__block")).applyInArrow(ask, _MESSAGE) if level else own.applyInArrow(ask, _MESSAGE)
-        told = asked.groupBy("bucket").applyInArrow(_answers(n, len(levels) - 1), _ANSWER)
-        answers = told if answers is None else answers.unionByName(told)
+        ask = lambda row, level=level: _replayed(row, levels, n, level).ask(level)
+        answers.append(answered(blocks, answers, ask, _MESSAGE, _answers(n, len(levels) - 1), _ANSWER, parts_of(n)))
 
     schema = rows.schema.add("n_words", "long").add("n_removed", "long")
     names = schema.names
 
-    def finish(row: pa.Table, found: pa.Table) -> pa.Table:
-        release()
-        block = _replayed(row, found, levels, n, len(levels))
+    def finish(row: pa.Table) -> pa.Table:
+        block = _replayed(row, levels, n, len(levels))
         texts, removed = block.kept()
-        cols = {c: v for c, v in zip(block.coded.rest.column_names, block.coded.rest.columns, strict=True)}
+        cols = dict(zip(block.coded.rest.column_names, block.coded.rest.columns, strict=True))
         cols |= {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(block.coded.size), "n_removed": pa.array(removed, pa.int64())}
         return pa.table([cols[c] for c in names], names=names)
 
-    out = own.cogroup(answers.groupBy("__block")).applyInArrow(finish, schema)
+    out = with_answers(blocks, answers).mapInArrow(each_row(finish), schema)
     return out.select(*[c for c in docs.columns if c in out.columns and c not in ("n_words", "n_removed")], "n_words", "n_removed")
 
 
@@ -218,12 +203,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: DuckDB SQL of the query: a window's first document by its words, then the words that such windows cover.
 SQL = r"""
-WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT r, doc_id, i, hash(list_slice(ws, i, i + 12)) AS k, list_slice(ws, i, i + 12) AS v FROM w, unnest(range(1, len(ws) - 11)) AS t(i) WHERE len(ws) >= 13),
 gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p
          FROM (SELECT r, i, coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY k, v) AS later FROM g) WHERE later),
 cut AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(list_filter(ws, (x, i) -> NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
+       sha256(array_to_string(list_filter(ws, lambda x, i: NOT coalesce(list_contains(ps, i), false)), ' ')) AS kept_sha256
 FROM w LEFT JOIN cut USING (r)
 """

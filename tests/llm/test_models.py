@@ -122,12 +122,20 @@ def test_backoff_is_a_distribution():
         assert abs(sum(plain.step(state, w)[0] for w in words) - 1) < 1e-9
 
 
+def test_messages():
+    """Fingerprints cut into messages come back as they were, empty messages too."""
+    x = np.sort(np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 32, 1000, dtype=np.uint32))
+    cuts = np.array([0, 0, 7, 500, 500, 1000])
+    back, at = blocks.prints_of(pa.chunked_array([blocks.cut_prints(x, cuts)]))
+    assert (back == x).all() and (at == cuts).all()
+
+
 def test_counts_of_any_size():
     """Counts beyond a byte and beyond 32 bits survive the messages."""
     x = np.array([0, 1, 254, 255, 256, 5_000_000_000, 1 << 60, 7])
     small, big = blocks.small_counts(x, np.array([0, 3, 3, 8]))
     assert blocks.counts_of(pa.chunked_array([small]), pa.chunked_array([big])).tolist() == x.tolist()
-    rows = pa.table({"bucket": [5, 5], "__block": [0, 1], "prints": [np.array([3, 9], np.uint32).tobytes(), np.array([9], np.uint32).tobytes()]})
+    rows = pa.table({"bucket": [5, 5], "__block": [0, 1], "prints": blocks.cut_prints(np.array([3, 9, 9], np.uint32), np.array([0, 2, 3]))})
     counts = [blocks.small_counts(np.array(c), np.array([0, len(c)])) for c in ([4_294_967_290, 2], [4_294_967_299])]
     for i, name in enumerate(("small", "big")):
         rows = rows.append_column(name, pa.chunked_array([pa.concat_arrays([c[i] for c in counts])]))
