@@ -1,7 +1,11 @@
-"""Connected components of an undirected graph, by alternating large and small stars; joins that split hot keys."""
+"""Connected components of an undirected graph, by union-find within parts and alternating stars between them; joins that split hot keys."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .session import drop, stored
 
 #: Rows of a key that one task may get in a join, unless there are more than MOST_HOT such keys.
 HOT, MOST_HOT = 2000, 200_000
+#: Edges of a part, which one task joins.
+EDGES = 500_000
 
 
 def hot_rows(total: int) -> int:
@@ -47,13 +53,43 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return tied.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the smallest node that each can reach over them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        p, q = root[x], root[y]
+        apart = p != q
+        if not apart.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part's edges as stars: each node with the smallest it can reach within the part."""
+    cols = [(np.asarray(b.column("a")), np.asarray(b.column("b"))) for b in batches]
+    if cols:
+        node, root = roots(*(np.concatenate([c[i] for c in cols]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of an edge can reach.
 
-    edges: a, b (long); direction, repeats and loops don't matter. Each round is
+    edges: a, b (long); direction, repeats and loops don't matter. The edges are read in parts of EDGES; a task joins its part by
+    union-find. If there are several parts, their stars are joined by rounds of large and small stars over all nodes. Each round is
     written to the shared folder, so a lost executor costs that round at most; a round's table goes when the next is there.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    parts = -(-links.count() // EDGES)
+    dealt = links.repartition(parts) if parts > 1 else links.coalesce(1)
+    within = dealt.mapInArrow(_joined, "a long, b long")
+    if parts <= 1:
+        return within.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now = stored(within.where("a <> b").distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -137,7 +137,10 @@ def test_estimate_is_fair():
         assert abs(np.mean(errors)) < 0.04
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [500_000, 60])
+def test_components(spark, monkeypatch, part):
+    """Chains, stars and random graphs, in one part and in many."""
+    monkeypatch.setattr(components_module, "EDGES", part)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 100), (7, 7)] + [(500, 500 + i) for i in range(1, 300)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(90)]
     up = {x: x for e in edges for x in e}
@@ -150,7 +153,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         up[y] = x
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
 
 
