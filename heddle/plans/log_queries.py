@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import logs
 from ..sources.tables import table
-from ..streaming import folds
+from ..streaming import folds, metrics
 from .registry import query
 
 
@@ -34,6 +34,13 @@ def latency_histogram(spark, sf_dir):
     return h.select("event_type", "le", "n", "count", F.round("sum", 4).alias("sum"))
 
 
+@query("exposed_counters", "SELECT 'events_total{event_type=\"' || event_type || '\",shard=\"' || shard || '\"} ' || n AS line FROM (SELECT event_type, user_id % 7 AS shard, count(*) AS n FROM events GROUP BY 1, 2)")
+def exposed_counters(spark, sf_dir):
+    """Counters by labels as the lines that a scraper reads."""
+    rows = table(spark, sf_dir, "events").withColumn("shard", F.col("user_id") % 7)
+    return metrics.exposition(metrics.counter(rows, ["event_type", "shard"]), "events_total", ["event_type", "shard"])
+
+
 @query("linear_histogram", "SELECT le, count(CASE WHEN le IS NULL OR k <= le THEN 1 END) AS n FROM (SELECT user_id % 12 AS k FROM events), (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, NULL]) AS le) GROUP BY 1")
 def linear_histogram(spark, sf_dir):
     """Cumulative linear buckets."""
@@ -134,7 +141,12 @@ def quota_admissions(spark, sf_dir):
     return folds.fold(rows, "user_id", ["us", "event_id"], lambda: folds.RollingQuota(3, 72 * _HOUR), ["us"]).select("event_id", "admitted")
 
 
-@query("refused_calls")
+@query("refused_calls", f"""WITH RECURSIVE e AS (SELECT user_id, us, event_id % 9 = 0 AS held, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
+b(user_id, k, sent, hold, outcome) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, '' FROM e
+  UNION ALL SELECT user_id, k, CASE WHEN held THEN sent WHEN at - us > {24 * _HOUR} THEN live ELSE list_append(live, at) END, CASE WHEN held THEN greatest(hold, us + {6 * _HOUR}) ELSE hold END, CASE WHEN held THEN 'held' WHEN at - us > {24 * _HOUR} THEN 'quota_exhausted' ELSE 'sent' END
+    FROM (SELECT *, CASE WHEN len(live) >= 3 THEN greatest(w, live[-3] + {72 * _HOUR}) ELSE w END AS at
+      FROM (SELECT e.user_id, e.k, e.us, e.held, b.sent, b.hold, greatest(e.us, b.hold) AS w, list_filter(b.sent, lambda t: t > greatest(e.us, b.hold) - {72 * _HOUR}) AS live FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)))
+SELECT user_id, outcome, count(*) AS n FROM b WHERE k > 0 GROUP BY 1, 2""")
 def refused_calls(spark, sf_dir):
     """A quota with holds (declared: every ninth event), and refusals beyond a day's wait."""
     rows = _events(spark, sf_dir).select("event_id", "user_id", "us", F.when(F.col("event_id") % 9 == 0, "hold").otherwise("call").alias("kind"), F.lit(6 * _HOUR).alias("amount"))
@@ -151,7 +163,10 @@ def spaced_sends(spark, sf_dir):
     return folds.fold(rows, "user_id", ["us", "event_id"], lambda: folds.Spaced(5 * _HOUR), ["us"]).select("event_id", "sent", "wait")
 
 
-@query("completion_spacing")
+@query("completion_spacing", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us, trunc(value * 1000000)::BIGINT AS took, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
+b(user_id, k, event_id, sent, wait, done) AS (SELECT user_id, k, event_id, us, 0::BIGINT, us + took FROM e WHERE k = 1
+  UNION ALL SELECT user_id, k, event_id, s, s - us, s + took FROM (SELECT e.*, greatest(e.us, b.done + {5 * _HOUR}) AS s FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1))
+SELECT event_id, sent, wait FROM b""")
 def completion_spacing(spark, sf_dir):
     """A least delay from the last completion (values stand for seconds), without jitter."""
     rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("value") * 1000000).cast("long").alias("took"))
@@ -170,9 +185,9 @@ def cache_outcomes(spark, sf_dir):
 
 @query("lru_outcomes")
 def lru_outcomes(spark, sf_dir):
-    """A cache of 20 kB over all keys, one order of all events, so one task (a single process's cache)."""
-    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("value") * 20).cast("long").alias("size"))
-    return folds.fold(rows, None, ["us", "event_id"], lambda: folds.LruBytes(20000), ["user_id", "size"]).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("evicted").alias("evicted"))
+    """A cache of 20 kB and thirty days over all keys: one order of all events, so one task. A single process's cache; for small logs only."""
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("value") * 20).cast("long").alias("size"), (F.col("event_id") % 11 == 0).alias("refresh"))
+    return folds.fold(rows, None, ["us", "event_id"], lambda: folds.LruBytes(20000, ttl=720 * _HOUR), ["user_id", "size", "us", "refresh"]).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("evicted").alias("evicted"))
 
 
 @query("shared_flights", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us, us + {24 * _HOUR} AS stop, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
@@ -185,11 +200,16 @@ def shared_flights(spark, sf_dir):
     return folds.fold(rows, "user_id", ["us", "event_id"], folds.SingleFlight, ["us", "stop", "event_id"]).select("event_id", "role", "leader")
 
 
-@query("method_holds")
+@query("method_holds", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us, event_type = 'error' AND NOT (event_id % 3 = 0 AND event_id % 2 = 0) AS holds, event_type = 'error' AS failed, greatest({600_000_000}, trunc(value * {_HOUR})::BIGINT) AS length,
+  row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
+b(user_id, k, allowed, until) AS (SELECT DISTINCT user_id, 0::BIGINT, true, 0::BIGINT FROM e
+  UNION ALL SELECT e.user_id, e.k, e.us >= b.until, CASE WHEN holds THEN greatest(b.until, e.us + length) WHEN NOT failed AND e.us >= b.until THEN 0 ELSE b.until END FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
+SELECT user_id, allowed, count(*) AS n FROM b WHERE k > 0 GROUP BY 1, 2""")
 def method_holds(spark, sf_dir):
-    """Holds after failures, ten minutes at least (values stand for Retry-After in hours)."""
-    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("event_type") == "error").alias("failed"), (F.col("value") * _HOUR).cast("long").alias("after"))
-    return folds.fold(rows, "user_id", ["us", "event_id"], lambda: folds.Holds(600_000_000), ["us", "failed", "after"]).groupBy("user_id", "allowed").agg(F.count("*").alias("n"))
+    """Holds after failures, ten minutes at least (values stand for Retry-After in hours); every third failure is an upstream's, every second meets the last method."""
+    n = F.col("event_id")
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("event_type") == "error").alias("failed"), (F.col("value") * _HOUR).cast("long").alias("after"), (n % 3 == 0).alias("upstream"), (n % 2 == 0).alias("last"))
+    return folds.fold(rows, "user_id", ["us", "event_id"], lambda: folds.Holds(600_000_000), ["us", "failed", "after", "upstream", "last"]).groupBy("user_id", "allowed").agg(F.count("*").alias("n"))
 
 
 @query("byte_budgets", """WITH RECURSIVE d AS (SELECT doc_id % 50 AS bundle, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS k FROM documents),

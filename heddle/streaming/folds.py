@@ -108,26 +108,30 @@ class TtlCache:
 
 
 class Holds:
-    """A method's hold after a failure (T15): its cooldown or a longer Retry-After; a success clears holds set before it started."""
+    """A method's hold after a failure (T15): its cooldown or a longer Retry-After, never shorter than one that runs.
+
+    An upstream fault is no verdict on the method: it holds it only if another method is left to try. A success clears
+    a hold that had ended when it started.
+    """
 
     fields = (("allowed", T.BooleanType()), ("held_until", T.LongType()))
 
     def __init__(self, cooldown: int) -> None:
-        self.cooldown, self.until, self.set_at = cooldown, 0, None
+        self.cooldown, self.until = cooldown, 0
 
-    def step(self, at: int, failed: bool = False, retry_after: int = 0) -> tuple:
+    def step(self, at: int, failed: bool = False, retry_after: int = 0, upstream: bool = False, last: bool = False) -> tuple:
         allowed = at >= self.until
-        if failed:
-            self.until, self.set_at = max(self.until, at + max(self.cooldown, retry_after)), at
-        elif self.set_at is not None and self.set_at < at and allowed:
-            self.until, self.set_at = 0, None
+        if failed and not (upstream and last):
+            self.until = max(self.until, at + max(self.cooldown, retry_after))
+        elif not failed and allowed:
+            self.until = 0
         return allowed, self.until
 
     def dump(self) -> str:
-        return json.dumps([self.until, self.set_at])
+        return json.dumps(self.until)
 
     def load(self, text: str) -> None:
-        self.until, self.set_at = json.loads(text)
+        self.until = json.loads(text)
 
 
 class Budget:
@@ -151,25 +155,38 @@ class Budget:
 
 
 class LruBytes:
-    """Least recently used entries go when the bytes, `overhead` an entry counted, exceed the limit (T12). One order over all keys."""
+    """Least recently used entries go when the bytes exceed the limit (T12): an entry's own, its key's and `overhead`. One order over all keys.
 
-    fields = (("outcome", T.StringType()), ("bytes", T.LongType()), ("evicted", T.LongType()))
+    A lookup of a live entry is a hit. Anything else stores the entry afresh, in place of an older one under its key;
+    an entry larger than the limit is not stored. Entries live for `ttl` (None: for ever); refresh stores without a lookup.
+    """
 
-    def __init__(self, most: int, overhead: int = 256) -> None:
-        self.most, self.overhead, self.entries, self.bytes = most, overhead, OrderedDict(), 0
+    fields = (("outcome", T.StringType()), ("bytes", T.LongType()), ("evicted", T.LongType()))
 
-    def step(self, key: Any, size: int) -> tuple:
+    def __init__(self, most: int, overhead: int = 256, ttl: int | None = None) -> None:
+        self.most, self.overhead, self.ttl, self.entries, self.bytes = most, overhead, ttl, OrderedDict(), 0
+
+    def _drop(self, key: Any) -> None:
+        self.bytes -= self.entries.pop(key)[0]
+
+    def step(self, key: Any, size: int, at: int = 0, refresh: bool = False) -> tuple:
+        if key in self.entries and not refresh:
+            if self.ttl is None or at < self.entries[key][1]:
+                self.entries.move_to_end(key)
+                return "hit", self.bytes, 0
+            self._drop(key)
+        size += self.overhead + len(str(key).encode())
+        if size > self.most:
+            return "too_large", self.bytes, 0
         if key in self.entries:
-            self.entries.move_to_end(key)
-            return "hit", self.bytes, 0
+            self._drop(key)
+        self.entries[key] = size, at + (self.ttl or 0)
+        self.bytes += size
         gone = 0
-        if size + self.overhead <= self.most:
-            self.entries[key] = size + self.overhead
-            self.bytes += size + self.overhead
-            while self.bytes > self.most:
-                self.bytes -= self.entries.popitem(last=False)[1]
-                gone += 1
-        return "miss", self.bytes, gone
+        while self.bytes > self.most:
+            self._drop(next(iter(self.entries)))
+            gone += 1
+        return "refresh" if refresh else "miss", self.bytes, gone
 
 
 class SingleFlight:
@@ -218,9 +235,11 @@ def fold(rows: DataFrame, key: str | None, order: list[str], make: Callable[[],
     return dealt.mapInArrow(run, schema)
 
 
-def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any], args: list[str]) -> DataFrame:
+def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any], args: list[str], idle_ms: int | None = None) -> DataFrame:
     """The same over a stream: a machine's state is kept for each key; events of a micro-batch are taken in order.
 
+    idle_ms: a key's state goes when no event has come for that long (T7), so keys that are gone cost nothing. It has to be longer than
+    the period, the delay and any hold; then a new machine acts as the dropped one would have. None: state is kept for ever.
     Needs the RocksDB state store. Late events are folded when they arrive.
     """
     import pandas as pd
@@ -233,7 +252,7 @@ def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any],
 
     class Keep(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("machine", T.StructType().add("text", "string"))
+            self.state = handle.getValueState("machine", T.StructType().add("text", "string"), idle_ms)
 
         def handleInputRows(self, k, frames, timers):
             state = make()
@@ -249,7 +268,7 @@ def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any],
         def close(self) -> None:
             pass
 
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Keep(), outputStructType=schema, outputMode="Update", timeMode="None")
+    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=Keep(), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime" if idle_ms else "None")
 
 
 def retry_schedule(attempts: DataFrame, base_ms: int = 500, cap_ms: int = 4000, most: int = 3) -> DataFrame:

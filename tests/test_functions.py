@@ -133,6 +133,13 @@ def test_lru_and_flights():
     m = folds.LruBytes(600, overhead=100)
     assert [m.step(k, 150)[0] for k in "abab"] == ["miss", "miss", "hit", "hit"]
     assert m.step("c", 150)[2] == 1 and m.step("b", 150)[0] == "hit" and m.step("a", 150)[0] == "miss"
+    m = folds.LruBytes(600, overhead=100, ttl=10)
+    assert m.step("a", 150, 0) == ("miss", 251, 0) and m.step("a", 99, 5, True) == ("refresh", 200, 0)
+    assert m.step("a", 1, 14)[0] == "hit" and m.step("a", 150, 15) == ("miss", 251, 0)
+    assert m.step("a", 600, 16, True) == ("too_large", 251, 0) and m.step("a", 0, 17)[0] == "hit"
+    h = folds.Holds(100)
+    assert h.step(0, True, 0, True, True) == (True, 0) and h.step(1, True, 0, True, False) == (True, 101)
+    assert h.step(5, True, 10) == (False, 105) and h.step(6, True, 500) == (False, 506) and h.step(7) == (False, 506) and h.step(506) == (True, 0)
     f = folds.SingleFlight()
     assert f.step(0, 10, 1, True)[0] == "leader" and f.step(5, 15, 2)[0] == "leader" and f.step(6, 9, 3) == ("follower", 2)
 
@@ -160,3 +167,67 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     got = {r["n"]: r["admitted"] for r in spark.table("admitted").collect()}
     want = {r["n"]: r["admitted"] for r in folds.fold(df, "k", ["t", "n"], make, ["t"]).collect()}
     assert got == want
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """A key whose state has been idle starts anew in a later micro-batch; without a limit it goes on."""
+    import time
+
+    got = {}
+    for idle in (2000, None):
+        home = tmp_path / f"idle_{idle}"
+        spark.createDataFrame([(1, 0, 0), (1, 1, 1)], "k long, t long, n long").write.parquet(str(home / "in"))
+        stream = spark.readStream.schema("k long, t long, n long").parquet(str(home / "in"))
+        for step in (0, 1):
+            out = folds.fold_stream(stream, "k", "t", lambda: folds.RollingQuota(2, 100), ["t"], idle)
+            keep = lambda df, _: df.isEmpty() or df.write.mode("append").parquet(str(home / "out"))  # noqa: B023, E731
+            # a stream with timers makes batches for ever
+            run = out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(home / "cp")).trigger(processingTime="1 second").start()
+            for _ in range(90):
+                time.sleep(1)
+                if (home / "out").exists() and spark.read.schema("k long, t long, n long, admitted long").parquet(str(home / "out")).count() == 2 + step:
+                    break
+            run.stop()
+            if step == 0:
+                time.sleep(4)
+                spark.createDataFrame([(1, 2, 2)], "k long, t long, n long").write.mode("append").parquet(str(home / "in"))
+        got[idle] = {r["n"]: r["admitted"] for r in spark.read.schema("k long, t long, n long, admitted long").parquet(str(home / "out")).collect()}
+    assert got == {2000: {0: 0, 1: 1, 2: 2}, None: {0: 0, 1: 1, 2: 100}}
+
+
+def test_streamed_counters(spark, tmp_path):
+    from heddle.streaming import metrics
+
+    spark.createDataFrame([("a", 0.1), ("a", 3.0), ("b\"x", 0.7)], "l string, v double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("l string, v double").parquet(str(tmp_path / "in"))
+    for name, df in (("totals", metrics.counter(stream, ["l"])), ("buckets", metrics.distribution(stream, ["l"], F.col("v"), [0.5, 1.0]))):
+        df.writeStream.format("memory").queryName(name).outputMode("update" if name == "totals" else "complete").trigger(availableNow=True).start().awaitTermination(240)
+    assert {tuple(r) for r in spark.table("totals").collect()} == {("a", 2), ('b"x', 1)}
+    assert {(r["l"], r["le"], r["n"]) for r in spark.table("buckets").collect()} == {("a", 0.5, 1), ("a", 1.0, 1), ("a", None, 2), ('b"x', 0.5, 0), ('b"x', 1.0, 1), ('b"x', None, 1)}
+    assert {r["line"] for r in metrics.exposition(spark.table("totals"), "n", ["l"]).collect()} == {'n{l="a"} 2', 'n{l="b\\"x"} 1'}
+
+
+def test_chains_of_any_depth(spark):
+    """A chain of 500 is whole; a cycle ends."""
+    from heddle.operators import threads
+    from heddle.sources.tables import checkpoints
+
+    checkpoints(spark)
+    rows = [(1, i, i - 1 if i else None) for i in range(500)] + [(2, 0, 1), (2, 1, 0), (2, 5, 99)]
+    got = {(r["thread"], r["id"]): r["chain"] for r in threads.ancestors(spark.createDataFrame(rows, "thread long, id long, parent long")).collect()}
+    assert got[1, 499] == ">".join(map(str, range(500))) and got[1, 0] == "0" and got[2, 5] == "5" and len(got) == 503
+
+
+def test_every_engine_counts(spark):
+    """Engines beyond a thousand are in the pool."""
+    from heddle.plans import rank_queries
+
+    rows = [(i, 1 + i % 3, f"e{i:04d}", 1.0 if i % 2 else 30.0, None) for i in range(1500)]
+    path = rank_queries.table
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp")
+    rank_queries.table = lambda s, d, name: df
+    try:
+        out = rank_queries.silent_engines(spark, "").collect()
+    finally:
+        rank_queries.table = path
+    assert len({r["engine"] for r in out}) == 1500
