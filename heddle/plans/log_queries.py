@@ -143,8 +143,8 @@ def quota_admissions(spark, sf_dir):
 
 @query("refused_calls", f"""WITH RECURSIVE e AS (SELECT user_id, us, event_id % 9 = 0 AS held, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
 b(user_id, k, sent, hold, outcome) AS (SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, '' FROM e
-  UNION ALL SELECT user_id, k, CASE WHEN held THEN sent WHEN at - us > {24 * _HOUR} THEN live ELSE list_append(live, at) END, CASE WHEN held THEN greatest(hold, us + {6 * _HOUR}) ELSE hold END, CASE WHEN held THEN 'held' WHEN at - us > {24 * _HOUR} THEN 'quota_exhausted' ELSE 'sent' END
-    FROM (SELECT *, CASE WHEN len(live) >= 3 THEN greatest(w, live[-3] + {72 * _HOUR}) ELSE w END AS at
+  UNION ALL SELECT user_id, k, CASE WHEN held THEN sent WHEN due - us > {24 * _HOUR} THEN live ELSE list_append(live, due) END, CASE WHEN held THEN greatest(hold, us + {6 * _HOUR}) ELSE hold END, CASE WHEN held THEN 'held' WHEN due - us > {24 * _HOUR} THEN 'quota_exhausted' ELSE 'sent' END
+    FROM (SELECT *, CASE WHEN len(live) >= 3 THEN greatest(w, live[-3] + {72 * _HOUR}) ELSE w END AS due
       FROM (SELECT e.user_id, e.k, e.us, e.held, b.sent, b.hold, greatest(e.us, b.hold) AS w, list_filter(b.sent, lambda t: t > greatest(e.us, b.hold) - {72 * _HOUR}) AS live FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)))
 SELECT user_id, outcome, count(*) AS n FROM b WHERE k > 0 GROUP BY 1, 2""")
 def refused_calls(spark, sf_dir):
