@@ -55,3 +55,35 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_rendered_texts(spark):
+    """Queries that no SQL says, against plain versions."""
+    from heddle.sources.tables import table
+
+    talks = {}
+    for r in table(spark, SMALL, "conversations").collect():
+        talks.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
+    plainly = lambda t: t.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    quoted = lambda t: f'"{plainly(t)}"'
+    got = {r["conv_id"]: r["toon"] for r in QUERIES["thread_toon"](spark, SMALL).collect()}
+    assert got.keys() == talks.keys()
+    for c, turns in talks.items():
+        lines = got[c].split("\n")
+        assert lines[:2] == [f"id: {c}", f"turns[{len(turns)}]{{turn,role,text}}:"] and len(lines) == 2 + len(turns)
+        for line, (n, role, t) in zip(lines[2:], sorted(turns), strict=True):
+            assert line in (f"  {n},{role},{quoted(t)}", f"  {n},{role},{t}")
+    got = {r["conv_id"]: r["markdown"] for r in QUERIES["article_pages"](spark, SMALL).collect()}
+    for c, turns in talks.items():
+        first = sorted(turns)[0][2]
+        assert got[c].startswith(f"## [{first[:3]}](https://example.com/){first[3:]}") and got[c].count("](https://example.com/)") == len(turns)
+    got = {r["id"]: r["markdown"] for r in QUERIES["rendered_pulls"](spark, SMALL).collect()}
+    for c, turns in talks.items():
+        assert got[c].startswith(f"# A change (#{c}, open)\n\n### Why\n{sorted(turns)[0][2]}\n\n## Files ({len(turns)})\n\n- f0\n") and f"## Commits ({len(turns)})" in got[c]
+    got = {r["id"]: r["markdown"] for r in QUERIES["rendered_posts"](spark, SMALL).collect()}
+    for c, turns in talks.items():
+        first = sorted(turns)[0][2]
+        assert got[c].startswith(f"@user (A User) \u00b7 2026-01-01 \u00b7 https://x.com/user/status/{c} \u00b7 ") and first.split("\n")[0] in got[c]
+        assert ("Quoting:\n\n> @bot" in got[c]) == any(role == "assistant" for _, role, _ in turns)
+    rows = [tuple(r) for r in QUERIES["flattened_trees"](spark, SMALL).where("thread = 'listing'").select("id", "parent", "author", "text", "depth", "pos", "hidden").collect()]
+    assert {("a", "p", "u", "hello", 0, 0, 0), ("c", "b", "v", "kept", 2, 1, 0), (None, "a", None, "continue", 1, 2, 2)} <= set(rows)
