@@ -14,7 +14,7 @@ from heddle.llm.decontamination import decontaminate
 from heddle.llm.language_id import identify
 from heddle.llm.mixing import mix_sources
 from heddle.llm.near_dup import MOST_BROADCAST, near_duplicates
-from heddle.llm.session import stored
+from heddle.llm.session import drop, drop_since, made, stored
 from heddle.llm.substring_dedup import substring_dedup
 
 #: Share of a text's probability that its language must have.
@@ -69,5 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        mark, before = made(), docs
+        docs = stored(stage(spark, before, sf_dir))
+        # the stage is written: its own tables and its input are done with
+        drop_since(mark, docs)
+        drop(before)
     return docs

@@ -33,13 +33,32 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Folders of the tables that this process has stored, in order.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many tables have been stored so far; for drop_since()."""
+    return len(_MADE)
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    """Deletes all tables stored since made() gave this mark, but for one; whatever reads the others is done with."""
+    own = getattr(keep, "_heddle_path", None)
+    for path in _MADE[mark:]:
+        if path != own:
+            _delete(keep.sparkSession, path)
+    _MADE[mark:] = [own] if own else []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
-    The folder lives as long as the context's checkpoint folder; drop() deletes a table that nothing reads any more.
+    The folder stays for what reads it later; drop() and drop_since() delete tables that nothing reads any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._heddle_path = path
@@ -58,6 +77,7 @@ def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
     spark = df.sparkSession
     name = f"heddle_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(name)
     out = spark.table(name)
     # the table's name is only needed to find it once; its files stay
