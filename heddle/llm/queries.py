@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff_lm, chat_windows, decontamination, exact_dedup, fill_in_middle, language_id, mixing, near_dup, quality_cnn, substring_dedup, url_filter, vector_topk
+from . import backoff_lm, chat_windows, decontamination, exact_dedup, fill_in_middle, language_id, mixing, near_dup, quality_cnn, source_divergence, substring_dedup, url_filter, vector_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dup": near_dup.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_language_id": language_id.query,
     "op10_decontamination": decontamination.query,
+    "op11_source_divergence": source_divergence.query,
     "op12_exact_dedup": exact_dedup.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
@@ -29,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.SQL,
     "op7_vector_topk": vector_topk.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op11_source_divergence": source_divergence.SQL,
     "op12_exact_dedup": exact_dedup.SQL,
     "op13_fill_in_middle": fill_in_middle.SQL,
 }

@@ -3,11 +3,15 @@
 import collections
 import hashlib
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.llm import components, exact_dedup, fill_in_middle
+from heddle.llm import components, exact_dedup, fill_in_middle, source_divergence
+from heddle.llm.kernels import text_bytes
 
 
 def lowered(text):
@@ -101,3 +105,73 @@ def test_fill_in_middle(spark):
         assert r["back"] == (r["text"] or "")
     assert {r["form"] for r in got} == {"plain", "psm", "spm"}
     assert fill_in_middle.fill_in_middle(docs.limit(0)).collect() == []
+
+
+def audited(rows, least=3, top=200):
+    """{(lang, source, part, item): (value, rank)}, with Python's own integers."""
+    docs = [(lang or "", source or "", re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", lowered(text))) for lang, source, text in rows]
+    out = {}
+    for lang in {d[0] for d in docs}:
+        own = [d for d in docs if d[0] == lang]
+        holds = collections.Counter(t for _, _, terms in own for t in set(terms))
+        kept = sorted(t for t, n in holds.items() if n >= least)
+        counts = {s: collections.Counter(t for _, source, terms in own if source == s for t in terms if holds[t] >= least) for s in {d[1] for d in own}}
+        every = sum(counts.values(), collections.Counter())
+
+        def p(c):
+            return {t: 1 + 10**9 * (c[t] + 1) // (sum(c.values()) + len(kept)) for t in kept}  # noqa: B023
+
+        ps, q = {s: p(c) for s, c in counts.items()}, p(every)
+        for s in counts:
+            pairs = [(sum((ps[s][t] - ps[o][t]) ** 2 // ps[o][t] for t in kept), o) for o in counts if o != s]
+            terms = [((ps[s][t] - q[t]) ** 2 // q[t], t) for t in kept if counts[s][t] > 0 and ps[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, None), ("term", terms, top)):
+                for rank, (v, i) in enumerate(sorted(items, key=lambda x: (-x[0], x[1].encode()))[:most], 1):
+                    out[lang, s, part, i] = (v, rank)
+    return out
+
+
+@pytest.mark.parametrize(("tile", "top"), [(1 << 20, 200), (512, 5)])
+def test_source_divergence(spark, tile, top):
+    """Equal to brute force, in one block a language and in many."""
+    rng = random.Random(11)
+    vocabulary = [*[f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)], "É", "é", "日本", "👍x", "ＡＢ", " "]
+    signs = [" ", "\n", "1", "-", "\x00", "_", "[", "\x7f", "@", "{"]
+    rows = []
+    for _ in range(260):
+        words = [rng.choice(vocabulary[: rng.choice([5, 40, len(vocabulary)])]) for _ in range(rng.randint(0, 40))]
+        rows.append((rng.choice(["en", "de", None, ""]), rng.choice(["hot", "hot", "a", "b", None, "ü"]), "".join((x.upper() if rng.random() < 0.3 else x) + rng.choice(signs) for x in words)))
+    rows += [("xx", "only", "one two one"), ("yy", "s1", "no term thrice"), ("yy", "s2", None), ("yy", "s3", "12 34")] + [("en", "hot", "same same row")] * 3
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(4)
+    for name in ("term", "n", "docs", "kept", "block", "value", "rank"):
+        docs = docs.withColumn(name, F.lit("other"))
+    got = source_divergence.source_divergence(docs, top=top, tile_bytes=tile).collect()
+    assert {(r["lang"], r["source"], r["part"], r["item"]): (r["value"], r["rank"]) for r in got} == audited(rows, top=top)
+    assert len(got) == len(audited(rows, top=top))
+    assert source_divergence.source_divergence(docs.limit(0)).collect() == []
+
+
+def test_shares_of_any_size():
+    for total in (7, 10**9 + 7, 9 * 10**15):
+        counts = [0, 1, total // 3, total - 2, total - 1]
+        assert source_divergence.shares(np.array(counts), total).tolist() == [1 + 10**9 * (c + 1) // total for c in counts]
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    """A text that is read in pieces has the same terms and is one document; a term longer than a piece stays whole."""
+    rng = random.Random(5)
+    texts = ["", " ".join(rng.choice(["aa", "Bé", "ccc" * 40, "日本語"]) for _ in range(500)), "x" * 900, "short one", "1 " * 300]
+    data, offs = text_bytes(pa.array(texts))
+    want = {(i, t): n for i, x in enumerate(texts) for t, n in collections.Counter(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", lowered(x))).items()}
+    for most in (1 << 22, 64):
+        monkeypatch.setattr(source_divergence, "PIECE_BYTES", most)
+        found = source_divergence._term_counts(data, offs).to_pylist()
+        assert {(r["row"], r["term"]): r["n"] for r in found} == want and len(found) == len(want)
+
+
+def test_pair_sums_in_steps(monkeypatch):
+    p = np.random.default_rng(2).integers(1, 10**9, (9, 50))
+    want = [[sum(int((a - b)) ** 2 // int(b) for a, b in zip(x, y, strict=True)) for y in p] for x in p]
+    for most in (1 << 24, 1):
+        monkeypatch.setattr(source_divergence, "PAIR_BYTES", most)
+        assert source_divergence.pair_sums(p).tolist() == want
