@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import engine_error
 from ..functions.urls import merge_key
+from .asof import counts_before
 
 
 def interleave(primary: DataFrame, backup: DataFrame, limit: int = 0) -> DataFrame:
@@ -52,14 +53,23 @@ def failed_engines(failures: DataFrame) -> DataFrame:
     return failures.groupBy("engine", engine_error(F.col("message")).alias("class")).agg(F.count("*").alias("n"))
 
 
-def silent_engines(asked: DataFrame, rows: DataFrame, failures: DataFrame) -> DataFrame:
-    """Engines that were asked, did not fail, and gave no row, in searches that gave some.
+def silent_engines(searches: DataFrame, rows: DataFrame, failures: DataFrame, width: int) -> DataFrame:
+    """engine, n_silent: searches that gave rows, but none of an engine that was known by then and did not fail openly.
 
-    asked, rows, failures: query_id, engine.
+    searches: query_id, at (a number; with query_id the order of the answers); rows, failures: query_id, engine. An engine
+    is known from the first search on that names it, be it by a row or by a failure. It is silent in all searches with rows from
+    there on but for those that name it, so searches are counted before each engine's first one (stretches
+    of `width`) and never paired with engines.
     """
-    answered = asked.join(rows.select("query_id").distinct(), "query_id", "left_semi")
     keys = ["query_id", "engine"]
-    return answered.join(failures.select(*keys), keys, "left_anti").join(rows.select(*keys), keys, "left_anti").groupBy("engine").agg(F.count("*").alias("n_silent"))
+    named = rows.select(*keys).unionByName(failures.select(*keys)).where("engine <> ''").distinct()
+    first = named.join(searches, "query_id").groupBy("engine").agg(F.min(F.struct("at", "query_id")).alias("first")).select("engine", "first.*")
+    answered = searches.join(rows.select("query_id").distinct(), "query_id", "left_semi")
+    before = counts_before(answered, first, "at", "query_id", width).select("engine", "before")
+    met = named.join(answered, "query_id", "left_semi").groupBy("engine").agg(F.count("*").alias("met"))
+    total = answered.agg(F.count("*").alias("n")).scalar()
+    silent = total - F.col("before") - F.coalesce("met", F.lit(0))
+    return before.join(met, "engine", "left").select("engine", silent.alias("n_silent")).where("n_silent > 0")
 
 
 def degradation(critical: list[str], rows: DataFrame, failures: DataFrame, searches: DataFrame) -> DataFrame:

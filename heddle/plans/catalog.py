@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import log_queries, more_queries, page_queries, rank_queries, text_queries, thread_queries, verdict_queries
+from . import event_queries, log_queries, more_queries, page_queries, rank_queries, text_queries, thread_queries, verdict_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "log_queries", "more_queries", "page_queries", "rank_queries", "text_queries", "thread_queries", "verdict_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "event_queries", "log_queries", "more_queries", "page_queries", "rank_queries", "text_queries", "thread_queries", "verdict_queries"]

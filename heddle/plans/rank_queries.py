@@ -80,15 +80,21 @@ def failed_engines(spark, sf_dir):
     return ranking.failed_engines(_failures(spark, sf_dir))
 
 
-@query("silent_engines", f"""WITH q AS (SELECT DISTINCT user_id AS query_id FROM events), e AS (SELECT DISTINCT event_type AS engine FROM events), r AS (SELECT DISTINCT user_id AS query_id, event_type AS engine FROM events WHERE value < 2)
-SELECT engine, count(*) AS n_silent FROM q, e WHERE query_id IN (SELECT query_id FROM r) AND (query_id, engine) NOT IN (SELECT (query_id, engine) FROM r) AND (query_id, engine) NOT IN (SELECT (query_id, engine) FROM ({_FAILS})) GROUP BY 1""")
+_ASKED = "user_id * 1000 + epoch_us(ts) // 86400000000 % 1000"
+_NAMED = "event_type || '/' || (epoch_us(ts) // 86400000000 // 6)"
+
+
+@query("silent_engines", f"""WITH e AS (SELECT {_ASKED} AS query_id, {_NAMED} AS engine, epoch_us(ts) AS us, event_id, value FROM events),
+s AS (SELECT query_id, min(us) AS began FROM e GROUP BY 1), r AS (SELECT DISTINCT query_id, engine FROM e WHERE value < 2), n AS (SELECT query_id, engine FROM r UNION SELECT query_id, engine FROM e WHERE value > 60),
+f AS (SELECT engine, min([began, query_id]) AS known FROM n JOIN s USING (query_id) GROUP BY 1)
+SELECT engine, count(*) AS n_silent FROM s, f WHERE [began, s.query_id] >= known AND s.query_id IN (SELECT query_id FROM r) AND NOT EXISTS (SELECT 1 FROM n WHERE n.query_id = s.query_id AND n.engine = f.engine) GROUP BY 1""")
 def silent_engines(spark, sf_dir):
-    """Engines that were asked and gave nothing (users stand for searches, values under 2 for rows)."""
-    events = table(spark, sf_dir, "events")
-    pool = events.agg(F.sort_array(F.collect_set("event_type")).alias("pool")).scalar()  # every engine seen
-    asked = events.select(F.col("user_id").alias("query_id")).distinct().withColumn("pool", pool).select("query_id", F.explode("pool").alias("engine"))
-    rows = events.where("value < 2").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("engine"))
-    return ranking.silent_engines(asked, rows, _failures(spark, sf_dir))
+    """Engines known by then that gave nothing and didn't fail (declared: a user's day is a search, a kind of event in six days an engine, values under 2 are rows, over 60 failures)."""
+    day = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))"
+    events = table(spark, sf_dir, "events").withColumn("us", F.expr(day)).withColumn("day", F.expr("us div 86400000000"))
+    events = events.select((F.col("user_id") * 1000 + F.col("day") % 1000).alias("query_id"), F.concat("event_type", F.lit("/"), F.expr("day div 6").cast("string")).alias("engine"), "us", "value")
+    searches = events.groupBy("query_id").agg(F.min("us").alias("at"))
+    return ranking.silent_engines(searches, events.where("value < 2"), events.where("value > 60"), 3_600_000_000)
 
 
 _CRIT = [("view", 0), ("click", 1), ("nothere", 2)]

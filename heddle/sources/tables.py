@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for tables in between, which the driver and all executors see."""
+    checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/w-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoints(spark: SparkSession) -> None:
     """Lets checkpoint() work: the cluster's folder from spark.checkpoint.dir, a temporary one only where that is unset and the master is local."""
     sc = spark.sparkContext
