@@ -3,8 +3,6 @@ the top, and turn 5 answers a turn that isn't there."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from ..operators import threads
 from ..sources import trees
 from ..sources.tables import in_request_order, table
 from .page_queries import _host
-from .registry import query, table_of
+from .registry import query
 
 _ROWS = "SELECT conv_id AS thread, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn = 5 THEN 99 ELSE (turn - 1) // 2 END AS parent, turn AS pos FROM conversations"
 _DEPTH = f"""WITH RECURSIVE r AS ({_ROWS}), d(thread, id, parent, pos, root, depth) AS (
@@ -157,18 +155,96 @@ def error_documents(spark, sf_dir):
     return as_documents(rows).select("url", "page_content", F.col("metadata")["kind"].alias("kind"))
 
 
-_NESTED = {"id": 1, "children": [{"id": 2, "author": "a", "text": "x", "children": [{"id": 3, "author": None, "deleted": True, "children": [{"id": 4, "author": "b", "text": "y", "children": []}]}]}, {"id": 5, "author": "c", "text": "z"}]}
-_LISTING = {"id": "p", "comments": [{"id": "a", "author": "u", "body": "hello", "replies": {"comments": [{"id": "b", "author": "[deleted]", "body": "[removed]", "replies": {"comments": [{"id": "c", "author": "v", "body": "kept", "replies": ""}]}}, {"kind": "more", "count": 0, "children": ["x", "y"]}]}}, {"kind": "more", "count": 7, "children": ["z"]}, "bad"]}
-_POSTS = {"post": {"uri": "r"}, "replies": [{"post": {"uri": "a", "author": "u", "text": "1"}, "replies": [{"notFound": True, "replies": [{"post": {"uri": "b", "author": "v", "text": "2"}}]}]}]}
+def _gone(t):
+    """Turns whose text is declared to be gone."""
+    return t % 7 == 3
+
 
+def _documents(spark, sf_dir, shape: str) -> DataFrame:
+    """Conversations as a site's thread documents, nested to any depth: turn 0 is the post, the parents are the declared ones."""
+    from ..sources.tables import checkpoints
 
-@query("flattened_trees")
+    checkpoints(spark)
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    rows = _rows(spark, sf_dir).join(turns, ["thread", "id"]).where("id > 0")
+    text = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+
+    def node(r, inner):
+        gone, own = _gone(r["id"]), r["id"].cast("string")
+        body = text(r["text"])
+        if shape == "nested":
+            said = F.when(gone, F.lit('"author":null,"text":null')).otherwise(F.concat(F.lit('"author":"'), r["role"], F.lit('","text":'), body))
+            return F.concat(F.lit('{"id":'), own, F.lit(","), said, F.lit(',"children":['), inner, F.lit("]}"))
+        if shape == "posts":
+            said = F.when(gone, F.lit('"notFound":true')).otherwise(F.concat(F.lit('"post":{"uri":"'), own, F.lit('","author":{"handle":"'), r["role"], F.lit('"},"record":{"text":'), body, F.lit("}}")))
+            return F.concat(F.lit("{"), said, F.lit(',"replies":['), inner, F.lit("]}"))
+        up = F.when(r["parent"] > 0, F.concat(F.lit("t1_"), r["parent"].cast("string"))).otherwise(F.concat(F.lit("t3_p"), r["thread"].cast("string")))
+        said = F.when(gone, F.lit('"author":"[deleted]","body":"[removed]"')).otherwise(F.concat(F.lit('"author":"'), r["role"], F.lit('","body":'), body))
+        # turn 2 has a link to go on behind it, and a child that is no object
+        inner = F.when(r["id"] == 2, F.concat_ws(",", F.nullif(inner, F.lit("")), F.lit('{"kind":"more","data":{"count":0,"parent_id":"t1_2","children":[]}},"bad"'))).otherwise(inner)
+        replies = F.when(inner == "", '""').otherwise(F.concat(F.lit('{"kind":"Listing","data":{"children":['), inner, F.lit("]}}")))
+        return F.concat(F.lit('{"kind":"t1","data":{"id":"'), own, F.lit('","parent_id":"'), up, F.lit('",'), said, F.lit(',"replies":'), replies, F.lit("}}"))
+
+    nested = trees.nest(rows, node)
+    heads = turns.where("id = 0").select("thread")
+    docs = heads.join(nested, "thread", "left").fillna("", ["json"])
+    t = F.col("thread").cast("string")
+    whole = {
+        "nested": F.concat(F.lit('{"id":0,"children":['), "json", F.lit("]}")),
+        "posts": F.concat(F.lit('{"thread":{"post":{"uri":"0"},"replies":['), "json", F.lit("]}}")),
+        "listing": F.concat(F.lit('[{"kind":"Listing","data":{"children":[{"kind":"t3","data":{"id":"p'), t, F.lit('"}}]}},{"kind":"Listing","data":{"children":['),
+            F.concat_ws(",", F.nullif("json", F.lit("")), F.concat(F.lit('{"kind":"more","data":{"count":'), (F.col("thread") % 3 + 1).cast("string"), F.lit(',"parent_id":"t3_p'), t, F.lit('","children":["x","y"]}}'))), F.lit("]}}]")),
+    }
+    return docs.select("thread", whole[shape].alias("json"))
+
+
+_TREE = """WITH RECURSIVE r AS (SELECT conv_id AS thread, turn AS id, turn % 7 = 3 AS gone, CASE WHEN turn = 5 OR turn <= 2 THEN 0 ELSE (turn - 1) // 2 END AS up, role, coalesce(text, '') AS text FROM conversations WHERE turn > 0),
+d AS (SELECT thread, id, gone, role, text, 0 AS parent, 0 AS depth, [id] AS path, CASE WHEN gone THEN 0 ELSE id END AS live FROM r WHERE up = 0
+  UNION ALL SELECT r.thread, r.id, r.gone, r.role, r.text, {up}, d.depth + 1, list_append(d.path, r.id), CASE WHEN r.gone THEN d.live ELSE r.id END FROM r JOIN d ON r.thread = d.thread AND r.up = d.id)"""
+_FLAT = "SELECT thread, 'comment' AS kind, id::VARCHAR AS id, {parent} AS parent, role AS author, sha256(text) AS text_sha256, depth, row_number() OVER (PARTITION BY thread ORDER BY path) - 1 AS pos FROM d WHERE NOT gone"
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    return rows.where("kind = 'comment'").select("thread", "kind", "id", "parent", "author", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"), "depth", "pos")
+
+
+@query("nested_comments", _TREE.format(up="d.id") + _FLAT.format(parent="parent::VARCHAR"))
+def nested_comments(spark, sf_dir):
+    """G1: conversations nested into documents of any depth and taken apart again; every seventh turn from the third is declared deleted and stays its children's parent."""
+    return _digests(trees.flatten(_documents(spark, sf_dir, "nested"), "nested"))
+
+
+@query("listed_comments", _TREE.format(up="d.id") + _FLAT.format(parent="CASE WHEN parent = 0 AND id <> 5 THEN 'p' || thread WHEN id = 5 THEN '99' ELSE parent::VARCHAR END"))
+def listed_comments(spark, sf_dir):
+    """The same as listings, replies '' or a listing; comments carry their parents' names, the removed ones go."""
+    return _digests(trees.flatten(_documents(spark, sf_dir, "listing"), "listing"))
+
+
+@query("reply_trees", _TREE.format(up="d.live") + _FLAT.format(parent="parent::VARCHAR"))
+def reply_trees(spark, sf_dir):
+    """The same as posts with replies; a placeholder's children answer the post above it."""
+    return _digests(trees.flatten(_documents(spark, sf_dir, "posts"), "posts"))
+
+
+@query("listing_gaps", """SELECT conv_id AS thread, 'more' AS text, 'p' || conv_id AS parent, conv_id % 3 + 1 AS hidden, 'x,y' AS children, conv_id % 3 + 1 AS missing FROM conversations WHERE turn = 0
+  UNION ALL SELECT conv_id, 'continue', '2', 0, NULL, NULL FROM conversations WHERE turn = 2""")
+def listing_gaps(spark, sf_dir):
+    """The gaps of the listings, and the replies that a thread hides."""
+    rows = trees.flatten(_documents(spark, sf_dir, "listing"), "listing").where("kind = 'gap'")
+    missing = trees.hidden_replies(rows)
+    ids = F.when(F.col("children").isNotNull(), F.array_join("children", ","))
+    return rows.join(missing, "thread", "left").select("thread", "text", "parent", "hidden", ids.alias("children"), F.when(F.col("text") == "more", F.col("missing")).alias("missing"))
+
+
+@query("flattened_trees", f"""SELECT 'nested' AS shape, * FROM ({_TREE.format(up="d.id")} SELECT thread, count(*) AS n, max(depth) AS deepest FROM d WHERE NOT gone GROUP BY 1)
+  UNION ALL SELECT 'listing', * FROM ({_TREE.format(up="d.id")} SELECT thread, count(*) AS n, max(depth) AS deepest FROM d WHERE NOT gone GROUP BY 1)
+  UNION ALL SELECT 'posts', * FROM ({_TREE.format(up="d.live")} SELECT thread, count(*) AS n, max(depth) AS deepest FROM d WHERE NOT gone GROUP BY 1)""")
 def flattened_trees(spark, sf_dir):
-    """Three shapes of nested threads as rows."""
+    """Comments and depth of each thread, from all three shapes."""
     out = None
-    for shape, doc in (("nested", _NESTED), ("listing", _LISTING), ("posts", _POSTS)):
-        docs = table_of(spark, [(shape, json.dumps(doc)), (shape + "-bad", "not json")], "thread string, json string")
-        rows = trees.flatten(docs, shape)
+    for shape in trees.SHAPES:
+        rows = trees.flatten(_documents(spark, sf_dir, shape), shape).where("kind = 'comment'")
+        rows = rows.groupBy("thread").agg(F.count("*").alias("n"), F.max("depth").alias("deepest")).select(F.lit(shape).alias("shape"), "thread", "n", "deepest")
         out = rows if out is None else out.unionByName(rows)
     return out
 

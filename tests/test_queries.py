@@ -85,5 +85,3 @@ def test_rendered_texts(spark):
         first = sorted(turns)[0][2]
         assert got[c].startswith(f"@user (A User) \u00b7 2026-01-01 \u00b7 https://x.com/user/status/{c} \u00b7 ") and first.split("\n")[0] in got[c]
         assert ("Quoting:\n\n> @bot" in got[c]) == any(role == "assistant" for _, role, _ in turns)
-    rows = [tuple(r) for r in QUERIES["flattened_trees"](spark, SMALL).where("thread = 'listing'").select("id", "parent", "author", "text", "depth", "pos", "hidden").collect()]
-    assert {("a", "p", "u", "hello", 0, 0, 0), ("c", "b", "v", "kept", 2, 1, 0), (None, "a", None, "continue", 1, 2, 2)} <= set(rows)
