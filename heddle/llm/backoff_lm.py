@@ -23,8 +23,8 @@ it, sending its own counts with the question, and builds the part of the
 automaton that its texts can reach. It asks level by level: n-grams of three
 words only behind a history of two that is a state, and so on. Messages are
 packed arrays with one entry for a distinct n-gram of a block, so a frequent
-one never gathers anywhere. Words have 64-bit hashes; longer n-grams 32-bit
-fingerprints within their bucket. All totals are 64-bit.
+one never gathers anywhere. Words and n-grams are known by hashes of 64 bits, and all
+totals are 64-bit.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Coded, all_of, answered, bucket_of, coded_blocks, counts_of, cut_binary, cut_prints, distinct, each_row, parts_of, prints_of, short_keys, small_counts, with_answers
+from .blocks import Coded, all_of, answered, bucket_of, bucket_starts, coded_blocks, counts_of, cut_binary, cut_prints, distinct, each_row, parts_of, prints_of, small_counts, whole_keys, with_answers
 from .kernels import U64, mix64
 
 #: Words of the longest n-gram, and occurrences that a history needs to be a state.
@@ -97,7 +97,7 @@ class _Block:
         if k > 2:
             fits[1:] &= self.repeated(k - 1)[:-1]
         at = np.flatnonzero(fits)
-        self.keys[k], first, number = distinct(short_keys(self.hashes[k][at], self.n))
+        self.keys[k], first, number = distinct(whole_keys(self.hashes[k][at]))
         self.first[k] = at[first]
         self.number[k] = np.full(len(self.code), -1, np.int64)
         self.number[k][at] = number
@@ -111,7 +111,7 @@ class _Block:
         """Where each bucket's part of the keys begins."""
         if k == 1:
             return np.searchsorted(bucket_of(self.keys[1], self.n), np.arange(self.n + 1, dtype=U64))
-        return np.searchsorted(self.keys[k], np.arange(self.n + 1, dtype=U64) << U64(32))
+        return bucket_starts(self.keys[k], self.n)
 
     def ask(self, k: int) -> pa.Table:
         counts = np.bincount(self.number[k][self.number[k] >= 0], self.weight[self.number[k] >= 0], len(self.keys[k])).astype(np.int64)
@@ -119,7 +119,7 @@ class _Block:
         full = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[full], cuts[-1])
         counts = counts[self.order] if k == 1 else counts
-        prints = cut_binary(self.keys[1], cuts) if k == 1 else cut_prints((self.keys[k] & U64(0xFFFFFFFF)).astype(np.uint32), cuts)
+        prints = cut_binary(self.keys[1], cuts) if k == 1 else cut_prints(self.keys[k], cuts)
         small, big = small_counts(counts, cuts)
         return pa.table([pa.array(full + (k - 1) * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), prints, small, big], names=["bucket", "__block", "prints", "small", "big"])
 
@@ -249,7 +249,7 @@ def _answers(n: int):
     def answer(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         counts = counts_of(table["small"], table["big"])
-        prints, cuts = all_of(table["prints"], U64) if bucket < n else prints_of(table["prints"])
+        prints, cuts = all_of(table["prints"], U64) if bucket < n else prints_of(table["prints"], U64)
         u, _, number = distinct(prints)
         # bincount adds doubles: whole numbers below 2**53, the high halves apart
         each = np.bincount(number, counts & 0xFFFFFFFF, len(u)).astype(np.int64) + (np.bincount(number, counts >> 32, len(u)).astype(np.int64) << 32)

@@ -149,6 +149,17 @@ def short_keys(h: np.ndarray, n: int) -> np.ndarray:
     return (bucket_of(h, n) << U64(32)) | (h >> U64(32))
 
 
+def whole_keys(h: np.ndarray) -> np.ndarray:
+    """All 64 bits of a hash, its halves exchanged, so that it sorts by bucket."""
+    return (h << U64(32)) | (h >> U64(32))
+
+
+def bucket_starts(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the part of each of n buckets begins in sorted whole_keys(), and the end."""
+    first = [-(-(b << 32) // n) << 32 for b in range(n)]
+    return np.append(np.searchsorted(keys, np.array(first, U64)), len(keys))
+
+
 def _offsets(cuts: np.ndarray, width: int) -> pa.Buffer:
     return pa.py_buffer((cuts * width).astype(np.int32))
 
@@ -158,32 +169,34 @@ def cut_binary(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, _offsets(cuts, x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
 
 
-def _by_byte(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the first byte of each 32-bit value stands if each message has its values' bytes one kind after another, and the step to the next kind."""
+def _by_byte(cuts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first byte of each value stands if each message has its values' bytes one kind after another, and the step to the next kind."""
     size = np.diff(cuts)
     step = np.repeat(size, size)
-    return np.arange(int(cuts[-1])) + 3 * np.repeat(cuts[:-1], size), step
+    return np.arange(int(cuts[-1])) + (width - 1) * np.repeat(cuts[:-1], size), step
 
 
 def cut_prints(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Sorted 32-bit values cut into messages, each with its highest bytes first: these run on and compress to nothing."""
-    raw = x.astype(">u4").view(np.uint8).reshape(-1, 4)
-    at, step = _by_byte(cuts)
-    out = np.empty(4 * len(x), np.uint8)
-    for b in range(4):
+    """Sorted 32- or 64-bit values cut into messages, each with its highest bytes first: these run on and compress to nothing."""
+    width = x.itemsize
+    raw = x.astype(f">u{width}").view(np.uint8).reshape(-1, width)
+    at, step = _by_byte(cuts, width)
+    out = np.empty(width * len(x), np.uint8)
+    for b in range(width):
         out[at + b * step] = raw[:, b]
-    return cut_binary(out, 4 * cuts)
+    return cut_binary(out, width * cuts)
 
 
-def prints_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def prints_of(column: pa.ChunkedArray, kind=np.uint32) -> tuple[np.ndarray, np.ndarray]:
     """The values of cut_prints(), of all rows behind one another, and the offsets of each row's."""
+    width = np.dtype(kind).itemsize
     raw, offs = all_of(column, np.uint8)
-    cuts = offs // 4
-    at, step = _by_byte(cuts)
-    out = np.empty((int(cuts[-1]), 4), np.uint8)
-    for b in range(4):
+    cuts = offs // width
+    at, step = _by_byte(cuts, width)
+    out = np.empty((int(cuts[-1]), width), np.uint8)
+    for b in range(width):
         out[:, b] = raw[at + b * step]
-    return out.reshape(-1).view(">u4").astype(np.uint32), cuts
+    return out.reshape(-1).view(f">u{width}").astype(kind), cuts
 
 
 def small_counts(x: np.ndarray, cuts: np.ndarray) -> tuple[pa.Array, pa.Array]:

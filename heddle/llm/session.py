@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,32 +36,51 @@ def _delete(spark: SparkSession, path: str) -> None:
         return
 
 
-#: Folders of the tables that this process has stored, in order.
-_MADE: list[str] = []
+#: Folders of the tables that the run under way has stored; a thread beside it has its own run or none.
+_RUN: ContextVar[list[str] | None] = ContextVar("heddle_run", default=None)
 
 
-def made() -> int:
-    """How many tables have been stored so far; for drop_since()."""
-    return len(_MADE)
+@contextmanager
+def run() -> Iterator[list[str]]:
+    """Notes the tables that are stored within it (in this thread), for drop_run(). Runs may lie within one another."""
+    token = _RUN.set([])
+    try:
+        yield _RUN.get()
+    finally:
+        _RUN.reset(token)
 
 
-def drop_since(mark: int, keep: DataFrame) -> None:
-    """Deletes all tables stored since made() gave this mark, but for one; whatever reads the others is done with."""
+def drop_run(tables: list[str], keep: DataFrame) -> None:
+    """Deletes a run's tables but for one; whatever reads the others is done with."""
     own = getattr(keep, "_heddle_path", None)
-    for path in _MADE[mark:]:
+    for path in tables:
         if path != own:
             _delete(keep.sparkSession, path)
-    _MADE[mark:] = [own] if own else []
+    tables[:] = [own] if own else []
+
+
+def _note(path: str) -> None:
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+
+
+def made() -> int:
+    return 0
+
+
+def drop_since(mark: int, keep: DataFrame) -> None:
+    return
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
-    The folder stays for what reads it later; drop() and drop_since() delete tables that nothing reads any more.
+    The folder stays for what reads it later: an operator's result is lazy and reads its tables when it is used. Who has used
+    it deletes them with run() and drop_run(), or with the shared folder itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _note(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._heddle_path = path
@@ -73,15 +95,21 @@ def drop(df: DataFrame | None) -> None:
 
 
 def stored_by(df: DataFrame, key: str, parts: int) -> DataFrame:
-    """As stored(), bucketed by `key`: grouping or joining the rows by it needs no further shuffle of them."""
+    """As stored(), bucketed by `key`: grouping or joining the rows by it needs no further shuffle of them.
+
+    Spark buckets only tables of its catalog, so a table of an unused name is made in the current database, whose files lie in the
+    shared folder, and unregistered at once, also if writing fails. The session needs leave to create tables there.
+    """
     spark = df.sparkSession
     name = f"heddle_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    _MADE.append(path)
-    df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(name)
-    out = spark.table(name)
-    # the table's name is only needed to find it once; its files stay
-    spark.sql(f"DROP TABLE {name}")
+    _note(path)
+    try:
+        df.write.option("compression", "zstd").option("path", path).bucketBy(parts, key).format("parquet").saveAsTable(name)
+        out = spark.table(name)
+    finally:
+        # the table's name is only needed to find it once; its files stay
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     out._heddle_path = path
     return out
 

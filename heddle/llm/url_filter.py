@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import join_by_size
+
 #: Bits of the filter for a rule, its least and most words of 8 bytes, and the bits that a key sets in its word.
 RULE_BITS, LEAST_WORDS, MOST_WORDS, KEY_BITS = 16, 1 << 6, 1 << 21, 4
 #: Rules that a broadcast may hold; beyond it the same join is shuffled.
@@ -83,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     judged = pages.select(*own, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     if not cuts:
         return judged.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    urls = judged.where("host <> ''").select("host", "path").distinct()
+    urls = judged.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("rows"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.length("path"))
@@ -91,14 +93,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rules_there = listed.count()
     size = filter_words(rules_there)
     words = bloom_words(listed, size).scalar()
-    tried = urls.select("host", "path", F.explode(keys).alias("k")).select("host", "path", "k.rule", "k.cut")
+    tried = urls.select("host", "path", "rows", F.explode(keys).alias("k")).select("host", "path", "rows", "k.rule", "k.cut")
     mask = _mask(F.col("rule"))
     hits = tried.where(F.get(words, _word(F.col("rule"), size)).bitwiseAND(mask) == mask)
     fits = hits.join(F.broadcast(listed) if rules_there <= MOST_BROADCAST else listed, ["rule", "cut"])
-    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("short"), "rule", "verdict")).alias("best"))
+    best = fits.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("short"), "rule", "verdict")).alias("best"), F.first("rows").alias("rows"))
     # URLs without a host fit no rule and would all meet under one key
     blank = judged.where("host = ''").withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    out = judged.where("host <> ''").join(best, ["host", "path"], "left")
+    # a URL with very many rows is not brought together
+    out = join_by_size(judged.where("host <> ''"), best, ["host", "path"], pages.count(), "left")
     return out.select(*own, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")).unionByName(blank)
 
 

@@ -271,6 +271,57 @@ def test_pipeline_rows(spark, tmp_path):
     assert got == sorted((tuple(r) for r in mixed.collect()), key=repr) and len(got) > 20
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Repeated rows, a very long text and columns with the operators' own names go through all stages."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = docs.where("doc_id < 40")
+    first = some.where("doc_id = 3").first()
+    long = " ".join(r["text"] or "" for r in some.where("lang = 'en'").collect())
+    long = " ".join(" ".join(reversed(long.split()[i:] + long.split()[:i])) for i in range(0, 3000, 150))
+    rows = some.unionByName(some.where("doc_id = 3")).unionByName(spark.createDataFrame([(900, long, "en", first["source"], len(long)), (901, None, None, None, None)], docs.schema))
+    names = ["kept", "component_id", "n_words", "lang_pred", "score", "size", "taken", "target", "edits", "item_id", "gone_id", "print", "low", "train", "rows"]
+    for n in names:
+        rows = rows.withColumn(n, F.lit("other"))
+    os.makedirs(tmp_path / "sf")
+    rows.write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "sf" / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path / "sf"))
+        assert now.columns == rows.columns and all(r[n] == "other" for r in now.select(*names).collect() for n in names), name
+        now = spark.createDataFrame(now.collect(), now.schema)
+    assert 900 in {r["doc_id"] for r in now.collect()}
+    got = pipeline.run(spark, str(tmp_path / "sf")).collect()
+    plain = spark.createDataFrame(rows.select(*docs.columns).collect(), docs.schema)
+    os.makedirs(tmp_path / "plain")
+    plain.write.parquet(str(tmp_path / "plain" / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "plain" / "benchmark.parquet"))
+    same = pipeline.run(spark, str(tmp_path / "plain")).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in same)
+
+
+def test_runs_keep_their_tables_apart(spark):
+    """A run deletes what it stored, and nothing that another one stored meanwhile."""
+    import threading
+
+    from heddle.llm import session
+
+    other = []
+    with session.run() as tables:
+        mine = [session.stored(spark.range(3)) for _ in range(2)]
+        beside = threading.Thread(target=lambda: other.append(session.stored(spark.range(5))))
+        beside.start()
+        beside.join()
+        with session.run() as inner:
+            third = session.stored(spark.range(7))
+            session.drop_run(inner, third)
+        session.drop_run(tables, mine[0])
+    assert other[0].count() == 5 and third.count() == 7 and mine[0].count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found|FAILED_READ"):
+        mine[1].count()
+
+
 def test_pipeline(spark):
     """Each stage keeps what it should of its own input, and the stages fit together."""
     pipeline = pytest.importorskip("corpus_pipeline")

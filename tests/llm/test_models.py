@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.llm import backoff_lm, blocks, decontamination, language_id, quality_cnn
+from heddle.llm import backoff_lm, blocks, decontamination, kernels, language_id, quality_cnn
 from heddle.llm.kernels import Words, text_bytes
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -124,10 +124,36 @@ def test_backoff_is_a_distribution():
 
 def test_messages():
     """Fingerprints cut into messages come back as they were, empty messages too."""
-    x = np.sort(np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 32, 1000, dtype=np.uint32))
     cuts = np.array([0, 0, 7, 500, 500, 1000])
-    back, at = blocks.prints_of(pa.chunked_array([blocks.cut_prints(x, cuts)]))
-    assert (back == x).all() and (at == cuts).all()
+    for kind, bits in ((np.uint32, 32), (np.uint64, 64)):
+        x = np.sort(np.random.Generator(np.random.PCG64(1)).integers(0, (1 << bits) - 1, 1000, dtype=kind))
+        back, at = blocks.prints_of(pa.chunked_array([blocks.cut_prints(x, cuts)]), kind)
+        assert (back == x).all() and (at == cuts).all() and back.dtype == kind
+
+
+def test_keys_sort_by_bucket():
+    h = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in (1, 2, 7, 123, 4096):
+        keys = np.sort(blocks.whole_keys(h))
+        at = blocks.bucket_starts(keys, n)
+        back = blocks.bucket_of((keys >> np.uint64(32)) | (keys << np.uint64(32)), n)
+        assert at[0] == 0 and at[-1] == len(h) and (np.diff(back.astype(np.int64)) >= 0).all()
+        assert all((back[a:z] == b).all() for b, (a, z) in enumerate(zip(at, at[1:], strict=False)))
+
+
+def test_no_ngrams_are_merged():
+    """Ten million different pairs of words that all lie in one bucket keep a count each, through question and answer."""
+    side, n = 3200, 10_000_000
+    words = kernels.mix64(np.arange(1, side + 1, dtype=np.uint64))
+    number = np.arange(n)
+    pairs = kernels.mix64(words[number // side] * np.uint64(0x2545F4914F6CDD1D) + words[number % side])
+    keys, first, _ = blocks.distinct(blocks.whole_keys(pairs))
+    assert len(keys) == n
+    counts = first % 7
+    small, big = blocks.small_counts(counts, np.array([0, n]))
+    asked = pa.table({"bucket": [1], "__block": [0], "prints": blocks.cut_prints(keys, np.array([0, n])), "small": small, "big": big})
+    told = backoff_lm._answers(1)(asked)
+    assert (blocks.counts_of(told["small"], told["big"]) == counts).all()
 
 
 def test_counts_of_any_size():
@@ -135,7 +161,7 @@ def test_counts_of_any_size():
     x = np.array([0, 1, 254, 255, 256, 5_000_000_000, 1 << 60, 7])
     small, big = blocks.small_counts(x, np.array([0, 3, 3, 8]))
     assert blocks.counts_of(pa.chunked_array([small]), pa.chunked_array([big])).tolist() == x.tolist()
-    rows = pa.table({"bucket": [5, 5], "__block": [0, 1], "prints": blocks.cut_prints(np.array([3, 9, 9], np.uint32), np.array([0, 2, 3]))})
+    rows = pa.table({"bucket": [5, 5], "__block": [0, 1], "prints": blocks.cut_prints(np.array([3, 9, 9], np.uint64), np.array([0, 2, 3]))})
     counts = [blocks.small_counts(np.array(c), np.array([0, len(c)])) for c in ([4_294_967_290, 2], [4_294_967_299])]
     for i, name in enumerate(("small", "big")):
         rows = rows.append_column(name, pa.chunked_array([pa.concat_arrays([c[i] for c in counts])]))
@@ -372,11 +398,34 @@ def test_decontamination_recall(spark, monkeypatch, most):
     items, docs = edited(2, 0.2)
     got = decontamination.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
     got = {(r["doc_id"], r["item_id"]): r["edits"] for r in got}
-    need = {(n, i): e for n, d in enumerate(docs) for i, x in enumerate(items) if i == n % len(items) for e in [semi_global(x, d.split())] if e <= int(len(x) * 0.2 + 1e-9)}
+    # all pairs; an item that misses more of its words than it may be edited needs no distance
+    bags, most_edits = [collections.Counter(d.split()) for d in docs], [int(len(x) * 0.2 + 1e-9) for x in items]
+    near = [(n, i) for n, d in enumerate(bags) for i, x in enumerate(items) if sum((collections.Counter(x) - d).values()) <= most_edits[i]]
+    need = {(n, i): e for n, i in near for e in [semi_global(items[i], docs[n].split())] if e <= most_edits[i]}
     assert len(need.keys() & got.keys()) >= 0.97 * len(need)
     assert all(c == semi_global(items[b], docs[a].split()) for (a, b), c in got.items())
 
 
+def test_hot_passages(spark, monkeypatch):
+    """An item that a hundred thousand documents hold is found in all, and its rows stay where they are."""
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    items = spark.createDataFrame([(1, item), (2, "one two three four five six")], "item_id long, text string")
+    docs = spark.range(100_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit(item), F.when(F.col("id") == 77, " one two three four five six").otherwise("")).alias("text"))
+    got = decontamination.find_leaks(docs, items).groupBy("item_id").agg(F.count("*").alias("n"), F.max("edits").alias("e")).collect()
+    assert sorted(map(tuple, got)) == [(1, 100_000, 0), (2, 1, 0)]
+    rows = spark.range(100_000, numPartitions=8).select(F.col("id"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("key"))
+    joined = decontamination._joined(rows, spark.createDataFrame([(-1, "x"), (-1, "y"), (50, "z")], "key long, item string"), "key")
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2 * 90_000 + 1 and max(sizes) < 30_000
+
+
+def test_short_items_give_one_row_a_text(spark):
+    items = spark.createDataFrame([(4, "solo")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "solo " * 500), (2, "x solo solo")], "doc_id long, text string")
+    assert decontamination._leaks(docs, items, 0.2).count() == 2
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon"), (2, None), (3, " !! "), (4, "solo"), (1, "alpha beta gamma delta epsilon")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x ALPHA, beta. gamma\ndelta epsilon y", 0), (2, "alpha beta gamma delta", 0), (3, None, 0), (4, "", 0), (5, "soloist", 0), (6, "so solo", 0), (None, "alpha beta gamma delta epsilon", 0), (7, "w " * 50_000, 0), (1, "x ALPHA, beta. gamma\ndelta epsilon y", 0)], "doc_id long, text string, edits long")
