@@ -64,14 +64,6 @@ def _note(path: str) -> None:
         _RUN.get().append(path)
 
 
-def made() -> int:
-    return 0
-
-
-def drop_since(mark: int, keep: DataFrame) -> None:
-    return
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: cuts the lineage, survives lost executors.
 
