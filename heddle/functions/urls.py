@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import ip_hex, is_reserved
+
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -22,7 +24,7 @@ def authority(url: Column) -> Column:
 
 
 def hostname(url: Column) -> Column:
-    """Lower case, without port and without a trailing dot (U4)."""
+    """Lower case, without port and without a trailing dot (U4); an IPv6 address in its brackets."""
     return F.regexp_replace(F.lower(F.regexp_replace(authority(url), r":\d*$", "")), r"\.$", "")
 
 
@@ -138,43 +140,15 @@ def valid_site(site: Column) -> Column:
     return F.rlike(site, F.lit(r"^[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?(\.[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?)+$"))
 
 
-def ipv4_number(host: Column) -> Column:
-    """A canonical dotted quad as a long, else null."""
-    quad = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
-    parts = [F.try_to_number(F.regexp_extract(host, quad, i), F.lit("999")).cast("long") for i in (1, 2, 3, 4)]
-    return F.when(F.rlike(host, F.lit(quad)), parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3])
-
-
-#: Reserved IPv4 ranges (fixed values): first address, prefix length.
-RESERVED_V4 = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16),
-    ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16),
-    ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
-)
-
-
-def v4_ranges() -> list[tuple[str, int, int]]:
-    """(CIDR, first, last) of the reserved ranges."""
-    out = []
-    for base, bits in RESERVED_V4:
-        first = 0
-        for octet in base.split("."):
-            first = first * 256 + int(octet)
-        out.append((f"{base}/{bits}", first, first + (1 << (32 - bits)) - 1))
-    return out
-
-
 def guard_reason(url: Column) -> Column:
     """Why a URL may not be fetched, by its syntax alone (P5); null if it may."""
     host = hostname(url)
     last = F.regexp_extract(host, r"([^.]*)$", 1)
-    reserved = F.lit(False)
-    for _, first, end in v4_ranges():
-        reserved = reserved | ipv4_number(host).between(first, end)
+    digits = ip_hex(F.regexp_replace(authority(url), r":\d*$", ""))
     return (
         F.when(~scheme(url).isin("http", "https"), "scheme")
-        .when(host == "", "no_host")
-        .when(ipv4_number(host).isNotNull(), F.when(reserved, "reserved_ip"))
+        .when(F.regexp_replace(host, r"^\[\]$", "") == "", "no_host")
+        .when(digits.isNotNull(), F.when(is_reserved(digits), "reserved_ip"))
         .when(F.rlike(last, F.lit(r"^([0-9]+|0x[0-9a-f]*)$")), "numeric_host")
         .when((host == "localhost") | F.endswith(host, F.lit(".localhost")), "localhost")
     )

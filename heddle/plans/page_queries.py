@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import classify, text, urls
+from ..functions import addresses, classify, text, urls
 from ..sources.tables import table
 from .registry import query, table_of, values
 
@@ -145,6 +148,12 @@ def cache_keys(spark, sf_dir):
     return _spread(table(spark, sf_dir, "pages")).select("page_id", urls.cache_url(u).alias("cache_url"), urls.cache_key(u, F.lit("{}")).alias("cache_key"))
 
 
+def _cidr_rows() -> list[tuple]:
+    """The reserved ranges with their first and last addresses as numbers."""
+    nets = [ipaddress.ip_network(c) for c in addresses.RESERVED]
+    return [(c, n.version, str(int(n.network_address)), str(int(n.broadcast_address))) for c, n in zip(addresses.RESERVED, nets, strict=True)]
+
+
 _QUAD = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
@@ -156,7 +165,7 @@ def _v4(h: str) -> str:
 _GUARD = _case(
     [
         ("scheme NOT IN ('http', 'https')", "'scheme'"), ("host = ''", "'no_host'"),
-        (f"{_v4('host')} IS NOT NULL", "CASE WHEN " + " OR ".join(f"{_v4('host')} BETWEEN {a} AND {z}" for _, a, z in urls.v4_ranges()) + " THEN 'reserved_ip' END"),
+        (f"{_v4('host')} IS NOT NULL", "CASE WHEN " + " OR ".join(f"{_v4('host')} BETWEEN {a} AND {z}" for _, v, a, z in _cidr_rows() if v == 4) + " THEN 'reserved_ip' END"),
         ("regexp_matches(regexp_extract(host, '([^.]*)$', 1), '^([0-9]+|0x[0-9a-f]*)$')", "'numeric_host'"), ("host = 'localhost' OR ends_with(host, '.localhost')", "'localhost'"),
     ],
     "NULL",
@@ -169,17 +178,64 @@ def url_guard(spark, sf_dir):
     return _spread(table(spark, sf_dir, "pages")).groupBy(urls.guard_reason(F.col("url")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_CIDRS = values(urls.v4_ranges(), "cidr, first, last")
+#: Hosts by page_id: both families, several spellings, and texts that are no address.
+_HOSTS = (
+    "%1$d.%2$d.%3$d.%4$d", "10.%2$d.%3$d.%4$d", "192.168.%3$d.%4$d", "0%1$d.%2$d.3.4", "%1$d.%2$d.%3$d", "256.%2$d.1.1",
+    "[2001:db8::%5$x]", "[%5$x:%6$x:%5$x:%6$x:1:2:3:4]", "[::ffff:%1$d.%2$d.%3$d.%4$d]", "[64:FF9B::%1$d.%2$d.%3$d.%4$d]", "[fe80::%6$x%%25eth0]", "[::%4$x]", "[%5$x::]", "[1:2:3:4:5:6:7:%5$x]", "[1:2:3:4:5:6::%6$x]", "[1::2::%5$x]",
+    "[1:2:3:4:5:6:7::8:%4$x]", "[:%5$x::1]", "[12345::%4$x]", "[2002:%5$x::1]", "[3fff:%4$x::]", "[fc00:%5$x::%6$x]", "[::%1$d.%2$d.%3$d.0%4$d]", "[100::%5$x:%6$x]", "[1:2:3:4:5:6:%1$d.%2$d.%3$d.%4$d]", "[2001:%4$x::%5$x]", "host%5$x.example.com",
+)
+_N = ("page_id * 7919 // 97 % 224", "page_id * 31 % 256", "page_id * 17 % 256", "page_id % 256", "page_id * 48271 % 65536", "page_id * 69621 % 65536")
+
+
+def _hosts(pages: DataFrame) -> DataFrame:
+    p = F.col("page_id")
+    n = [F.floor(p * 7919 / 97) % 224, p * 31 % 256, p * 17 % 256, p % 256, p * 48271 % 65536, p * 69621 % 65536]
+    host = None
+    for i, form in enumerate(_HOSTS):
+        said = F.format_string(form, *[x.cast("long") for x in n])
+        host = F.when(p % len(_HOSTS) == i, said) if host is None else host.when(p % len(_HOSTS) == i, said)
+    return pages.select("page_id", host.alias("host"))
+
+
+def _host_sql() -> str:
+    """The same hosts in DuckDB, and what is told from them by numbers of 128 bits."""
+
+    def form(f: str) -> str:
+        parts = re.split(r"(%\d\$[dx]|%%)", f)
+        return " || ".join(f"({_N[int(x[1]) - 1]})::VARCHAR" if x.endswith("$d") else f"format('{{:x}}', {_N[int(x[1]) - 1]})" if x.endswith("$x") else "'" + x.replace("%%", "%") + "'" for x in parts if x)
+
+    return _case([(f"page_id % {len(_HOSTS)} = {i}", form(f)) for i, f in enumerate(_HOSTS)], "NULL")
+
+
+# groups of the text are read one by one here, as numbers, and ranges are compared by their bounds
+_ADDRESS = rf"""h AS (SELECT page_id, {_host_sql()} AS host FROM pages),
+t AS (SELECT page_id, host, regexp_replace(regexp_replace(lower(host), '^\[|\]$', '', 'g'), '%.*$', '') AS t FROM h),
+q AS (SELECT *, regexp_extract(t, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$', 1) AS quad, string_split(regexp_extract(t, '([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$', 1), '.') AS o FROM t),
+v AS (SELECT *, CASE WHEN quad <> '' AND len(list_filter(o, lambda x: x::BIGINT > 255 OR (len(x) > 1 AND x[1] = '0'))) = 0 THEN ((o[1]::BIGINT * 256 + o[2]::BIGINT) * 256 + o[3]::BIGINT) * 256 + o[4]::BIGINT END AS n4 FROM q),
+s AS (SELECT *, string_split(CASE WHEN quad = '' OR n4 IS NULL THEN t ELSE left(t, len(t) - len(quad)) || format('{{:x}}:{{:x}}', n4 // 65536, n4 % 65536) END, '::') AS parts FROM v),
+g AS (SELECT *, CASE WHEN parts[1] = '' THEN [] ELSE string_split(parts[1], ':') END AS a, CASE WHEN len(parts) < 2 OR parts[2] = '' THEN [] ELSE string_split(parts[2], ':') END AS b FROM s),
+w AS (SELECT *, CASE WHEN len(parts) = 1 THEN a ELSE a || list_transform(range(8 - len(a) - len(b)), lambda i: '0') || b END AS all8 FROM g),
+x AS (SELECT page_id, host, CASE WHEN starts_with(host, '[') THEN 6 ELSE 4 END AS version, CASE WHEN NOT starts_with(host, '[') THEN CASE WHEN t = quad THEN n4::UHUGEINT END
+  WHEN len(parts) <= 2 AND contains(t, ':') AND len(a) + len(b) <= (CASE WHEN len(parts) = 2 THEN 7 ELSE 8 END) AND len(all8) = 8 AND len(list_filter(all8, lambda y: NOT regexp_full_match(y, '[0-9a-f]{{1,4}}'))) = 0
+    THEN list_reduce(list_prepend(0::UHUGEINT, list_transform(all8, lambda y: ('0x' || y)::UHUGEINT)), lambda m, y: m * 65536 + y) END AS ip FROM w)"""
 
 
-@query("reserved_ranges", f"""
-WITH a AS (SELECT page_id, (page_id * 2654435761) % 4294967296 AS ip FROM pages)
-SELECT cidr, count(*) AS n, min(ip) AS least_ip FROM a JOIN {_CIDRS} ON ip BETWEEN first AND last GROUP BY 1""")
+@query("reserved_ranges", f"WITH {_ADDRESS} SELECT page_id, host, cidr FROM x JOIN (SELECT cidr, v, lo::UHUGEINT AS lo, hi::UHUGEINT AS hi FROM {values(_cidr_rows(), 'cidr, v, lo, hi')}) ON v = version AND ip BETWEEN lo AND hi")
 def reserved_ranges(spark, sf_dir):
-    """Addresses (declared: spread by page_id) in the reserved ranges, a join with fifteen ranges."""
-    ips = table(spark, sf_dir, "pages").select("page_id", ((F.col("page_id") * F.lit(2654435761)) % F.lit(4294967296)).alias("ip"))
-    ranges = F.broadcast(table_of(spark, urls.v4_ranges(), "cidr string, first long, last long"))  # fifteen rows
-    return ips.join(ranges, F.col("ip").between(F.col("first"), F.col("last"))).groupBy("cidr").agg(F.count("*").alias("n"), F.min("ip").alias("least_ip"))
+    """Which of the 29 reserved ranges each address (hosts declared by page_id, IPv4 and IPv6) lies in, by a join on prefixes."""
+    rows = _hosts(table(spark, sf_dir, "pages")).withColumn("digits", addresses.ip_hex(F.col("host"))).where("digits IS NOT NULL")
+    ranges = F.broadcast(table_of(spark, [(c, k) for c, k, _ in addresses.range_rows()], "cidr string, key string"))  # 29 rows
+    return addresses.in_ranges(rows, "digits", ranges, addresses.RESERVED).select("page_id", "host", "cidr")
+
+
+@query("address_guard", rf"""WITH {_ADDRESS}, r AS (SELECT x.*, EXISTS (SELECT 1 FROM {values(_cidr_rows(), 'cidr, v, lo, hi')} WHERE v = version AND ip BETWEEN lo::UHUGEINT AND hi::UHUGEINT) AS inside FROM x)
+SELECT CASE WHEN ip IS NOT NULL THEN CASE WHEN inside THEN 'reserved_ip' END WHEN version = 4 AND regexp_matches(host, '(^|\.)[0-9]+$') THEN 'numeric_host' END AS reason, version, count(*) AS n, min(page_id) AS first_page FROM r GROUP BY 1, 2""")
+def address_guard(spark, sf_dir):
+    """What the guard says of URLs on these hosts, by family."""
+    rows = _hosts(table(spark, sf_dir, "pages"))
+    url = F.concat(F.lit("https://"), "host", F.lit(":8443/a"))
+    version = F.when(F.startswith("host", F.lit("[")), 6).otherwise(4)
+    return rows.groupBy(urls.guard_reason(url).alias("reason"), version.alias("version")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
 _TID = _case(
