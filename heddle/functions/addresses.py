@@ -8,11 +8,12 @@ asked with one key for each length that occurs, by an equality join or a look-up
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Ranges that a caller's URL may not reach (fixed values).
 RESERVED = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.88.99.0/24", "192.168.0.0/16",
@@ -24,11 +25,6 @@ _QUAD = rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}"
 _DIGITS = "0123456789ABCDEF"
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with the value worked out once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _octets(text: Column) -> Column:
     """A dotted quad as 8 hex digits."""
     return F.lower(F.array_join(F.transform(F.split(text, r"\."), lambda x: F.lpad(F.hex(x.try_cast("int")), 2, "0")), ""))
@@ -49,7 +45,7 @@ def _eight(halves: Column) -> Column:
         zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - n, F.lit(0)))).otherwise(none)
         return F.when(well, F.upper(F.array_join(F.transform(F.concat(g["a"], zeros, g["b"]), lambda x: F.lpad(x, 4, "0")), "")))
 
-    return _let(F.struct(_groups(F.get(halves, F.lit(0))).alias("a"), _groups(F.get(halves, F.lit(1))).alias("b")), filled)
+    return let(F.struct(_groups(F.get(halves, F.lit(0))).alias("a"), _groups(F.get(halves, F.lit(1))).alias("b")), filled)
 
 
 def ip_hex(host: Column) -> Column:
@@ -63,10 +59,10 @@ def ip_hex(host: Column) -> Column:
     def six(text: Column) -> Column:
         # the quad at the end as two groups
         quad = F.regexp_extract(text, rf"^(?:[0-9a-f:]*:)({_QUAD})$", 1)
-        spelled = _let(quad, lambda q: F.when(q == "", text).otherwise(_let(_octets(q), lambda o: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(q)), F.substring(o, 1, 4), F.lit(":"), F.substring(o, 5, 4)))))
-        return F.when(F.contains(text, F.lit(":")), _let(F.split(spelled, "::"), _eight))
+        spelled = let(quad, lambda q: F.when(q == "", text).otherwise(let(_octets(q), lambda o: F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(q)), F.substring(o, 1, 4), F.lit(":"), F.substring(o, 5, 4)))))
+        return F.when(F.contains(text, F.lit(":")), let(F.split(spelled, "::"), _eight))
 
-    return F.when(F.rlike(host, F.lit(rf"^{_QUAD}$")), F.upper(_octets(host))).otherwise(_let(bare, six))
+    return F.when(F.rlike(host, F.lit(rf"^{_QUAD}$")), F.upper(_octets(host))).otherwise(let(bare, six))
 
 
 def prefix_key(digits: Column, bits: int) -> Column:
@@ -99,7 +95,7 @@ def keys(digits: Column, cidrs: tuple[str, ...] = RESERVED) -> Column:
     """The keys under which an address may be in one of the ranges, one for each length of its family."""
     by = _lengths(cidrs)
     each = lambda d, n: F.array(*[prefix_key(d, b) for b in by[n]]) if by[n] else F.array().cast("array<string>")
-    return _let(digits, lambda d: F.when(F.length(d) == 8, each(d, 8)).otherwise(each(d, 32)))
+    return let(digits, lambda d: F.when(F.length(d) == 8, each(d, 8)).otherwise(each(d, 32)))
 
 
 def is_reserved(digits: Column, cidrs: tuple[str, ...] = RESERVED) -> Column:

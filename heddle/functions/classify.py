@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
+from .binding import let
 from .text import first_lines, plain, prose, prose_chars
 
 #: Phrases of bot walls, in the order they are looked for (fixed values).
@@ -78,7 +79,11 @@ def head_bytes(text: Column, n: int = SCAN_BYTES) -> Column:
 
 
 def first_marker(text: Column, markers: tuple[str, ...]) -> Column:
-    return F.get(F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(text, m)), F.lit(0))
+    return let(text, lambda t: F.get(F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(t, m)), F.lit(0)))
+
+
+def blank(text: Column) -> Column:
+    return ~F.rlike(text, F.lit(r"\S"))
 
 
 def wall_marker(body: Column) -> Column:
@@ -127,45 +132,71 @@ def verdict_kind(message: Column, status: Column) -> Column:
     return out.when(wall_marker(m).isNotNull(), "captcha").when(status == 403, "http_403").when(status == 429, "http_429").otherwise("upstream_error")
 
 
-#: Headings of a page that isn't there, of a country picker, and of a CDN challenge (fixed values).
+#: Headings of a page that isn't there and of a country picker; the script and the whole title of a CDN challenge (fixed values).
 _SOFT_404 = r"(?i)\bpage not found\b|\bpage (you|you're|you are) (were |are )?looking for\b|\bthis page (doesn't|does not|no longer) exists?\b|\bthis page is not available\b|\bpage introuvable\b|\bseite nicht gefunden\b"
+_PICKER = r"(?im)^#{1,6}\s+(choose|select) (a|your) country\b"
+_CHALLENGE_SCRIPT = r"""(?i)<script\b[^>]*\ssrc\s*=\s*["']?[^"'\s>]*/cdn-cgi/challenge-platform/[^"'\s>]*/orchestrate/"""
+_CHALLENGE_TITLE = r"(?i)<title[^>]*>\s*(?:just a moment|un instant|einen moment|un momento|um momento|attention required! \| cloudflare|please wait\.\.\. \| cloudflare)\s*(?:\.\.\.|…)?\s*</title>"
+#: Opening lines that are looked at, and the characters from which on one is a paragraph (fixed values).
+OPENING, PARAGRAPH = 12, 120
 
 
-_PICKER = r"(?im)^#+ *(choose|select) (a|your) (country|region)"
-_CHALLENGE = r"<title>\s*just a moment|/cdn-cgi/challenge-platform/|cf-turnstile"
+def _lines_read(content: Column) -> Column:
+    """Struct (missing, marks, loading): whether a short line before the first paragraph says that the page isn't there; lines with something on them, and those that say no more than Loading. One pass."""
+    start = F.struct(F.lit(0).alias("seen"), F.lit(False).alias("done"), F.lit(False).alias("missing"), F.lit(0).alias("marks"), F.lit(0).alias("loading"))
 
+    def step(acc: Column, line: Column) -> Column:
+        mark = F.regexp_replace(F.trim(line), r"^[.…#* ]+|[.…#* ]+$", "")
+        said = F.struct(F.when(acc["done"], F.lit("")).otherwise(prose(line)).alias("p"), F.lower(mark).alias("mark"))
 
-def silent_failure(content: Column) -> Column:
-    """Kind of a page that was served but isn't the page (C4): CDN interstitial, soft 404, country picker, loading skeleton."""
-    low = F.lower(content)
-    lines = F.filter(F.transform(F.split(content, "\n"), prose), lambda x: x != "")
-    # lines up to the first that is a paragraph, twelve at most
-    ends = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) >= 120, i).otherwise(F.lit(12))), lambda i: i < 12)
-    opening = F.slice(lines, 1, F.least(F.coalesce(F.array_min(ends), F.lit(12)), F.lit(12)))
-    missing = F.exists(opening, lambda x: (F.length(x) <= 60) & F.rlike(x, F.lit(_SOFT_404)))
-    picker = F.rlike(first_lines(content, 10), F.lit(_PICKER))
-    marks = F.filter(F.transform(F.split(low, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[.…#* ]+|[.…#* ]+$", "")), lambda x: x != "")
-    loading = F.size(F.filter(marks, lambda x: x == "loading"))
-    return (
-        F.when(F.contains(low, F.lit("powered and protected by")) & F.contains(low, F.lit("akamai")) & (prose_chars(content) < 300), "bot_block")
-        .when(missing, "not_found")
-        .when((prose_chars(content) < 1500) & picker, "bot_block")
-        .when((loading >= 10) & (loading * 10 > F.size(marks) * 3), "thin_content")
-    )
+        def read(x: Column) -> Column:
+            here, n = x["p"] != "", F.length(x["p"])
+            ends = here & ((acc["seen"] >= OPENING) | (n >= PARAGRAPH))
+            return F.struct(
+                (acc["seen"] + here.cast("int")).alias("seen"), (acc["done"] | ends).alias("done"), (acc["missing"] | (here & ~ends & (n <= 60) & F.rlike(x["p"], F.lit(_SOFT_404)))).alias("missing"),
+                (acc["marks"] + (x["mark"] != "").cast("int")).alias("marks"), (acc["loading"] + (x["mark"] == "loading").cast("int")).alias("loading"),
+            )
+
+        return let(said, read)
+
+    return F.aggregate(F.split(content, "\n"), start, step)
+
+
+def silent_failure(content: Column, scan: Column | None = None, prose_length: Column | None = None) -> Column:
+    """Kind of a page that was served but isn't the page (C4): CDN interstitial, soft 404, country picker, loading skeleton.
+
+    scan: the content with the cleaned HTML before it, where there is any; prose_length: prose_chars() of the content, if it is there already.
+    """
+    n = prose_chars(content) if prose_length is None else prose_length
+    seen = content if scan is None else scan
+    akamai = F.contains(F.lower(content), F.lit("powered and protected by")) & F.contains(F.lower(seen), F.lit("akamai")) & (n < 300)
+    picker = (n < 1500) & F.rlike(first_lines(content, 10), F.lit(_PICKER))
+    skeleton = lambda x: (x["loading"] >= 10) & (x["loading"] * 10 > x["marks"] * 3)
+    return let(_lines_read(content), lambda x: F.when(akamai, "bot_block").when(x["missing"], "not_found").when(picker, "bot_block").when(skeleton(x), "thin_content"))
+
+
+def served(fit: Column, raw: Column) -> Column:
+    """The Markdown that counts: the fitted one, the raw one where that is blank."""
+    return F.when(F.coalesce(blank(fit), F.lit(True)), F.coalesce(raw, F.lit(""))).otherwise(fit)
+
+
+def scanned(content: Column, cleaned: Column) -> Column:
+    """What is searched for walls: the cleaned HTML, where it says something else, and the content."""
+    return F.when((F.coalesce(cleaned, F.lit("")) == "") | (cleaned == content), content).otherwise(F.concat(cleaned, F.lit("\n"), content))
 
 
 def challenge_page(html: Column) -> Column:
     """A CDN challenge in the page's head."""
-    return F.rlike(F.lower(head_bytes(html)), F.lit(_CHALLENGE))
+    return let(head_bytes(html), lambda h: F.rlike(h, F.lit(_CHALLENGE_SCRIPT)) | F.rlike(h, F.lit(_CHALLENGE_TITLE)))
 
 
 def page_verdict(
-    html: Column, text: Column, status: Column, silent: Column, prose_length: Column, floor: int = 200, asked: Column | None = None, final: Column | None = None, success: Column | None = None, message: Column | None = None
+    html: Column, text: Column, status: Column, silent: Column, prose_length: Column, floor: int = 200, asked: Column | None = None, final: Column | None = None, success: Column | None = None, message: Column | None = None, scan: Column | None = None
 ) -> Column:
     """One verdict for a fetched page, checks in their fixed order.
 
     silent and prose_length: silent_failure() and prose_chars() of the text, columns of their own so that each is
-    worked out once. asked and final: the URL asked for and the one the browser ended on; success and
+    worked out once. scan: scanned() of the text, where there is cleaned HTML. asked and final: the URL asked for and the one the browser ended on; success and
     message: the browser service's own verdict. Where these are not given, their checks are left out.
     """
     no = F.lit(False)
@@ -181,11 +212,11 @@ def page_verdict(
         F.when(guarded, "refused")
         .when(challenge_page(html), "captcha")
         .when(failed, said)
-        .when(wall_marker(text).isNotNull(), "captcha")
+        .when(wall_marker(text if scan is None else scan).isNotNull(), "captcha")
         .when(F.startswith(there, F.lit("consent.")), "captcha")
         .when(status >= 400, page_status_kind(status))
         .when(silent.isNotNull(), silent)
-        .when(F.trim(text) == "", "thin_content")
+        .when(blank(text), "thin_content")
         .when(prose_length < floor, "thin_content")
         .when(elsewhere & verify, "captcha")
         .when(elsewhere & login, "bot_block")

@@ -166,21 +166,6 @@ def tidy_markdown(text: str | None, base: str = "") -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-def expand_links(text: str | None, facets: list[dict[str, Any]] | None) -> str | None:
-    """Links put in at UTF-8 byte ranges (F13); of ranges that overlap the first counts, and ranges out of bounds are skipped."""
-    if text is None:
-        return None
-    raw, out, at = text.encode(), [], 0
-    for f in sorted(facets or [], key=lambda f: f["start"]):
-        a, z = f["start"], f["end"]
-        if a < at or z > len(raw) or a >= z:
-            continue
-        label = raw[a:z].decode("utf-8", "replace")
-        out += [raw[at:a].decode("utf-8", "replace"), f["uri"] if label.rstrip(".…") and f["uri"].split("://")[-1].startswith(label.rstrip(".…")) else f"[{label}]({f['uri']})"]
-        at = z
-    return "".join(out) + raw[at:].decode("utf-8", "replace")
-
-
 def _toon_value(x: Any, comma: bool = True) -> str:
     if x is None:
         return "null"
@@ -240,14 +225,6 @@ def tidy_of(text: Column, base: Column) -> Column:
     return run(text, base)
 
 
-def linked_of(text: Column, facets: Column) -> Column:
-    @F.arrow_udf(T.StringType())
-    def run(c: pa.Array, f: pa.Array) -> pa.Array:
-        return pa.array([expand_links(x, y) for x, y in zip(c.to_pylist(), f.to_pylist(), strict=True)], pa.string())
-
-    return run(text, facets)
-
-
 def toon_of(value: Column) -> Column:
     """TOON of a JSON text."""
 

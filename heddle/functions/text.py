@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Who says that a text is cut; part of the marker's width.
 LABEL = "heddle"
 
@@ -83,10 +85,44 @@ def one_line(text: Column) -> Column:
 
 
 def link(label: Column, href: Column) -> Column:
-    """[label](href), or the bare URL where the label says nothing more."""
-    bare = F.regexp_replace(href, r"^https?://(www\.)?", "")
-    same = (F.trim(label) == "") | (F.trim(label) == href) | (F.regexp_replace(F.trim(label), "…$", "") == F.substr(bare, F.lit(1), F.length(F.regexp_replace(F.trim(label), "…$", ""))))
-    return F.when(F.coalesce(href, F.lit("")) == "", F.trim(label)).when(same, href).otherwise(F.concat(F.lit("["), F.trim(label), F.lit("]("), href, F.lit(")")))
+    """[label](href), or the bare URL where the label is no more than its beginning, shortened or not.
+
+    The URL's scheme and a www. may be missing from the label. Without a URL the label stays as it is.
+    """
+    said = F.regexp_replace(label, r"^\s+|\s+$", "")
+
+    def written(t: Column) -> Column:
+        shown = F.regexp_replace(F.regexp_replace(t, r"\.\.\.$", ""), "…$", "")
+        bare = F.regexp_replace(href, r"^(?i:https?://)", "")
+        same = (shown == "") | F.startswith(href, shown) | F.startswith(bare, shown) | F.startswith(F.regexp_replace(bare, r"^www\.", ""), shown)
+        return F.when(same, href).otherwise(F.concat(F.lit("["), t, F.lit("]("), href, F.lit(")")))
+
+    return F.when(F.coalesce(href, F.lit("")) == "", label).otherwise(let(said, written))
+
+
+def expand_links(text: Column, facets: Column) -> Column:
+    """Links put in at byte ranges of the UTF-8 text (F13). facets: array of struct (start, end, uri).
+
+    Of facets in the order of their starts, one that overlaps a link before it is left out, as are those without URL, empty, out of
+    bounds, or with an end inside a character. The text between is copied as it is.
+    """
+
+    def spliced(raw: Column) -> Column:
+        size = F.octet_length(raw)
+        first_byte = lambda at: F.hex(F.substr(raw, at + 1, F.lit(1))).rlike("^[0-7C-F]")
+        good = F.filter(facets, lambda f: (F.coalesce(f["uri"], F.lit("")) != "") & (f["start"] >= 0) & (f["end"] <= size) & (f["start"] < f["end"]))
+        good = F.filter(good, lambda f: first_byte(f["start"]) & ((f["end"] == size) | first_byte(f["end"])))
+        ordered = F.array_sort(F.transform(good, lambda f, i: F.struct(f["start"].cast("int").alias("start"), i.alias("i"), f["end"].cast("int").alias("end"), f["uri"].alias("uri"))))
+        part = lambda a, z: F.substr(raw, a + 1, z - a).cast("string")
+
+        def put(acc: Column, f: Column) -> Column:
+            piece = F.concat(part(acc["at"], f["start"]), link(part(f["start"], f["end"]), f["uri"]))
+            return F.when(f["start"] < acc["at"], acc).otherwise(F.struct(f["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
+
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(ordered, none, put, lambda acc: F.concat(F.array_join(acc["out"], ""), part(acc["at"], size)))
+
+    return F.when(F.coalesce(F.size(facets), F.lit(0)) > 0, let(F.encode(text, "UTF-8"), spliced)).otherwise(text)
 
 
 def clock(seconds: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .addresses import ip_hex, is_reserved
+from .binding import let
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -43,25 +44,89 @@ def merge_key(url: Column) -> Column:
     return F.when(authority(url) == "", url).otherwise(key)
 
 
+#: Bytes that stay as they are in a written parameter, as hex digits: letters, digits, - . _ ~
+_PLAIN_BYTE = r"^(2D|2E|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$"
+#: The same in a path, where $ & + , / : ; = @ stay too.
+_PATH_BYTE = r"^(2[46BCDEF]|3[0-9ABD]|4[0-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$"
+#: What a path may hold without being written anew, and a host.
+_PATH_AS_IS = r"^[A-Za-z0-9._~!$&'()*+,;=:@/\[\]%-]*$"
+_HOST_CHARS = r"""^[A-Za-z0-9._~!$&'()*+,;=:\[\]<>"\x{80}-\x{10FFFF}-]*$"""
+
+
+def decoded_bytes(text: Column) -> Column:
+    """The bytes that a percent-encoded text stands for, as hex digits; null where a % has no two digits behind it."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)%[0-9A-Fa-f]{2}|."), F.lit(0))
+    each = lambda t: F.when(F.length(t) == 3, F.upper(F.substring(t, 2, 2))).otherwise(F.hex(t))
+    return let(tokens, lambda ts: F.when(~F.array_contains(ts, "%"), F.array_join(F.transform(ts, each), "")))
+
+
+def encoded_bytes(digits: Column, plain: str, blank: str) -> Column:
+    """Bytes, given as hex digits, as text: those that match `plain` as they are, a blank as `blank`, others behind %."""
+    pairs = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
+    one = lambda b: F.when(F.rlike(b, F.lit(plain)), F.decode(F.unhex(b), "UTF-8")).when(b == "20", F.lit(blank)).otherwise(F.concat(F.lit("%"), b))
+    return F.array_join(F.transform(pairs, one), "")
+
+
+def _parameter(piece: Column, i: Column) -> Column:
+    """Struct (k, i, v): name and value of a parameter as hex digits; null in one where it can't be read."""
+    name = F.substring_index(piece, "=", 1)
+    value = F.substr(piece, F.length(name) + 2)
+    spaced = lambda c: F.replace(c, F.lit("+"), F.lit(" "))
+    return F.struct(decoded_bytes(spaced(name)).alias("k"), i.alias("i"), decoded_bytes(spaced(value)).alias("v"), F.contains(piece, F.lit(";")).alias("split"))
+
+
+def _parameters(query: Column) -> Column:
+    return F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), _parameter)
+
+
+def parameter(url: Column, name: str) -> Column:
+    """The first value of a parameter, decoded; '' without one. Parameters that can't be read are left out."""
+    code = name.encode().hex().upper()
+    found = F.filter(_parameters(query_string(url)), lambda p: F.coalesce((p["k"] == code) & ~p["split"], F.lit(False)) & p["v"].isNotNull())
+    return F.coalesce(F.decode(F.unhex(F.get(found, F.lit(0))["v"]), "UTF-8"), F.lit(""))
+
+
+def canonical_query(query: Column) -> Column:
+    """Parameters by name, those of one name in their order, every byte written in the one usual way.
+
+    A query with a ; or an unreadable % stays as it is: what it means isn't known.
+    """
+    write = lambda d: encoded_bytes(d, _PLAIN_BYTE, "+")
+
+    def sorted_(ps: Column) -> Column:
+        odd = F.exists(ps, lambda p: p["split"] | p["k"].isNull() | p["v"].isNull())
+        return F.when(odd, query).otherwise(F.array_join(F.transform(F.array_sort(ps), lambda p: F.concat(write(p["k"]), F.lit("="), write(p["v"]))), "&"))
+
+    return let(_parameters(query), sorted_)
+
+
+def canonical_path(where: Column) -> Column:
+    """The path as it is if it could be sent so, else written anew; null if a % of it can't be read."""
+    whole = decoded_bytes(where)
+    return F.when(F.rlike(where, F.lit(_PATH_AS_IS)), F.when(whole.isNotNull(), where)).otherwise(encoded_bytes(whole, _PATH_BYTE, "%20"))
+
+
 def cache_url(url: Column) -> Column:
-    """Cache identity (U2): scheme and host in lower case, no default port, no fragment, parameters by name; null without a host.
+    """Cache identity (U2): scheme and host in lower case, no default port, no fragment, parameters by name and in one spelling.
 
-    Parameters keep their percent escapes and, under one name, their order.
+    Null where there is no host or the URL can't be read: control characters, a port that is no number, characters that no host has, a
+    % in the path without its digits.
     """
-    port = F.regexp_extract(authority(url), r":(\d+)$", 1)
+    port = F.regexp_extract(authority(url), r":([^:\]]*)$", 1)
     default = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443"))
-    host = F.lower(F.regexp_replace(authority(url), r":\d*$", ""))
-    host = F.when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), port))
-    pairs = F.filter(F.split(query_string(url), "&"), lambda p: p != "")
-    named = F.transform(pairs, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    query = F.array_join(F.transform(F.array_sort(named), lambda x: x["p"]), "&")
-    tail = F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
-    return F.when(authority(url) != "", F.concat(scheme(url), F.lit("://"), host, path(url), tail))
+    host = F.lower(F.regexp_replace(authority(url), r":[^:\]]*$", ""))
+    user = F.regexp_extract(_part(url, 2), r"^(.*@)", 1)
+    whole = F.when((port == "") | default, host).otherwise(F.concat(host, F.lit(":"), port))
+    asked = _part(url, 4)
+    # a lone ? is kept, an empty query of pairs is not
+    tail = F.when(asked == "", F.lit("")).when(asked == "?", F.lit("?")).otherwise(let(canonical_query(query_string(url)), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
+    readable = (host != "") & F.rlike(port, F.lit(r"^\d*$")) & F.rlike(host, F.lit(_HOST_CHARS)) & ~F.rlike(F.trim(url), F.lit(r"[\x00-\x1f\x7f]"))
+    return F.when(readable, F.concat(scheme(url), F.lit("://"), user, whole, canonical_path(path(url)), tail))
 
 
 def cache_key(url: Column, options: Column) -> Column:
-    """Versioned digest of the cache URL and the options' JSON."""
-    return F.concat(F.lit("v1:"), F.sha2(F.encode(F.concat_ws("\n", cache_url(url), options), "UTF-8"), 256))
+    """Versioned digest of the cache URL and the options' JSON (U3); null for a URL without one."""
+    return F.concat(F.lit("v1:"), F.sha2(F.encode(F.concat(cache_url(url), F.lit("\n"), options), "UTF-8"), 256))
 
 
 def host_is(host: Column, domain: str) -> Column:
@@ -94,7 +159,8 @@ def _trimmed(url: Column) -> Column:
 
 
 def is_question_host(host: Column) -> Column:
-    """A question site: one on its own domain, its meta site, or a name of the network."""
+    """A question site, with www. or without: one on its own domain, its meta site, or a name of the network."""
+    host = F.regexp_replace(host, r"^www\.", "")
     name = F.regexp_extract(host, r"^(?:meta\.)?([^.]+)(?:\.meta)?\.stackexchange\.com$", 1)
     # either form of a meta site, not both at once
     twice = F.rlike(host, F.lit(r"^meta\.[^.]+\.meta\."))
@@ -121,7 +187,7 @@ def _claims(url: Column) -> list[tuple[str, Column]]:
         ("github", github_kind(url).isNotNull()),
         ("discourse", h.isin(*FORUM_HOSTS) & has(TOPIC_PATH, _trimmed(url))),
         ("bluesky", host_is(h, "bsky.app") & profile),
-        ("stackexchange", is_question_host(h) & has(QUESTION_PATH)),
+        ("stackexchange", web & is_question_host(h) & has(QUESTION_PATH)),
         ("twitter", web & (post_host(h).isin(*POST_HOSTS) & has(STATUS_PATH) | (h == SHORT_LINK_HOST) & has(SHORT_LINK_PATH))),
     ]
 
@@ -240,10 +306,34 @@ def thread_id(url: Column) -> Column:
     )
 
 
+#: Windows of time that a listing may name, and the sorts that heed them (fixed values).
+LISTING_TIMES = ("hour", "day", "week", "month", "year", "all")
+TIMED_SORTS = ("top", "controversial")
+#: A listing's posts where none are asked for, and at most (fixed values).
+LISTING_LIMIT, MOST_LISTING = 25, 100
+
+
 def listing_limit(url: Column) -> Column:
-    """A listing's limit, 1 to 100; 25 if none is given."""
-    given = F.try_to_number(F.nullif(F.regexp_extract(query_string(url), r"(?:^|&)limit=(\d{1,6})(?:&|$)", 1), F.lit("")), F.lit("999999")).cast("int")
-    return F.coalesce(F.least(F.greatest(given, F.lit(1)), F.lit(100)), F.lit(25))
+    """A listing's limit: 1 to 100, and 25 where the URL asks for none or for no positive number."""
+    given = parameter(url, "limit")
+    n = F.when(F.rlike(given, F.lit(r"^[+-]?[0-9]+$")), given.try_cast("long"))
+    return F.when(n > 0, F.least(n, F.lit(MOST_LISTING))).otherwise(F.lit(LISTING_LIMIT)).cast("int")
+
+
+def listing(url: Column) -> Column:
+    """Struct (sub, sort, t, limit) of a listing's URL; null for others (U6). t is '' unless the sort heeds it."""
+    where = F.regexp_replace(_trimmed(url), r"\.json$", "")
+    given = F.lower(F.regexp_extract(where, LISTING_PATH, 2))
+    sort = F.when(given == "", "hot").otherwise(given)
+    t = F.lower(parameter(url, "t"))
+    timed = F.when(sort.isin(*TIMED_SORTS) & t.isin(*LISTING_TIMES), t).otherwise("")
+    said = F.struct(F.regexp_extract(where, LISTING_PATH, 1).alias("sub"), sort.alias("sort"), timed.alias("t"), listing_limit(url).alias("limit"))
+    return F.when(host_is(hostname(url), "reddit.com") & F.rlike(where, F.lit(LISTING_PATH)), said)
+
+
+def is_share(url: Column) -> Column:
+    """A link that a thread is shared by, which has to be resolved first."""
+    return host_is(hostname(url), "reddit.com") & F.rlike(path(url), F.lit(SHARE_PATH))
 
 
 #: Extensions of plain text that needs no browser (fixed values).

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import addresses, classify, text, urls
 from ..sources.tables import table
-from .registry import query, table_of, values
+from .registry import query, spread, spread_sql, table_of, values
 
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -70,6 +70,10 @@ _SITES = (
     "https://discuss.python.org/t/some-topic/%s/4", "https://discuss.python.org/u/%s", "https://meta.mathoverflow.net/a/%s", "https://physics.meta.stackexchange.com/questions/%s/x/7", "https://chat.stackexchange.com/questions/%s",
     "https://www.fixupx.com/someone/status/%s/photo/1", "https://t.co/abc%s", "https://x.com/someone/likes/%s", "https://github.com/pricing/x%s", "https://github.com/a/b/raw/main/%s", "https://github.com/a/b/pull/%s/files", "https://github.com/a/b/pull/1/commits/abcdef%s",
     "https://gist.github.com/0123456789abcdef0123%s", "https://github.com/users/%s", "https://www.reddit.com/user/u%s", "https://www.reddit.com/r/spark/s/Ab%s", "https://news.ycombinator.com/newest?x=%s", "https://news.ycombinator.com/user?id=%s", "https://bsky.app/search/%s", "https://stackoverflow.com/questions/tagged/%s",
+    "https://www.stackoverflow.com/questions/%s/x", "ftp://stackoverflow.com/questions/%s", "https://www.meta.unix.stackexchange.com/q/%s", "https://www.chat.stackexchange.com/q/%s",
+    "https://www.reddit.com/r/spark", "https://www.reddit.com/r/spark/top?t=Week&limit=0&x=%s", "https://reddit.com/r/spark/new/?t=week&limit=5000000&x=%s", "https://old.reddit.com/r/Spark.json?limit=-3&y=%s",
+    "https://www.reddit.com/r/a_b/Controversial?T=all&t=ALL&limit=7&z=%s", "https://www.reddit.com/r/x/rising?limit=%2B9&limit=4&z=%s", "https://www.reddit.com/r/x?limit=+9&z=%s", "https://www.reddit.com/r/x/top?limit=99999999999999999999&t=decade&z=%s", "https://www.reddit.com/r/x/best?limit=%s", "https://reddit.com/r/x/top.json?t=d%61y&%6Cimit=12;&limit=13&z=%s",
+    "https://example.com/a%7Eb/%2f?b=%7E&a=x+y&a=%2f&c&%41=%s", "https://example.com/s?q=a;b&z=1&id=%s", "https://example.com/s?q=%zz&b=2&a=%s", "HTTPS://user:pw@Example.COM:8443/ü %41/%s?ü=é&&=&b=1&a=2&a=1", "https://example.com:443?%s&a=b=c&a", "https://example.com/%zz/%s", "https://exa mple.com/%s", "http://example.com:80a/%s", "https://example.com/x?", "https://example.com/(%s)/[a]?q=(a)*'b'!", "https://[2001:DB8::1]:443/%s?b&a",
 )
 
 
@@ -77,11 +81,11 @@ def _site_url():
     cases = F.col("url")
     out = F.when(F.col("page_id") % 3 == 0, cases)
     for i, s in enumerate(_SITES):
-        out = out.when(F.floor(F.col("page_id") / 3) % len(_SITES) == i, F.format_string(s, F.col("page_id").cast("string")))
+        out = out.when(F.floor(F.col("page_id") / 3) % len(_SITES) == i, F.replace(F.lit(s), F.lit("%s"), F.col("page_id").cast("string")))
     return out
 
 
-_SITE_SQL = "CASE WHEN page_id % 3 = 0 THEN url " + " ".join(f"WHEN (page_id // 3) % {len(_SITES)} = {i} THEN replace('{s}', '%s', page_id::VARCHAR)" for i, s in enumerate(_SITES)) + " END"
+_SITE_SQL = "CASE WHEN page_id % 3 = 0 THEN url " + " ".join(f"WHEN (page_id // 3) % {len(_SITES)} = {i} THEN replace('{s.replace(chr(39), chr(39) * 2)}', '%s', page_id::VARCHAR)" for i, s in enumerate(_SITES)) + " END"
 _U = f"(SELECT page_id, {_SITE_SQL} AS url FROM pages) u"
 
 
@@ -91,8 +95,9 @@ def _route_sql(u: str) -> str:
     within = lambda d: f"regexp_matches({h}, '(?i)(^|\\.){d}$')"
     post = f"regexp_replace(regexp_replace({h}, '^www\\.', ''), '^mobile\\.', '')"
     listed = lambda hosts: "(" + ", ".join(f"'{x}'" for x in hosts) + ")"
-    question = f"""({h} IN {listed([*urls.QUESTION_HOSTS, *("meta." + x for x in urls.QUESTION_HOSTS)])} OR (regexp_matches({h}, '^(meta\\.[^.]+|[^.]+\\.meta|[^.]+)\\.stackexchange\\.com$')
-      AND NOT regexp_matches({h}, '^(meta\\.)?(api|chat|data|openid)(\\.meta)?\\.stackexchange\\.com$')))"""
+    asked = f"regexp_replace({h}, '^www[.]', '')"
+    question = f"""lower({_p(u, 1)}) IN ('http', 'https') AND (regexp_matches({asked}, '^(meta[.])?(stackoverflow[.]com|superuser[.]com|serverfault[.]com|askubuntu[.]com|mathoverflow[.]net)$')
+      OR (regexp_matches({asked}, '^(meta[.][^.]+|[^.]+[.]meta|[^.]+)[.]stackexchange[.]com$') AND NOT regexp_matches({asked}, '^(meta[.])?(api|chat|data|openid)([.]meta)?[.]stackexchange[.]com$')))"""
     return _case(
         [
             (f"{within('reddit[.]com')} AND (regexp_matches({p}, '{urls.SHARE_PATH}') OR regexp_matches({p}, '{urls.PERMALINK_PATH}') OR regexp_matches(regexp_replace({cut}, '\\.json$', ''), '{urls.LISTING_PATH}'))", "'reddit'"),
@@ -100,7 +105,7 @@ def _route_sql(u: str) -> str:
             (f"({_GH.replace('url', u) if u != 'url' else _GH}) IS NOT NULL", "'github'"),
             (f"{h} IN {listed(urls.FORUM_HOSTS)} AND regexp_matches({cut}, '{urls.TOPIC_PATH}')", "'discourse'"),
             (f"{within('bsky[.]app')} AND regexp_matches({p}, '^/*profile/[^/]+(/post/[^/]+)?/*$')", "'bluesky'"),
-            (f"{question} AND regexp_matches({p}, '{urls.QUESTION_PATH}')", "'stackexchange'"),
+            (f"{question} AND regexp_matches({p}, '^/(questions/[0-9]+(/[^/]*(/[0-9]+)?)?|(q|a)/[0-9]+(/[0-9]+)?)/?$')", "'stackexchange'"),
             (f"lower({_p(u, 1)}) IN ('http', 'https') AND (({post} IN {listed(urls.POST_HOSTS)} AND regexp_matches({p}, '{urls.STATUS_PATH}')) OR ({h} = 't.co' AND regexp_matches({p}, '{urls.SHORT_LINK_PATH}')))", "'twitter'"),
         ],
         "'browser'",
@@ -133,15 +138,33 @@ def url_keys(spark, sf_dir):
     return _spread(table(spark, sf_dir, "pages")).select("page_id", urls.merge_key(u).alias("merge_key"), urls.hostname(u).alias("limiter_host"))
 
 
-_PORT = rf"regexp_extract({_auth('url')}, ':(\d+)$', 1)"
-_CACHE_HOST = rf"lower(regexp_replace({_auth('url')}, ':\d*$', ''))"
+_PORT = rf"regexp_extract({_auth('url')}, ':([^:\]]*)$', 1)"
+_CACHE_HOST = rf"lower(regexp_replace({_auth('url')}, ':[^:\]]*$', ''))"
 _DEFAULT = f"({_PORT} = '' OR (lower({_p('url', 1)}) = 'http' AND {_PORT} = '80') OR (lower({_p('url', 1)}) = 'https' AND {_PORT} = '443'))"
-_SORTED = f"""array_to_string(list_transform(list_sort(list_transform(list_filter(string_split({_qs('url')}, '&'), lambda p: p <> ''), lambda p, i: {{'k': split_part(p, '=', 1), 'i': i, 'p': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}})), lambda x: x.p), '&')"""
-_CACHE = f"""CASE WHEN {_auth('url')} <> '' THEN lower({_p('url', 1)}) || '://' || {_CACHE_HOST} || CASE WHEN {_DEFAULT} THEN '' ELSE ':' || {_PORT} END || {_p('url', 3)}
-  || CASE WHEN {_SORTED} = '' THEN '' ELSE '?' || {_SORTED} END END"""
+_BROKEN = "regexp_matches({0}, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)')"
 
 
-@query("cache_keys", f"SELECT page_id, cache_url, 'v1:' || sha256(CASE WHEN cache_url IS NULL THEN '{{}}' ELSE cache_url || chr(10) || '{{}}' END) AS cache_key FROM (SELECT page_id, {_CACHE} AS cache_url FROM {_U})")
+def _decoded(x: str) -> str:
+    return f"url_decode(replace({x}, '+', ' '))"
+
+
+def _rewritten(x: str) -> str:
+    return f"replace(url_encode({_decoded(x)}), '%20', '+')"
+
+
+_NAME, _VALUE = "split_part(p, '=', 1)", "CASE WHEN contains(p, '=') THEN substr(p, strpos(p, '=') + 1) ELSE '' END"
+_PIECES = f"list_filter(string_split({_qs('url')}, '&'), lambda p: p <> '')"
+_SORTED = f"""CASE WHEN len(list_filter({_PIECES}, lambda p: contains(p, ';') OR {_BROKEN.format('p')})) > 0 THEN {_qs('url')}
+  ELSE array_to_string(list_transform(list_sort(list_transform({_PIECES}, lambda p, i: {{'k': {_decoded(_NAME)}, 'i': i, 'p': {_rewritten(_NAME)} || '=' || {_rewritten(_VALUE)}}})), lambda x: x.p), '&') END"""
+_PATH = f"url_encode(url_decode({_p('url', 3)}))"
+for _code, _sign in (("24", "$"), ("26", "&"), ("2B", "+"), ("2C", ","), ("2F", "/"), ("3A", ":"), ("3B", ";"), ("3D", "="), ("40", "@")):
+    _PATH = f"replace({_PATH}, '%{_code}', '{_sign}')"
+_PATH = f"CASE WHEN {_BROKEN.format(_p('url', 3))} THEN NULL WHEN regexp_full_match({_p('url', 3)}, '[A-Za-z0-9._~!$&''()*+,;=:@/\\[\\]%-]*') THEN {_p('url', 3)} ELSE {_PATH} END"
+_CACHE = f"""CASE WHEN {_CACHE_HOST} <> '' AND regexp_full_match({_PORT}, '[0-9]*') AND NOT contains({_CACHE_HOST}, ' ') THEN lower({_p('url', 1)}) || '://' || regexp_extract({_p('url', 2)}, '^(.*@)', 1) || {_CACHE_HOST} || CASE WHEN {_DEFAULT} THEN '' ELSE ':' || {_PORT} END || {_PATH}
+  || CASE WHEN {_p('url', 4)} = '?' THEN '?' WHEN ({_SORTED}) = '' THEN '' ELSE '?' || ({_SORTED}) END END"""
+
+
+@query("cache_keys", f"SELECT page_id, cache_url, 'v1:' || sha256(cache_url || chr(10) || '{{}}') AS cache_key FROM (SELECT page_id, {_CACHE} AS cache_url FROM {_U})")
 def cache_keys(spark, sf_dir):
     """Cache identity of a URL, and its key for empty options."""
     u = F.col("url")
@@ -166,7 +189,7 @@ _GUARD = _case(
     [
         ("scheme NOT IN ('http', 'https')", "'scheme'"), ("host = ''", "'no_host'"),
         (f"{_v4('host')} IS NOT NULL", "CASE WHEN " + " OR ".join(f"{_v4('host')} BETWEEN {a} AND {z}" for _, v, a, z in _cidr_rows() if v == 4) + " THEN 'reserved_ip' END"),
-        ("regexp_matches(regexp_extract(host, '([^.]*)$', 1), '^([0-9]+|0x[0-9a-f]*)$')", "'numeric_host'"), ("host = 'localhost' OR ends_with(host, '.localhost')", "'localhost'"),
+        ("regexp_matches(regexp_extract(host, '([^.]*)$', 1), '^([0-9]+|0x[0-9a-f]*)$')", "'numeric_host'"), ("starts_with(host, '[2001:db8:')", "'reserved_ip'"), ("host = 'localhost' OR ends_with(host, '.localhost')", "'localhost'"),
     ],
     "NULL",
 )
@@ -242,7 +265,7 @@ _TID = _case(
     [
         (f"regexp_matches({_host('url')}, '(?i)(^|\\.)reddit\\.com$')", f"regexp_extract({_p('url', 3)}, '/comments/([0-9a-z]+)', 1)"),
         (f"{_host('url')} = 'news.ycombinator.com'", rf"regexp_extract({_qs('url')}, '(?:^|&)id=(\d+)', 1)"),
-        (f"regexp_matches({_host('url')}, '^(meta[.])?(stackoverflow[.]com|superuser[.]com|serverfault[.]com|askubuntu[.]com|mathoverflow[.]net)$') OR (regexp_matches({_host('url')}, '^(meta[.][^.]+|[^.]+[.]meta|[^.]+)[.]stackexchange[.]com$') AND NOT regexp_matches({_host('url')}, '^(meta[.])?(api|chat|data|openid)([.]meta)?[.]stackexchange'))",
+        (f"regexp_matches({_host('url')}, '^(www[.])?(meta[.])?(stackoverflow[.]com|superuser[.]com|serverfault[.]com|askubuntu[.]com|mathoverflow[.]net)$') OR (regexp_matches({_host('url')}, '^(www[.])?(meta[.][^.]+|[^.]+[.]meta|[^.]+)[.]stackexchange[.]com$') AND NOT regexp_matches({_host('url')}, '^(www[.])?(meta[.])?(api|chat|data|openid)([.]meta)?[.]stackexchange'))",
          f"CASE WHEN regexp_matches({_p('url', 3)}, '{urls.QUESTION_PATH}') THEN regexp_extract({_p('url', 3)}, '{urls.QUESTION_PATH}', 1) || CASE WHEN starts_with({_p('url', 3)}, '/a/') THEN 'a/' ELSE '' END || regexp_extract({_p('url', 3)}, '{urls.QUESTION_PATH}', 3) ELSE '' END"),
         (f"{_host('url')} IN (" + ", ".join(f"'{x}'" for x in urls.FORUM_HOSTS) + ")", f"regexp_extract({_PT}, '{urls.TOPIC_PATH}', 2) || regexp_extract({_PT}, '{urls.TOPIC_PATH}', 3)"),
         (f"{_host('url')} = 'bsky.app'", f"regexp_extract({_p('url', 3)}, '^/profile/[^/]+/post/([0-9a-z]+)', 1)"),
@@ -252,13 +275,25 @@ _TID = _case(
 )
 
 
-@query("url_targets", f"""SELECT page_id, {_GH} AS repo_kind, {_TID} AS thread_id,
-  coalesce(least(greatest(try_cast(regexp_extract({_qs('url')}, '(?:^|&)limit=(\\d{{1,6}})(?:&|$)', 1) AS INTEGER), 1), 100), 25) AS listing_limit
-  FROM {_U}""")
+def _param(name: str) -> str:
+    """The first value of a parameter that can be read, or ''."""
+    return f"coalesce(list_transform(list_filter({_PIECES}, lambda p: NOT contains(p, ';') AND NOT {_BROKEN.format('p')} AND {_decoded(_NAME)} = '{name}'), lambda p: {_decoded(_VALUE)})[1], '')"
+
+
+_WHERE = rf"regexp_replace({_PT}, '\.json$', '')"
+_IS_LISTING = rf"regexp_matches({_host('url')}, '(^|\.)reddit\.com$') AND regexp_matches({_WHERE}, '(?i)^/r/[^/?#]+(/(hot|new|top|rising|controversial))?$')"
+_LISTING_SQL = f"""SELECT page_id, repo_kind, thread_id, share, CASE WHEN listed THEN sub END AS sub, CASE WHEN listed THEN sort END AS sort, CASE WHEN listed THEN CASE WHEN sort IN ('top', 'controversial') AND t IN ('hour', 'day', 'week', 'month', 'year', 'all') THEN t ELSE '' END END AS t,
+  CASE WHEN listed THEN CASE WHEN regexp_full_match(n, '[+-]?[0-9]+') AND try_cast(n AS BIGINT) > 0 THEN least(try_cast(n AS BIGINT), 100) ELSE 25 END END::INT AS listing_limit FROM (
+  SELECT page_id, {_GH} AS repo_kind, {_TID} AS thread_id, {_IS_LISTING} AS listed, regexp_extract({_WHERE}, '^/(?:r|R)/([^/?#]+)', 1) AS sub, coalesce(nullif(lower(regexp_extract({_WHERE}, '(?i)^/r/[^/?#]+/([a-z]+)$', 1)), ''), 'hot') AS sort,
+    lower({_param('t')}) AS t, {_param('limit')} AS n, regexp_matches({_host('url')}, '(^|[.])reddit[.]com$') AND regexp_matches({_p('url', 3)}, '(?i)^/r/[^/]+/s/[A-Za-z0-9_-]+/?$') AS share FROM {_U})"""
+
+
+@query("url_targets", _LISTING_SQL)
 def url_targets(spark, sf_dir):
-    """What a URL names on its site."""
+    """What a URL names on its site, and what it asks of a listing."""
     u = F.col("url")
-    return _spread(table(spark, sf_dir, "pages")).select("page_id", urls.github_kind(u).alias("repo_kind"), urls.thread_id(u).alias("thread_id"), urls.listing_limit(u).alias("listing_limit"))
+    rows = _spread(table(spark, sf_dir, "pages")).withColumn("listing", urls.listing(u))
+    return rows.select("page_id", urls.github_kind(u).alias("repo_kind"), urls.thread_id(u).alias("thread_id"), urls.is_share(u).alias("share"), "listing.sub", "listing.sort", "listing.t", F.col("listing.limit").alias("listing_limit"))
 
 
 @query("page_kinds", f"""SELECT count(CASE WHEN regexp_matches(lower({_p('url', 3)}), '\\.pdf$') OR (regexp_matches({_host('url')}, '(^|\\.)arxiv\\.org$') AND starts_with({_p('url', 3)}, '/pdf/')) THEN 1 END) AS n_pdf,
@@ -282,51 +317,60 @@ _PAIRS = f"""list_transform(list_filter(string_split(concat_ws('&', 'ucbcb=1', n
 _REWRITE = rf"""CASE WHEN {_host('url')} IN ('twitter.com', 'www.twitter.com', 'mobile.twitter.com') THEN regexp_replace(url, '^([A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?)[^/?#]*', '\1x.com')
   WHEN regexp_matches({_host('url')}, '^(www\.)?(m\.)?(youtube\.com|google\.com|news\.google\.com)$') AND NOT regexp_matches({_qs('url')}, '(^|&)ucbcb(=|&|$)')
   THEN regexp_extract(url, '^[^?#]*') || '?' || array_to_string(list_transform(list_sort({_PAIRS}), lambda x: x.p), '&') || regexp_extract(url, '#.*$') ELSE url END"""
-_REWRITES = [
-    (1, "https://twitter.com/a/status/1"), (2, "http://mobile.twitter.com/b"), (3, "https://www.youtube.com/watch?v=1"), (4, "https://youtube.com/"), (5, "https://www.youtube.com/watch?v=1&ucbcb=1"), (6, "https://example.com/twitter.com/"),
-    (7, "https://www.google.com/search?q=a&hl=en"), (8, "https://news.google.com/home#top"), (9, "https://m.youtube.com/watch?a=1"), (10, "https://studio.youtube.com/x"), (11, "https://music.twitter.com/x"), (12, "https://TWITTER.com:443/a?b#c"), (13, "https://maps.google.com/x"),
-]
+_REWRITES = [(x,) for x in (
+    "https://twitter.com/a/status/%s", "http://mobile.twitter.com/b%s", "https://www.youtube.com/watch?v=%s", "https://youtube.com/", "https://www.youtube.com/watch?v=%s&ucbcb=1", "https://example.com/twitter.com/%s",
+    "https://www.google.com/search?q=a%s&hl=en", "https://news.google.com/home#top%s", "https://m.youtube.com/watch?a=%s", "https://studio.youtube.com/x%s", "https://music.twitter.com/x%s", "https://TWITTER.com:443/a%s?b#c", "https://maps.google.com/x%s",
+)]
 
 
-@query("url_rewrites", f"SELECT id, {_REWRITE} AS rewritten FROM {values(_REWRITES, 'id, url')}")
+@query("url_rewrites", f"SELECT page_id, {_REWRITE} AS rewritten FROM (SELECT page_id, replace(form, '%s', page_id::VARCHAR) AS url FROM {spread_sql('pages', 'page_id', _REWRITES, 'form')})")
 def url_rewrites(spark, sf_dir):
-    """U8: consent bypass and host rewrite, over fixed cases."""
-    return table_of(spark, _REWRITES, "id int, url string").select("id", urls.consent_bypass(F.col("url")).alias("rewritten"))
+    """U8: consent bypass and host rewrite (URLs declared by page_id)."""
+    rows = spread(table(spark, sf_dir, "pages").select("page_id"), "page_id", _REWRITES, "form string")
+    url = F.replace("form", F.lit("%s"), F.col("page_id").cast("string"))
+    return rows.select("page_id", urls.consent_bypass(url).alias("rewritten"))
 
 
-_SITE_CASES = [("reddit.com",), ("a..b",), ("x",), ("forums.plex.tv",), ("bad host.com",), ("-a.com",), ("a-.com",), ("EXAMPLE.org",), ("a.com:80",), ("",)]
+_SITE_CASES = [(None,), ("reddit.com",), ("a..b",), ("x",), ("forums.plex.tv",), ("bad host.com",), ("-a.com",), ("a-.com",), ("EXAMPLE.org",), ("a.com:80",), ("",)]
 
 
-@query("site_filters", f"SELECT site, regexp_matches(site, '^[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?(\\.[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?)+$') AS valid, CASE WHEN site = '' THEN 'q' ELSE 'site:' || site || ' q' END AS scoped FROM {values(_SITE_CASES, 'site')}")
+@query("site_filters", f"""SELECT page_id, regexp_matches(site, '^[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?(\\.[a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?)+$') AS valid, CASE WHEN site = '' THEN 'q' ELSE 'site:' || site || ' q' END AS scoped
+  FROM (SELECT page_id, coalesce(form, {_host('url')}) AS site FROM {spread_sql('pages', 'page_id', _SITE_CASES, 'form')})""")
 def site_filters(spark, sf_dir):
-    """Bare hostnames, and the query scoped by one."""
+    """Bare hostnames, and the query scoped by one: each page's host, and forms that are declared by page_id."""
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", _SITE_CASES, "form string").withColumn("site", F.coalesce("form", urls.hostname(F.col("url"))))
     s = F.col("site")
-    return table_of(spark, _SITE_CASES, "site string").select("site", urls.valid_site(s).alias("valid"), urls.site_scoped(F.lit("q"), s).alias("scoped"))
-
+    return rows.select("page_id", urls.valid_site(s).alias("valid"), urls.site_scoped(F.lit("q"), s).alias("scoped"))
 
-_REFS = [("main/src/a.py",), ("feature/x/README.md",), ("v1",)]
 
-
-@query("ref_splits", f"""SELECT rest, i AS n, array_to_string(string_split(rest, '/')[1:i], '/') AS ref, array_to_string(string_split(rest, '/')[i+1:], '/') AS path
-  FROM {values(_REFS, 'rest')}, LATERAL (SELECT unnest(range(1, len(string_split(rest, '/')) + 1)) AS i)""")
+@query("ref_splits", f"""SELECT page_id, i AS n, array_to_string(string_split(rest, '/')[1:i], '/') AS ref, array_to_string(string_split(rest, '/')[i+1:], '/') AS path
+  FROM (SELECT page_id, ltrim({_p('url', 3)}, '/') AS rest FROM pages), LATERAL (SELECT unnest(range(1, len(string_split(rest, '/')) + 1)) AS i)""")
 def ref_splits(spark, sf_dir):
-    """The ways to part a ref from a path."""
-    return table_of(spark, _REFS, "rest string").select("rest", F.posexplode(urls.ref_splits(F.col("rest"))).alias("i", "s")).select("rest", (F.col("i") + 1).alias("n"), "s.ref", "s.path")
+    """The ways to part a ref from a path, for the path of each page."""
+    rest = F.regexp_replace(urls.path(F.col("url")), "^/+", "")
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(urls.ref_splits(rest)).alias("i", "s")).select("page_id", (F.col("i") + 1).alias("n"), "s.ref", "s.path")
 
 
 _MEDIA = [("text/html",), ("text/plain; charset=utf-8",), ("application/json",), ("application/ld+json",), ("image/svg+xml",), ("application/pdf",), ("Application/XML",), ("application/xhtml+xml",), ("text/csv",)]
 _M = "lower(trim(split_part(media, ';', 1)))"
 
 
-@query("media_types", f"""SELECT media, CASE WHEN {_M} IN ('text/html', 'application/xhtml+xml') THEN false ELSE {_M} IN ('application/json', 'application/xml', 'application/x-ndjson', 'application/javascript', 'application/yaml', 'application/x-yaml', 'application/toml')
-  OR starts_with({_M}, 'text/') OR regexp_matches({_M}, '\\+(json|xml)$') END AS raw FROM {values(_MEDIA, 'media')}""")
+@query("media_types", f"""SELECT page_id, CASE WHEN {_M} IN ('text/html', 'application/xhtml+xml') THEN false ELSE {_M} IN ('application/json', 'application/xml', 'application/x-ndjson', 'application/javascript', 'application/yaml', 'application/x-yaml', 'application/toml')
+  OR starts_with({_M}, 'text/') OR regexp_matches({_M}, '\\+(json|xml)$') END AS raw FROM {spread_sql('pages', 'page_id', _MEDIA, 'media')}""")
 def media_types(spark, sf_dir):
-    """C17: media types read without a browser."""
-    return table_of(spark, _MEDIA, "media string").select("media", urls.is_raw_type(F.col("media")).alias("raw"))
+    """C17: media types (declared by page_id) read without a browser."""
+    return spread(table(spark, sf_dir, "pages").select("page_id"), "page_id", _MEDIA, "media string").select("page_id", urls.is_raw_type(F.col("media")).alias("raw"))
 
 
-_HEAD = "lower(left(html, 65536))"
-_VERDICT = f"""CASE WHEN regexp_matches({_HEAD}, '<title>\\s*just a moment|/cdn-cgi/challenge-platform/|cf-turnstile') THEN 'captcha'
+#: What stands before some pages, by page_id: challenges and what looks like one.
+_HEADS = (
+    '<script src="/cdn-cgi/challenge-platform/scripts/jsd/main.js"></script>', "<SCRIPT async src = 'https://a.b/cdn-cgi/challenge-platform/h/b/orchestrate/chl_page/v1?x'></script>", "<title>Einen Moment…</title>", "<title>Just a moment of silence</title>",
+    '<form class="cf-turnstile"></form>', "<!-- src=/cdn-cgi/challenge-platform/x/orchestrate/ -->", '<TITLE lang="en"> Attention Required! | Cloudflare </TITLE>', "<title>Please wait... | Cloudflare...</title>", "<title>please wait</title>", "<script>x</script><p src=/cdn-cgi/challenge-platform/h/orchestrate/>",
+)
+_BODY = "CASE " + " ".join(f"WHEN page_id % 29 = {i} THEN '{h.replace(chr(39), chr(39) * 2)}' || html" for i, h in enumerate(_HEADS)) + " ELSE html END"
+_CHALLENGED = r"""regexp_matches(left({0}, 65536), '(?i)<script\b[^>]*\ssrc\s*=\s*["'']?[^"''\s>]*/cdn-cgi/challenge-platform/[^"''\s>]*/orchestrate/')
+  OR regexp_matches(left({0}, 65536), '(?i)<title[^>]*>\s*(just a moment|un instant|einen moment|un momento|um momento|attention required! [|] cloudflare|please wait[.][.][.] [|] cloudflare)\s*([.][.][.]|…)?\s*</title>')"""
+_VERDICT = f"""CASE WHEN {_CHALLENGED.format('body')} THEN 'captcha'
   WHEN ({_wall('txt')}) IS NOT NULL THEN 'captcha'
   WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status IN (404, 410) THEN 'not_found' WHEN status >= 500 THEN 'site_error' WHEN status = 400 THEN 'error' WHEN status >= 400 THEN 'bot_block'
   WHEN regexp_matches({prose_sql('txt')}, '^.{{0,60}}$') AND regexp_matches(txt, '(?i)\\bpage not found\\b') THEN 'not_found'
@@ -335,14 +379,18 @@ _STATUS = "CASE WHEN page_id % 50 = 7 THEN 403 WHEN page_id % 50 = 11 THEN 429 W
 
 
 @query("page_verdicts", f"""SELECT host, verdict, count(*) AS n_pages, sum(prose)::BIGINT AS prose_chars, {', '.join(f"count(CASE WHEN prose <= {100 * 4**i} THEN 1 END) AS le_{100 * 4**i}" for i in range(6))} FROM (
-  SELECT {_host('url')} AS host, {_VERDICT} AS verdict, length({prose_sql('txt')}) AS prose FROM (SELECT *, {_strip('html')} AS txt, {_STATUS} AS status FROM pages)) GROUP BY 1, 2""")
+  SELECT {_host('url')} AS host, {_VERDICT} AS verdict, length({prose_sql('txt')}) AS prose FROM (SELECT *, {_strip('body')} AS txt FROM (SELECT *, {_BODY} AS body, {_STATUS} AS status FROM pages))) GROUP BY 1, 2""")
 def page_verdicts(spark, sf_dir):
-    """Flagship: C1, C5, C6, F10, F15, A8: a verdict for each page (statuses declared by page_id), with prose lengths by host."""
+    """Flagship: C1, C5, C6, F10, F15, A8: a verdict for each page (statuses, and what some pages begin with, declared by page_id), with prose lengths by host."""
     n = F.col("page_id") % 50
     status = F.when(n == 7, 403).when(n == 11, 429).when(n == 13, 404).when(n == 17, 503).when(n == 19, 405).otherwise(200)
-    pages = table(spark, sf_dir, "pages").select(urls.hostname(F.col("url")).alias("host"), "html", text.strip_tags(F.col("html")).alias("txt"), status.alias("status"))
+    body = F.col("html")
+    for i, head in enumerate(_HEADS):
+        body = F.when(F.col("page_id") % 29 == i, F.concat(F.lit(head), F.col("html"))).otherwise(body)
+    pages = table(spark, sf_dir, "pages").select(urls.hostname(F.col("url")).alias("host"), body.alias("html"), status.alias("status"))
     # what several checks look at is a column of its own
-    staged = pages.withColumn("silent", classify.silent_failure(F.col("txt"))).withColumn("prose", text.prose_chars(F.col("txt")))
+    texts = pages.withColumn("txt", text.strip_tags(F.col("html")))
+    staged = texts.withColumn("prose", text.prose_chars(F.col("txt"))).withColumn("silent", classify.silent_failure(F.col("txt"), prose_length=F.col("prose")))
     judged = staged.select("host", classify.page_verdict(F.col("html"), F.col("txt"), F.col("status"), F.col("silent"), F.col("prose")).alias("verdict"), "prose")
     buckets = [F.count_if(F.col("prose") <= 100 * 4**i).alias(f"le_{100 * 4**i}") for i in range(6)]
     return judged.groupBy("host", "verdict").agg(F.count("*").alias("n_pages"), F.sum("prose").alias("prose_chars"), *buckets)
@@ -370,37 +418,49 @@ _MOUNTED = [(i, h, t) for i, (h, t) in enumerate([
 ])]
 
 
-@query("scripted_pages", f"SELECT id, {_NEEDS} AS needs FROM {values(_MOUNTED, 'id, html, txt')}")
+@query("scripted_pages", f"SELECT page_id, {_NEEDS} AS needs FROM (SELECT page_id, head || html AS html, coalesce(said, {_strip('html')}) AS txt FROM {spread_sql('pages', 'page_id', [(None, None), *[m[1:] for m in _MOUNTED]], 'mount, said')} m, (SELECT 1), LATERAL (SELECT coalesce(m.mount, '') AS head))")
 def scripted_pages(spark, sf_dir):
-    """Fixed pages with mount points of several frameworks."""
-    return table_of(spark, _MOUNTED, "id int, html string, txt string").select("id", classify.needs_browser(F.col("html"), F.col("txt")).alias("needs"))
+    """Pages with mount points of several frameworks before them (declared by page_id)."""
+    rows = spread(table(spark, sf_dir, "pages"), "page_id", [(None, None), *[m[1:] for m in _MOUNTED]], "mount string, said string")
+    html = F.concat(F.coalesce("mount", F.lit("")), "html")
+    return rows.select("page_id", html.alias("whole"), F.coalesce("said", text.strip_tags(F.col("html"))).alias("txt")).select("page_id", classify.needs_browser(F.col("whole"), F.col("txt")).alias("needs"))
 
 
 _LONG = "words of a page that says something " * 12
-_FETCHED = [(i, *r) for i, r in enumerate([
-    ("https://a.com/x", "https://a.com/x", True, "", 200, "<p>", _LONG), ("https://a.com/x", "http://127.0.0.1/x", True, "", 200, "<title>Just a moment</title>", _LONG), ("https://a.com/x", "", True, "", 200, "<title>Just a moment</title>", _LONG),
-    ("https://a.com/x", "", False, "Too Many Requests", 200, "<p>", _LONG), ("https://a.com/x", "", False, "", 403, "<p>", _LONG), ("https://a.com/x", "https://consent.a.com/m", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/login", True, "", 200, "<p>", _LONG),
-    ("https://a.com/login", "https://a.com/signin?x", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/sorry/index", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/y", True, "", 200, "<p>", _LONG), ("https://a.com/x", "https://a.com/captcha", True, "", 404, "<p>", _LONG),
-    ("https://a.com/x", "", True, "", 200, "<p>", "   "), ("https://a.com/x", "", True, "", 451, "<p>", _LONG), ("https://a.com/x", None, None, None, 200, "<p>", "Page not found\nsorry"), ("https://a.com/x", "https://localhost/login", True, "", 200, "<p>", _LONG),
-])]
+#: Answers of a browser service, declared by page_id: where it ended, its own verdict, the page's status, what the HTML begins with, the cleaned HTML, the fitted Markdown (null: the page's text).
+_FETCHED = [
+    ("", True, "", 200, "", None, None), ("http://127.0.0.1/x", True, "", 200, "<title>Just a moment</title>", None, None), ("", True, "", 200, "<title>Just a moment...</title>", None, None), ("", None, None, 200, "<title>Just a moment of silence</title>", None, None),
+    ("", False, "Too Many Requests", 200, "", None, None), ("", False, "", 403, "", None, None), ("https://consent.a.com/m", True, "", 200, "", None, None), ("https://a.com/login", True, "", 200, "", None, None), ("https://a.com/signin?x", True, "", 200, "", None, None),
+    ("https://a.com/sorry/index", True, "", 200, "", None, None), ("https://a.com/y", True, "", 200, "", None, None), ("https://a.com/captcha", True, "", 404, "", None, None), ("", True, "", 200, "", None, "  \n "), ("", True, "", 451, "", None, None),
+    (None, None, None, 200, "", "", "Page not found\nsorry"), ("https://localhost/login", True, "", 200, "", None, None), ("", True, "", 200, "", "<p>Please verify you are human</p>", None), ("", True, "", 200, "", "<b>Akamai</b>", "Powered and protected by"), ("", True, "", 200, "", "", "Powered and protected by"),
+    ("", True, "", 200, "", "", "# Page not found\n" + "words " * 90), ("", True, "", 200, "", "", "word " * 40 + "\n# Page not found\n" + "words " * 90), ("", True, "", 200, "", "", "## Select your country\n" + "words " * 90), ("", True, "", 200, "", "", "## Select your region\n" + "words " * 90), ("", True, "", 200, "", "", "#choose a country\n" + "words " * 90),
+    ("", True, "", 200, "", "", "Loading…\n" * 12 + "words " * 90), ("", True, "", 200, "", None, "just few words"), ("https://[::1]/x", True, "", 200, "", None, None),
+]
+_FETCH_COLS = "final string, success boolean, message string, status int, head string, cleaned string, fit string"
 _FH, _AH = _host("final"), _host("asked")
 _ELSE = f"(regexp_replace({_FH}, '^www\\.', '') <> regexp_replace({_AH}, '^www\\.', '') OR regexp_replace({_p('final', 3)}, '/$', '') <> regexp_replace({_p('asked', 3)}, '/$', ''))"
 _LOGIN = "(?i)/(login|signin|sign-in|sign_in|authwall)(/|$|[.]|[?])"
 
 
-@query("page_pipeline", f"""SELECT id, CASE WHEN coalesce(final, '') <> '' AND {_FH} <> {_AH} AND {_FH} IN ('localhost', '127.0.0.1') THEN 'refused' WHEN contains(lower(html), '<title>just a moment') THEN 'captcha'
+@query("page_pipeline", f"""SELECT page_id, CASE WHEN coalesce(final, '') <> '' AND {_FH} <> {_AH} AND {_FH} IN ('localhost', '127.0.0.1', '[::1]') THEN 'refused' WHEN {_CHALLENGED.format('body')} THEN 'captcha'
   WHEN NOT coalesce(success, true) THEN CASE WHEN contains(lower(message), 'too many requests') THEN 'http_429' WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' ELSE 'upstream_error' END
+  WHEN ({_wall('left(scan, 65536)')}) IS NOT NULL THEN 'captcha'
   WHEN starts_with(coalesce({_FH}, ''), 'consent.') THEN 'captcha' WHEN status IN (404, 410) THEN 'not_found' WHEN status >= 500 THEN 'site_error' WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status = 400 THEN 'error' WHEN status >= 400 THEN 'bot_block'
-  WHEN starts_with(lower(txt), 'page not found') THEN 'not_found' WHEN trim(txt) = '' OR length({prose_sql('txt')}) < 200 THEN 'thin_content'
+  WHEN contains(lower(txt), 'powered and protected by') AND contains(lower(scan), 'akamai') AND prose < 300 THEN 'bot_block'
+  WHEN regexp_matches(txt, '(?i)^#* *page not found\n') THEN 'not_found' WHEN prose < 1500 AND regexp_matches(txt, '(?i)^#+ +(choose|select) (a|your) country') THEN 'bot_block' WHEN starts_with(txt, 'Loading…' || chr(10)) THEN 'thin_content'
+  WHEN prose < 200 THEN 'thin_content'
   WHEN coalesce(final, '') <> '' AND {_ELSE} AND regexp_matches({_p('final', 3)}, '(?i)captcha|_verification\\b|/(verify|challenge)(/|$|[.])|/sorry/') THEN 'captcha'
-  WHEN coalesce(final, '') <> '' AND {_ELSE} AND regexp_matches({_p('final', 3)}, '{_LOGIN}') AND NOT regexp_matches({_p('asked', 3)}, '{_LOGIN}') THEN 'bot_block' ELSE 'ok' END AS verdict FROM {values(_FETCHED, 'id, asked, final, success, message, status, html, txt')}""")
+  WHEN coalesce(final, '') <> '' AND {_ELSE} AND regexp_matches({_p('final', 3)}, '{_LOGIN}') AND NOT regexp_matches({_p('asked', 3)}, '{_LOGIN}') THEN 'bot_block' ELSE 'ok' END AS verdict
+  FROM (SELECT *, length({prose_sql('txt')}) AS prose, CASE WHEN coalesce(cleaned, '') = '' OR cleaned = txt THEN txt ELSE cleaned || chr(10) || txt END AS scan
+    FROM (SELECT *, url AS asked, head || html AS body, CASE WHEN regexp_matches(coalesce(fit, ''), '\\S') THEN fit ELSE {_strip('html')} END AS txt FROM {spread_sql('pages', 'page_id', _FETCHED, 'final, success, message, status, head, cleaned, fit')}))""")
 def page_pipeline(spark, sf_dir):
-    """All checks of a fetched page in their order, over fixed answers."""
+    """All checks of a fetched page in their order, over the pages and declared answers of a browser service."""
     c = F.col
-    rows = table_of(spark, _FETCHED, "id int, asked string, final string, success boolean, message string, status int, html string, txt string")
-    rows = rows.withColumn("silent", classify.silent_failure(c("txt"))).withColumn("prose", text.prose_chars(c("txt")))
-    verdict = classify.page_verdict(c("html"), c("txt"), c("status"), c("silent"), c("prose"), asked=c("asked"), final=c("final"), success=c("success"), message=c("message"))
-    return rows.select("id", verdict.alias("verdict"))
+    rows = spread(table(spark, sf_dir, "pages"), "page_id", _FETCHED, _FETCH_COLS).withColumn("body", F.concat("head", "html"))
+    rows = rows.withColumn("txt", classify.served(c("fit"), text.strip_tags(c("html")))).withColumn("scan", classify.scanned(c("txt"), c("cleaned")))
+    rows = rows.withColumn("prose", text.prose_chars(c("txt"))).withColumn("silent", classify.silent_failure(c("txt"), c("scan"), c("prose")))
+    verdict = classify.page_verdict(c("body"), c("txt"), c("status"), c("silent"), c("prose"), asked=c("url"), final=c("final"), success=c("success"), message=c("message"), scan=c("scan"))
+    return rows.select("page_id", verdict.alias("verdict"))
 
 
 @query("needs_browser", f"SELECT page_id, {_NEEDS} AS needs FROM (SELECT *, {_strip('html')} AS txt FROM pages)")

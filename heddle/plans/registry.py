@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +40,15 @@ def values(rows: list[tuple], names: str) -> str:
 def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """The same rows as a DataFrame, for queries over cases that no table has."""
     return spark.createDataFrame(rows, schema)
+
+
+def spread(rows: DataFrame, by: str, cases: list[tuple], schema: str) -> DataFrame:
+    """Rows with the columns of a case each, declared by the number in `by`: what tables don't have, for as many rows as they have."""
+    fixed = table_of(rows.sparkSession, [(i, *c) for i, c in enumerate(cases)], f"case_no long, {schema}")
+    # a handful of cases
+    return rows.join(F.broadcast(fixed), F.pmod(rows[by], F.lit(len(cases))) == F.col("case_no")).drop("case_no")
+
+
+def spread_sql(table: str, by: str, cases: list[tuple], names: str) -> str:
+    """The same in DuckDB."""
+    return f"(SELECT s.*, c.* EXCLUDE (case_no) FROM {table} s JOIN {values([(i, *c) for i, c in enumerate(cases)], 'case_no, ' + names).replace(' AS t(', ' AS c(')} ON s.{by} % {len(cases)} = c.case_no)"

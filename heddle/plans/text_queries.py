@@ -197,7 +197,7 @@ def links(spark, sf_dir):
     return table_of(spark, _LINKS, "label string, href string").select("label", "href", text.link(F.col("label"), F.col("href")).alias("link"))
 
 
-_BODY = "CASE doc_id % 11 WHEN 0 THEN text || chr(10) || 'Powered and protected by Akamai' WHEN 1 THEN '# Page not found' || chr(10) || text WHEN 2 THEN repeat('Loading…' || chr(10), 10) || text WHEN 3 THEN '## Choose a country' || chr(10) || text ELSE text END"
+_BODY = "CASE doc_id % 11 WHEN 0 THEN text || chr(10) || 'Powered and protected by Akamai' WHEN 1 THEN '# Page not found' || chr(10) || text WHEN 2 THEN repeat('Loading…' || chr(10), 10) || text WHEN 3 THEN '## Choose a country' || chr(10) || text WHEN 4 THEN '## Select your region' || chr(10) || text WHEN 5 THEN '#choose a country' || chr(10) || text ELSE text END"
 _SOFT = "(?i)\\bpage not found\\b|\\bpage (you|you''re|you are) (were |are )?looking for\\b|\\bthis page (doesn''t|does not|no longer) exists?\\b|\\bthis page is not available\\b|\\bpage introuvable\\b|\\bseite nicht gefunden\\b"
 
 
@@ -208,7 +208,7 @@ l AS (SELECT doc_id, body, length({prose_sql('body')}) AS prose, list_filter(lis
 o AS (SELECT *, lines[1:least(coalesce(list_min(list_filter(list_transform(lines, lambda x, i: CASE WHEN length(x) >= 120 THEN i ELSE 13 END), lambda i: i < 13)), 13) - 1, 12)] AS opening, len(list_filter(marks, lambda x: x = 'loading')) AS loading FROM l)
 SELECT CASE WHEN contains(lower(body), 'powered and protected by') AND contains(lower(body), 'akamai') AND prose < 300 THEN 'bot_block'
   WHEN len(list_filter(opening, lambda x: length(x) <= 60 AND regexp_matches(x, '{_SOFT}'))) > 0 THEN 'not_found'
-  WHEN prose < 1500 AND regexp_matches(head, '(?im)^#+ *(choose|select) (a|your) (country|region)') THEN 'bot_block'
+  WHEN prose < 1500 AND regexp_matches(head, '(?im)^#{{1,6}}\\s+(choose|select) (a|your) country\\b') THEN 'bot_block'
   WHEN loading >= 10 AND loading * 10 > len(marks) * 3 THEN 'thin_content' END AS kind, count(*) AS n FROM o GROUP BY 1""")
 def silent_failures(spark, sf_dir):
     """C4: served pages that aren't the page; four kinds are declared by doc_id around the texts."""
@@ -218,6 +218,8 @@ def silent_failures(spark, sf_dir):
         .when(k == 1, F.concat(F.lit("# Page not found\n"), t))
         .when(k == 2, F.concat(F.lit("Loading…\n" * 10), t))
         .when(k == 3, F.concat(F.lit("## Choose a country\n"), t))
+        .when(k == 4, F.concat(F.lit("## Select your region\n"), t))
+        .when(k == 5, F.concat(F.lit("#choose a country\n"), t))
         .otherwise(t)
     )
     return table(spark, sf_dir, "documents").groupBy(classify.silent_failure(body).alias("kind")).agg(F.count("*").alias("n"))

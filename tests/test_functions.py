@@ -71,11 +71,6 @@ def test_tidy_keeps_fences():
     assert markup.tidy_markdown(src, "http://h") == "```\n![b](u)\n[x](y)\n```\n[x](http://h/y.md)"
 
 
-def test_facets_are_bytes():
-    assert markup.expand_links("é link!", [{"start": 3, "end": 7, "uri": "http://a"}, {"start": 5, "end": 8, "uri": "http://b"}]) == "é [link](http://a)!"
-    assert markup.expand_links("x", [{"start": 0, "end": 9, "uri": "u"}]) == "x"
-
-
 def test_articles():
     from heddle.functions.articles import article_text
 
@@ -227,3 +222,112 @@ def test_every_engine_counts(spark):
         rank_queries.table = path
     # three searches in the order of their users; only odd events name an engine
     assert out == {f"e{i:04d}": 2 - i % 3 for i in range(1, 3000, 2) if i % 3 < 2}
+
+
+def column_of(spark, fn, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    return [r["x"] for r in df.select("i", fn(F.col("v")).alias("x")).orderBy("i").collect()]
+
+
+def test_challenges(spark):
+    """A solver's script as a <script src>, or the whole title; no other mention."""
+    yes = [
+        '<script src="/cdn-cgi/challenge-platform/h/g/orchestrate/chl_page/v1?ray=1"></script>', "<SCRIPT defer SRC=https://x.y/cdn-cgi/challenge-platform/a/orchestrate/b>", "<title>Just a moment...</title>", "<title>Einen Moment…</title>", "<title lang=fr>\n Un instant… </title>",
+        "<title>Attention Required! | Cloudflare</title>", "<title>Please Wait... | Cloudflare</title>", "<title>um momento</title>",
+    ]
+    no = [
+        '<script src="/cdn-cgi/challenge-platform/scripts/jsd/main.js"></script>', '<div class="cf-turnstile"></div>', "<script>var a='/cdn-cgi/challenge-platform/x/orchestrate/'</script>", "<p>src=/cdn-cgi/challenge-platform/x/orchestrate/</p>", "<title>Just a moment of silence</title>", "<title>Please wait...</title>",
+        "x" * 65_536 + "<title>Just a moment...</title>", "", None,
+    ]
+    assert column_of(spark, classify.challenge_page, yes) == [True] * len(yes)
+    assert [bool(x) for x in column_of(spark, classify.challenge_page, no)] == [False] * len(no)
+
+
+def test_silent_failures(spark):
+    words = "words that say something about a subject " * 8
+    cases = {
+        "# Page not found\n" + words: "not_found", words + "\n# Page not found": None, "short\n" * 11 + "Page not found\n" + words: "not_found", "short\n" * 12 + "Page not found\n" + words: None,
+        "---\n" * 40 + "> **Page not found**\n" + words: "not_found", "The page you were looking for is no more, and this line goes on beyond sixty.\n" + words: None, "### Select your country\n" + words: "bot_block", "## Select your region\n" + words: None, "#choose a country\n" + words: None,
+        "[Choose a country](/x)\n" + words: None, "x\n" * 10 + "# Choose a country\n" + words: None, "# Choose a country\n" + words * 6: None, "Loading…\n" * 10 + "a\n" * 23: "thin_content", "Loading\n" * 10 + "a\n" * 24: None, "Loading\n" * 9: None, "Powered and protected by\nAkamai": "bot_block", "": None,
+    }
+    assert column_of(spark, classify.silent_failure, cases) == list(cases.values())
+    # the vendor may be named in the cleaned HTML alone
+    df = spark.createDataFrame([("Powered and protected by", "<img alt=akamai>")], "t string, h string")
+    assert df.select(classify.silent_failure(F.col("t"), classify.scanned(F.col("t"), F.col("h")))).first()[0] == "bot_block"
+
+
+def canonical(query):
+    """The query as the standard library reads and writes it."""
+    import re
+    from urllib.parse import quote_plus, unquote_to_bytes
+
+    pieces = [p for p in query.split("&") if p]
+    if any(";" in p or re.search("%(?![0-9A-Fa-f]{2})", p) for p in pieces):
+        return query
+    pairs = [tuple(unquote_to_bytes(x.replace("+", " ")) for x in (p.split("=", 1) + [""])[:2]) for p in pieces]
+    return "&".join(f"{quote_plus(k, safe='~')}={quote_plus(v, safe='~')}" for k, v in sorted(pairs, key=lambda p: p[0]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet="ab%7eE2f+=&;~-_.!*' é👍\x7f\xff/", max_size=24), min_size=1, max_size=40))
+def test_canonical_queries(spark, queries):
+    queries = [*queries, "%FF%C3=%ff&%c3%28", "b=%7E&a=%2f", "a", "=", "&&", "a=b=c&a=a", "%zz=1", "a%", "+=+"]
+    assert column_of(spark, urls.canonical_query, queries) == [canonical(q) for q in queries]
+
+
+def test_cache_urls(spark):
+    cases = {
+        "HTTP://Example.COM:80/a?b=1&a=2#x": "http://example.com/a?a=2&b=1", "https://u:p@Example.com:8443/": "https://u:p@example.com:8443/", "https://a.b/%7Ex/%2f": "https://a.b/%7Ex/%2f", "https://a.b/ü x%41": "https://a.b/%C3%BC%20xA", "https://a.b/%zz": None, "https://a.b:x/": None, "https://a b/": None,
+        "https://[::1]:443/x": "https://[::1]/x", "https://[::1]:8080/x": "https://[::1]:8080/x", "https://a.b/?": "https://a.b/?", "https://a.b/?&&": "https://a.b/", "mailto:x@y": None, "": None, "https://a.b/\x01": None, "https://a.b?x;y=1&a": "https://a.b?x;y=1&a",
+    }
+    assert column_of(spark, urls.cache_url, cases) == list(cases.values())
+    assert column_of(spark, lambda u: urls.cache_key(u, F.lit("{}")), ["", "nonsense"]) == [None, None]
+
+
+def test_listings(spark):
+    at = "https://www.reddit.com/r/x"
+    limits = {"": 25, "?limit=0": 25, "?limit=-4": 25, "?limit=5000000": 100, "?limit=7": 7, "?limit=%2B7": 7, "?limit=+7": 25, "?limit=7.5": 25, "?limit=99999999999999999999": 25, "?limit=3&limit=9": 3, "?%6cimit=8": 8, "?a;limit=9&limit=6": 6, "?limit=%zz&limit=6": 6, "?LIMIT=6": 25}
+    assert column_of(spark, urls.listing_limit, [at + q for q in limits]) == list(limits.values())
+    cases = {
+        at: ("x", "hot", "", 25), at + "/TOP/?t=Week": ("x", "top", "week", 25), at + "/new?t=week": ("x", "new", "", 25), at + ".json?limit=3": ("x", "hot", "", 3), at + "/controversial?t=decade": ("x", "controversial", "", 25), at + "/best": None, at + "/comments/1": None, "https://reddit.com/user/x": None, "https://x.com/r/x": None,
+    }
+    got = column_of(spark, urls.listing, cases)
+    assert [tuple(g) if g else None for g in got] == list(cases.values())
+    assert column_of(spark, urls.is_share, [at + "/s/Ab_1", at + "/s/Ab_1/", at + "/s/a/b", "https://old.reddit.com/R/y/S/9"]) == [True, True, False, True]
+
+
+def test_question_hosts(spark):
+    yes = ["https://www.stackoverflow.com/questions/1/x", "http://meta.unix.stackexchange.com/q/5", "https://www.unix.meta.stackexchange.com/a/5/6", "https://meta.stackexchange.com/questions/3", "https://www.meta.askubuntu.com/q/1"]
+    no = ["ftp://stackoverflow.com/questions/1", "https://chat.stackexchange.com/questions/1", "https://www.api.stackexchange.com/q/1", "https://stackoverflow.com/users/1", "https://a.b.stackexchange.com/q/1", "https://wwwstackoverflow.com/q/1"]
+    assert column_of(spark, urls.route, yes + no) == ["stackexchange"] * len(yes) + ["browser"] * len(no)
+
+
+def test_links_and_facets(spark):
+    cases = [
+        ("Home", "https://a.b/c", "[Home](https://a.b/c)"), ("a.b/lon…", "https://a.b/long", "https://a.b/long"), ("https://a.b/lon...", "https://a.b/long", "https://a.b/long"), ("www.a.b", "https://www.a.b/c", "https://www.a.b/c"), ("a.b", "HTTP://www.a.b/c", "HTTP://www.a.b/c"), ("Continue…", "https://a.b", "[Continue…](https://a.b)"),
+        (" ", "https://a.b", "https://a.b"), ("…", "https://a.b", "https://a.b"), (" x ", "", " x "), (" x ", None, " x "), ("A.b", "https://a.b", "[A.b](https://a.b)"),
+    ]
+    df = spark.createDataFrame(cases, "l string, h string, w string")
+    assert all(r[0] == r[1] for r in df.select(text.link(F.col("l"), F.col("h")), "w").collect())
+
+    def plainly(body, facets):
+        raw, at, out = body.encode(), 0, []
+        start = lambda i: i == len(raw) or raw[i] & 0xC0 != 0x80
+        for a, z, u in sorted((f for f in facets if f[2] and 0 <= f[0] < f[1] <= len(raw) and start(f[0]) and start(f[1])), key=lambda f: f[0]):
+            if a >= at:
+                out += [raw[at:a].decode(), f"[{raw[a:z].decode().strip()}]({u})" if raw[a:z].strip() else u]
+                at = z
+        return "".join(out) + raw[at:].decode()
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        body = "".join(rng.choice("aé👍 語b") for _ in range(rng.randint(0, 12)))
+        rows.append((i, body, [(rng.randint(-1, 20), rng.randint(-1, 30), rng.choice(["u:1", "u:2", "", None])) for _ in range(rng.randint(0, 6))]))
+    rows.append((1000, "é link!", [(3, 7, "http://a"), (5, 8, "http://b")]))
+    df = spark.createDataFrame(rows, "i long, t string, f array<struct<start:int,end:int,uri:string>>")
+    got = {r["i"]: r["x"] for r in df.select("i", text.expand_links(F.col("t"), F.col("f")).alias("x")).collect()}
+    for i, body, facets in rows:
+        assert got[i] == plainly(body, facets)
+    none = spark.createDataFrame([("x", None), (None, [(0, 1, "u")])], "t string, f array<struct<start:int,end:int,uri:string>>")
+    assert [r[0] for r in none.select(text.expand_links(F.col("t"), F.col("f"))).collect()] == ["x", None]
