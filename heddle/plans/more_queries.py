@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import options
 from ..operators import documents
 from ..sources.tables import table
-from .registry import query, table_of, values
+from .registry import query, spread, spread_sql
 
 _OPTS = [(1, "top", "day", None, None), (2, "bogus", "", 0, False), (3, "qa", "decade", 900, True), (4, "new", "year", 20, None)]
 
 
-@query("request_options", f"""SELECT id, sort IN ({', '.join(f"'{s}'" for s in options.THREAD_SORTS)}) AS sort_ok, span IN ('', 'day', 'week', 'month', 'year') AS range_ok, least(coalesce(n, 50), 500) AS n, coalesce(deep, true) AS deep FROM {values(_OPTS, 'id, sort, span, n, deep')}""")
+@query("request_options", f"""SELECT event_id, sort IN ({', '.join(f"'{s}'" for s in options.THREAD_SORTS)}) AS sort_ok, span IN ('', 'day', 'week', 'month', 'year') AS range_ok, least(coalesce(n, 50), 500) AS n, coalesce(deep, true) AS deep FROM {spread_sql('(SELECT event_id FROM events)', 'event_id', _OPTS, 'no, sort, span, n, deep')}""")
 def request_options(spark, sf_dir):
-    """requests' options over the defaults."""
+    """requests' options (declared by event_id) over the defaults."""
     c = F.col
-    return table_of(spark, _OPTS, "id int, sort string, span string, n int, deep boolean").select("id", options.valid_sort(c("sort")).alias("sort_ok"), options.valid_range(c("span")).alias("range_ok"), options.option(c("n"), 50, 500).alias("n"), options.option(c("deep"), True).alias("deep"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id"), "event_id", _OPTS, "no int, sort string, span string, n int, deep boolean")
+    return rows.select("event_id", options.valid_sort(c("sort")).alias("sort_ok"), options.valid_range(c("span")).alias("range_ok"), options.option(c("n"), 50, 500).alias("n"), options.option(c("deep"), True).alias("deep"))
 
 
 @query("cacheable_documents", "SELECT lang, count(CASE WHEN coalesce(text, '') <> '' AND doc_id % 5 NOT IN (1, 2, 3) THEN 1 END) AS n_cacheable, count(*) AS n FROM documents GROUP BY lang")
@@ -31,13 +32,13 @@ def cacheable_documents(spark, sf_dir):
 _REFUSE = [(1, True, False, "captcha", True), (2, False, True, "error", False), (3, False, False, "captcha", True), (4, False, False, "captcha", False), (5, False, False, "timeout", True)]
 
 
-@query("fallback_refusals", f"""SELECT id, CASE WHEN final THEN 'final' WHEN explicit THEN 'format' WHEN kind IN ('http_429', 'http_403', 'captcha', 'bot_block', 'quota_exhausted') AND same THEN 'same_host_block' ELSE '' END AS refused,
-  NOT final AND kind IN ('http_403', 'http_429', 'captcha', 'bot_block', 'upstream_error') AS next_method FROM {values(_REFUSE, 'id, final, explicit, kind, same')}""")
+@query("fallback_refusals", f"""SELECT event_id, CASE WHEN final THEN 'final' WHEN explicit THEN 'format' WHEN kind IN ('http_429', 'http_403', 'captcha', 'bot_block', 'quota_exhausted') AND same THEN 'same_host_block' ELSE '' END AS refused,
+  NOT final AND kind IN ('http_403', 'http_429', 'captcha', 'bot_block', 'upstream_error') AS next_method FROM {spread_sql('(SELECT event_id FROM events)', 'event_id', _REFUSE, 'no, final, explicit, kind, same')}""")
 def fallback_refusals(spark, sf_dir):
-    """Whether a browser or another method may follow a failure."""
+    """Whether a browser or another method may follow a failure (declared by event_id)."""
     c = F.col
-    rows = table_of(spark, _REFUSE, "id int, final boolean, explicit boolean, kind string, same boolean")
-    return rows.select("id", options.fallback_refused(c("final"), c("explicit"), c("kind"), c("same")).alias("refused"), options.next_method(c("kind"), c("final")).alias("next_method"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id"), "event_id", _REFUSE, "no int, final boolean, explicit boolean, kind string, same boolean")
+    return rows.select("event_id", options.fallback_refused(c("final"), c("explicit"), c("kind"), c("same")).alias("refused"), options.next_method(c("kind"), c("final")).alias("next_method"))
 
 
 @query("binary_files", "SELECT doc_id, doc_id % 3 <> 0 AS is_binary FROM documents")
@@ -52,22 +53,24 @@ def binary_files(spark, sf_dir):
 _PAGES = [(1, "Verify you are human", 200), (2, "r/x is a private community", 200), (3, "There’s nothing here", 200), (4, "x", 410), (5, "x", 403), (6, "x", 429), (7, "x", 502), (8, "x", 200), (9, "This community was banned", 404)]
 
 
-@query("missing_pages", f"""SELECT id, CASE WHEN contains(lower(body), 'verify you are human') THEN 'captcha' WHEN regexp_matches(lower(body), 'private community|quarantined|has been banned|was banned') THEN 'http_403'
+@query("missing_pages", f"""SELECT page_id, CASE WHEN contains(lower(body), 'verify you are human') THEN 'captcha' WHEN regexp_matches(lower(body), 'private community|quarantined|has been banned|was banned') THEN 'http_403'
   WHEN status IN (404, 410) OR regexp_matches(replace(lower(body), '’', ''''), 'page not found|community not found|there''s nothing here|nobody on reddit goes by that name|this community doesn''t exist') THEN 'not_found'
-  WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status >= 500 THEN 'upstream_error' ELSE 'layout' END AS kind FROM {values(_PAGES, 'id, body, status')}""")
+  WHEN status = 403 THEN 'http_403' WHEN status = 429 THEN 'http_429' WHEN status >= 500 THEN 'upstream_error' ELSE 'layout' END AS kind FROM (SELECT page_id, said || html AS body, status FROM {spread_sql('pages', 'page_id', _PAGES, 'no, said, status')})""")
 def missing_pages(spark, sf_dir):
-    """Rendered pages that hold no post."""
-    return table_of(spark, _PAGES, "id int, body string, status int").select("id", options.missing_page(F.col("body"), F.col("status")).alias("kind"))
+    """Rendered pages that hold no post (what stands before each page's HTML, and its status, declared by page_id)."""
+    rows = spread(table(spark, sf_dir, "pages"), "page_id", _PAGES, "no int, said string, status int").withColumn("body", F.concat("said", "html"))
+    return rows.select("page_id", options.missing_page(F.col("body"), F.col("status")).alias("kind"))
 
 
 _FAILS = [(1, None, False, False, False), (2, "captcha", True, True, True), (3, None, True, True, False), (4, None, False, True, True), (5, None, False, True, False)]
 
 
-@query("failure_reasons", f"SELECT id, CASE WHEN NOT failed THEN 'ok' ELSE coalesce(kind, CASE WHEN cancelled THEN 'canceled' END, CASE WHEN late THEN 'timeout' END, 'error') END AS reason FROM {values(_FAILS, 'id, kind, cancelled, failed, late')}")
+@query("failure_reasons", f"SELECT event_id, CASE WHEN NOT failed THEN 'ok' ELSE coalesce(kind, CASE WHEN cancelled THEN 'canceled' END, CASE WHEN late THEN 'timeout' END, 'error') END AS reason FROM {spread_sql('(SELECT event_id FROM events)', 'event_id', _FAILS, 'no, kind, cancelled, failed, late')}")
 def failure_reasons(spark, sf_dir):
-    """What a call ended with."""
+    """What a call (declared by event_id) ended with."""
     c = F.col
-    return table_of(spark, _FAILS, "id int, kind string, cancelled boolean, failed boolean, late boolean").select("id", options.reason_of(c("kind"), c("cancelled"), c("late"), c("failed")).alias("reason"))
+    rows = spread(table(spark, sf_dir, "events").select("event_id"), "event_id", _FAILS, "no int, kind string, cancelled boolean, failed boolean, late boolean")
+    return rows.select("event_id", options.reason_of(c("kind"), c("cancelled"), c("late"), c("failed")).alias("reason"))
 
 
 @query("route_labels", "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS label, count(*) AS n FROM events GROUP BY 1")
@@ -119,17 +122,24 @@ def rendered_pulls(spark, sf_dir):
     return documents.render_pulls(pulls, files, commits, turns.select("id", "pos", F.col("role").alias("author"), F.lit("APPROVED").alias("state")), turns.select("id", "pos", F.col("role").alias("author"), "text"), diff_bytes=1500)
 
 
-_FX = [("1", "a", "A", "x &lt; y &amp; z", 3), ("2", "b", "B", "two", None)]
-_SYND = [("2", "b", "B", "two, longer", 5), ("3", "c", "C", "three", 1)]
-_VX = [("3", "c", "C", "three again", 9), ("4", "d", "D", "four", 2)]
+_WIRE = "conv_id::VARCHAR AS id, role AS handle, upper(role) AS name, replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text"
 
 
-@query("unified_posts", f"""WITH u AS (SELECT *, 'fx' AS source, 0 AS o FROM {values(_FX, 'id, handle, name, text, likes')} UNION ALL SELECT *, 'syndication', 1 FROM {values(_SYND, 'id, handle, name, text, likes')} UNION ALL SELECT *, 'vx', 2 FROM {values(_VX, 'id, handle, name, text, likes')})
+@query("unified_posts", f"""WITH u AS (SELECT {_WIRE}, CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 7 END AS likes, 'fx' AS source, 0 AS o FROM conversations WHERE turn = 0 AND conv_id % 3 <> 0
+  UNION ALL SELECT {_WIRE}, conv_id % 11, 'syndication', 1 FROM conversations WHERE turn = 1 UNION ALL SELECT {_WIRE}, turn, 'vx', 2 FROM conversations WHERE turn = 2)
 SELECT id, arg_min(handle, o) AS handle, arg_min(name, o) AS name, replace(replace(replace(arg_min(text, o), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text, arg_min(coalesce(likes, 0), o)::BIGINT AS likes, arg_min(source, o) AS source FROM u GROUP BY id""")
 def unified_posts(spark, sf_dir):
-    """three wire schemas as one."""
-    make = lambda rows, at: table_of(spark, rows, ", ".join(f"{f[at]} {'int' if f[0] == 'likes' else 'string'}" for f in documents.POST_FIELDS))
-    return documents.unify_posts(make(_FX, 1), make(_SYND, 2), make(_VX, 3))
+    """three wire schemas as one (declared: turn 0 comes from the first source but for every third conversation, turns 1 and 2 from the others)."""
+    turns = table(spark, sf_dir, "conversations")
+    escaped = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    def source(rows, at, likes):
+        said = {"id": F.col("conv_id").cast("string"), "handle": F.col("role"), "name": F.upper("role"), "text": escaped, "likes": likes}
+        return rows.select(*[said[f[0]].alias(f[at]) for f in documents.POST_FIELDS])
+
+    c = F.col("conv_id")
+    fx = source(turns.where((F.col("turn") == 0) & (c % 3 != 0)), 1, F.when(c % 5 != 0, c % 7))
+    return documents.unify_posts(fx, source(turns.where("turn = 1"), 2, c % 11), source(turns.where("turn = 2"), 3, F.col("turn")))
 
 
 @query("article_pages")

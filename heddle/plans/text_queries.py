@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, text
 from ..sources.tables import table
 from .page_queries import prose_sql
-from .registry import query, table_of, values
+from .registry import query, spread, spread_sql
 
 _MARK = rf"(chr(10) || chr(10) || '[{text.LABEL}: content truncated at ' || ({{n}}) || ' of ' || length(text) || ' characters. Call fetch_url again with start_char=' || ({{n}}) || ' to continue.]')"
 
@@ -98,16 +98,17 @@ def thin_posts(spark, sf_dir):
 
 
 _SHELLS = [(i, t) for i, t in enumerate([
-    "To read on, log in or sign up. " + "A real post with much to say about its subject. " * 3, "Something went wrong. Try reloading. " + "x " * 60, "Something went wrong with my build, and I am trying hard to find out what it could have been today.",
+    None,     "To read on, log in or sign up. " + "A real post with much to say about its subject. " * 3, "Something went wrong. Try reloading. " + "x " * 60, "Something went wrong with my build, and I am trying hard to find out what it could have been today.",
     "This page doesn’t exist. " + "y " * 60, "this post was deleted" + " z" * 60, "short", " " * 100 + "spaces don't count", "w" * 80,
 ])]
 
 
-@query("post_shells", f"""SELECT id, contains(low, 'this page doesn’t exist') OR contains(low, 'this page doesn''t exist') OR contains(low, 'something went wrong. try reloading') OR contains(low, 'this post is unavailable') OR contains(low, 'this post was deleted')
-  OR length(trim(t)) < 80 AS thin FROM (SELECT *, lower(t) AS low FROM {values(_SHELLS, 'id, t')})""")
+@query("post_shells", f"""SELECT doc_id, contains(low, 'this page doesn’t exist') OR contains(low, 'this page doesn''t exist') OR contains(low, 'something went wrong. try reloading') OR contains(low, 'this post is unavailable') OR contains(low, 'this post was deleted')
+  OR length(trim(t)) < 80 AS thin FROM (SELECT *, lower(t) AS low FROM (SELECT doc_id, coalesce(said, left(coalesce(text, ''), 100)) AS t FROM {spread_sql('documents', 'doc_id', _SHELLS, 'no, said')}))""")
 def post_shells(spark, sf_dir):
-    """Error shells and posts."""
-    return table_of(spark, _SHELLS, "id int, t string").select("id", classify.thin_post(F.col("t")).alias("thin"))
+    """Error shells (declared by doc_id) and the beginnings of texts."""
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id", _SHELLS, "no int, said string")
+    return rows.select("doc_id", classify.thin_post(F.coalesce("said", F.substring(F.coalesce("text", F.lit("")), 1, 100))).alias("thin"))
 
 
 _PLAIN = "lower(regexp_replace(regexp_replace(regexp_replace({0}, '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_`#>|]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -145,15 +146,16 @@ _WALLED = "regexp_matches(low, 'just a moment|verify you are human|captcha|acces
 _GRADE = f"CASE WHEN failed THEN 'error' WHEN length(text) < 3000 AND {_WALLED} THEN 'blocked' WHEN length(trim(text)) < 200 THEN 'empty' WHEN hits = 3 THEN 'ok' WHEN hits > 0 THEN 'partial' ELSE 'miss' END"
 _HITS = "contains(low, 'the edge')::INT + contains(low, 'of')::INT + contains(low, 'and')::INT"
 _GRADED = [(i, t, f) for i, (t, f) in enumerate([
-    ("At the [edge](https://e.com/x) of sand " * 8, False), ("at THE _edge_\n of  And " * 12, False), ("The edge " * 30, False), ("nothing here " * 30, False), ("Please enable JavaScript. " * 10, False), ("Are **you** a robot? " * 12, False),
+    (None, False),     ("At the [edge](https://e.com/x) of sand " * 8, False), ("at THE _edge_\n of  And " * 12, False), ("The edge " * 30, False), ("nothing here " * 30, False), ("Please enable JavaScript. " * 10, False), ("Are **you** a robot? " * 12, False),
     ("captcha " * 500, False), ("Attention  Required! " * 12, False), ("the edge of and", False), ("the edge of and " * 20, True), ("", False),
 ])]
 
 
-@query("graded_texts", f"SELECT id, {_GRADE} AS grade FROM (SELECT *, {_HITS} AS hits FROM (SELECT *, {_PLAIN.format('text')} AS low FROM {values(_GRADED, 'id, text, failed')}))")
+@query("graded_texts", f"SELECT doc_id, {_GRADE} AS grade FROM (SELECT *, {_HITS} AS hits FROM (SELECT *, {_PLAIN.format('text')} AS low FROM (SELECT doc_id, coalesce(said, text, '') AS text, failed FROM {spread_sql('documents', 'doc_id', _GRADED, 'no, said, failed')})))")
 def graded_texts(spark, sf_dir):
-    """fixed texts by three phrases."""
-    return table_of(spark, _GRADED, "id int, text string, failed boolean").select("id", classify.grade(F.col("text"), F.col("failed"), _PHRASES).alias("grade"))
+    """texts by three phrases, most of them declared by doc_id."""
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id", _GRADED, "no int, said string, failed boolean")
+    return rows.select("doc_id", classify.grade(F.coalesce("said", "text", F.lit("")), F.col("failed"), _PHRASES).alias("grade"))
 
 
 @query("grades", f"""SELECT grade, sum((quality = 1)::INT)::BIGINT AS n_good, sum((quality = 0)::INT)::BIGINT AS n_bad FROM (SELECT doc_id, {_GRADE} AS grade FROM (SELECT *, {_HITS} AS hits FROM
@@ -165,18 +167,20 @@ def grades(spark, sf_dir):
     return graded.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("grade").agg(F.count_if(q == 1).alias("n_good"), F.count_if(q == 0).alias("n_bad"))
 
 
-_DATES = [("Oct 5, 2026",), ("2026-10-05",), ("3 days ago",), ("1 hour ago",), ("2 months ago",), ("5 years ago",), ("yesterday",), ("",), ("January 2, 2024",), ("2026-01-02T03:04:05+02:00",)]
+_DATES = [("Oct 5, 2026",), ("2026-10-05",), ("%s days ago",), ("1 hour ago",), ("%s months ago",), ("%s years ago",), ("%s minutes ago",), ("%s WEEKS ago",), ("%s parsecs ago",), ("yesterday",), ("",), ("January 2, 2024",), ("2026-01-02T03:04:05+02:00",)]
 _NOW = "2026-11-26 12:34:56"
 _AGO = "regexp_extract(d, '(?i)^(\\d{1,6}) (?:minute|hour|day|week|month|year)s? ago$', 1)"
 _UNIT = "lower(regexp_extract(d, '(?i)^\\d{1,6} (minute|hour|day|week|month|year)s? ago$', 1))"
 
 
-@query("dates", f"""SELECT d, coalesce(strftime(date_trunc('minute', coalesce(try_strptime(d, '%b %d, %Y'), try_strptime(d, '%B %d, %Y'), try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%Y-%m-%dT%H:%M:%S%z')::TIMESTAMP,
+@query("dates", f"""SELECT event_id, d, coalesce(strftime(date_trunc('minute', coalesce(try_strptime(d, '%b %d, %Y'), try_strptime(d, '%B %d, %Y'), try_strptime(d, '%Y-%m-%d'), try_strptime(d, '%Y-%m-%dT%H:%M:%S%z')::TIMESTAMP,
   TIMESTAMP '{_NOW}' - INTERVAL 1 SECOND * (try_cast({_AGO} AS BIGINT) * CASE {_UNIT} WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 WHEN 'day' THEN 86400 WHEN 'week' THEN 604800 WHEN 'month' THEN 2592000 WHEN 'year' THEN 31536000 END))), '%Y-%m-%dT%H:%M:%SZ'), '') AS parsed
-  FROM {values(_DATES, 'd')}""")
+  FROM (SELECT event_id, replace(form, '%s', (event_id % 59 + 1)::VARCHAR) AS d FROM {spread_sql('(SELECT event_id FROM events)', 'event_id', _DATES, 'form')})""")
 def dates(spark, sf_dir):
-    """Dates as search engines write them, at a fixed time."""
-    return table_of(spark, _DATES, "d string").select("d", text.parse_date(F.col("d"), F.lit(_NOW).cast("timestamp")).alias("parsed"))
+    """Dates as search engines write them (declared by event_id), at a fixed time."""
+    rows = spread(table(spark, sf_dir, "events").select("event_id"), "event_id", _DATES, "form string")
+    rows = rows.select("event_id", F.replace("form", F.lit("%s"), (F.col("event_id") % 59 + 1).cast("string")).alias("d"))
+    return rows.select("event_id", "d", text.parse_date(F.col("d"), F.lit(_NOW).cast("timestamp")).alias("parsed"))
 
 
 @query("event_times", """SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, 86400 - (epoch_us(ts) // 1000000) % 86400 AS to_midnight, ceil(value)::BIGINT AS seconds_up FROM events""")
@@ -186,15 +190,45 @@ def event_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.epoch_text(s).alias("at"), text.until_midnight(F.timestamp_seconds(s)).alias("to_midnight"), F.ceil("value").cast("long").alias("seconds_up"))
 
 
-_LINKS = [("Home", "https://a.b/c"), ("https://a.b/c", "https://a.b/c"), ("a.b/lon…", "https://a.b/long"), ("", "https://a.b"), ("x", ""), ("other", "https://www.a.b/c")]
-_BARE = "regexp_replace(href, '^https?://(www\\.)?', '')"
-_LAB = "regexp_replace(trim(label), '…$', '')"
+_LINKS = [("Home",), (None,), ("%h",), ("%b",), ("%b…",), ("www.%b",), ("%h...",), ("",), ("…",), ("Read on…",), (" %h ",), ("%b/x",)]
+_HREF_BARE = "regexp_replace(url, '^(?i)https?://', '')"
+_FORM = f"replace(replace(coalesce(form, url), '%h', left(url, 18)), '%b', left(regexp_replace({_HREF_BARE}, '^www[.]', ''), 14))"
+_SHOWN = "regexp_replace(regexp_replace(lab, '[.][.][.]$', ''), '…$', '')"
 
 
-@query("links", f"""SELECT label, href, CASE WHEN href = '' THEN trim(label) WHEN trim(label) IN ('', href) OR starts_with({_BARE}, {_LAB}) THEN href ELSE '[' || trim(label) || '](' || href || ')' END AS link FROM {values(_LINKS, 'label, href')}""")
+@query("links", f"""SELECT page_id, CASE WHEN href = '' THEN label WHEN {_SHOWN} = '' OR starts_with(href, {_SHOWN}) OR starts_with({_HREF_BARE}, {_SHOWN}) OR starts_with(regexp_replace({_HREF_BARE}, '^www[.]', ''), {_SHOWN}) THEN href ELSE '[' || lab || '](' || href || ')' END AS link
+  FROM (SELECT page_id, url, label, trim(label) AS lab, CASE WHEN page_id % 17 = 0 THEN '' ELSE url END AS href FROM (SELECT page_id, url, {_FORM} AS label FROM {spread_sql('pages', 'page_id', _LINKS, 'form')}))""")
 def links(spark, sf_dir):
-    """labels that say no more than the URL give the bare URL."""
-    return table_of(spark, _LINKS, "label string, href string").select("label", "href", text.link(F.col("label"), F.col("href")).alias("link"))
+    """labels of each page's URL (declared by page_id) that say no more than the URL give the bare URL."""
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", _LINKS, "form string")
+    bare = F.regexp_replace(F.regexp_replace("url", r"^(?i:https?://)", ""), r"^www\.", "")
+    label = F.replace(F.replace(F.coalesce("form", "url"), F.lit("%h"), F.substring("url", 1, 18)), F.lit("%b"), F.substring(bare, 1, 14))
+    href = F.when(F.col("page_id") % 17 == 0, "").otherwise(F.col("url"))
+    return rows.select("page_id", text.link(label, href).alias("link"))
+
+
+_FACET_TEXT = "CASE conv_id % 3 WHEN 0 THEN 'é👍 ' ELSE '' END || coalesce(text, '')"
+#: Facets by place: start and end in bytes from the text's beginning or (negative) its end, and the URL.
+_FACETS = ((0, 2, "https://a.example/1"), (3, 9, "https://a.example/2"), (7, 12, "https://a.example/3"), (1, 3, "https://a.example/4"), (20, 31, ""), (30, 34, "https://a.example/5"), (-6, -1, "https://a.example/6"), (33, 40, "https://a.example/7"), (-3, 5, "https://a.example/8"), (12, 12, "https://a.example/9"))
+_CUT = lambda a, z: f"decode(unhex(substr(hx, 2 * ({a}) + 1, 2 * (({z}) - ({a})))))"
+
+
+@query("linked_turns", f"""WITH RECURSIVE t AS (SELECT conv_id, turn, body, hex(encode(body)) AS hx, octet_length(encode(body)) AS n FROM (SELECT conv_id, turn, {_FACET_TEXT} AS body FROM conversations)),
+f AS (SELECT conv_id, turn, hx, n, CASE WHEN a < 0 THEN n + a ELSE a END AS a, CASE WHEN z < 0 THEN n + z ELSE z END AS z, uri, i FROM t, (VALUES {', '.join(f"({i}, {a}, {z}, '{u}')" for i, (a, z, u) in enumerate(_FACETS))}) AS v(i, a, z, uri)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY a, i) AS k FROM f WHERE uri <> '' AND a >= 0 AND z <= n AND a < z AND substr(hx, 2 * a + 1, 1) NOT IN ('8', '9', 'A', 'B') AND (z = n OR substr(hx, 2 * z + 1, 1) NOT IN ('8', '9', 'A', 'B'))),
+s(conv_id, turn, k, pos, done) AS (SELECT conv_id, turn, 0::BIGINT, 0::BIGINT, '' FROM t
+  UNION ALL SELECT s.conv_id, s.turn, g.k, CASE WHEN g.a < s.pos THEN s.pos ELSE g.z END, CASE WHEN g.a < s.pos THEN s.done ELSE s.done || {_CUT('s.pos', 'g.a')} || CASE WHEN trim({_CUT('g.a', 'g.z')}, chr(10) || chr(13) || chr(9) || ' ') = '' THEN g.uri ELSE '[' || trim({_CUT('g.a', 'g.z')}, chr(10) || chr(13) || chr(9) || ' ') || '](' || g.uri || ')' END END
+  FROM s JOIN g ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.k = s.k + 1)
+SELECT t.conv_id, t.turn, sha256(max_by(s.done, s.k) || decode(unhex(substr(any_value(t.hx), 2 * max_by(s.pos, s.k) + 1)))) AS linked_sha256 FROM t JOIN s ON s.conv_id = t.conv_id AND s.turn = t.turn GROUP BY t.conv_id, t.turn""")
+def linked_turns(spark, sf_dir):
+    """links put into each turn at byte ranges (declared: some overlap, some cut a character, some are out of bounds)."""
+    turns = table(spark, sf_dir, "conversations")
+    body = F.concat(F.when(F.col("conv_id") % 3 == 0, "é👍 ").otherwise(""), F.coalesce("text", F.lit("")))
+    rows = turns.select("conv_id", "turn", body.alias("body")).withColumn("n", F.octet_length("body"))
+    at = lambda x: F.col("n") + x if x < 0 else F.lit(x)
+    rows = rows.withColumn("facets", F.array(*[F.struct(at(a).alias("start"), at(z).alias("end"), F.lit(u).alias("uri")) for a, z, u in _FACETS]))
+    out = rows.select("conv_id", "turn", text.expand_links(F.col("body"), F.col("facets")).alias("out"), "body", "n")
+    return out.select("conv_id", "turn", F.sha2(F.encode("out", "UTF-8"), 256).alias("linked_sha256"))
 
 
 _BODY = "CASE doc_id % 11 WHEN 0 THEN text || chr(10) || 'Powered and protected by Akamai' WHEN 1 THEN '# Page not found' || chr(10) || text WHEN 2 THEN repeat('Loading…' || chr(10), 10) || text WHEN 3 THEN '## Choose a country' || chr(10) || text WHEN 4 THEN '## Select your region' || chr(10) || text WHEN 5 THEN '#choose a country' || chr(10) || text ELSE text END"
