@@ -60,7 +60,12 @@ def thread_totals(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def ancestors(rows: DataFrame) -> DataFrame:
-    """Each row's chain of parents, oldest first, joined by >.
+    """Each row's chain of parents, oldest first, joined by >."""
+    return ancestor_arrays(rows).select("thread", "id", F.array_join(F.transform("chain", lambda i: i.cast("string")), ">").alias("chain"))
+
+
+def ancestor_arrays(rows: DataFrame) -> DataFrame:
+    """thread, id, chain: each row's parents, oldest first, and itself.
 
     Pointer doubling: each round a row's chain takes in the chain of the row it ends at, so a chain of any
     length takes as many rounds as its length has binary digits. A row that leads into a cycle never ends; its chain is
@@ -74,4 +79,38 @@ def ancestors(rows: DataFrame) -> DataFrame:
         now = now.join(far, ["thread", "up"], "left").select("thread", "id", F.col("next").alias("up"), F.when(F.col("above").isNull(), F.col("chain")).otherwise(F.concat("above", "chain")).alias("chain")).checkpoint()
         if now.where("up IS NOT NULL").isEmpty():
             break
-    return now.select("thread", "id", F.array_join(F.transform("chain", lambda i: i.cast("string")), ">").alias("chain"))
+    return now.select("thread", "id", "chain")
+
+
+def self_threads(rows: DataFrame) -> DataFrame:
+    """How each post lies in its author's own threads (W10). rows: thread, id, parent, pos, author.
+
+    top, above: the oldest of the posts over it, each by the author and answered by the next, and how many they are. head, place: the chain of
+    first replies that it stands in, named by its first post, and its place there from 0; a post's next one is the first reply (by pos) to it by its
+    author. So the thread that a post shows is the posts above it, itself, and the later places of its chain. Authors are told apart without case.
+
+    Both are lists linked by one parent each, ranked by pointer doubling: rows stay as many as posts, however long a chain is.
+    """
+    own = rows.select("thread", "id", "parent", "pos", F.lower("author").alias("author"))
+    above = own.select("thread", F.col("id").alias("parent"), F.col("author").alias("answered"))
+    same = own.join(above, ["thread", "parent"]).where("author = answered").select("thread", "parent", "id", "pos")
+    first = same.groupBy("thread", "parent").agg(F.min_by("id", F.struct("pos", "id")).alias("id"))
+
+    def ranked(links: DataFrame, root: str, depth: str) -> DataFrame:
+        linked = own.select("thread", "id").join(links.select("thread", "id", "parent"), ["thread", "id"], "left")
+        return with_depth(linked).select("thread", "id", F.col("root").alias(root), F.col("depth").alias(depth))
+
+    return ranked(same, "top", "above").join(ranked(first, "head", "place"), ["thread", "id"])
+
+
+def self_thread(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """thread, root, id, place: the posts of each asked one's (thread, id) self-thread in order; its own place is 0, those above it have negative ones."""
+    ranks = self_threads(rows)
+    here = asked.select("thread", F.col("id").alias("root")).join(ranks.withColumnRenamed("id", "root").select("thread", "root", "head", F.col("place").alias("at")), ["thread", "root"])
+    below = here.join(ranks.select("thread", "head", "id", "place"), ["thread", "head"]).where("place >= at").select("thread", "root", "id", (F.col("place") - F.col("at")).alias("place"))
+    own = rows.select("thread", "id", "parent", F.lower("author").alias("author"))
+    up = own.withColumnRenamed("id", "up").select("thread", F.col("up").alias("parent"), F.col("author").alias("answered"))
+    links = own.join(up, ["thread", "parent"], "left").select("thread", "id", F.when(F.col("author") == F.col("answered"), F.col("parent")).alias("parent"))
+    chain = ancestor_arrays(links).join(asked.select("thread", "id"), ["thread", "id"], "left_semi")
+    each = chain.select("thread", F.col("id").alias("root"), F.posexplode("chain").alias("k", "up"), F.size("chain").alias("n"))
+    return below.unionByName(each.where("k < n - 1").select("thread", "root", F.col("up").alias("id"), (F.col("k") - F.col("n") + 1).alias("place")))

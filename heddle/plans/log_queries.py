@@ -220,3 +220,47 @@ def byte_budgets(spark, sf_dir):
     """Documents of a bundle (doc_id % 50) within 30,000 characters; what doesn't fit is skipped and later ones may fit."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 50).alias("bundle"))
     return folds.fold(rows, "bundle", ["doc_id"], lambda: folds.Budget(30000), ["n_chars"]).select("doc_id", "kept", "used")
+
+
+@query("metrics_round_trip", """SELECT 'events_total' AS name, 'counter' AS type, event_type, (user_id % 7)::VARCHAR AS shard, count(*)::DOUBLE AS value FROM events GROUP BY ALL
+  UNION ALL SELECT 'last_value', 'gauge', event_type, NULL, arg_max(value, (ts, event_id)) FROM events GROUP BY event_type""")
+def metrics_round_trip(spark, sf_dir):
+    """Counters and gauges written as scrapers read them, in one commit, and read back."""
+    import uuid
+
+    from ..sources import lines
+    from ..sources.tables import shared_dir
+
+    lines.register(spark)
+    events = table(spark, sf_dir, "events")
+    label = lambda **c: F.map_from_arrays(F.array(*[F.lit(k) for k in c]), F.array(*[x.cast("string") for x in c.values()]))
+    counts = events.groupBy("event_type", (F.col("user_id") % 7).alias("shard")).agg(F.count("*").cast("double").alias("value"))
+    counts = counts.select(F.lit("events_total").alias("name"), F.lit("counter").alias("type"), label(event_type=F.col("event_type"), shard=F.col("shard")).alias("labels"), "value")
+    last = logs.last_values(events, ["event_type"], "value", ["ts", "event_id"]).select(F.lit("last_value").alias("name"), F.lit("gauge").alias("type"), label(event_type=F.col("event_type")).alias("labels"), F.col("last").alias("value"))
+    path = f"{shared_dir(spark)}/m-{uuid.uuid4().hex}"
+    counts.write.format("exposition").option("path", path).mode("overwrite").save()
+    last.write.format("exposition").option("path", path).mode("append").save()
+    back = spark.read.format("exposition").option("path", path).load()
+    return back.select("name", "type", F.col("labels")["event_type"].alias("event_type"), F.try_element_at("labels", F.lit("shard")).alias("shard"), "value")
+
+
+@query("benchmark_round_trip", """WITH r AS (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'miss' ELSE 'ok' END AS grade, (page_id % 40) / 8 AS seconds, length(html) AS chars FROM pages)
+SELECT 'item' AS kind, NULL AS candidate, url, NULL AS grade, NULL::DOUBLE AS seconds, NULL::BIGINT AS chars, NULL::BIGINT AS n, NULL::BIGINT AS n_ok FROM pages
+UNION ALL SELECT 'result', 'plain', url, grade, seconds, chars, NULL, NULL FROM r UNION ALL SELECT 'summary', 'plain', NULL, NULL, NULL, NULL, count(*), count(CASE WHEN grade = 'ok' THEN 1 END) FROM r""")
+def benchmark_round_trip(spark, sf_dir):
+    """Pages as a benchmark's items, results and summary (grades declared by page_id), lines of three kinds in one folder, and read back."""
+    import uuid
+
+    from ..sources import lines
+    from ..sources.tables import shared_dir
+
+    lines.register(spark)
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    items = pages.select("url", F.array(F.substring("html", 1, 9)).alias("phrases"))
+    results = pages.select("url", F.lit("plain").alias("candidate"), F.when(n % 5 == 0, "miss").otherwise("ok").alias("grade"), (n % 40 / 8).alias("seconds"), F.length("html").cast("long").alias("chars"))
+    summary = results.groupBy("candidate").agg(F.count("*").alias("n"), F.count_if(F.col("grade") == "ok").alias("n_ok"))
+    path = f"{shared_dir(spark)}/b-{uuid.uuid4().hex}"
+    for i, rows in enumerate((items, results, summary)):
+        lines.full(rows).write.format("benchmark_lines").option("path", path).mode("append" if i else "overwrite").save()
+    return spark.read.format("benchmark_lines").option("path", path).load().select("kind", "candidate", "url", "grade", "seconds", "chars", "n", "n_ok")

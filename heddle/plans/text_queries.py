@@ -266,3 +266,28 @@ def thread_toon(spark, sf_dir):
 
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return turns.select("conv_id", toon_of(F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))).alias("toon"))
+
+
+_TOKEN = "https://t[.]co/[a-z]{{3}}"
+_TAGGED = "regexp_replace(coalesce(text, ''), ' ([a-z]{{3}})([ .,])', ' https://t.co/\\1\\2', 'g')"
+_DICTIONARY = "CASE ascii(right(token, 1)) % 4 WHEN 0 THEN 'https://example.com/' || token || '/long' WHEN 1 THEN '' WHEN 2 THEN right(token, 3) || '…' END"
+
+
+@query("replaced_tokens", f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all({_TAGGED}, '{_TOKEN}')) AS token FROM benchmark),
+k AS (SELECT token, {_DICTIONARY} AS replacement FROM t WHERE ascii(right(token, 1)) % 4 < 3),
+d AS (SELECT doc_id, {_TAGGED} AS body FROM documents),
+p AS (SELECT doc_id, body, unnest(regexp_split_to_array(body, '{_TOKEN}')) AS piece, generate_subscripts(regexp_split_to_array(body, '{_TOKEN}'), 1) AS i, regexp_extract_all(body, '{_TOKEN}') AS found FROM d),
+r AS (SELECT doc_id, i, piece, coalesce(k.replacement, found[i], '') AS said FROM p LEFT JOIN k ON k.token = found[i])
+SELECT doc_id, sha256(string_agg(piece || said, '' ORDER BY i)) AS text_sha256 FROM r GROUP BY doc_id""".replace("{{3}}", "{3}"))
+def replaced_tokens(spark, sf_dir):
+    """short links of texts (declared: words of three letters) replaced by a table of the ones that the benchmark's texts have; some are media and go, some aren't in the table."""
+    from ..operators.tokens import replace_tokens
+
+    pattern = _TOKEN.replace("{{3}}", "{3}")
+    tagged = F.regexp_replace(F.coalesce("text", F.lit("")), " ([a-z]{3})([ .,])", " https://t.co/$1$2")
+    items = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(tagged, F.lit(f"({pattern})"), F.lit(1))).alias("token")).distinct()
+    kind = F.ascii(F.substring("token", -1, 1)) % 4
+    said = F.when(kind == 0, F.concat(F.lit("https://example.com/"), "token", F.lit("/long"))).when(kind == 2, F.concat(F.substring("token", -3, 3), F.lit("…")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tagged.alias("body"))
+    out = replace_tokens(docs, "doc_id", "body", items.where(kind < 3).select("token", said.alias("replacement")), pattern)
+    return out.select("doc_id", F.sha2(F.encode("body", "UTF-8"), 256).alias("text_sha256"))

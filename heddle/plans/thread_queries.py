@@ -86,6 +86,39 @@ def first_replies(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("thread")).agg(F.min_by(F.when(own, F.col("turn")), F.when(own, F.col("turn"))).alias("reply"))
 
 
+_OWN = "SELECT conv_id AS thread, turn AS id, CASE WHEN turn = 0 THEN NULL WHEN turn = 5 THEN 99 ELSE (turn - 1) // 2 END AS parent, role AS author FROM conversations"
+_SAME = f"r AS ({_OWN}), l AS (SELECT r.thread, r.id, r.parent FROM r JOIN r p ON p.thread = r.thread AND p.id = r.parent AND p.author = r.author), n AS (SELECT thread, parent, min(id) AS id FROM l GROUP BY 1, 2)"
+
+
+def _authored(spark, sf_dir) -> DataFrame:
+    roles = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("id"), F.col("role").alias("author"))
+    return _rows(spark, sf_dir).join(roles, ["thread", "id"])
+
+
+@query("self_threads", f"""WITH RECURSIVE {_SAME}, u AS (SELECT thread, id, id AS top, 0 AS above FROM r WHERE (thread, id) NOT IN (SELECT (thread, id) FROM l) UNION ALL SELECT l.thread, l.id, u.top, u.above + 1 FROM l JOIN u ON u.thread = l.thread AND u.id = l.parent),
+d AS (SELECT thread, id, id AS head, 0 AS place FROM r WHERE (thread, id) NOT IN (SELECT (thread, id) FROM n) UNION ALL SELECT n.thread, n.id, d.head, d.place + 1 FROM n JOIN d ON d.thread = n.thread AND d.id = n.parent)
+SELECT thread, id, top, above, head, place FROM u JOIN d USING (thread, id)""")
+def self_threads(spark, sf_dir):
+    """Each turn's place among its author's own: the unbroken parents above it, and its chain of first replies."""
+    from ..sources.tables import checkpoints
+
+    checkpoints(spark)
+    return threads.self_threads(_authored(spark, sf_dir))
+
+
+@query("self_thread_posts", f"""WITH RECURSIVE {_SAME}, h AS (SELECT thread, id FROM r WHERE id % 2 = 0),
+d(thread, root, id, place) AS (SELECT thread, id, id, 0 FROM h UNION ALL SELECT n.thread, d.root, n.id, d.place + 1 FROM n JOIN d ON d.thread = n.thread AND d.id = n.parent),
+u(thread, root, id, place) AS (SELECT thread, id, id, 0 FROM h UNION ALL SELECT l.thread, u.root, l.parent, u.place - 1 FROM l JOIN u ON u.thread = l.thread AND u.id = l.id)
+SELECT * FROM d UNION SELECT * FROM u""")
+def self_thread_posts(spark, sf_dir):
+    """The whole self-thread of each of the user's turns (declared: those with even numbers are asked for), in order."""
+    from ..sources.tables import checkpoints
+
+    checkpoints(spark)
+    rows = _authored(spark, sf_dir)
+    return threads.self_thread(rows, rows.where("id % 2 = 0").select("thread", "id"))
+
+
 @query("merged_expansions", "SELECT conv_id AS thread, turn AS id FROM conversations WHERE turn < 3 UNION ALL SELECT conv_id, turn FROM conversations c WHERE turn >= 1 AND NOT EXISTS (SELECT 1 FROM conversations k WHERE k.conv_id = c.conv_id AND k.turn = c.turn AND k.turn < 3)")
 def merged_expansions(spark, sf_dir):
     """Turns of an expansion (from turn 1 on) joined to those there (up to turn 2), ids once."""

@@ -25,11 +25,6 @@ def error_documents(rows: DataFrame) -> DataFrame:
     return rows.select("url", text.alias("page_content"), F.map_from_arrays(F.array(F.lit("source"), F.lit("kind")), F.array(F.col("url"), F.coalesce("kind", F.lit("ok")))).alias("metadata"))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """JSON lines."""
-    df.write.mode("overwrite").json(path)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables in between, which the driver and all executors see."""
     checkpoints(spark)
