@@ -1,9 +1,7 @@
-"""Markup that expressions can't hold: HTML to Markdown, entities, byte-offset links, and TOON. Arrow UDFs over whole columns."""
+"""HTML to Markdown, and Markdown put in order: Arrow UDFs over whole columns."""
 
 from __future__ import annotations
 
-import html as entities
-import json
 import re
 from html.parser import HTMLParser
 from typing import Any
@@ -136,18 +134,6 @@ def to_markdown(html: str | None) -> str | None:
     return parser.text()
 
 
-def plain_text(html: str | None) -> str | None:
-    """HTML without tags, entities decoded, paragraphs as line breaks, anchors as their links."""
-    if html is None:
-        return None
-    html = re.sub(r"(?is)<(script|style|noscript|template|svg|head)\b.*?</\1>", " ", html)
-    t = re.sub(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', lambda m: m[1] if m[2].rstrip(".…") in m[1] else f"{m[2]} ({m[1]})", html)
-    t = re.sub(r"(?is)<pre><code>(.*?)</code></pre>", lambda m: f"\n```\n{m[1]}\n```\n", t)
-    t = re.sub(r"(?i)<(p|br|/p|/div|/li)\b[^>]*>", "\n", t)
-    t = entities.unescape(re.sub(r"<[^>]+>", "", t))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t)).strip()
-
-
 def tidy_markdown(text: str | None, base: str = "") -> str | None:
     """Outside fences: relative links made absolute, lines of images or badges alone dropped, blank runs clamped."""
     if text is None:
@@ -166,41 +152,6 @@ def tidy_markdown(text: str | None, base: str = "") -> str | None:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-def _toon_value(x: Any, comma: bool = True) -> str:
-    if x is None:
-        return "null"
-    if isinstance(x, bool):
-        return "true" if x else "false"
-    if isinstance(x, (int, float)):
-        return repr(x)
-    s = str(x)
-    plain = s and s == s.strip() and not re.search(r'[:"\\\[\]{}\n\r\t]' + ("|," if comma else ""), s) and s not in ("true", "false", "null") and not re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", s) and not s.startswith("-")
-    return s if plain else json.dumps(s, ensure_ascii=False)
-
-
-def toon(x: Any, name: str = "", depth: int = 0) -> str:
-    """TOON text (F20): objects by indent, lists of flat objects as `name[n]{fields}:` rows, other lists inline or by dashes."""
-    pad = "  " * depth
-    if isinstance(x, dict):
-        head = [f"{pad}{name}:"] if name else []
-        return "\n".join(head + [toon(v, k, depth + bool(name)) for k, v in x.items()])
-    if isinstance(x, list):
-        flat = lambda v: not isinstance(v, (dict, list))
-        if not x:
-            return f"{pad}{name}: []"
-        if all(isinstance(r, dict) and r and list(r) == list(x[0]) and all(map(flat, r.values())) for r in x):
-            rows = [f"{pad}  " + ",".join(_toon_value(v) for v in r.values()) for r in x]
-            return "\n".join([f"{pad}{name}[{len(x)}]{{{','.join(x[0])}}}:", *rows])
-        if all(map(flat, x)):
-            return f"{pad}{name}[{len(x)}]: " + ",".join(map(_toon_value, x))
-        items = []
-        for v in x:
-            body = (toon(v, "", depth + 2) if not flat(v) else f"{pad}    {_toon_value(v)}").lstrip(" ")
-            items.append(f"{pad}  - {body}")
-        return "\n".join([f"{pad}{name}[{len(x)}]:", *items])
-    return f"{pad}{name}: {_toon_value(x, comma=False)}"
-
-
 def markdown_of(html: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def run(c: pa.Array) -> pa.Array:
@@ -209,27 +160,9 @@ def markdown_of(html: Column) -> Column:
     return run(html)
 
 
-def plain_of(html: Column) -> Column:
-    @F.arrow_udf(T.StringType())
-    def run(c: pa.Array) -> pa.Array:
-        return pa.array([plain_text(x) for x in c.to_pylist()], pa.string())
-
-    return run(html)
-
-
 def tidy_of(text: Column, base: Column) -> Column:
     @F.arrow_udf(T.StringType())
     def run(c: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([tidy_markdown(x, y or "") for x, y in zip(c.to_pylist(), b.to_pylist(), strict=True)], pa.string())
 
     return run(text, base)
-
-
-def toon_of(value: Column) -> Column:
-    """TOON of a JSON text."""
-
-    @F.arrow_udf(T.StringType())
-    def run(c: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else toon(json.loads(x)) for x in c.to_pylist()], pa.string())
-
-    return run(value)

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import addresses, classify, text, urls
+from ..functions import addresses, classify, markdown, text, urls
 from ..sources.tables import table
 from .registry import query, spread, spread_sql, table_of, values
 
@@ -479,12 +479,67 @@ def page_markdown(spark, sf_dir):
     return pages.select("page_id", tidy_of(F.col("md"), F.col("url")).alias("markdown"))
 
 
-@query("page_plain_text")
-def page_plain_text(spark, sf_dir):
-    """pages without tags, entities decoded."""
-    from ..functions.markup import plain_of
+def _unescaped(x: str) -> str:
+    """The entities that pages have, each once: ampersands wait as a control character until the others are read."""
+    x = f"replace(replace({x}, '&amp;', chr(1)), '&amp', chr(1))"
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">")):
+        x = f"replace({x}, '&{name};', '{sign}')"
+    return f"replace({x}, chr(1), '&')"
+
+
+def _held(x: str) -> str:
+    """A read URL, so that its signs aren't taken for tags or entities."""
+    return f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _anchored(source: str, anchor: str, said: str) -> str:
+    """Texts with each anchor (href, inner) as `said`, put together piece by piece."""
+    return f"""p AS (SELECT page_id, unnest(regexp_split_to_array(body, '{anchor}')) AS piece, generate_subscripts(regexp_split_to_array(body, '{anchor}'), 1) AS i, regexp_extract_all(body, '{anchor}') AS found FROM {source}),
+l AS (SELECT page_id, i, piece, {_unescaped(f"regexp_extract(found[i], '{anchor}', 1)")} AS href, regexp_extract(found[i], '{anchor}', 2) AS inside, found[i] IS NOT NULL AS hit FROM p),
+j AS (SELECT page_id, string_agg(piece || CASE WHEN hit THEN {said} ELSE '' END, '' ORDER BY i) AS body FROM l GROUP BY page_id)"""
+
+
+_TRIM = r"regexp_replace({0}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+_SHORT = _TRIM.format(_unescaped("regexp_replace(inside, '<[^>]+>', '', 'g')"))
+_COMMENT = _anchored("pages_", r'(?is)<a\s[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', f"CASE WHEN href = '' THEN inside WHEN {_SHORT} = '' OR starts_with(href, {_SHORT}) OR ends_with({_SHORT}, '...') OR ends_with({_SHORT}, '…') THEN {_held('href')} ELSE '[' || inside || '](' || {_held('href')} || ')' END")
+_FENCES = "body"
+for _tag in ("<pre><code>", "</code></pre>", "<pre>", "</pre>"):
+    _FENCES = f"replace({_FENCES}, '{_tag}', chr(10) || '```' || chr(10))"
+_FENCES = f"replace(replace({_FENCES}, '<p>', chr(10) || chr(10)), '</p>', '')"
+#: Comments' HTML from pages: some begin with code, an anchor that shows its target, or one that shortens it.
+_COMMENT_BODY = """CASE page_id % 5 WHEN 0 THEN '<pre><code>if a &lt; b:</code></pre><a href="https://a.b/?x=1&amp;y=2" rel="nofollow">https://a.b/?x=1&amp;y=2</a> ' WHEN 1 THEN '<a href="https://a.b/long/path">a.b/lon...</a><p>&amp;lt; ' WHEN 2 THEN '<a rel=x href="https://a.b/">a &amp; <b>b</b></a>' ELSE '' END || html"""
 
-    return table(spark, sf_dir, "pages").select("page_id", plain_of(F.col("html")).alias("plain"))
+
+@query("comment_texts", f"WITH pages_ AS (SELECT page_id, {_COMMENT_BODY} AS body FROM pages), {_COMMENT} SELECT page_id, sha256({_TRIM.format('regexp_replace(' + _unescaped(f'regexp_replace({_FENCES}, {chr(39)}<[^>]+>{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})') + ', chr(10) || chr(10) || chr(10) || chr(43), chr(10) || chr(10), {0})'.format(chr(39) + 'g' + chr(39)))}) AS text_sha256 FROM j")
+def comment_texts(spark, sf_dir):
+    """pages read as comments (what some begin with is declared by page_id)."""
+    n = F.col("page_id") % 5
+    head = (
+        F.when(n == 0, '<pre><code>if a &lt; b:</code></pre><a href="https://a.b/?x=1&amp;y=2" rel="nofollow">https://a.b/?x=1&amp;y=2</a> ')
+        .when(n == 1, '<a href="https://a.b/long/path">a.b/lon...</a><p>&amp;lt; ')
+        .when(n == 2, '<a rel=x href="https://a.b/">a &amp; <b>b</b></a>')
+        .otherwise("")
+    )
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").alias("html"))
+    return pages.select("page_id", F.sha2(F.encode(markdown.comment_text(F.col("html")), "UTF-8"), 256).alias("text_sha256"))
+
+
+_FORUM_LABEL = _TRIM.format(_unescaped("regexp_replace(inside, '(?s)<[^>]*>', '', 'g')"))
+_LABEL_SHOWN = f"regexp_replace(regexp_replace({_FORUM_LABEL}, '[.][.][.]$', ''), '…$', '')"
+_LABEL_BARE = "regexp_replace(href, '^(?i)https?://', '')"
+_FORUM_SAID = f"CASE WHEN NOT regexp_matches(href, '^(?i)https?://') THEN inside WHEN {_LABEL_SHOWN} = '' OR starts_with(href, {_LABEL_SHOWN}) OR starts_with({_LABEL_BARE}, {_LABEL_SHOWN}) OR starts_with(regexp_replace({_LABEL_BARE}, '^www[.]', ''), {_LABEL_SHOWN}) THEN {_held('href')} ELSE {_held(f"'[' || {_FORUM_LABEL} || '](' || href || ')'")} END"
+_FORUM = _anchored("pages_", r'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>', _FORUM_SAID)
+_FORUM_BODY = r"""regexp_replace(CASE page_id % 4 WHEN 0 THEN '<a href="https://www.a.b/c">a.b/c</a><a href="/u/x">@x</a> ' WHEN 1 THEN '<a class="q" href="http://a.b/?x=1&amp;y=2">Read &amp; more</a><STYLE>a</style >' ELSE '' END || html, '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'g')"""
+_FORUM_LINES = rf"regexp_replace(regexp_replace(regexp_replace(body, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</(p|div|li|ul|ol|h[1-6]|blockquote|pre|tr|table)\s*>', chr(10) || chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+
+
+@query("page_plain_text", f"WITH pages_ AS (SELECT page_id, {_FORUM_BODY} AS body FROM pages), {_FORUM} SELECT page_id, sha256({_TRIM.format('regexp_replace(' + _unescaped(_FORUM_LINES) + ', chr(10) || chr(10) || chr(10) || chr(43), chr(10) || chr(10), {0})'.format(chr(39) + 'g' + chr(39)))}) AS text_sha256 FROM j")
+def page_plain_text(spark, sf_dir):
+    """pages read as forum posts (what some begin with is declared by page_id): no tags, entities read, links kept."""
+    n = F.col("page_id") % 4
+    head = F.when(n == 0, '<a href="https://www.a.b/c">a.b/c</a><a href="/u/x">@x</a> ').when(n == 1, '<a class="q" href="http://a.b/?x=1&amp;y=2">Read &amp; more</a><STYLE>a</style >').otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(head, "html").alias("html"))
+    return pages.select("page_id", F.sha2(F.encode(markdown.forum_text(F.col("html")), "UTF-8"), 256).alias("text_sha256"))
 
 
 @query("first_by_host", f"SELECT host, page_id, url FROM (SELECT {_host('url')} AS host, page_id, url, row_number() OVER (PARTITION BY {_host('url')} ORDER BY page_id) AS k FROM pages) WHERE k = 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, text
+from ..functions import classify, markdown, text
 from ..sources.tables import table
 from .page_queries import prose_sql
 from .registry import query, spread, spread_sql
@@ -259,13 +259,20 @@ def silent_failures(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(classify.silent_failure(body).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("thread_toon")
-def thread_toon(spark, sf_dir):
-    """each conversation as TOON."""
-    from ..functions.markup import toon_of
+_BARE_TOON = r"""text <> '' AND NOT regexp_matches(text, '^[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]$|[:"\\\[\]{}\n\r\t|,]') AND text NOT IN ('true', 'false', 'null') AND NOT regexp_matches(text, '^-|^[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$')"""
+
 
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return turns.select("conv_id", toon_of(F.to_json(F.struct(F.col("conv_id").alias("id"), "turns"))).alias("toon"))
+@query("thread_toon", f"""WITH c AS (SELECT conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN left(text, 20) WHEN 1 THEN CASE turn % 4 WHEN 0 THEN 'true' WHEN 1 THEN '12.5e3' WHEN 2 THEN '- x' ELSE 'a,b' END ELSE text END AS text FROM conversations)
+SELECT conv_id, sha256('id: ' || conv_id || chr(10) || 'turns[' || count(*) || ']{{turn,role,text}}:' || chr(10) || string_agg('  ' || turn || ',' || role || ',' || CASE WHEN text IS NULL THEN 'null' WHEN {_BARE_TOON} THEN text ELSE to_json(text)::VARCHAR END, chr(10) ORDER BY turn, role, text)) AS toon_sha256 FROM c GROUP BY conv_id""")
+def thread_toon(spark, sf_dir):
+    """Each conversation as TOON (what some turns say is declared by conv_id and turn)."""
+    k, n = F.col("conv_id") % 4, F.col("turn") % 4
+    said = F.when(k == 0, F.substring("text", 1, 20)).when(k == 1, F.when(n == 0, "true").when(n == 1, "12.5e3").when(n == 2, "- x").otherwise("a,b")).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("text"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    fields = {"turn": lambda r: r["turn"].cast("string"), "role": lambda r: markdown.toon_text(r["role"]), "text": lambda r: markdown.toon_text(r["text"])}
+    toon = F.concat(F.lit("id: "), F.col("conv_id").cast("string"), F.lit("\n"), markdown.toon_table("turns", fields, F.col("turns")))
+    return rows.select("conv_id", F.sha2(F.encode(toon, "UTF-8"), 256).alias("toon_sha256"))
 
 
 _TOKEN = "https://t[.]co/[a-z]{{3}}"

@@ -80,10 +80,6 @@ def test_articles():
     assert article_text({}) == ""
 
 
-def test_toon():
-    assert markup.toon({"a": 1, "rows": [{"x": 1, "y": "a,b"}, {"x": 2, "y": "c"}], "none": [], "flat": [1, "true", None]}) == 'a: 1\nrows[2]{x,y}:\n  1,"a,b"\n  2,c\nnone: []\nflat[3]: 1,"true",null'
-
-
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 4), st.integers(1, 20))
 @settings(deadline=None, max_examples=60)
 def test_quota_never_exceeded(gaps, limit, period):
