@@ -200,9 +200,10 @@ def code_language(name: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(LANGUAGES_BY_NAME), base), F.when(docker, "dockerfile"), F.try_element_at(_map(LANGUAGES), extension(base)), extension(base))
 
 
-def toon_text(value: Column) -> Column:
-    """A text as a value of a TOON row: as it is where that can't be misread, else in quotes."""
-    plain = (value != "") & ~F.rlike(value, F.lit(r'(?U)^\s|\s$|[:"\\\[\]{}\n\r\t|,]')) & ~value.isin("true", "false", "null") & ~F.rlike(value, F.lit(r"^-|^\d+(\.\d+)?([eE][+-]?\d+)?$"))
+def toon_text(value: Column, comma: bool = True) -> Column:
+    """A text as a value of a TOON row (comma: where commas part values): as it is where that can't be misread, else in quotes."""
+    odd = r'(?U)^\s|\s$|[:"\\\[\]{}\n\r\t' + ("|,]" if comma else "]")
+    plain = (value != "") & ~F.rlike(value, F.lit(odd)) & ~value.isin("true", "false", "null") & ~F.rlike(value, F.lit(r"^-|^\d+(\.\d+)?([eE][+-]?\d+)?$"))
     quoted = F.to_json(F.struct(value.alias("x")))
     return F.when(value.isNull(), "null").when(plain, value).otherwise(F.substr(quoted, F.lit(6), F.length(quoted) - 6))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import event_queries, log_queries, more_queries, page_queries, rank_queries, search_queries, text_queries, thread_queries, verdict_queries
+from . import document_queries, event_queries, log_queries, more_queries, page_queries, rank_queries, search_queries, text_queries, thread_queries, verdict_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "event_queries", "log_queries", "more_queries", "page_queries", "rank_queries", "search_queries", "text_queries", "thread_queries", "verdict_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "document_queries", "event_queries", "log_queries", "more_queries", "page_queries", "rank_queries", "search_queries", "text_queries", "thread_queries", "verdict_queries"]
