@@ -22,12 +22,14 @@ from pyspark.sql import functions as F
 
 from .components import join_by_size
 from .kernels import chunks, release, text_bytes
-from .session import bounded, stored
+from .session import bounded, default_block, stored
 
 #: Bytes of a tile, and of the largest array that comparing its rows makes.
 TILE_BYTES, PAIR_BYTES = 1 << 20, 16 << 20
 #: Bytes of a text that are read at once; a longer one is read in pieces that end between terms.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 32 << 20
+#: Blocks of texts that a batch has: the more texts at a time, the fewer rows to add up.
+BATCH = 4
 #: Shares are parts of so many; three steps of 1,000 keep the division within 64 bits.
 STEP, STEPS = 1000, 3
 #: Documents that a kept term has at least, and ranks of a source's terms.
@@ -39,16 +41,21 @@ _TERM[97:123] = _TERM[65:91] = np.arange(97, 123, dtype=np.uint8)
 _TERM[128:] = np.arange(128, 256, dtype=np.uint8)
 
 _COUNTED = "lang string, source string, term string, n long, docs long"
+_NAMES = [c.split()[0] for c in _COUNTED.split(", ")]
 _TILED = "lang string, source string, part string, item string, value long"
 
 
-def _terms(data: np.ndarray, offs: np.ndarray, first: int) -> pa.Table:
-    """(row, term, n): how often each of some texts has each of its terms; rows are numbered from `first`."""
+def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """How often each of some texts has each of its terms: rows and codes in order, counts, and the terms that the codes name."""
     texts = pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)), pa.py_buffer(_TERM[data])])
     lists = pc.ascii_split_whitespace(texts)
-    found = pa.table({"row": pc.add(pc.cast(pc.list_parent_indices(lists), pa.int64()), first), "term": pc.cast(pc.list_flatten(lists), pa.large_string())})
-    found = found.filter(pc.not_equal(found["term"], ""))
-    return found.group_by(["row", "term"]).aggregate([([], "count_all")]).rename_columns(["row", "term", "n"])
+    found = pc.list_flatten(lists).dictionary_encode()
+    code, names = np.asarray(found.indices).astype(np.int64), found.dictionary
+    # texts that begin or end between terms have empty ones there
+    full = np.asarray(pc.binary_length(names))[code] > 0 if len(names) else np.zeros(0, bool)
+    cell, n = np.unique((np.asarray(pc.list_parent_indices(lists)) * max(len(names), 1) + code)[full], return_counts=True)
+    row, code = np.divmod(cell, max(len(names), 1))
+    return row, code, n, names
 
 
 def _pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
@@ -66,40 +73,40 @@ def _pieces(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
         at = end
 
 
-def _term_counts(data: np.ndarray, offs: np.ndarray) -> pa.Table:
-    """(row, term, n) of a batch's texts."""
-    out = [pa.table({"row": pa.array([], pa.int64()), "term": pa.array([], pa.large_string()), "n": pa.array([], pa.int64())})]
+def _term_counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """_terms() of a batch's texts, run by run; each text is in one run."""
     for i, j, run, run_offs in chunks(data, offs, PIECE_BYTES):
         if j - i == 1 and len(run) > PIECE_BYTES:
-            whole = pa.concat_tables([_terms(p, np.array([0, len(p)]), i) for p in _pieces(run, PIECE_BYTES)])
-            out.append(whole.group_by(["row", "term"]).aggregate([("n", "sum")]).rename_columns(["row", "term", "n"]))
+            found = [_terms(p, np.array([0, len(p)])) for p in _pieces(run, PIECE_BYTES)]
+            each = pa.table({"term": pa.chunked_array([names.take(pa.array(code)) for _, code, _, names in found]), "n": np.concatenate([n for _, _, n, _ in found])})
+            whole = each.group_by("term").aggregate([("n", "sum")])
+            size = whole.num_rows
+            yield np.full(size, i), np.arange(size), np.asarray(whole["n_sum"].combine_chunks()), whole["term"].combine_chunks()
         else:
-            out.append(_terms(run, run_offs, i))
-    return pa.concat_tables(out)
+            row, code, n, names = _terms(run, run_offs)
+            yield row + i, code, n, names
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By language, source and term: occurrences and documents of a batch. A row without a term stands for the group itself."""
+    """By language, source and term: occurrences and documents of a run of texts. A row without a term stands for the group itself."""
     for batch in batches:
         pairs = pa.table({"lang": batch.column("lang"), "source": batch.column("source"), "row": pa.array(np.arange(batch.num_rows))})
         groups = pairs.group_by(["lang", "source"]).aggregate([("row", "list")])
         group = np.empty(batch.num_rows, np.int64)
         lists = groups["row_list"].combine_chunks()
         group[np.asarray(pc.list_flatten(lists))] = np.asarray(pc.list_parent_indices(lists))
-        found = _term_counts(*text_bytes(batch.column("text")))
-        found = found.append_column("group", pa.array(group[np.asarray(found["row"])]))
-        sums = found.group_by(["group", "term"]).aggregate([("n", "sum"), ("n", "count")])
-        none = groups.num_rows
-        at = pa.concat_arrays([pa.array(np.arange(none)), sums["group"].combine_chunks()])
-        rows = {
-            "lang": pc.take(groups["lang"].combine_chunks(), at),
-            "source": pc.take(groups["source"].combine_chunks(), at),
-            "term": pa.concat_arrays([pa.nulls(none, pa.string()), pc.cast(sums["term"].combine_chunks(), pa.string())]),
-            "n": pa.concat_arrays([pa.array(np.zeros(none, np.int64)), sums["n_sum"].combine_chunks()]),
-            "docs": pa.concat_arrays([pa.array(np.zeros(none, np.int64)), sums["n_count"].combine_chunks()]),
-        }
-        yield from pa.table(rows).to_batches(max_chunksize=65_536)
-        release()
+        langs, sources, every = groups["lang"].combine_chunks(), groups["source"].combine_chunks(), groups.num_rows
+        none = np.zeros(every, np.int64)
+        yield from pa.table([langs, sources, pa.nulls(every, pa.string()), pa.array(none), pa.array(none)], names=_NAMES).to_batches()
+        for row, code, n, names in _term_counts(*text_bytes(batch.column("text"))):
+            cell, at = np.unique(group[row] * max(len(names), 1) + code, return_inverse=True)
+            of, code = np.divmod(cell, max(len(names), 1))
+            # sums of doubles are exact here: a run has fewer than 2**53 words
+            sums = np.bincount(at, n, len(cell)).astype(np.int64)
+            docs = np.bincount(at, minlength=len(cell))
+            terms = pc.cast(names.take(pa.array(code)), pa.string())
+            yield from pa.table([langs.take(pa.array(of)), sources.take(pa.array(of)), terms, pa.array(sums), pa.array(docs)], names=_NAMES).to_batches(max_chunksize=65_536)
+            release()
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
@@ -172,7 +179,7 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
     give no rows. Other columns of docs, whatever their names, change nothing.
     """
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    seen = bounded(docs.select(*blank)).mapInArrow(_counted, _COUNTED)
+    seen = bounded(docs.select(*blank), BATCH * default_block(docs.sparkSession)).mapInArrow(_counted, _COUNTED)
     counts = stored(seen.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     of_term = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("by_source"))
     terms = stored(of_term.where(F.col("docs") >= least_docs).drop("docs"))

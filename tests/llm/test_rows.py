@@ -165,8 +165,8 @@ def test_pieces_of_a_long_text(monkeypatch):
     want = {(i, t): n for i, x in enumerate(texts) for t, n in collections.Counter(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", lowered(x))).items()}
     for most in (1 << 22, 64):
         monkeypatch.setattr(source_divergence, "PIECE_BYTES", most)
-        found = source_divergence._term_counts(data, offs).to_pylist()
-        assert {(r["row"], r["term"]): r["n"] for r in found} == want and len(found) == len(want)
+        found = [(int(r), names[int(c)].as_py(), int(x)) for row, code, n, names in source_divergence._term_counts(data, offs) for r, c, x in zip(row, code, n, strict=True)]
+        assert {(r, t): n for r, t, n in found} == want and len(found) == len(want)
 
 
 def test_pair_sums_in_steps(monkeypatch):
