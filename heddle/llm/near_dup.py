@@ -17,9 +17,17 @@ forests (at most one link a member), never all pairs. First each member goes to
 one part of its group, of a bounded size, where also a few representatives of
 the group are: members are compared with one another and with these. In a group
 of copies this joins nearly all to one component, its core. Only if members
-outside of the core are left in other parts do these visit the other parts. So a row is
-sent once or twice, and more often only by the number of members that nothing
-has joined to the core, divided by the size of a part.
+outside of the core are left in other parts do these visit the other parts, which costs them
+times the parts.
+
+Where that would cost more than WIDE rows a member - a family of pages made from one
+template, alike but not alike enough - members meet by rare shingles instead. Shingles are
+put in one order, rare ones first by bounded counts of all of them. Of two sets that reach
+the threshold, one of the smaller one's first n - ceil(2t / (1 + t) n) + 1 shingles is
+among the larger one's first n - ceil(t n) + 1, whatever the order is. So members are dealt again by those of
+their first shingles that another member has too, which loses no link; the
+template's shingles come late in the order, where nobody meets. Rows stay proportional to
+the members.
 """
 
 from __future__ import annotations
@@ -39,6 +47,8 @@ from .session import bounded, stored
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
 #: Members of a part, bytes of its shingle sets, and representatives of a group in each part.
 PART, PART_BYTES, REPRESENTATIVES = 1024, 16 << 20, 8
+#: Rows a member that visits may cost, and cells of the counts that order shingles (8 MB).
+WIDE, CELLS = 4, 1 << 20
 #: Ids that a broadcast may hold; beyond it the same join is shuffled.
 MOST_BROADCAST = 500_000
 _SALT = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -225,32 +235,101 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("part", F.explode(where)).withColumn("chunk", F.lit(0)).withColumn("visits", F.lit(False)).withColumn("core", F.lit(False)).drop("parts", "size")
 
 
-def _visits(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
-    """Second step: rows of groups of several parts that `found` (node, component) leaves in several components.
-
-    Members outside of the largest component visit the other parts, in chunks of a part's size.
-    """
+def _open(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """Rows of groups of several parts that `found` (node, component) leaves in several components, with core: whether they are in the largest; rest: members outside of it."""
     several = rows.where("parts > 1").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     counts = several.groupBy("g", "c").agg(F.count("*").alias("members"))
     groups = counts.groupBy("g").agg(F.max(F.struct("members", "c")).alias("core"), F.sum("members").alias("rows"))
     groups = stored(groups.where("core.members < rows").select("g", "rows", F.col("core.c").alias("core_c"), (F.col("rows") - F.col("core.members")).alias("rest")))
-    own = join_by_size(several, groups, ["g"], total).withColumn("core", F.col("c") == F.col("core_c")).withColumn("chunks", F.ceil(F.col("rest") / PART).cast("int"))
+    return join_by_size(several, groups, ["g"], total).withColumn("core", F.col("c") == F.col("core_c")).withColumn("chunks", F.ceil(F.col("rest") / PART).cast("int")).drop("component", "c", "core_c")
+
+
+def _visits(own: DataFrame) -> DataFrame:
+    """Second step for _open() rows: members outside of the core visit the other parts, in chunks of a part's size."""
     at = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
     stay = own.withColumn("part", at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("visits", F.lit(False))
     away = own.where("NOT core").withColumn("part", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), at)))
     away = away.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int")).withColumn("visits", F.lit(True))
-    return stay.unionByName(away).drop("parts", "size", "component", "c", "core_c", "rest", "chunks")
+    return stay.unionByName(away).drop("parts", "size", "rest", "chunks")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's sets have a shingle of each cell."""
+    counts = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        data, _ = text_bytes(batch.column("prints"))
+        counts += np.bincount((np.frombuffer(data.tobytes(), U64) & U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "n"])
+
+
+def first_shingles(prints: np.ndarray, counts: np.ndarray, over: tuple[int, int]) -> tuple[np.ndarray, int]:
+    """A set's shingles that it meets others by, rare ones first, and how many of them a set of its size or larger meets it by.
+
+    Of two sets with a similarity of `over` or more, these of the smaller one and those of the larger one have one in common.
+    """
+    n, (a, b) = len(prints), over
+    ordered = prints[np.lexsort((prints, counts[(prints & U64(CELLS - 1)).astype(np.int64)]))]
+    return ordered[: n + (-a * n // b) + 1], n + (-2 * a * n // (a + b)) + 1
 
 
-def _linked(rows: DataFrame, several: bool, total: int, least: float, over: tuple[int, int] | None) -> DataFrame:
+def _first(batches: Iterator[pa.RecordBatch], counts, over: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offs = text_bytes(batch.column("prints"))
+        group, core = np.asarray(batch.column("g")).view(U64), np.asarray(batch.column("core"))
+        every = np.frombuffer(data.tobytes(), U64)
+        keys, own, index = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+        for i in range(batch.num_rows):
+            first, least = first_shingles(every[offs[i] // 8 : offs[i + 1] // 8], counts.value, over)
+            keys.append(mix64(first + mix64(group[i : i + 1])))
+            own.append(np.full(len(first), i))
+            index.append(np.arange(len(first)) < least)
+        at = np.concatenate(own)
+        cols = [batch.column("id").take(pa.array(at)), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(index)), pa.array(core[at]), batch.column("n").take(pa.array(at))]
+        yield from pa.table(cols, names=["id", "g", "index", "core", "n"]).to_batches(max_chunksize=1 << 16)
+
+
+def _met_by_shingles(own: DataFrame, over: tuple[int, int]) -> tuple[DataFrame, int, bool]:
+    """_open() rows dealt anew by rare shingles: groups of members that may be linked, their rows, and whether one has several parts."""
+    spark = own.sparkSession
+    members = stored(own.select("id", "g", "n", "sketch", "prints", "core"))
+    cells = members.select("prints").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[np.asarray(cells["cell"].combine_chunks())] = np.asarray(cells["n"].combine_chunks())
+    shared = spark.sparkContext.broadcast(counts)
+    firsts = stored(members.select("id", "g", "n", "core", "prints").mapInArrow(lambda b: _first(b, shared, over), "id long, g long, index boolean, core boolean, n long"))
+    # only where two meet, one of them outside of the core, and one by its fewer shingles
+    sizes = firsts.groupBy("g").agg(F.count("*").alias("rows"), F.count_if("index").alias("by"), F.count_if(~F.col("core")).alias("rest"), F.sum(F.col("n") * 8).alias("bytes"))
+    sizes = sizes.where("rows > 1 AND by > 0 AND rest > 0").select("g", "rows", F.col("rows").alias("size"), F.ceil(F.greatest(F.col("rows") / PART, F.col("bytes") / PART_BYTES)).cast("int").alias("parts"))
+    sizes = stored(sizes)
+    total = firsts.count()
+    met = join_by_size(firsts.select("id", "g"), sizes, ["g"], total)
+    return met.join(members.select("id", "n", "sketch", "prints"), "id"), total, not sizes.where("parts > 1").isEmpty()
+
+
+def _linked(rows: DataFrame, several: bool, total: int, least: float, over: tuple[int, int] | None, by_shingles: bool = True) -> DataFrame:
     """Links (a, b) of forests that join all similar members of each group (g, id, n, sketch, size, parts, with `over` prints).
 
-    several: some group has more than one part; total: rows of all groups.
+    several: some group has more than one part; total: rows of all groups. by_shingles: groups whose visits would cost too much are dealt by
+    rare shingles (needs prints).
     """
     first = stored(_sorted_groups(_dealt(rows), _links_in_groups(least, over, False)))
     if not several:
         return first
-    return first.unionByName(_sorted_groups(_visits(rows, components(first), total), _links_in_groups(least, over, True)))
+    own = stored(_open(rows, components(first), total))
+    costly = F.col("chunks") + F.when(F.col("core"), 0).otherwise(F.col("parts"))
+    wide = F.lit(False)
+    if over and by_shingles:
+        costs = own.groupBy("g").agg((F.sum(costly) > WIDE * F.count("*")).alias("wide"), F.count("*").alias("rows"))
+        own = join_by_size(own, stored(costs), ["g"], total)
+        wide = F.col("wide")
+    near = own.where(~wide)
+    out = first.unionByName(_sorted_groups(_visits(near.drop("wide")), _links_in_groups(least, over, True)))
+    far = own.where(wide)
+    if not over or not by_shingles or far.isEmpty():
+        return out
+    met, n, more = _met_by_shingles(far, over)
+    return out.unionByName(_linked(met, more, n, least, over, by_shingles=False))
 
 
 def _keys(sets: list[np.ndarray], salt: int) -> np.ndarray:

@@ -108,6 +108,61 @@ def test_family_grows_linearly(spark, monkeypatch):
     assert sum(dealt[: len(dealt) - len(families)]) < 3 * bands * 10_060
 
 
+def test_first_shingles_meet():
+    """Whatever the order, sets at the threshold and above meet by the first shingles of both, the smaller one's being fewer."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    met = 0
+    for _ in range(1500):
+        counts = rng.integers(0, 50, near_dup.CELLS).astype(np.int64)
+        n = int(rng.integers(1, 200))
+        x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        drop = rng.random(len(x)) < rng.choice([0, 0.05, 0.1, 0.2])
+        y = np.unique(np.concatenate([x[~drop], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)]))
+        both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if not len(y) or 100 * both < 80 * union:
+            continue
+        met += 1
+        small, large = sorted((x, y), key=len)
+        first, least = near_dup.first_shingles(small, counts, (80, 100))
+        assert 1 <= least <= len(first) and len(np.intersect1d(first[:least], near_dup.first_shingles(large, counts, (80, 100))[0]))
+    assert met > 500
+
+
+def test_template_family_grows_linearly(spark, monkeypatch):
+    """Pages that share four fifths of their shingles (similarity 0.67) and are not linked cost a few rows each; links among them are found."""
+    monkeypatch.setattr(near_dup, "PART", 64)
+    rng = random.Random(15)
+    template = [f"t{i}" for i in range(163)]
+    n, rows, want = 2500, [], {}
+    for i in range(n):
+        own = [f"u{i}_{j}" for j in range(40)]
+        rows.append((i, " ".join(template + own)))
+        want[i] = i
+    for k in range(60):  # pages of their own with a few copies that differ in two words, spread over all parts
+        own = [f"v{k}_{j}" for j in range(40)]
+        for c in range(4):
+            words = template + own
+            words[rng.randrange(len(words))] = f"c{k}_{c}"
+            rows.append((10_000 + 10 * k + c, " ".join(words)))
+            want[10_000 + 10 * k + c] = 10_000 + 10 * k
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.64 < similar(3, 4) < 0.7 and 0.6 < similar(3, 10_000) < 0.7 and all(similar(10_000 + 10 * k, 10_000 + 10 * k + c) >= 0.9 for k in range(60) for c in range(4))
+    dealt = []
+    kept = near_dup._sorted_groups
+
+    def counted(df, work):
+        dealt.append(("prints" in df.columns, df.count()))
+        return kept(df, work)
+
+    monkeypatch.setattr(near_dup, "_sorted_groups", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows, 4), shingle=4).collect()}
+    assert got == want
+    families = [k for prints, k in dealt if prints]
+    # at first each page is in one part, besides the representatives; then only copies meet, by some of their shingles
+    assert len(families) >= 2 and families[0] < 2 * len(rows) and sum(families[1:]) < 8 * len(rows)
+
+
 def test_rows_that_share_a_doc_id(spark):
     """Of several texts of one doc_id the one with the most shingles counts, whatever the order of the rows."""
     a, b = "a b c d e f g h i j", "k l m n o p q r s t u v"
