@@ -65,6 +65,22 @@ def route_label(path: Column, known: tuple[str, ...]) -> Column:
     return F.when(path.isin(*known), path).otherwise("other")
 
 
+def client_label(names: list[Column], known: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The label of the first name that says who calls; `other` if none does. known: labels with what their names hold, in the order they are looked for."""
+
+    def label(name: Column) -> Column:
+        low = F.lower(F.coalesce(name, F.lit("")))
+        out = F.lit(None).cast("string")
+        for said, parts in reversed(known):
+            holds = F.lit(False)
+            for p in parts:
+                holds = holds | F.contains(low, F.lit(p))
+            out = F.when(holds, said).otherwise(out)
+        return out
+
+    return F.coalesce(*[label(n) for n in names], F.lit("other"))
+
+
 def next_method(kind: Column, final: Column) -> Column:
     """C14: whether another method may be tried."""
     return ~final & kind.isin("http_403", "http_429", "captcha", "bot_block", "upstream_error")

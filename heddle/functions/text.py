@@ -137,9 +137,12 @@ def longer(first: Column, second: Column) -> Column:
     return F.when(F.length(second) > F.length(first), second).otherwise(first)
 
 
-def without_mentions(text: Column) -> Column:
-    """Leading @names out."""
-    return F.regexp_replace(text, r"^(@\w+\s+)+", "")
+def post_text(text: Column, reply: Column) -> Column:
+    """A post's text: trimmed, lines without blanks at their ends, and of a reply the leading @names out, unless it is nothing else."""
+    ends = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(ends(text), r"^(?:@[A-Za-z0-9_]{1,15}\s+)+", "")
+    only = F.rlike(bare, F.lit(r"^\s*(?:@[A-Za-z0-9_]{1,15}\s*)*$"))
+    return F.regexp_replace(ends(F.when(reply & ~only, bare).otherwise(text)), r"(?m)[ \t]+$", "")
 
 
 def demote_headings(text: Column, by: int) -> Column:
@@ -209,6 +212,19 @@ def until_midnight(now: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    """URLs to their hosts, quoted queries out."""
-    t = F.regexp_replace(text, r"(https?://[^/\s\"']+)[^\s\"']*", "$1/…")
-    return F.regexp_replace(t, r"([?&]q=)[^&\s]*", "$1…")
+    """URLs, addresses with their ports and looked-up names as [upstream]."""
+    t = F.regexp_replace(text, r"https?://[^\s\"'`]+", "[upstream]")
+    t = F.regexp_replace(t, r"\blookup [^\s:]+", "lookup [upstream]")
+    return F.regexp_replace(t, r"(\d{1,3}(?:\.\d{1,3}){3}|\[[0-9a-fA-F:.]+\])(:\d+)?", "[upstream]")
+
+
+def scrub(text: Column) -> Column:
+    """Absolute URLs as their scheme and host alone."""
+    return F.regexp_replace(F.regexp_replace(text, r"(https?)://(?:[^\s\"'<>/?#@]*@)?([^\s\"'<>/?#@]+)[^\s\"'<>]*", "$1://$2"), r"https?://(?=[/?#\s\"'<>]|$)[^\s\"'<>]+", "<url>")
+
+
+def explained(kind: Column, status: Column, detail: Column) -> Column:
+    """A failure for the caller: its kind, the upstream's status, and what happened with the upstream's addresses taken out."""
+    label = F.concat(kind, F.when(F.coalesce(status, F.lit(0)) != 0, F.concat(F.lit(" (HTTP "), status.cast("string"), F.lit(")"))).otherwise(""))
+    said = F.coalesce(detail, F.lit(""))
+    return F.when(said == "", label).when(label == "error", redact(said)).otherwise(F.concat(label, F.lit(": "), redact(said)))

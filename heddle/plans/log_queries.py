@@ -154,6 +154,20 @@ def refused_calls(spark, sf_dir):
     return out.groupBy("user_id", "outcome").agg(F.count("*").alias("n"))
 
 
+@query("cancelled_calls", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us, event_id % 4 = 1 AS cancels, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
+b(user_id, k, event_id, sent, last, outcome, admitted) AS (SELECT DISTINCT user_id, 0::BIGINT, -1::BIGINT, []::BIGINT[], NULL::BIGINT, '', NULL::BIGINT FROM e
+  UNION ALL SELECT user_id, k, event_id, CASE WHEN cancels THEN CASE WHEN list_contains(sent, last) THEN list_filter(sent, lambda t: t <> last) ELSE sent END ELSE list_append(live, due) END, CASE WHEN cancels THEN NULL ELSE due END, CASE WHEN NOT cancels THEN 'sent' WHEN list_contains(sent, last) THEN 'cancelled' ELSE 'unknown' END, CASE WHEN NOT cancels THEN due END
+    FROM (SELECT *, CASE WHEN len(live) >= 3 THEN greatest(us, live[-3] + {72 * _HOUR}) ELSE us END AS due FROM (SELECT e.user_id, e.k, e.event_id, e.us, e.cancels, b.sent, b.last, list_filter(b.sent, lambda t: t > e.us - {72 * _HOUR}) AS live FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)))
+SELECT event_id, outcome, admitted FROM b WHERE k > 0""")
+def cancelled_calls(spark, sf_dir):
+    """T5: callers that give up (declared: every fourth event cancels its user's call before it), whose bookings are withdrawn."""
+    from pyspark.sql import Window
+
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "us", before.alias("amount"), F.when(F.col("event_id") % 4 == 1, "cancel").otherwise("call").alias("kind"), F.col("event_id").alias("call"))
+    return folds.fold(rows, "user_id", ["us", "event_id"], lambda: folds.RollingQuota(3, 72 * _HOUR), ["us", "kind", "amount", "call"]).select("event_id", "outcome", "admitted")
+
+
 @query("spaced_sends", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, us, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM {_E}),
 b(user_id, k, event_id, sent, wait) AS (SELECT user_id, k, event_id, us, 0::BIGINT FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.event_id, greatest(e.us, b.sent + {5 * _HOUR}), greatest(e.us, b.sent + {5 * _HOUR}) - e.us FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.k + 1)
 SELECT event_id, sent, wait FROM b""")

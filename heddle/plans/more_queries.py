@@ -79,6 +79,22 @@ def route_labels(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(options.route_label(F.col("event_type"), ("view", "click")).alias("label")).agg(F.count("*").alias("n"))
 
 
+#: Labels of clients and what their names hold.
+_CLIENTS = (("opencode", ("opencode",)), ("openwebui", ("open-webui", "openwebui", "open webui")), ("cursor", ("cursor",)))
+_CALLERS = [("OpenCode/1.2", None, None), (None, "open webui", "cursor"), ("", "", "Mozilla/5.0 Cursor/3"), (None, None, None), ("curl", "python", "wget"), ("unknown", None, "Open-WebUI bot opencode"), ("my cursor for opencode", "", "")]
+
+
+def _label_sql(c: str) -> str:
+    return f"CASE WHEN contains(lower({c}), 'opencode') THEN 'opencode' WHEN regexp_matches(lower({c}), 'open[- ]?webui') THEN 'openwebui' WHEN contains(lower({c}), 'cursor') THEN 'cursor' END"
+
+
+@query("client_labels", f"SELECT coalesce({_label_sql('asked')}, {_label_sql('session')}, {_label_sql('agent')}, 'other') AS client, event_type, count(*) AS n FROM {spread_sql('(SELECT event_id, event_type FROM events)', 'event_id', _CALLERS, 'asked, session, agent')} GROUP BY ALL")
+def client_labels(spark, sf_dir):
+    """Bounded labels of callers by what the request, its session or its user agent says (declared by event_id)."""
+    rows = spread(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", _CALLERS, "asked string, session string, agent string")
+    return rows.groupBy(options.client_label([F.col("asked"), F.col("session"), F.col("agent")], _CLIENTS).alias("client"), "event_type").agg(F.count("*").alias("n"))
+
+
 @query("reply_exclusion", "SELECT conv_id, turn FROM conversations WHERE NOT (conv_id, turn) IN (SELECT (conv_id, turn) FROM conversations WHERE role = 'assistant')")
 def reply_exclusion(spark, sf_dir):
     """Replies that are not in the thread already (declared: the assistant's turns are)."""

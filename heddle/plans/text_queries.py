@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import classify, markdown, text
+from ..functions import classify, markdown, text, urls
 from ..sources.tables import table
-from .page_queries import prose_sql
+from .page_queries import _host, prose_sql
 from .registry import query, spread, spread_sql
 
 _MARK = rf"(chr(10) || chr(10) || '[{text.LABEL}: content truncated at ' || ({{n}}) || ' of ' || length(text) || ' characters. Call fetch_url again with start_char=' || ({{n}}) || ' to continue.]')"
@@ -18,6 +18,16 @@ def _window(start: str, most: int) -> str:
       WHEN length(text) - {start} > {most} THEN substr(text, {start} + 1, {keep}) || {_MARK.format(n=f'{start} + {keep}')} ELSE substr(text, {start} + 1) END"""
 
 
+@query("truncated_documents", f"SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN {_window('(doc_id % 700)', 500)} ELSE text END) AS text_sha256 FROM documents")
+def truncated_documents(spark, sf_dir):
+    """Only Markdown may be cut (declared: every third text is), other types come whole."""
+    from ..functions.options import truncatable
+
+    kind = F.when(F.col("doc_id") % 3 == 0, "markdown").when(F.col("doc_id") % 3 == 1, "toon").otherwise("json")
+    w = text.window_of(F.col("text"), 500, F.col("doc_id") % 700)["text"]
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.encode(F.when(truncatable(kind), w).otherwise(F.col("text")), "UTF-8"), 256).alias("text_sha256"))
+
+
 @query("text_windows", f"SELECT doc_id, sha256({_window('(doc_id % 700)', 500)}) AS window_sha256, length({_window('(doc_id % 700)', 500)}) AS chars FROM documents")
 def text_windows(spark, sf_dir):
     """a window of 500 characters of each text (offsets declared by doc_id), the marker inside."""
@@ -298,3 +308,35 @@ def replaced_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tagged.alias("body"))
     out = replace_tokens(docs, "doc_id", "body", items.where(kind < 3).select("token", said.alias("replacement")), pattern)
     return out.select("doc_id", F.sha2(F.encode("body", "UTF-8"), 256).alias("text_sha256"))
+
+
+_DETAILS = [
+    ('Get "%u": dial tcp 10.0.0.5:8080: connection refused', 502, "upstream_error"), ("lookup %h on 10.43.0.10:53: no such host", None, "dns_blocked"), ("", 403, "http_403"), (None, 429, "http_429"), ("fetch %u failed at [fe80::1]:443", None, "error"), ("just failed", 500, "error"),
+]
+_DETAIL = f"replace(replace(detail, '%u', url), '%h', {_host('url')})"
+_REDACTED = rf"regexp_replace(regexp_replace(regexp_replace({_DETAIL}, 'https?://[^\s\"''`]+', '[upstream]', 'g'), '\blookup [^\s:]+', 'lookup [upstream]', 'g'), '([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\[[0-9a-fA-F:.]+\])(:[0-9]+)?', '[upstream]', 'g')"
+_LABEL_SQL = "kind || CASE WHEN status IS NOT NULL THEN ' (HTTP ' || status || ')' ELSE '' END"
+
+
+@query("explained_failures", f"""SELECT page_id, CASE WHEN coalesce(detail, '') = '' THEN {_LABEL_SQL} WHEN {_LABEL_SQL} = 'error' THEN {_REDACTED} ELSE {_LABEL_SQL} || ': ' || {_REDACTED} END AS said,
+  regexp_replace(coalesce({_DETAIL}, ''), '(https?)://([^/?#@\\s"'']+)[^\\s"''<>]*', '\\1://\\2', 'g') AS scrubbed FROM {spread_sql('pages', 'page_id', _DETAILS, 'detail, status, kind')}""")
+def explained_failures(spark, sf_dir):
+    """Failures (declared by page_id, about each page's URL) as callers and as traces may see them."""
+    rows = spread(table(spark, sf_dir, "pages"), "page_id", _DETAILS, "detail string, status int, kind string")
+    detail = F.replace(F.replace("detail", F.lit("%u"), F.col("url")), F.lit("%h"), urls.hostname(F.col("url")))
+    return rows.select("page_id", text.explained(F.col("kind"), F.col("status"), detail).alias("said"), F.coalesce(text.scrub(detail), F.lit("")).alias("scrubbed"))
+
+
+_MENTIONS = [("@a @b_1 ", True), ("@a", True), ("  @a\t@b\n", True), ("@a @b ", False), ("@toolongnamefora_handle ", True), ("", True)]
+_MENTIONED = "lead || CASE WHEN conv_id % 5 = 0 THEN '' ELSE coalesce(text, '') || '  ' || chr(10) || 'end ' END"
+_TRIMMED = r"regexp_replace({0}, '^[\s\x{{A0}}\x{{85}}]+|[\s\x{{A0}}\x{{85}}]+$', '', 'g')"
+_STRIPPED = f"regexp_replace({_TRIMMED.format(_MENTIONED)}, '^(@[A-Za-z0-9_]{{1,15}}\\s+)+', '')"
+
+
+@query("post_texts", f"""SELECT conv_id, turn, sha256(array_to_string(list_transform(string_split({_TRIMMED.format(f"CASE WHEN reply AND NOT regexp_full_match({_STRIPPED}, '\\s*(@[A-Za-z0-9_]{{1,15}}\\s*)*') THEN {_STRIPPED} ELSE {_MENTIONED} END")}, chr(10)), lambda x: regexp_replace(x, '[ \\t]+$', '')), chr(10))) AS text_sha256
+  FROM {spread_sql('conversations', 'turn', _MENTIONS, 'lead, reply')}""")
+def post_texts(spark, sf_dir):
+    """turns as posts, some with names of those they answer in front (declared by turn)."""
+    rows = spread(table(spark, sf_dir, "conversations"), "turn", _MENTIONS, "lead string, reply boolean")
+    body = F.concat("lead", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.concat(F.coalesce("text", F.lit("")), F.lit("  \nend "))))
+    return rows.select("conv_id", "turn", F.sha2(F.encode(text.post_text(body, F.col("reply")), "UTF-8"), 256).alias("text_sha256"))

@@ -23,7 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 class RollingQuota:
     """At most `limit` admissions in any period, booked ahead (T1); holds only extend (T4); a wait over the budget is refused and withdrawn (T6); a cancelled booking is withdrawn (T5).
 
-    Events: kind (call, hold, cancel), amount (hold: its length; cancel: the booked instant).
+    Events: kind (call, hold, cancel), amount (hold: its length; cancel: the booked instant, or with `call` given the call that booked it),
+    call (the call's id, so that it can be cancelled by it).
     """
 
     fields = (("admitted", T.LongType()), ("outcome", T.StringType()))
@@ -32,23 +33,31 @@ class RollingQuota:
         self.limit, self.period, self.budget = limit, period, budget
         self.sent: list[int] = []
         self.hold = 0
+        self.calls: dict[str, int] = {}
 
-    def step(self, at: int, kind: str = "call", amount: int | None = None) -> tuple:
+    def step(self, at: int, kind: str = "call", amount: int | None = None, call: int | None = None) -> tuple:
         if kind == "hold":
             self.hold = max(self.hold, at + (amount or 0))
             return None, "held"
         if kind == "cancel":
-            if amount in self.sent:
-                self.sent.remove(amount)
+            booked = self.calls.pop(str(amount), None) if call is not None else amount
+            if booked not in self.sent:
+                return None, "unknown"
+            self.sent.remove(booked)
             return None, "cancelled"
         when = max(at, self.hold)
         # an admission exactly one period ago no longer counts
         del self.sent[: bisect_right(self.sent, when - self.period)]
+        if call is not None:
+            # calls whose bookings are gone can't be cancelled
+            self.calls = {c: t for c, t in self.calls.items() if t > when - self.period}
         if len(self.sent) >= self.limit:
             when = max(when, self.sent[-self.limit] + self.period)
         if self.budget is not None and when - at > self.budget:
             return None, "quota_exhausted"
         self.sent.append(when)
+        if call is not None:
+            self.calls[str(call)] = when
         return when, "sent"
 
     def idle(self, now: int, last_used: int, floor: int = 300_000_000) -> bool:
@@ -56,10 +65,10 @@ class RollingQuota:
         return now - last_used > max(floor, self.period) and now > self.hold
 
     def dump(self) -> str:
-        return json.dumps([self.sent, self.hold])
+        return json.dumps([self.sent, self.hold, self.calls])
 
     def load(self, text: str) -> None:
-        self.sent, self.hold = json.loads(text)
+        self.sent, self.hold, self.calls = json.loads(text)
 
 
 class Spaced:
