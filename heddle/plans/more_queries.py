@@ -116,7 +116,15 @@ def lenient_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long", {"mode": "PERMISSIVE"})["k"].alias("k"))
 
 
-@query("rendered_posts")
+_NL = "chr(10)"
+_PLURAL = "{0} || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END"
+
+
+@query("rendered_posts", f"""WITH r AS (SELECT conv_id, count(*) AS n, string_agg('- @' || role || CASE WHEN role = 'user' THEN ' [author]' ELSE '' END || ' (' || {_PLURAL.format('(turn % 4)', 'like')} || '): ' || replace(text, {_NL}, {_NL} || '  '), {_NL} ORDER BY turn) AS lines FROM conversations WHERE turn > 0 GROUP BY 1),
+q AS (SELECT conv_id, array_to_string(list_transform(string_split('@bot' || {_NL} || {_NL} || max_by(text, turn), {_NL}), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), {_NL}) AS quote FROM conversations WHERE role = 'assistant' GROUP BY 1)
+SELECT c.conv_id AS id, concat_ws({_NL} || {_NL}, concat_ws(' · ', '@user (A User)', '2026-01-01', 'https://x.com/user/status/' || c.conv_id, {_PLURAL.format('(c.conv_id % 3)', 'like')}, CASE WHEN c.conv_id % 2 > 0 THEN '1 repost' END, '2 replies'),
+  nullif(concat_ws({_NL} || {_NL}, nullif(text, ''), '[video, ' || (c.conv_id % 90 + 1) // 60 || ':' || lpad(((c.conv_id % 90 + 1) % 60)::VARCHAR, 2, '0') || ': a clip]', 'Quoting:' || {_NL} || {_NL} || quote), ''),
+  '## Replies (' || n || ' of ' || greatest(2, n) || ')' || {_NL} || {_NL} || lines) AS markdown FROM conversations c LEFT JOIN r USING (conv_id) LEFT JOIN q USING (conv_id) WHERE turn = 0""")
 def rendered_posts(spark, sf_dir):
     """conversations as posts with replies (declared: turn 0 is the post, the last assistant turn is quoted)."""
     turns = table(spark, sf_dir, "conversations")
@@ -128,7 +136,16 @@ def rendered_posts(spark, sf_dir):
     return documents.render_posts(posts, replies, quotes)
 
 
-@query("rendered_pulls")
+_SHORT = "CASE WHEN length({0}) > {1} THEN rtrim(left({0}, {1})) || '…' ELSE {0} END"
+_WHY = r"array_to_string(list_transform(string_split('# Why' || chr(10) || text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{1,6} ') THEN repeat('#', least(6, length(regexp_extract(x, '^(#{1,6}) ', 1)) + 2)) || substr(x, length(regexp_extract(x, '^(#{1,6}) ', 1)) + 1) ELSE x END), chr(10))"
+
+
+@query("rendered_pulls", f"""WITH RECURSIVE t AS (SELECT conv_id AS id, turn AS pos, role, text, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+b(id, k, used, kept) AS (SELECT DISTINCT id, 0::BIGINT, 0::BIGINT, true FROM t UNION ALL SELECT t.id, t.k, CASE WHEN used + size <= 1500 THEN used + size ELSE used END, used + size <= 1500 FROM b JOIN t ON t.id = b.id AND t.k = b.k + 1),
+l AS (SELECT id, count(*) AS n, string_agg('- f' || pos || CASE WHEN kept THEN {_NL} || '```diff' || {_NL} || text || {_NL} || '```' ELSE '' END, {_NL} ORDER BY pos) AS files, string_agg('- ' || left(sha1(text), 7) || ' ' || string_split(text, {_NL})[1], {_NL} ORDER BY pos) AS commits,
+  string_agg('- @' || role || ': approved', {_NL} ORDER BY pos) AS reviews, string_agg('- @' || role || ': ' || replace({_SHORT.format('text', 1500)}, {_NL}, {_NL} || '  '), {_NL} ORDER BY pos) AS comments FROM t JOIN b USING (id, k) GROUP BY id)
+SELECT id, concat_ws({_NL} || {_NL}, '# A change (#' || id || ', open)', {_SHORT.format('why', 3000)}, '## Files (' || n || ')' || {_NL} || {_NL} || files, '## Commits (' || n || ')' || {_NL} || {_NL} || commits, '## Reviews (' || n || ')' || {_NL} || {_NL} || reviews, '## Comments (' || n || ')' || {_NL} || {_NL} || comments) AS markdown
+FROM (SELECT id, {_WHY} AS why FROM t WHERE pos = 0) JOIN l USING (id)""")
 def rendered_pulls(spark, sf_dir):
     """Conversations as pull requests (declared: turns are files, commits, reviews and comments)."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "role", "text")

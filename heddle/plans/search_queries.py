@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ranking
 from ..sources import hits
 from ..sources.tables import table
 from .registry import query
@@ -77,3 +78,30 @@ def search_requests(spark, sf_dir):
     rows = hits.requests(_bodies(spark, sf_dir), 20)
     bad = F.col("error") == "invalid JSON body"
     return rows.select("request_id", "error", F.when(~F.coalesce(bad, F.lit(False)), F.col("limit")).alias("limit"), F.when(~F.coalesce(F.col("error").isin("invalid JSON body", "query is required"), F.lit(False)), F.col("query")).alias("query"))
+
+
+_FORMS = "['Oct 5, 2026', (event_id % 9 + 1) || ' days ago', 'yesterday', '2026-0' || (event_id % 9 + 1) || '-02', (event_id % 70) || ' hours ago']"
+
+
+@query("dated_results", f"""WITH r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY event_id)::INT AS merged_rank, event_id, ({_FORMS})[event_id % 5 + 1] AS d FROM {_E})
+SELECT query_id, merged_rank, 'T' || event_id AS title, 'https://e.example/' || event_id AS url, 'backup' AS engine, CASE event_id % 5 WHEN 0 THEN '2026-10-05T00:00:00Z' WHEN 3 THEN d || 'T00:00:00Z'
+  WHEN 1 THEN strftime(date_trunc('minute', TIMESTAMP '2026-11-26 12:34:56' - INTERVAL 1 DAY * (event_id % 9 + 1)), '%Y-%m-%dT%H:%M:%SZ') WHEN 4 THEN strftime(date_trunc('minute', TIMESTAMP '2026-11-26 12:34:56' - INTERVAL 1 HOUR * (event_id % 70)), '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS published_date FROM r""")
+def dated_results(spark, sf_dir):
+    """Answers of a search whose hits have dates in words (declared by event_id), at a fixed time."""
+    n = F.col("event_id")
+    said = (
+        F.when(n % 5 == 0, "Oct 5, 2026").when(n % 5 == 1, F.concat((n % 9 + 1).cast("string"), F.lit(" days ago"))).when(n % 5 == 2, "yesterday")
+        .when(n % 5 == 3, F.concat(F.lit("2026-0"), (n % 9 + 1).cast("string"), F.lit("-02"))).otherwise(F.concat((n % 70).cast("string"), F.lit(" hours ago")))
+    )
+    hit = F.struct(n.alias("n"), F.concat(F.lit("T"), n.cast("string")).alias("title"), F.concat(F.lit("https://e.example/"), n.cast("string")).alias("url"), said.alias("date"))
+    answers = _events(spark, sf_dir).groupBy("query_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(hit)).alias("results"))).alias("json"))
+    return hits.dated(answers, "backup", F.lit("2026-11-26 12:34:56").cast("timestamp")).drop("snippet")
+
+
+@query("first_hits", f"""SELECT query_id, event_id, rank::INT AS rank, 3 AS lim FROM (SELECT query_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, event_id) AS rank FROM {_E}) WHERE rank <= 3
+  UNION ALL SELECT query_id, event_id, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, event_id)::INT, 0 FROM {_E}""")
+def first_hits(spark, sf_dir):
+    """Each search's events by value, three of them, and all of them where the limit is none."""
+    rows = _events(spark, sf_dir).select("query_id", "event_id", "value")
+    both = [ranking.top_rows(rows, ["query_id"], [F.desc("value"), "event_id"], n).drop("value").withColumn("lim", F.lit(n)) for n in (3, 0)]
+    return both[0].unionByName(both[1])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import engine_error
 from ..functions.options import valid_range
+from ..functions.text import parse_date
 from ..functions.urls import site_scoped, valid_site
 
 #: An answer: hits whose `engines` and `positions` run side by side but may differ in length, and pairs of engine and message of any length.
@@ -35,6 +36,17 @@ def hits(answers: DataFrame) -> DataFrame:
     )
 
 
+#: An answer of the other kind of search: hits with a date as the engine writes it.
+DATED = "results array<struct<title: string, url: string, snippet: string, date: string>>"
+
+
+def dated(answers: DataFrame, engine: str, now: Column) -> DataFrame:
+    """query_id, merged_rank, title, url, snippet, engine, published_date (to the minute, '' where it can't be read) for answers (query_id, json) whose hits have dates."""
+    each = answers.select("query_id", F.posexplode(F.from_json("json", DATED)["results"]).alias("at", "hit")).where("hit IS NOT NULL")
+    text = lambda c: F.coalesce(F.col(f"hit.{c}"), F.lit(""))
+    return each.select("query_id", (F.col("at") + 1).alias("merged_rank"), text("title").alias("title"), text("url").alias("url"), text("snippet").alias("snippet"), F.lit(engine).alias("engine"), parse_date(text("date"), now).alias("published_date"))
+
+
 def credits(found: DataFrame) -> DataFrame:
     """One row for each engine that gave a hit: its own position (0: unknown), the merged rank, and whether no other engine gave it. found: hits()."""
     sole = (F.size("credits") == 1).alias("sole")
