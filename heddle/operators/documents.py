@@ -1,11 +1,11 @@
-"""Documents put together from tables: social posts with threads and replies, and pull requests."""
+"""Three wire schemas of posts as one, and pull requests put together from tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, demote_headings, excerpt, one_line, plural
+from ..functions.text import demote_headings, excerpt
 
 #: The three sources' names for a post's parts (F22): target, then fx, syndication and vx fields.
 POST_FIELDS = (("id", "id", "id_str", "tweetID"), ("handle", "screen_name", "screen_name", "user_screen_name"), ("name", "author_name", "name", "user_name"), ("text", "text", "full_text", "text"), ("likes", "likes", "favorite_count", "likes"))
@@ -27,43 +27,11 @@ def unify_posts(fx: DataFrame, syndication: DataFrame, vx: DataFrame) -> DataFra
     return every.groupBy("id").agg(best.alias("p")).select("id", "p.*")
 
 
-def author(handle: Column, name: Column) -> Column:
-    """@handle, with the name where it says more."""
-    return F.when((F.coalesce(name, F.lit("")) != "") & (name != handle), F.concat(F.lit("@"), handle, F.lit(" ("), name, F.lit(")"))).otherwise(F.concat(F.lit("@"), handle))
-
-
-def media_mark(kind: Column, seconds: Column, alt: Column) -> Column:
-    """[video, 1:05: alt]"""
-    length = F.when((kind != "image") & (seconds > 0), F.concat(F.lit(", "), clock(seconds))).otherwise("")
-    said = F.when(one_line(F.coalesce(alt, F.lit(""))) != "", F.concat(F.lit(": "), one_line(alt))).otherwise("")
-    return F.concat(F.lit("["), kind, length, said, F.lit("]"))
-
-
-def block_quote(text: Column) -> Column:
-    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", ">").otherwise(F.concat(F.lit("> "), x))), "\n")
-
-
 def indented(text: Column, by: int) -> Column:
     """All lines but the first moved in."""
     return F.replace(text, F.lit("\n"), F.lit("\n" + " " * by))
 
 
-def render_posts(posts: DataFrame, replies: DataFrame, quotes: DataFrame) -> DataFrame:
-    """id, markdown. posts: id, handle, name, created, text, likes, reposts, n_replies, media (array of kind, seconds, alt);
-    replies: id (of the post), pos, handle, by_author, text, likes; quotes: id, handle, name, text. A reply that is the quoted
-    post itself is left out by the caller (J9)."""
-    line = F.concat(F.lit("- @"), "handle", F.when(F.col("by_author"), " [author]").otherwise(""), F.lit(" ("), plural(F.col("likes"), "like"), F.lit("): "), indented(F.col("text"), 2))
-    said = replies.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"), F.count("*").alias("n_lines"))
-    quoted = quotes.select("id", block_quote(F.concat(author(F.col("handle"), F.col("name")), F.lit("\n\n"), F.col("text"))).alias("quote"))
-    rows = posts.join(said, "id", "left").join(quoted, "id", "left")
-    counts = F.array(plural(F.col("likes"), "like"), F.when(F.col("reposts") > 0, plural(F.col("reposts"), "repost")), F.when(F.col("n_replies") > 0, F.concat(F.col("n_replies").cast("string"), F.when(F.col("n_replies") == 1, " reply").otherwise(" replies"))))
-    head = F.concat_ws(" · ", author(F.col("handle"), F.col("name")), F.nullif(F.col("created"), F.lit("")), F.concat(F.lit("https://x.com/"), "handle", F.lit("/status/"), F.col("id").cast("string")), F.filter(counts, lambda c: c.isNotNull()))
-    marks = F.array_join(F.transform("media", lambda m: media_mark(m["kind"], m["seconds"], m["alt"])), " ")
-    body = F.concat_ws("\n\n", F.nullif(F.col("text"), F.lit("")), F.nullif(marks, F.lit("")), F.concat(F.lit("Quoting:\n\n"), F.col("quote")))
-    under = F.concat(F.lit("## Replies ("), F.col("n_lines").cast("string"), F.lit(" of "), F.greatest("n_replies", "n_lines").cast("string"), F.lit(")\n\n"), F.col("lines"))
-    return rows.select("id", F.concat_ws("\n\n", head, F.nullif(body, F.lit("")), under).alias("markdown"))
-
-
 def render_pulls(pulls: DataFrame, files: DataFrame, commits: DataFrame, reviews: DataFrame, comments: DataFrame, diff_bytes: int = 30000) -> DataFrame:
     """Id, markdown of pull requests with the lists of four tables (id, pos, and what each has).
 

@@ -118,22 +118,49 @@ def lenient_json(spark, sf_dir):
 
 _NL = "chr(10)"
 _PLURAL = "{0} || ' {1}' || CASE WHEN {0} = 1 THEN '' ELSE 's' END"
-
-
-@query("rendered_posts", f"""WITH r AS (SELECT conv_id, count(*) AS n, string_agg('- @' || role || CASE WHEN role = 'user' THEN ' [author]' ELSE '' END || ' (' || {_PLURAL.format('(turn % 4)', 'like')} || '): ' || replace(text, {_NL}, {_NL} || '  '), {_NL} ORDER BY turn) AS lines FROM conversations WHERE turn > 0 GROUP BY 1),
-q AS (SELECT conv_id, array_to_string(list_transform(string_split('@bot' || {_NL} || {_NL} || max_by(text, turn), {_NL}), lambda x: CASE WHEN trim(x) = '' THEN '>' ELSE '> ' || x END), {_NL}) AS quote FROM conversations WHERE role = 'assistant' GROUP BY 1)
-SELECT c.conv_id AS id, concat_ws({_NL} || {_NL}, concat_ws(' · ', '@user (A User)', '2026-01-01', 'https://x.com/user/status/' || c.conv_id, {_PLURAL.format('(c.conv_id % 3)', 'like')}, CASE WHEN c.conv_id % 2 > 0 THEN '1 repost' END, '2 replies'),
-  nullif(concat_ws({_NL} || {_NL}, nullif(text, ''), '[video, ' || (c.conv_id % 90 + 1) // 60 || ':' || lpad(((c.conv_id % 90 + 1) % 60)::VARCHAR, 2, '0') || ': a clip]', 'Quoting:' || {_NL} || {_NL} || quote), ''),
-  '## Replies (' || n || ' of ' || greatest(2, n) || ')' || {_NL} || {_NL} || lines) AS markdown FROM conversations c LEFT JOIN r USING (conv_id) LEFT JOIN q USING (conv_id) WHERE turn = 0""")
+_QUOTED = "array_to_string(list_transform(string_split({0}, chr(10)), lambda x: CASE WHEN regexp_matches(x, '\\S') THEN '> ' || x ELSE '>' END), chr(10))"
+_POLL_SQL = "'**Poll** (' || {0} || ' vote' || CASE WHEN {0} = 1 THEN '' ELSE 's' END || ', final results):' || chr(10) || '- Yes: 33.3% (1 vote)' || chr(10) || '- No: 66.7% (2 votes)'"
+
+
+@query("rendered_posts", f"""WITH t AS (SELECT conv_id AS id, turn, role, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT id, string_agg(chr(10) || {_QUOTED.format("'@' || role || ' · https://x.com/' || role || '/status/' || id || '-' || turn || CASE WHEN text <> '' THEN chr(10) || chr(10) || text ELSE '' END || CASE WHEN turn % 2 = 1 THEN chr(10) || chr(10) || '(quoting https://x.com/q/status/9)' ELSE '' END")} || chr(10), '' ORDER BY turn) AS above FROM t WHERE turn IN (1, 2) AND id % 3 = 0 GROUP BY id),
+c AS (SELECT id, count(*) AS n, string_agg(chr(10) || turn + 1 || '. ' || CASE WHEN turn = 0 THEN '(the linked post, above)' WHEN turn = 2 THEN '[gone]' WHEN turn % 4 = 3 THEN '(no text)' ELSE array_to_string(list_transform(string_split(text || chr(10) || chr(10) || 'Link: https://c', chr(10)), lambda x, i: CASE WHEN i = 1 OR x = '' THEN x ELSE repeat(' ', length((turn + 1)::VARCHAR) + 2) || x END), chr(10)) END || chr(10), '' ORDER BY turn) AS chain FROM t WHERE id % 3 = 1 GROUP BY id),
+u AS (SELECT id, count(*) AS n, string_agg('- ' || array_to_string(list_transform(string_split('@' || role || CASE WHEN role = 'user' THEN ' [author]' ELSE '' END || ' (' || {_PLURAL.format('(turn % 4)', 'like')} || '): ' || array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')), chr(10)) || CASE WHEN turn % 3 = 0 THEN ' [gif]' ELSE '' END
+  || CASE WHEN turn % 5 = 0 THEN ' (quoting @q (Q): ' || (SELECT CASE WHEN length(o) > 200 THEN left(o, 200) || '…' ELSE o END FROM (SELECT trim(regexp_replace(text, '[\\s\\x{{85}}\\x{{A0}}]+', ' ', 'g')) AS o)) || ')' ELSE '' END, chr(10)), lambda x, i: CASE WHEN i = 1 OR x = '' THEN x ELSE '  ' || x END), chr(10)) || chr(10), '' ORDER BY turn) AS under FROM t WHERE turn > 2 AND id % 3 <> 1 GROUP BY id),
+q AS (SELECT id, max_by(text, turn) AS text FROM t WHERE role = 'assistant' GROUP BY id),
+b AS (SELECT t.id, t.text, concat_ws(chr(10) || chr(10), nullif(t.text, ''), '[video, ' || (t.id % 90 + 1) // 60 || ':' || lpad(((t.id % 90 + 1) % 60)::VARCHAR, 2, '0') || ': a clip] [image]',
+  CASE WHEN t.id % 5 = 4 THEN '> [quoted post unavailable: deleted]' WHEN q.id IS NOT NULL THEN 'Quoting:' || chr(10) || chr(10) || {_QUOTED.format("'@bot · 2026-01-01 · https://x.com/bot/status/q' || t.id || chr(10) || chr(10) || q.text || CASE WHEN t.id % 4 = 1 THEN chr(10) || chr(10) || " + _POLL_SQL.format('(t.id)') + " ELSE '' END")} END,
+  CASE WHEN t.id % 4 = 0 THEN {_POLL_SQL.format('(t.id + 1)')} END, CASE WHEN t.id % 7 = 0 THEN '**Community note:** note ' || t.id END, CASE t.id % 4 WHEN 1 THEN '**Link:** https://c' WHEN 2 THEN '**Link:** [C](https://c)' END) AS body FROM t LEFT JOIN q USING (id) WHERE turn = 0)
+SELECT id, regexp_replace('@user (A User) · 2026-01-01 · https://x.com/user/status/' || id || '-0 · ' || {_PLURAL.format('(id % 3)', 'like')} || CASE WHEN id % 2 > 0 THEN ' · 1 repost' ELSE '' END || ' · 2 replies' || CASE WHEN id % 9 > 0 THEN ' · ' || {_PLURAL.format('(id % 9)', 'view')} ELSE '' END || chr(10)
+  || CASE WHEN id % 6 = 0 THEN chr(10) || '**Text truncated:** only the first ~275 characters of this post were available (syndication fallback).' || chr(10) ELSE '' END || CASE WHEN above IS NOT NULL THEN chr(10) || '**In reply to:**' || chr(10) || above ELSE '' END || CASE WHEN body <> '' THEN chr(10) || body || chr(10) ELSE '' END
+  || CASE WHEN id % 8 = 0 THEN chr(10) || '## Article: A' || chr(10) || chr(10) || 'text' || chr(10) ELSE '' END || CASE WHEN c.n > 0 THEN chr(10) || '## Thread by @user (' || c.n || ' posts)' || chr(10) || chain ELSE '' END || CASE WHEN u.n > 0 THEN chr(10) || '## Replies (' || u.n || ' of ' || greatest(2, u.n) || ')' || chr(10) || chr(10) || under ELSE '' END,
+  '^[\\s\\x{{85}}\\x{{A0}}]+|[\\s\\x{{85}}\\x{{A0}}]+$', '', 'g') || chr(10) AS markdown FROM b LEFT JOIN a USING (id) LEFT JOIN c USING (id) LEFT JOIN u USING (id)""")
 def rendered_posts(spark, sf_dir):
-    """conversations as posts with replies (declared: turn 0 is the post, the last assistant turn is quoted)."""
-    turns = table(spark, sf_dir, "conversations")
-    media = F.array(F.struct(F.lit("video").alias("kind"), (F.col("conv_id") % 90 + 0.5).alias("seconds"), F.lit("a  clip").alias("alt")))
-    id_ = F.col("conv_id").alias("id")
-    posts = turns.where("turn = 0").select(id_, F.lit("user").alias("handle"), F.lit("A User").alias("name"), F.lit("2026-01-01").alias("created"), "text", (F.col("conv_id") % 3).alias("likes"), (F.col("conv_id") % 2).alias("reposts"), F.lit(2).cast("long").alias("n_replies"), media.alias("media"))
-    replies = turns.where("turn > 0").select(id_, F.col("turn").alias("pos"), F.col("role").alias("handle"), (F.col("role") == "user").alias("by_author"), "text", (F.col("turn") % 4).alias("likes"))
-    quotes = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text")).select(id_, F.lit("bot").alias("handle"), F.lit("bot").alias("name"), "text")
-    return documents.render_posts(posts, replies, quotes)
+    """Conversations as posts with all attachments (declared by conv_id and turn): parents, quotes, polls, cards, notes, articles, self-threads and replies."""
+    from ..operators.posts import post, render_posts
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    n, t = F.col("id"), F.col("pos")
+    own = F.concat(n.cast("string"), F.lit("-"), t.cast("string"))
+    clip = F.struct(F.lit("video").alias("kind"), F.lit("a  clip").alias("alt"), (n % 90 + 0.5).alias("seconds"))
+    image = F.struct(F.lit("image").alias("kind"), F.lit(" ").alias("alt"), F.lit(9.0).alias("seconds"))
+    choices = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(v).cast("long").alias("votes"), F.lit(v * 100 / 3).alias("percent")) for x, v in (("Yes", 1), ("No", 2))])
+    poll = lambda total: F.struct(choices.alias("choices"), total.alias("total"), F.lit("final results").alias("status"))
+    card = F.when(n % 4 == 1, F.struct(F.lit("").alias("title"), F.lit("https://c").alias("url"))).when(n % 4 == 2, F.struct(F.lit("C").alias("title"), F.lit("https://c").alias("url")))
+    said = turns.where("role = 'assistant'").groupBy("id").agg(F.max_by("text", "pos").alias("quoted"))
+    quote = post(id=F.concat(F.lit("q"), n.cast("string")), handle=F.lit("bot"), created=F.lit("2026-01-01"), text=F.col("quoted"), poll=F.when(n % 4 == 1, poll(n)))
+    main = post(id=own, handle=F.lit("user"), name=F.lit("A User"), created=F.lit("2026-01-01"), text=F.col("text"), likes=n % 3, reposts=n % 2, replies=F.lit(2), views=n % 9, media=F.array(clip, image), poll=F.when(n % 4 == 0, poll(n + 1)), card=card, note=F.when(n % 7 == 0, F.concat(F.lit("note "), n.cast("string"))))
+    posts = turns.where("pos = 0").join(said, "id", "left").select(
+        "id", main.alias("post"), F.when((n % 5 != 4) & F.col("quoted").isNotNull(), quote).alias("quote"), F.when(n % 5 == 4, "deleted").alias("quote_gone"), F.when(n % 8 == 0, F.struct(F.lit("A").alias("title"), F.lit("text").alias("markdown"))).alias("article"), F.when(n % 6 == 0, "syndication").alias("cut_by")
+    )
+    quoting = F.when(t % 2 == 1, F.struct(F.lit("q").alias("handle"), F.lit("9").alias("id")))
+    parents = turns.where((n % 3 == 0) & t.isin(1, 2)).select("id", "pos", post(id=own, handle=F.col("role"), text=F.col("text"), quoting=quoting).alias("post"))
+    link = F.struct(F.lit("").alias("title"), F.lit("https://c").alias("url"))
+    item = post(id=own, handle=F.lit("user"), text=F.when(t % 4 != 3, F.col("text")), card=F.when(t % 4 != 3, link), unavailable=F.when(t == 2, "gone"))
+    threads = turns.where(n % 3 == 1).select("id", "pos", item.alias("post"), post().alias("quote")).withColumn("quote", F.when(F.lit(False), F.col("quote")))
+    gif = F.when(t % 3 == 0, F.array(F.struct(F.lit("gif").alias("kind"), F.lit("").alias("alt"), F.lit(0.0).alias("seconds"))))
+    replies = turns.where((t > 2) & (n % 3 != 1)).select("id", "pos", post(id=own, handle=F.col("role"), text=F.col("text"), likes=t % 4, media=gif).alias("post"), (F.col("role") == "user").alias("by_author"), F.when(t % 5 == 0, post(handle=F.lit("q"), name=F.lit("Q"), text=F.col("text"))).alias("quote"))
+    return render_posts(posts, parents, threads, replies)
 
 
 _SHORT = "CASE WHEN length({0}) > {1} THEN rtrim(left({0}, {1})) || '…' ELSE {0} END"

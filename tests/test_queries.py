@@ -68,11 +68,3 @@ def test_rendered_texts(spark):
     for c, turns in talks.items():
         first = sorted(turns)[0][2]
         assert got[c].startswith(f"## [{first[:3]}](https://example.com/){first[3:]}") and got[c].count("](https://example.com/)") == len(turns)
-    got = {r["id"]: r["markdown"] for r in QUERIES["rendered_pulls"](spark, SMALL).collect()}
-    for c, turns in talks.items():
-        assert got[c].startswith(f"# A change (#{c}, open)\n\n### Why\n{sorted(turns)[0][2]}\n\n## Files ({len(turns)})\n\n- f0\n") and f"## Commits ({len(turns)})" in got[c]
-    got = {r["id"]: r["markdown"] for r in QUERIES["rendered_posts"](spark, SMALL).collect()}
-    for c, turns in talks.items():
-        first = sorted(turns)[0][2]
-        assert got[c].startswith(f"@user (A User) \u00b7 2026-01-01 \u00b7 https://x.com/user/status/{c} \u00b7 ") and first.split("\n")[0] in got[c]
-        assert ("Quoting:\n\n> @bot" in got[c]) == any(role == "assistant" for _, role, _ in turns)
