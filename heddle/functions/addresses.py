@@ -103,6 +103,21 @@ def is_reserved(digits: Column, cidrs: tuple[str, ...] = RESERVED) -> Column:
     return F.coalesce(F.arrays_overlap(keys(digits, cidrs), F.array(*[F.lit(k) for _, k, _ in range_rows(cidrs)])), F.lit(False))
 
 
+def unmapped(digits: Column) -> Column:
+    """The IPv4 address of one that is mapped into IPv6; others as they are."""
+    return F.when(F.startswith(digits, F.lit("0" * 20 + "FFFF")) & (F.length(digits) == 32), F.substring(digits, 25, 8)).otherwise(digits)
+
+
+def resolved_reason(answers: Column) -> Column:
+    """Why a host with these addresses (array of text) may not be reached (P5, P7); null if it may.
+
+    not_found: no address; dns_blocked: all of them unspecified, a DNS filter's answer; reserved_ip: one of them reserved, IPv4 in IPv6 read
+    as IPv4. Text that is no address counts as reserved.
+    """
+    read = F.transform(answers, lambda a: unmapped(ip_hex(a)))
+    return let(read, lambda ds: F.when(F.coalesce(F.size(ds), F.lit(0)) <= 0, "not_found").when(F.forall(ds, lambda d: F.coalesce(F.rlike(d, F.lit("^0+$")), F.lit(False))), "dns_blocked").when(F.exists(ds, lambda d: d.isNull() | is_reserved(d)), "reserved_ip"))
+
+
 def in_ranges(rows: DataFrame, digits: str, ranges: DataFrame, cidrs: tuple[str, ...]) -> DataFrame:
     """Rows with each range that their address lies in (J11). ranges: key and others, one row a range; cidrs: what lengths to look for.
 

@@ -261,6 +261,21 @@ def address_guard(spark, sf_dir):
     return rows.groupBy(urls.guard_reason(url).alias("reason"), version.alias("version")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
+_ANSWERED = [
+    ("0.0.0.0",), ("::",), ("::ffff:0.0.0.0,0.0.0.0,::",), ("0.0.0.0,8.8.8.8",), ("8.8.8.%n",), ("2606:4700::%n",), ("8.8.8.8,10.0.0.%n",), ("::ffff:8.8.4.%n",), ("::ffff:192.168.1.%n",), ("fe80::%n",), ("",), ("1.1.1.1,nonsense",), ("64:ff9b::808:808",),
+]
+
+
+@query("resolved_hosts", f"""WITH a AS (SELECT page_id, list_filter(string_split(replace(answers, '%n', (page_id % 200 + 1)::VARCHAR), ','), lambda x: x <> '') AS a FROM {spread_sql('pages', 'page_id', _ANSWERED, 'answers')})
+SELECT page_id, CASE WHEN len(a) = 0 THEN 'not_found' WHEN len(list_filter(a, lambda x: x NOT IN ('0.0.0.0', '::', '::ffff:0.0.0.0'))) = 0 THEN 'dns_blocked'
+  WHEN len(list_filter(a, lambda x: regexp_matches(regexp_replace(x, '^::ffff:', ''), '^(0[.]|10[.]|192[.]168[.]|fe80:|64:ff9b::|::$)|nonsense'))) > 0 THEN 'reserved_ip' END AS reason FROM a""")
+def resolved_hosts(spark, sf_dir):
+    """What the addresses that hosts resolve to (declared by page_id) say of them."""
+    rows = spread(table(spark, sf_dir, "pages").select("page_id"), "page_id", _ANSWERED, "answers string")
+    found = F.filter(F.split(F.replace("answers", F.lit("%n"), (F.col("page_id") % 200 + 1).cast("string")), ","), lambda x: x != "")
+    return rows.select("page_id", addresses.resolved_reason(found).alias("reason"))
+
+
 _TID = _case(
     [
         (f"regexp_matches({_host('url')}, '(?i)(^|\\.)reddit\\.com$')", f"regexp_extract({_p('url', 3)}, '/comments/([0-9a-z]+)', 1)"),
