@@ -35,9 +35,8 @@ _BARE = "\x1e".join(n for n in html5 if not n.endswith(";"))
 
 def replaced(text: Column, pattern: str, then: Callable[[Column], Column], between: Callable[[Column], Column] = lambda p: p) -> Column:
     """The text with then(found) for everything that the pattern finds, and between(piece) for what lies between."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    whole = lambda f: F.array_join(F.zip_with(F.split(text, pattern, -1), F.transform(f, then), lambda p, x: F.concat(between(p), F.coalesce(x, F.lit("")))), "")
-    return let(found, lambda f: F.when(F.size(f) > 0, whole(f)).otherwise(between(text)))
+    found = lambda t: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), then)
+    return let(text, lambda t: F.array_join(F.zip_with(F.split(t, pattern, -1), found(t), lambda p, x: F.concat(between(p), F.coalesce(x, F.lit("")))), ""))
 
 
 def _character(code: Column) -> Column:
@@ -213,3 +212,63 @@ def toon_table(name: str, fields: dict[str, Callable[[Column], Column]], rows: C
     line = lambda r: F.concat(F.lit("  "), F.concat_ws(",", *[F.coalesce(read(r), F.lit("null")) for read in fields.values()]))
     head = F.concat(F.lit(f"{name}["), F.size(rows).cast("string"), F.lit("]{" + ",".join(fields) + "}:\n"))
     return F.when(F.size(rows) == 0, F.lit(f"{name}: []")).otherwise(F.concat(head, F.array_join(F.transform(rows, line), "\n")))
+
+
+#: Where a repository's files and its images are read (fixed values).
+FILES_AT, IMAGES_AT = "https://github.com", "https://raw.githubusercontent.com"
+_IMAGE = r"(?i)\.(png|jpe?g|gif|svg|webp|avif|bmp|ico)$"
+_HTML_ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
+_HTML_HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]>"
+_LINKED_BADGE = r"(?i)\[!\[[^\]]*\]\([^)]*(?:badge|shield|badgen)[^)]*\)\]\([^)]*\)"
+_IMAGES_ALONE = r"^\s*((\[\s*)?!\[[^\]]*\]\([^)]*\)(\s*\]\([^)]*\))?\s*)+$"
+_INLINE_LINK = r"\]\(\s*(<[^>]*>|[^()\s]+)"
+_REFERENCE = r"(?m)^( {0,3}\[[^\]^][^\]]*\]:\s*)(<[^>]*>|\S+)"
+_ATTRIBUTE = r'(?i)\b(href|src)\s*=\s*"([^"]*)"'
+
+
+def resolved(target: Column, repo: Column, ref: Column, folder: Column) -> Column:
+    """A link of a repository's file as an absolute URL; absolute ones and those within the page stay."""
+    bare = F.regexp_replace(F.regexp_replace(target, "^<", ""), ">$", "")
+
+    def absolute(d: Column) -> Column:
+        cut = F.regexp_extract(d, r"^[^?#]*", 0)
+        parts = F.split(F.when(F.startswith(cut, F.lit("/")), cut).otherwise(F.concat_ws("/", folder, cut)), "/")
+        none = F.array().cast("array<string>")
+        clean = F.aggregate(parts, none, lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
+        where = F.array_join(clean, "/")
+        site = F.when(F.rlike(where, F.lit(_IMAGE)), F.concat(F.lit(f"{IMAGES_AT}/"), repo, F.lit("/"))).otherwise(F.concat(F.lit(f"{FILES_AT}/"), repo, F.lit("/blob/")))
+        there = F.concat(site, ref, F.lit("/"), where, F.substr(d, F.length(cut) + 1))
+        return F.when((d == "") | F.rlike(d, F.lit(r"^(#|//|[A-Za-z][A-Za-z0-9+.-]*:)")), target).otherwise(there)
+
+    return let(bare, absolute)
+
+
+def clean_markdown(text: Column, repo: Column, ref: Column, folder: Column) -> Column:
+    """A repository's Markdown without comments, images of HTML and badge rows, layout tags reduced to their text, links absolute. Fenced blocks stay as they are."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    at = lambda c: resolved(c, repo, ref, folder)
+
+    def anchor(a: Column) -> Column:
+        return let(flat(F.regexp_extract(a, _HTML_ANCHOR, 2)), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("["), t, F.lit("]("), F.regexp_extract(a, _HTML_ANCHOR, 1), F.lit(")"))))
+
+    def heading(h: Column) -> Column:
+        marks = F.repeat(F.lit("#"), F.regexp_extract(h, _HTML_HEADING, 1).cast("int"))
+        return let(flat(F.regexp_extract(h, _HTML_HEADING, 2)), lambda t: F.when(t == "", "").otherwise(F.concat(F.lit("\n"), marks, F.lit(" "), t, F.lit("\n"))))
+
+    def row_of_badges(line: Column) -> Column:
+        low = F.lower(line)
+        return F.rlike(line, F.lit(_IMAGES_ALONE)) & (F.contains(line, F.lit("[![")) | F.contains(low, F.lit("shields.io")) | F.contains(low, F.lit("badge")))
+
+    def clean(piece: Column) -> Column:
+        t = F.regexp_replace(F.regexp_replace(piece, r"(?s)<!--.*?-->", ""), r"(?is)<img\b[^>]*>", "")
+        t = replaced(replaced(t, _HTML_ANCHOR, anchor), _HTML_HEADING, heading)
+        t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>", "\n"), r"(?i)</?(p|div|center|picture|details|summary)\b[^>]*>", "\n")
+        t = F.regexp_replace(F.regexp_replace(t, r"(?i)</?(span|source|sup|sub|b|strong|em|i|kbd|font)\b[^>]*>", ""), _LINKED_BADGE, "")
+        lines = F.filter(F.split(t, "\n", -1), lambda x: ~row_of_badges(x))
+        t = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"[ \t]+$", "")), "\n")
+        t = replaced(t, _INLINE_LINK, lambda m: F.concat(F.regexp_extract(m, r"^\]\(\s*", 0), at(F.regexp_extract(m, _INLINE_LINK, 1))))
+        t = replaced(t, _REFERENCE, lambda m: F.concat(F.regexp_extract(m, _REFERENCE, 1), at(F.regexp_extract(m, _REFERENCE, 2))))
+        return replaced(t, _ATTRIBUTE, lambda m: F.concat(F.regexp_extract(m, _ATTRIBUTE, 1), F.lit('="'), at(F.regexp_extract(m, _ATTRIBUTE, 2)), F.lit('"')))
+
+    whole = outside_fences(F.replace(text, F.lit("\r\n"), F.lit("\n")), clean)
+    return trimmed(F.regexp_replace(whole, r"\n{3,}", "\n\n"))

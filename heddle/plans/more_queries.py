@@ -202,13 +202,39 @@ def unified_posts(spark, sf_dir):
     return documents.unify_posts(fx, source(turns.where("turn = 1"), 2, c % 11), source(turns.where("turn = 2"), 3, F.col("turn")))
 
 
-@query("article_pages")
+@query("article_pages", """WITH b AS (SELECT conv_id, turn, turn % 6 AS k, CASE WHEN length(text) >= 3 AND turn % 6 <> 5 THEN '[' || left(text, 3) || '](https://example.com/)' || substr(text, 4) ELSE text END AS t, text FROM conversations),
+l AS (SELECT conv_id, turn, k IN (1, 2) AS item, CASE WHEN k = 5 THEN '[video: a clip] [image]' WHEN trim(t) = '' THEN '' WHEN k = 0 THEN '## ' || t WHEN k IN (1, 2) THEN '- ' || t WHEN k = 3 THEN '> ' || replace(t, chr(10), chr(10) || '> ') ELSE t END AS line FROM b WHERE text IS NOT NULL),
+s AS (SELECT *, lag(item) OVER w AS before FROM l WHERE line <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN item AND before THEN chr(10) ELSE chr(10) || chr(10) END || line, '' ORDER BY turn) AS markdown FROM s GROUP BY conv_id""")
 def article_pages(spark, sf_dir):
-    """conversations as articles (declared: the first turn a heading, then list items, quotes and paragraphs with a link)."""
+    """conversations as articles (declared by turn: headings, list items, quotes, paragraphs, each beginning with a link, and media)."""
     from ..functions.articles import article_markdown
 
-    kinds = F.array(F.lit("header-one"), F.lit("unordered-list-item"), F.lit("unordered-list-item"), F.lit("blockquote"), F.lit("paragraph"))
-    block = F.struct("turn", F.get(kinds, (F.col("turn") % 5).cast("int")).alias("type"), "text", F.array(F.struct(F.lit(0).alias("offset"), F.lit(3).alias("length"), F.lit(1).alias("key"))).alias("ranges"))
+    t = F.col("turn")
+    kinds = F.array(*[F.lit(k) for k in ("header-one", "unordered-list-item", "unordered-list-item", "blockquote", "unstyled", "atomic")])
+    span = F.array(F.struct(F.lit(0).alias("offset"), F.lit(3).alias("length"), F.when(t % 6 == 5, 2).otherwise(1).alias("key")))
+    block = F.struct("turn", F.get(kinds, (t % 6).cast("int")).alias("type"), "text", span.alias("entityRanges"))
     docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
-    entities = F.create_map(F.lit("1"), F.struct(F.lit("LINK").alias("type"), F.struct(F.lit("https://example.com/").alias("url")).alias("data")))
-    return docs.select("conv_id", article_markdown(F.to_json(F.struct("blocks", entities.alias("entities")))).alias("markdown"))
+    entities = F.expr("""array(named_struct('key', '1', 'value', named_struct('type', 'LINK', 'data', named_struct('url', 'https://example.com/', 'mediaItems', cast(null AS array<struct<mediaId: string>>)))),
+      named_struct('key', '2', 'value', named_struct('type', 'MEDIA', 'data', named_struct('url', cast(null AS string), 'mediaItems', array(named_struct('mediaId', 'm1'), named_struct('mediaId', 'm2'))))))""")
+    media = F.expr("array(named_struct('media_id', 'm1', 'media_info', named_struct('__typename', 'ApiVideo', 'alt_text', 'a  clip')))")
+    return docs.select("conv_id", article_markdown(F.to_json(F.struct("blocks", entities.alias("entityMap"), media.alias("mediaEntities")))).alias("markdown"))
+
+
+#: What READMEs begin with, by conv_id, and what becomes of it.
+_READMES = [
+    ("<p align=\"center\"><img src=x></p>\n<h1 align=center>The\n <b>Tool</b></h1>\n", "# The Tool\n\n"), ("[![ci](https://img.shields.io/x)](https://ci)\n![shot](docs/shot.png)\n", "![shot](https://raw.githubusercontent.com/o/r/main/sub/docs/shot.png)\n"),
+    ("<!-- a\nb -->See [guide](../GUIDE.md#use) and [top](#top), [abs](https://x/y)\n", "See [guide](https://github.com/o/r/blob/main/GUIDE.md#use) and [top](#top), [abs](https://x/y)\n"),
+    ("```sh\n<b>kept</b> [a](b)\n```\n<a href=\"/LICENSE\">The\nlicense</a><br/>x   \n\n\n\n", "```sh\n<b>kept</b> [a](b)\n```\n[The license](https://github.com/o/r/blob/main/LICENSE)\nx\n\n"), ("[ref]: ./a/../b.svg?raw=1\n[^1]: note\n<td src=\"i.gif\">\n", "[ref]: https://raw.githubusercontent.com/o/r/main/sub/b.svg?raw=1\n[^1]: note\n<td src=\"https://raw.githubusercontent.com/o/r/main/sub/i.gif\">\n"),
+]
+
+
+@query("readme_texts", f"""SELECT conv_id, sha256(regexp_replace(said || array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '[ \\t]+$', '')), chr(10)), '^\\s+|\\s+$', '', 'g')) AS text_sha256
+  FROM {spread_sql("(SELECT * FROM conversations WHERE turn = 0)", "conv_id", _READMES, "head, said")}""")
+def readme_texts(spark, sf_dir):
+    """Turn 0 of each conversation as a README (what stands before it is declared by conv_id, with what becomes of it in the SQL)."""
+    from ..functions.markdown import clean_markdown
+
+    rows = spread(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", _READMES, "head string, said string")
+    text = clean_markdown(F.concat("head", F.coalesce("text", F.lit(""))), F.lit("o/r"), F.lit("main"), F.lit("sub"))
+    return rows.select("conv_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))

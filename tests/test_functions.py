@@ -71,13 +71,22 @@ def test_tidy_keeps_fences():
     assert markup.tidy_markdown(src, "http://h") == "```\n![b](u)\n[x](y)\n```\n[x](http://h/y.md)"
 
 
-def test_articles():
-    from heddle.functions.articles import article_text
-
-    link = {"1": {"type": "LINK", "data": {"url": "http://a"}}, "2": {"type": "MEDIA", "data": {"items": ["m"]}}}
-    blocks = [{"type": "header-one", "text": "T"}, {"type": "unordered-list-item", "text": "a"}, {"type": "unordered-list-item", "text": "b"}, {"type": "x", "text": "👍 here", "ranges": [{"offset": 3, "length": 4, "key": 1}, {"offset": 4, "length": 2, "key": 1}, {"offset": 3, "length": 99, "key": 1}]}, {"type": "atomic", "text": " ", "ranges": [{"offset": 0, "length": 1, "key": 2}]}, {"type": "x", "text": "  "}]
-    assert article_text({"blocks": blocks, "entities": link, "media": {"m": {"kind": "ApiVideo", "alt": "a  b"}}}) == "## T\n\n- a\n- b\n\n👍 [here](http://a)\n\n[video: a b]"
-    assert article_text({}) == ""
+def test_articles(spark):
+    import json
+
+    from heddle.functions.articles import article_markdown
+
+    link = lambda k, u: {"key": k, "value": {"type": "LINK", "data": {"url": u}}}
+    entities = [link("1", "http://a"), {"key": "2", "value": {"type": "MEDIA", "data": {"mediaItems": [{"mediaId": "m"}, {"mediaId": "none"}]}}}, {"key": "3", "value": {"type": "TWEET", "data": {"tweetId": "77"}}}, {"key": "4", "value": {"type": "MARKDOWN", "data": {"markdown": " **m** "}}}, link("5", "x y")]
+    span = lambda o, n, k: {"offset": o, "length": n, "key": k}
+    blocks = [
+        {"type": "header-one", "text": " T "}, {"type": "header-five", "text": "F"}, {"type": "unordered-list-item", "text": "a"}, {"type": "ordered-list-item", "text": "b"}, {"type": "unstyled", "text": "  "}, {"type": "unordered-list-item", "text": "c"},
+        {"type": "unstyled", "text": "👍 here", "entityRanges": [span(3, 4, 1), span(4, 2, 1), span(3, 99, 1), span(0, 0, 1), span(0, 1, 9)]}, {"type": "atomic", "text": " ", "entityRanges": [span(0, 1, 2)]}, {"type": "atomic", "text": " ", "entityRanges": [span(0, 1, 3)]}, {"type": "atomic", "entityRanges": [span(0, 1, 4)]}, {"type": "atomic", "text": "x", "entityRanges": []},
+        {"type": "blockquote", "text": "q\nr"}, {"type": "code-block", "text": " x\n"}, {"type": "unstyled", "text": "x y z", "entityRanges": [span(0, 3, 5)]},
+    ]
+    whole = {"blocks": blocks, "entityMap": entities, "mediaEntities": [{"media_id": "m", "media_info": {"__typename": "ApiVideo", "alt_text": "a  b"}}]}
+    want = "## T\n\n#### F\n\n- a\n1. b\n- c\n\n👍 [here](http://a)\n\n[video: a b] [image]\n\n[embedded post: https://x.com/i/status/77]\n\n**m**\n\n> q\n> r\n\n```\n x\n\n```\n\nx y z"
+    assert column_of(spark, article_markdown, [json.dumps(whole), "{}", "nonsense", None, "[]", '{"blocks": [{"type": "unstyled", "text": "t"}]}']) == [want, "", None, None, None, "t"]
 
 
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=60), st.integers(1, 4), st.integers(1, 20))

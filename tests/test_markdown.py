@@ -118,3 +118,19 @@ def test_toon_tables(spark):
     rows = spark.sql("SELECT array(named_struct('x', 1, 'y', 'a,b'), named_struct('x', 2, 'y', null)) AS r UNION ALL SELECT array()")
     fields = {"x": lambda r: r["x"].cast("string"), "y": lambda r: markdown.toon_text(r["y"])}
     assert [r[0] for r in rows.select(markdown.toon_table("rows", fields, F.col("r"))).collect()] == ['rows[2]{x,y}:\n  1,"a,b"\n  2,null', "rows: []"]
+
+
+def test_readmes(spark):
+    """Links of all kinds, badge rows, layout tags; nothing within fences."""
+    cases = {
+        "[a](b.md) [c](/d/../e.md?x#y) ![i](../up.PNG) [j](<sp ace.md>)": "[a](https://github.com/o/r/blob/v1/docs/b.md) [c](https://github.com/o/r/blob/v1/e.md?x#y) ![i](https://raw.githubusercontent.com/o/r/v1/up.PNG) [j](https://github.com/o/r/blob/v1/docs/sp ace.md)",
+        "[a](#x) [b](//h/p) [c](mailto:x@y) [d](https://h)": "[a](#x) [b](//h/p) [c](mailto:x@y) [d](https://h)",
+        "[x]: y.md\n[^1]: z.md\ntext [x]: y.md": "[x]: https://github.com/o/r/blob/v1/docs/y.md\n[^1]: z.md\ntext [x]: y.md",
+        "![a](https://h/a.png)\n[![a](b.svg)](c)\n![x](https://img.shields.io/x) ![y](z)\ntext ![b](c.gif)": "![a](https://h/a.png)\n\ntext ![b](https://raw.githubusercontent.com/o/r/v1/docs/c.gif)".replace("\n\n", "\n"),
+        "see [![build](https://x/badge.svg)](https://ci) here": "see  here",
+        '<h2 align="center">A <b>b</b></h2>x<br>y<p>z</p><kbd>k</kbd><a href="q.md"> the\n link </a><a href="r"></a><!-- c\nd --><img src="x">': "## A b\nx\ny\nz\nk[the link](https://github.com/o/r/blob/v1/docs/q.md)",
+        "```\n[a](b)  \n<b>\n```\n[a](../../../b)": "```\n[a](b)  \n<b>\n```\n[a](https://github.com/o/r/blob/v1/b)",
+        "a\r\n\r\n\r\n\r\nb  \t\n": "a\n\nb", "": "",
+    }
+    got = column_of(spark, lambda c: markdown.clean_markdown(c, F.lit("o/r"), F.lit("v1"), F.lit("docs")), cases)
+    assert got == list(cases.values())

@@ -55,16 +55,3 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-
-
-def test_rendered_texts(spark):
-    """Queries that no SQL says, against plain versions."""
-    from heddle.sources.tables import table
-
-    talks = {}
-    for r in table(spark, SMALL, "conversations").collect():
-        talks.setdefault(r["conv_id"], []).append((r["turn"], r["role"], r["text"]))
-    got = {r["conv_id"]: r["markdown"] for r in QUERIES["article_pages"](spark, SMALL).collect()}
-    for c, turns in talks.items():
-        first = sorted(turns)[0][2]
-        assert got[c].startswith(f"## [{first[:3]}](https://example.com/){first[3:]}") and got[c].count("](https://example.com/)") == len(turns)
