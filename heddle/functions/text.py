@@ -162,15 +162,18 @@ def excerpt(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.rtrim(F.substring(text, 1, most)), F.lit("…"))).otherwise(text)
 
 
+def _without_targets(text: Column) -> Column:
+    return F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+
+
 def plain(text: Column) -> Column:
     """Lower-case words alone: links without their targets, no marks, one blank for white space (F16)."""
-    t = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.lower(F.regexp_replace(F.regexp_replace(t, r"[*_`#>|]", ""), r"\s+", " "))
+    return F.lower(F.regexp_replace(F.regexp_replace(_without_targets(text), r"[*_`#>|]", ""), r"\s+", " "))
 
 
 def letters(text: Column) -> Column:
-    """Letters and digits alone, of the plain text (F16)."""
-    return F.regexp_replace(plain(text), r"[^a-z0-9]", "")
+    """Letters and digits alone, of the plain text (F16); its marks and blanks go with all the rest."""
+    return F.regexp_replace(F.lower(_without_targets(text)), r"[^a-z0-9]", "")
 
 
 def sentences(text: Column, n: int = 10) -> Column:
