@@ -66,6 +66,11 @@ def test_markdown():
     assert markup.to_markdown(None) is None and markup.to_markdown("") == ""
 
 
+def test_markdown_whole():
+    html = '<h2>T</h2><p>a <b>b</b> <a href="http://x/y">l</a></p><ul><li>1</li><li>2</li></ul><ol><li>p</li><li>q</li></ol><pre>x  y</pre><blockquote>q</blockquote><table><tr><td>1</td><td>2</td></tr></table>&amp;<br>z'
+    assert markup.to_markdown(html) == "## T\n\na **b** [l](http://x/y)\n\n- 1\n- 2\n\n1. p\n2. q\n\n```\nx  y\n```\n\n> q\n\n| 1 | 2 |\n\n&\nz"
+
+
 def test_tidy_keeps_fences():
     src = "![b](u)\n\n```\n![b](u)\n[x](y)\n```\n[x](y.md)"
     assert markup.tidy_markdown(src, "http://h") == "```\n![b](u)\n[x](y)\n```\n[x](http://h/y.md)"
@@ -336,3 +341,37 @@ def test_links_and_facets(spark):
         assert got[i] == plainly(body, facets)
     none = spark.createDataFrame([("x", None), (None, [(0, 1, "u")])], "t string, f array<struct<start:int,end:int,uri:string>>")
     assert [r[0] for r in none.select(text.expand_links(F.col("t"), F.col("f"))).collect()] == ["x", None]
+
+
+def test_percentiles(spark):
+    """Exact whatever a group's size, ties and spread are; nulls don't count."""
+    import numpy as np
+
+    from heddle.operators import logs
+
+    rng = np.random.default_rng(4)
+    groups = {"one": [5.0], "two": [1.0, 2.0], "same": [3.0] * 700, "ties": rng.integers(0, 9, 3000).astype(float), "wide": rng.normal(0, 1, 5000) ** 5, "spike": np.concatenate([[7.0] * 4000, rng.normal(0, 1, 90)])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    qs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r["g"]: r for r in logs.linear_percentiles(df, ["g"], "v", qs).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        for name, q in qs.items():
+            assert abs(got[g][name] - np.quantile(x, q)) < 2e-6
+    for q in (0.0, 0.3, 0.9, 1.0):
+        for rule, at in (("near", lambda n, q: round(q * (n - 1))), ("floor", lambda n, q: min(n - 1, int(n * q)))):
+            found = {r["g"]: r["percentile"] for r in logs.indexed_percentile(df, ["g"], "v", q, rule).collect()}
+            assert found == {g: sorted(x)[at(len(x), q)] for g, x in groups.items()}
+
+
+def test_cancelled_by_call():
+    """A call's booking goes with the call; one that is unknown or gone cancels nothing; the state survives a dump."""
+    m = folds.RollingQuota(1, 100)
+    assert m.step(0, "call", None, 1) == (0, "sent") and m.step(1, "call", None, 2) == (100, "sent")
+    assert m.step(2, "cancel", 9, 3) == (None, "unknown")
+    again = folds.RollingQuota(1, 100)
+    again.load(m.dump())
+    assert again.step(2, "cancel", 2, 3) == (None, "cancelled") and again.step(3, "cancel", 2, 4) == (None, "unknown")
+    assert again.step(4, "call", None, 5) == (100, "sent") and again.step(500, "call", None, 6) == (500, "sent")
+    assert again.step(501, "cancel", 5, 7) == (None, "unknown")
