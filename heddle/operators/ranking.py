@@ -24,8 +24,8 @@ def interleave(primary: DataFrame, backup: DataFrame, limit: int = 0) -> DataFra
 
 
 def first_seen(rows: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
-    """Distinct by first occurrence."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("nth = 1").drop("nth")
+    """Distinct by first occurrence (A22): an aggregate, so a key with very many rows is reduced before it is shuffled."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__first")).select("__first.*")
 
 
 def top_rows(rows: DataFrame, by: list[str], order: list[Column | str], limit: int) -> DataFrame:
