@@ -31,7 +31,7 @@ def last_values(rows: DataFrame, by: list[str], value: str, order: list[str]) ->
 
 
 #: Ranges of values that a group is cut into.
-RANGES = 256
+RANGES = 32
 
 
 def _near(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
