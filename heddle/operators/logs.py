@@ -30,50 +30,48 @@ def last_values(rows: DataFrame, by: list[str], value: str, order: list[str]) ->
     return rows.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias("last"))
 
 
-#: Ranges of values that a group is cut into.
-RANGES = 32
+#: Accuracy of the approximate quantiles that bracket an exact one: ranks within n / ACCURACY.
+ACCURACY = 1000
 
 
-def _near(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """The values around the places asked for, with `upto`, the rows of their group up to and with them, and `n`, the group's rows.
+def _near(rows: DataFrame, by: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """by, place, value, upto, n: the values around each place asked for, with the rows of their group up to and with them.
 
-    places: indexes from 0, as columns of n. Nulls don't count. Values are counted by ranges between a group's approximate quantiles; only the
-    ranges that hold a place are put in order, so no task sorts a large group, and each distinct value of these is counted once.
+    places: names and shares of the way from the least value to the largest. Nulls don't count. Approximate quantiles a little before and
+    behind a place bracket it; then rows before the bracket are counted, and only the values within are put in order, a few
+    thousandths of a group (all of it if it has no more than ACCURACY rows).
     """
-    there = rows.where(F.col(value).isNotNull())
-    bounds = there.groupBy(*by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 20 * RANGES).alias("__bounds"), F.count("*").alias("n"))
-    counts = there.groupBy(*by, value).agg(F.count("*").alias("c"))
-    # a bound's own range ends with it
-    ranged = counts.join(bounds, by).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(value)))).drop("__bounds")
-    sums = ranged.groupBy(*by, "__range").agg(F.sum("c").alias("__rows"), F.first("n").alias("n"))
-    end = F.sum("__rows").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
-    spans = sums.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__rows"))
-    held = F.lit(False)
-    for at in places.values():
-        held = held | ((F.col("__start") <= at) & (at < F.col("__end")))
-    wanted = spans.where(held).select(*by, "__range", "__start")
-    within = F.sum("c").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(wanted, [*by, "__range"]).withColumn("upto", F.col("__start") + within)
+    margin = 4 / ACCURACY
+    there = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    ends = [min(1.0, max(0.0, q + side)) for q in places.values() for side in (-margin, margin)]
+    bounds = there.groupBy(*by).agg(F.percentile_approx("__v", ends, ACCURACY).alias("__ends"), F.count("*").alias("n"))
+    small = F.col("n") <= ACCURACY
+    asked = F.array(*[F.struct(F.lit(p).alias("place"), F.when(~small, F.get("__ends", F.lit(2 * i))).alias("low"), F.when(~small, F.get("__ends", F.lit(2 * i + 1))).alias("high")) for i, p in enumerate(places)])
+    each = there.join(bounds.select(*by, "n", asked.alias("__asked")), by).select(*by, "n", "__v", F.explode("__asked").alias("p")).where("p.high IS NULL OR __v <= p.high")
+    # what is below the bracket is one row
+    held = F.when(F.col("p.low").isNull() | (F.col("__v") >= F.col("p.low")), F.col("__v"))
+    counts = each.groupBy(*by, F.col("p.place").alias("place"), held.alias(value)).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*by, "place").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).where(F.col(value).isNotNull()).drop("c")
 
 
 def indexed_percentile(rows: DataFrame, by: list[str], value: str, q: float, rule: str) -> DataFrame:
     """A percentile that is one of the values: rule `near` takes round-half-even(q (n-1)) (A16), `floor` int(n q), n-1 at most."""
     n = F.col("n")
     at = (F.bround(F.lit(q) * (n - 1)) if rule == "near" else F.least(n - 1, F.floor(n * F.lit(q)))).cast("long")
-    return _near(rows, by, value, {"at": at}).where(F.col("upto") > at).groupBy(*by).agg(F.min(value).alias("percentile"))
+    return _near(rows, by, value, {"at": q}).where(F.col("upto") > at).groupBy(*by).agg(F.min(value).alias("percentile"))
 
 
 def linear_percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Percentiles by linear interpolation between the two nearest values (A15), a column for each name of qs."""
     n, v = F.col("n"), F.col(value).cast("double")
-    ends, places = [], {}
+    ends = []
     for name, q in qs.items():
-        place = F.lit(q) * (n - 1)
+        place, own = F.lit(q) * (n - 1), F.col("place") == name
         for side, at in (("a", F.floor(place)), ("z", F.ceil(place))):
-            places[f"{name}_{side}"] = at
-            ends.append(F.min(F.when(F.col("upto") > at, v)).alias(f"{name}_{side}"))
+            ends.append(F.min(F.when(own & (F.col("upto") > at), v)).alias(f"{name}_{side}"))
         ends.append(F.max(place - F.floor(place)).alias(f"{name}_w"))
-    found = _near(rows, by, value, places).groupBy(*by).agg(*ends)
+    found = _near(rows, by, value, qs).groupBy(*by).agg(*ends)
     c = F.col
     return found.select(*by, *(F.round(c(f"{x}_a") + (c(f"{x}_z") - c(f"{x}_a")) * c(f"{x}_w"), 6).alias(x) for x in qs))
 
