@@ -27,7 +27,14 @@ def _linked(block: Column, entities: Column) -> Column:
     def spliced(raw: Column) -> Column:
         units = F.octet_length(raw) / 2
         good = F.array_sort(F.filter(with_url, lambda r: (F.coalesce(r["url"], F.lit("")) != "") & (r["start"] >= 0) & (r["end"] > r["start"]) & (r["end"] <= units)))
-        part = lambda a, z: F.decode(F.substr(raw, a * 2 + 1, (z - a) * 2), "UTF-16BE")
+
+        def part(a: Column, z: Column) -> Column:
+            # half of a character at either end is none
+            def whole(h: Column) -> Column:
+                h = F.regexp_replace(F.regexp_replace(h, "^D[C-F]..", "FFFD"), "^((?:....)*)D[89AB]..$", "$1FFFD")
+                return F.decode(F.unhex(h), "UTF-16BE")
+
+            return whole(F.hex(F.substr(raw, a * 2 + 1, (z - a) * 2)))
 
         def put(acc: Column, r: Column) -> Column:
             said = let(part(r["start"], r["end"]), lambda t: F.when(trimmed(t) == r["url"], r["url"]).otherwise(F.concat(F.lit("["), t, F.lit("]("), r["url"], F.lit(")"))))

@@ -75,7 +75,7 @@ VERDICT_PATTERNS = (
 
 def head_bytes(text: Column, n: int = SCAN_BYTES) -> Column:
     """The first n bytes as text; a character cut in two is left out."""
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")), "�+$", ""))
 
 
 def first_marker(text: Column, markers: tuple[str, ...]) -> Column:

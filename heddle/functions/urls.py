@@ -63,7 +63,7 @@ def decoded_bytes(text: Column) -> Column:
 def encoded_bytes(digits: Column, plain: str, blank: str) -> Column:
     """Bytes, given as hex digits, as text: those that match `plain` as they are, a blank as `blank`, others behind %."""
     pairs = F.regexp_extract_all(digits, F.lit(".."), F.lit(0))
-    one = lambda b: F.when(F.rlike(b, F.lit(plain)), F.decode(F.unhex(b), "UTF-8")).when(b == "20", F.lit(blank)).otherwise(F.concat(F.lit("%"), b))
+    one = lambda b: F.when(F.rlike(b, F.lit(plain)), F.unhex(b).cast("string")).when(b == "20", F.lit(blank)).otherwise(F.concat(F.lit("%"), b))
     return F.array_join(F.transform(pairs, one), "")
 
 
@@ -83,7 +83,7 @@ def parameter(url: Column, name: str) -> Column:
     """The first value of a parameter, decoded; '' without one. Parameters that can't be read are left out."""
     code = name.encode().hex().upper()
     found = F.filter(_parameters(query_string(url)), lambda p: F.coalesce((p["k"] == code) & ~p["split"], F.lit(False)) & p["v"].isNotNull())
-    return F.coalesce(F.decode(F.unhex(F.get(found, F.lit(0))["v"]), "UTF-8"), F.lit(""))
+    return F.coalesce(F.make_valid_utf8(F.unhex(F.get(found, F.lit(0))["v"]).cast("string")), F.lit(""))
 
 
 def canonical_query(query: Column) -> Column:

@@ -56,6 +56,9 @@ def test_scan_limit_is_bytes(spark):
     far = "é" * 40000 + "verify you are human"
     df = spark.createDataFrame([(far,), ("x" * 100 + "VERIFY YOU ARE HUMAN",)], "t string")
     assert [r[0] for r in df.select(classify.wall_marker(F.col("t"))).collect()] == [None, "verify you are human"]
+    # a character that the limit cuts is left out, whatever its length
+    cut = ["x" * (classify.SCAN_BYTES - n) + c * 3 for c in ("é", "語", "👍") for n in range(1, 5)]
+    assert column_of(spark, classify.head_bytes, cut) == [t.encode()[: classify.SCAN_BYTES].decode("utf-8", "ignore") for t in cut]
 
 
 def test_markdown():
@@ -91,6 +94,8 @@ def test_articles(spark):
     ]
     whole = {"blocks": blocks, "entityMap": entities, "mediaEntities": [{"media_id": "m", "media_info": {"__typename": "ApiVideo", "alt_text": "a  b"}}]}
     want = "## T\n\n#### F\n\n- a\n1. b\n- c\n\n👍 [here](http://a)\n\n[video: a b] [image]\n\n[embedded post: https://x.com/i/status/77]\n\n**m**\n\n> q\n> r\n\n```\n x\n\n```\n\nx y z"
+    halves = {"blocks": [{"type": "unstyled", "text": "👍👍!", "entityRanges": [span(1, 2, 1)]}], "entityMap": entities}
+    assert column_of(spark, article_markdown, [json.dumps(halves)]) == ["\ufffd[\ufffd\ufffd](http://a)\ufffd!"]
     assert column_of(spark, article_markdown, [json.dumps(whole), "{}", "nonsense", None, "[]", '{"blocks": [{"type": "unstyled", "text": "t"}]}']) == [want, "", None, None, None, "t"]
 
 
@@ -296,7 +301,7 @@ def test_cache_urls(spark):
 
 def test_listings(spark):
     at = "https://www.reddit.com/r/x"
-    limits = {"": 25, "?limit=0": 25, "?limit=-4": 25, "?limit=5000000": 100, "?limit=7": 7, "?limit=%2B7": 7, "?limit=+7": 25, "?limit=7.5": 25, "?limit=99999999999999999999": 25, "?limit=3&limit=9": 3, "?%6cimit=8": 8, "?a;limit=9&limit=6": 6, "?limit=%zz&limit=6": 6, "?LIMIT=6": 25}
+    limits = {"": 25, "?limit=0": 25, "?limit=-4": 25, "?limit=5000000": 100, "?limit=7": 7, "?limit=%2B7": 7, "?limit=+7": 25, "?limit=7.5": 25, "?limit=99999999999999999999": 25, "?limit=3&limit=9": 3, "?%6cimit=8": 8, "?a;limit=9&limit=6": 6, "?limit=%zz&limit=6": 6, "?LIMIT=6": 25, "?limit=%FF": 25, "?limit=%C3&limit=4": 25}
     assert column_of(spark, urls.listing_limit, [at + q for q in limits]) == list(limits.values())
     cases = {
         at: ("x", "hot", "", 25), at + "/TOP/?t=Week": ("x", "top", "week", 25), at + "/new?t=week": ("x", "new", "", 25), at + ".json?limit=3": ("x", "hot", "", 3), at + "/controversial?t=decade": ("x", "controversial", "", 25), at + "/best": None, at + "/comments/1": None, "https://reddit.com/user/x": None, "https://x.com/r/x": None,
