@@ -84,9 +84,9 @@ def trailing_count(rows: DataFrame, by: str, seconds: str, width: int, include_n
     return rows.withColumn("load", until if include_now else until - peers)
 
 
-def onsets(rows: DataFrame, by: str, seconds: str, gap: int) -> DataFrame:
-    """Events after more than `gap` seconds of quiet, and each key's first."""
-    before = F.lag(seconds).over(Window.partitionBy(by).orderBy(seconds))
+def onsets(rows: DataFrame, by: str, seconds: str, gap: int, tie: str) -> DataFrame:
+    """Events after more than `gap` seconds of quiet, and each key's first (W7). Of events at one instant the one with the smallest `tie` comes first."""
+    before = F.lag(seconds).over(Window.partitionBy(by).orderBy(seconds, tie))
     return rows.withColumn("quiet", F.col(seconds) - before).where(F.col("quiet").isNull() | (F.col("quiet") > gap)).drop("quiet")
 
 

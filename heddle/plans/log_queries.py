@@ -124,7 +124,7 @@ def load_of_errors(spark, sf_dir):
 @query("onsets", f"SELECT user_id, count(*) AS n_onsets, min(event_id) AS first FROM (SELECT user_id, event_id, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM {_E}) WHERE gap IS NULL OR gap > 900 GROUP BY 1")
 def onsets(spark, sf_dir):
     """Events after more than 900 seconds of quiet."""
-    return logs.onsets(_events(spark, sf_dir), "user_id", "s", 900).groupBy("user_id").agg(F.count("*").alias("n_onsets"), F.min("event_id").alias("first"))
+    return logs.onsets(_events(spark, sf_dir), "user_id", "s", 900, "event_id").groupBy("user_id").agg(F.count("*").alias("n_onsets"), F.min("event_id").alias("first"))
 
 
 _HOUR = 3_600_000_000
