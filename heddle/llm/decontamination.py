@@ -220,6 +220,29 @@ def candidates(w: Words, sizes: dict[int, tuple[int, int, bool]], known: Filter)
             yield size, at[good], key[good]
 
 
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows that are equal in all columns."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new)
+    return number
+
+
+def _passages(w: Words, at: np.ndarray, key: np.ndarray, words: int) -> np.ndarray:
+    """One row for each text, key and different passage of `words` words from `at` on (fewer at a text's end)."""
+    text = np.searchsorted(w.of, at, "right") - 1
+    number = _numbered(text, key)
+    for j in range(words):
+        if number.max(initial=-1) + 1 == len(at):
+            break
+        word = np.where(at + j < w.of[text + 1], w.hash[np.minimum(at + j, len(w.hash) - 1)], _PAD)
+        number = _numbered(number, word)
+    return np.sort(np.unique(number, return_index=True)[1])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], sizes: dict[int, tuple[int, int, bool]], known) -> Iterator[pa.RecordBatch]:
     """Rows of (text, start, the words around the window, its first word among them, keys)."""
     for batch in batches:
@@ -229,8 +252,8 @@ def _windows(batches: Iterator[pa.RecordBatch], sizes: dict[int, tuple[int, int,
             for size, at, key in candidates(w, sizes, known.value):
                 before, behind, edited = sizes[size]
                 if not edited:
-                    # the window is the whole item, so one place of a text says all
-                    _, one = np.unique(np.stack([(np.searchsorted(w.of, at, "right") - 1).astype(U64), key]), axis=1, return_index=True)
+                    # equal passages are confirmed alike, so one says all; a key alone is of the few words that its walk reads
+                    one = _passages(w, at, key, behind)
                     at, key = at[one], key[one]
                 order = np.argsort(at, kind="stable")
                 start, first = np.unique(at[order], return_index=True)
