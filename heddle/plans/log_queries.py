@@ -199,7 +199,7 @@ def cache_outcomes(spark, sf_dir):
 
 @query("lru_outcomes")
 def lru_outcomes(spark, sf_dir):
-    """A cache of 20 kB and thirty days over all keys: one order of all events, so one task. A single process's cache; for small logs only."""
+    """A cache of 20 kB and thirty days over all keys: one order of all events, folded range by range."""
     rows = _events(spark, sf_dir).select("event_id", "user_id", "us", (F.col("value") * 20).cast("long").alias("size"), (F.col("event_id") % 11 == 0).alias("refresh"))
     return folds.fold(rows, None, ["us", "event_id"], lambda: folds.LruBytes(20000, ttl=720 * _HOUR), ["user_id", "size", "us", "refresh"]).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("evicted").alias("evicted"))
 

@@ -16,9 +16,12 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.tables import written
+
 
 class RollingQuota:
     """At most `limit` admissions in any period, booked ahead (T1); holds only extend (T4); a wait over the budget is refused and withdrawn (T6); a cancelled booking is withdrawn (T5).
@@ -178,6 +181,13 @@ class LruBytes:
     def _drop(self, key: Any) -> None:
         self.bytes -= self.entries.pop(key)[0]
 
+    def dump(self) -> str:
+        return json.dumps([[k, *e] for k, e in self.entries.items()])
+
+    def load(self, text: str) -> None:
+        self.entries = OrderedDict((k, (size, expiry)) for k, size, expiry in json.loads(text))
+        self.bytes = sum(size for size, _ in self.entries.values())
+
     def step(self, key: Any, size: int, at: int = 0, refresh: bool = False) -> tuple:
         if key in self.entries and not refresh:
             if self.ttl is None or at < self.entries[key][1]:
@@ -219,31 +229,92 @@ class SingleFlight:
         self.until, self.leader, self.cancelled = json.loads(text)
 
 
-def fold(rows: DataFrame, key: str | None, order: list[str], make: Callable[[], Any], args: list[str]) -> DataFrame:
-    """The rows with what a machine says of each, a machine for each key (None: one for all), events in the order given."""
+#: Events of a range, where one machine reads all events.
+RANGE = 250_000
+
+
+def _folded(dealt: DataFrame, key: str, make: Callable[[], Any], args: list[str], starts: dict[Any, str]) -> DataFrame:
+    """The rows, sorted by key within their partitions, with what each key's machine says; starts: states that machines begin with."""
     machine = make()
-    schema = T.StructType(list(rows.schema.fields))
+    schema = T.StructType(list(dealt.schema.fields))
     for name, kind in machine.fields:
         schema = schema.add(name, kind)
-    names = rows.columns
+    names = dealt.columns
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
-            keys = batch.column(key).to_pylist() if key else [None] * batch.num_rows
+            keys = batch.column(key).to_pylist()
             said = []
             for k, *values in zip(keys, *(batch.column(a).to_pylist() for a in args), strict=True):
                 if state is None or k != now:
                     now, state = k, make()
+                    if k in starts:
+                        state.load(starts[k])
                 said.append(state.step(*values))
             more = [pa.array([s[i] for s in said], arrow.field(len(names) + i).type) for i in range(len(machine.fields))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=pa.schema([*batch.schema, *list(arrow)[len(names) :]]))
 
-    dealt = rows.repartition(key).sortWithinPartitions(key, *order) if key else rows.coalesce(1).sortWithinPartitions(*order)
     return dealt.mapInArrow(run, schema)
 
 
+def _ends(dealt: DataFrame, key: str, make: Callable[[], Any], args: list[str], starts: dict[Any, str]) -> dict[Any, str]:
+    """The state that each key's machine ends in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        done: list[tuple[Any, str]] = []
+        for batch in batches:
+            for k, *values in zip(batch.column(key).to_pylist(), *(batch.column(a).to_pylist() for a in args), strict=True):
+                if state is None or k != now:
+                    if state is not None:
+                        done.append((now, state.dump()))
+                    now, state = k, make()
+                    if k in starts:
+                        state.load(starts[k])
+                state.step(*values)
+        if state is not None:
+            done.append((now, state.dump()))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.int32()), pa.array([x for _, x in done], pa.string())], names=["part", "state"])
+
+    return {r["part"]: r["state"] for r in dealt.mapInArrow(run, "part int, state string").collect()}
+
+
+def fold(rows: DataFrame, key: str | None, order: list[str], make: Callable[[], Any], args: list[str]) -> DataFrame:
+    """The rows with what a machine says of each, a machine for each key (None: one for all), events in the order given."""
+    if key is None:
+        return fold_all(rows, order, make, args)
+    return _folded(rows.repartition(key).sortWithinPartitions(key, *order), key, make, args, {})
+
+
+def fold_all(rows: DataFrame, order: list[str], make: Callable[[], Any], args: list[str]) -> DataFrame:
+    """The rows with what one machine says of each, all events in one order, without all of them in one task.
+
+    The events are dealt to ranges of the order and stored. Every range is folded from a guess of the machine's state, at first that of
+    a new one and then what the range before ended in, until each range began with what the one before ended in: the
+    rows are those of one pass. A machine whose state forgets (a cache of some size) takes a few rounds. One that never does takes as
+    many as there are ranges, each over the ranges that are left. States have to be small: the driver holds one for each range.
+    """
+    n = max(1, -(-rows.count() // RANGE))
+    dealt = written(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    own = list(dict.fromkeys(["__range", *order, *args]))
+    sort = lambda df: df.repartition(n, "__range").sortWithinPartitions("__range", *order)
+    starts = dict.fromkeys(range(n), make().dump())
+    ends: dict[int, str] = {}
+    left = list(range(n - 1))  # nothing asks for the last one's end
+    while left:
+        ends |= _ends(sort(dealt.select(*own).where(F.col("__range").isin(left))), "__range", make, args, starts)
+        left = []
+        for i in range(1, n):
+            # a range without rows ends as it began
+            before = ends.get(i - 1, starts[i - 1])
+            if starts[i] != before:
+                starts[i] = before
+                left += [i] if i < n - 1 else []
+    return _folded(sort(dealt), "__range", make, args, starts).drop("__range")
+
+
 def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any], args: list[str], idle_ms: int | None = None) -> DataFrame:
     """The same over a stream: a machine's state is kept for each key; events of a micro-batch are taken in order.
 
@@ -282,8 +353,6 @@ def fold_stream(rows: DataFrame, key: str, order: str, make: Callable[[], Any],
 
 def retry_schedule(attempts: DataFrame, base_ms: int = 500, cap_ms: int = 4000, most: int = 3) -> DataFrame:
     """Wait before each retry and whether it is made (T10), jitter left out. attempts: call_id, attempt (from 1), status, retry_after_ms, vetoed."""
-    from pyspark.sql import functions as F
-
     wait = F.least(F.lit(cap_ms), (F.lit(base_ms) * F.pow(F.lit(2.0), F.col("attempt") - 1)).cast("long"))
     transient = (F.col("status") == 429) | (F.col("status") >= 500)
     again = transient & (F.col("attempt") < most) & ~F.coalesce("vetoed", F.lit(False))
