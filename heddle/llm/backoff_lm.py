@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Coded, all_of, answered, bucket_of, bucket_starts, coded_blocks, counts_of, cut_binary, cut_prints, distinct, each_row, parts_of, prints_of, small_counts, whole_keys, with_answers
+from .blocks import Coded, answered, bucket_starts, coded_blocks, counts_of, cut_prints, distinct_any, each_row, parts_of, prints_of, small_counts, whole_keys, with_answers
 from .kernels import U64, mix64
 
 #: Words of the longest n-gram, and occurrences that a history needs to be a state.
@@ -81,13 +81,17 @@ class _Block:
         self.first: dict[int, np.ndarray] = {}
         self.number: dict[int, np.ndarray] = {1: self.code}
         self.total: dict[int, np.ndarray] = {}
-        order = np.argsort(bucket_of(self.vocab, n), kind="stable")
-        self.order, self.keys[1] = order, self.vocab[order]
+        whole = whole_keys(self.vocab)
+        self.order = np.argsort(whole)
+        self.keys[1] = whole[self.order]
         hashes = self.vocab[self.code]
         self.hashes = {1: hashes}
 
     def open(self, k: int) -> None:
-        """Finds the distinct n-grams of k words whose history of k - 1 may be a state (for k = 2: all)."""
+        """Finds the distinct n-grams of k words whose history of k - 1 may be a state (for k = 2: all).
+
+        One whose last k - 1 words the training texts don't have is in none of them either, so it isn't asked for.
+        """
         while k not in self.hashes:
             m = len(self.hashes) + 1
             before = np.empty_like(self.hashes[m - 1])
@@ -96,30 +100,29 @@ class _Block:
         fits = self.place >= k - 1
         if k > 2:
             fits[1:] &= self.repeated(k - 1)[:-1]
+            fits &= self.seen(k - 1, 1)
         at = np.flatnonzero(fits)
-        self.keys[k], first, number = distinct(whole_keys(self.hashes[k][at]))
+        self.keys[k], first, number = distinct_any(whole_keys(self.hashes[k][at]))
         self.first[k] = at[first]
         self.number[k] = np.full(len(self.code), -1, np.int64)
         self.number[k][at] = number
 
     def repeated(self, k: int) -> np.ndarray:
         """Where a history of k words ends that is a state."""
-        number = self.number[k]
-        return (number >= 0) & np.append(self.total[k] >= LEAST, False)[number]
+        return self.seen(k, LEAST)
 
-    def cuts(self, k: int) -> np.ndarray:
-        """Where each bucket's part of the keys begins."""
-        if k == 1:
-            return np.searchsorted(bucket_of(self.keys[1], self.n), np.arange(self.n + 1, dtype=U64))
-        return bucket_starts(self.keys[k], self.n)
+    def seen(self, k: int, least: int) -> np.ndarray:
+        """Where k words end that the training texts have so many times."""
+        number = self.number[k]
+        return (number >= 0) & np.append(self.total[k] >= least, False)[number]
 
     def ask(self, k: int) -> pa.Table:
         counts = np.bincount(self.number[k][self.number[k] >= 0], self.weight[self.number[k] >= 0], len(self.keys[k])).astype(np.int64)
-        cuts = self.cuts(k)
+        cuts = bucket_starts(self.keys[k], self.n)
         full = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[full], cuts[-1])
         counts = counts[self.order] if k == 1 else counts
-        prints = cut_binary(self.keys[1], cuts) if k == 1 else cut_prints(self.keys[k], cuts)
+        prints = cut_prints(self.keys[k], cuts)
         small, big = small_counts(counts, cuts)
         return pa.table([pa.array(full + (k - 1) * self.n, pa.int64()), pa.array(np.full(len(full), self.coded.number, np.int64)), prints, small, big], names=["bucket", "__block", "prints", "small", "big"])
 
@@ -186,7 +189,7 @@ class Automaton:
                 states += int(again.sum())
                 state = own
         key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # no two are equal
         self.arcs, self.weight, self.to = key[order], np.concatenate(weights)[order], np.concatenate(targets)[order]
         self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
 
@@ -249,13 +252,13 @@ def _answers(n: int):
     def answer(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         counts = counts_of(table["small"], table["big"])
-        prints, cuts = all_of(table["prints"], U64) if bucket < n else prints_of(table["prints"], U64)
-        u, _, number = distinct(prints)
+        prints, cuts = prints_of(table["prints"], U64)
+        u, _, number = distinct_any(prints)
         # bincount adds doubles: whole numbers below 2**53, the high halves apart
         each = np.bincount(number, counts & 0xFFFFFFFF, len(u)).astype(np.int64) + (np.bincount(number, counts >> 32, len(u)).astype(np.int64) << 32)
         stats: list = [None] * table.num_rows
         if bucket < n:
-            words = each[u != _START]
+            words = each[u != whole_keys(_START)]
             stats[0] = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
         small, big = small_counts(each[number], cuts)
         return pa.table([table["__block"], table["bucket"], small, big, pa.array(stats, pa.list_(pa.int64()))], names=["__block", "bucket", "small", "big", "stats"])

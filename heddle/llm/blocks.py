@@ -59,7 +59,8 @@ def _block(table: pa.Table, lower: bool, spell: bool, number: int) -> pa.RecordB
             starts.append(w.start + offs[i])
             ends.append(w.end + offs[i])
     every = np.concatenate(hashes)
-    vocab, first, codes, count = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+    vocab, first, codes = distinct_any(every)
+    count = np.bincount(codes, minlength=len(vocab))
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -221,7 +222,29 @@ def counts_of(small: pa.ChunkedArray, big: pa.ChunkedArray) -> np.ndarray:
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values in order, the place of the first of each, and for every place its value's number."""
-    order = np.argsort(key, kind="stable")
+    return _numbered(key, np.argsort(key, kind="stable"))
+
+
+def distinct_any(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As distinct() for unsigned 64-bit hashes, with the place of any one of each.
+
+    Sorting numbers takes a third of the time of sorting their places, so the places stand in the low bits of what is sorted; keys that
+    differ in these bits alone are put in order afterwards.
+    """
+    low = U64(max(len(key) - 1, 0).bit_length())
+    packed = np.sort(key >> low << low | np.arange(len(key), dtype=U64))
+    order = (packed & ((U64(1) << low) - U64(1))).view(np.int64)
+    ordered = key[order]
+    same = (packed[1:] >> low) == (packed[:-1] >> low)
+    split = np.flatnonzero(same & (ordered[1:] != ordered[:-1]))
+    if len(split):
+        run = np.cumsum(np.append(True, ~same))
+        mixed = np.flatnonzero(np.isin(run, run[split]))
+        order[mixed] = order[mixed][np.argsort(key[order[mixed]])]
+    return _numbered(key, order)
+
+
+def _numbered(key: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = key[order]
     new = np.ones(len(ordered), bool)
     new[1:] = ordered[1:] != ordered[:-1]
