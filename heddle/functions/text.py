@@ -91,17 +91,18 @@ def link(label: Column, href: Column, shorten: bool = True) -> Column:
     label gives the bare URL.
     """
     said = F.regexp_replace(label, r"^\s+|\s+$", "")
-
-    def written(t: Column) -> Column:
-        whole = F.concat(F.lit("["), t, F.lit("]("), href, F.lit(")"))
-        if not shorten:
-            return F.when(t == "", href).otherwise(whole)
-        shown = F.regexp_replace(F.regexp_replace(t, r"\.\.\.$", ""), "…$", "")
-        bare = F.regexp_replace(href, r"^(?i:https?://)", "")
-        same = (shown == "") | F.startswith(href, shown) | F.startswith(bare, shown) | F.startswith(F.regexp_replace(bare, r"^www\.", ""), shown)
-        return F.when(same, href).otherwise(whole)
-
-    return F.when(F.coalesce(href, F.lit("")) == "", label).otherwise(let(said, written))
+    return F.when(F.coalesce(href, F.lit("")) == "", label).otherwise(let(said, lambda t: link_of(t, href, shorten)))
+
+
+def link_of(said: Column, href: Column, shorten: bool = True) -> Column:
+    """link() of a trimmed label and a URL that is there."""
+    whole = F.concat(F.lit("["), said, F.lit("]("), href, F.lit(")"))
+    if not shorten:
+        return F.when(said == "", href).otherwise(whole)
+    shown = F.regexp_replace(F.regexp_replace(said, r"\.\.\.\z", ""), r"…\z", "")
+    bare = F.regexp_replace(href, r"^(?i:https?://)", "")
+    same = (shown == "") | F.startswith(href, shown) | F.startswith(bare, shown) | F.startswith(F.regexp_replace(bare, r"^www\.", ""), shown)
+    return F.when(same, href).otherwise(whole)
 
 
 def expand_links(text: Column, facets: Column, shorten: bool = True) -> Column:
